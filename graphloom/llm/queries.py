@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, langid, lm, media, mixing, repair, url_filter
+from . import ann, bpe, jaccard, langid, lm, media, mixing, repair, suffix, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": langid.op1,
         "op2_lm_scoring": lm.op2,
+        "op3_suffix_dedup": suffix.op3,
         "op4_nearest_neighbours": ann.op4,
+        "op5_jaccard_join": jaccard.op5,
         "op6_token_output": repair.op6,
         "op7_url_filter": url_filter.op7,
         "op8_media_columns": media.op8,
