@@ -340,5 +340,32 @@ def remove_repeats(docs: DataFrame, least: int = 100) -> DataFrame:
     return changed.unionByName(same)
 
 
+def strip_repeats(docs: DataFrame, least: int = 100) -> DataFrame:
+    """docs with the repeats removed from text, all columns kept (see remove_repeats).
+
+    A character of which a byte is removed goes whole. n_chars, if there is one, is counted anew
+    in the documents that change.
+    """
+    spans = checkpointed(repeated_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), least))
+    ids = spans.select("doc").distinct()
+    small = F.broadcast(ids) if ids.count() <= SMALL else ids
+    whole = docs.join(small, docs.doc_id == F.col("doc"), "left_anti")
+    touched = _only(docs, spans).join(spans, F.col("doc_id") == F.col("doc")).drop("doc")
+
+    def go(batches):
+        for batch in batches:
+            for b in slices(batch, "text"):
+                raw, offsets = utf8_column(b.column("text"))
+                data = raw.tobytes()
+                kept = [_cut(data[offsets[i] : offsets[i + 1]], found.values)[0].decode("utf-8", "ignore") for i, found in enumerate(b.column("spans"))]
+                at = b.schema.get_field_index("text")
+                yield b.set_column(at, b.schema.field(at), pa.array(kept, b.schema.field(at).type)).drop_columns(["spans"])
+
+    changed = touched.select(*docs.columns, "spans").mapInArrow(go, docs.schema)
+    if "n_chars" in docs.columns:
+        changed = changed.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return whole.unionByName(changed)
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
