@@ -1 +1 @@
-
+"""Operators over the graph tables; each takes and returns DataFrames."""
