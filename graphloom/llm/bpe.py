@@ -13,12 +13,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import cut_at_spaces, slices, table
 
 #: Distinct pieces of text that a worker remembers; beyond, it keeps only those of its slice at hand.
-REMEMBERED = 600_000
-#: A space beside other white space; without one, every piece that a space begins is split off safely.
-CROWDED = regex.compile(r" \s|\s ")
+REMEMBERED = 1_000_000
+#: Bytes of text whose distinct words one recursive query encodes.
+SLICE = 16 << 20
 
 #: Longer words contract all pairs of the least rank in a step, so that a run of one letter takes few steps.
 SHORT = 48
@@ -129,21 +129,17 @@ class Encoder:
             out[i] = b"".join(values[a:b])
         return out
 
-    def split(self, text: str) -> list[str]:
+    def split(self, text: str | None) -> list[str]:
         """Pieces of a text, none of which cuts a match of the pattern."""
-        if not text:
-            return []
-        if CROWDED.search(text):
-            return self.pattern.findall(text)
-        first, *rest = text.split(" ")
-        return ([first] if first else []) + [" " + x for x in rest]
+        parts = cut_at_spaces(text)
+        return self.pattern.findall(text) if parts is None else parts
 
     def learn(self, pieces: set[str]) -> None:
         """Encode what is new among the pieces, decode it again, and remember both."""
         if len(self.pieces) > REMEMBERED:
             self.pieces = {p: self.pieces[p] for p in pieces if p in self.pieces}
             self.odd.clear()
-        new = {p: self.pattern.findall(p) for p in pieces if p not in self.pieces}
+        new = {p: self.pattern.findall(p) for p in pieces.difference(self.pieces)}
         words = list({w for ws in new.values() for w in ws})
         raw = [w.encode("utf-8") for w in words]
         ids = self.encode_words(raw)
@@ -185,12 +181,12 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
     def run(batches):
         e = encoder(path, pattern)
         for whole in batches:
-            for batch in slices(whole, "text"):
-                split = [e.split(t) if t else [] for t in batch.column(1).to_pylist()]
+            for batch in slices(whole, "text", SLICE):
+                split = [e.split(t) for t in batch.column(1).to_pylist()]
                 e.learn(set().union(*split))
                 n, ids, sha, back = [], [], [], []
                 for parts in split:
-                    joined = b",".join([e.pieces[p] for p in parts])
+                    joined = b",".join(map(e.pieces.__getitem__, parts))
                     n.append(joined.count(b",") + 1 if joined else 0)
                     if with_ids:
                         ids.append([int(x) for x in joined.split(b",")] if joined else [])

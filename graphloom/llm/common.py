@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,6 +91,28 @@ def utf8_column(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return raw[off[0] : off[-1]], off - off[0]
 
 
+#: A space beside other white space.
+CROWDED = regex.compile(r" \s|\s ")
+
+
+def cut_at_spaces(text: str | None) -> list[str] | None:
+    """Pieces of a text, cut before each space; None if a space stands beside other white space.
+
+    The byte-level splitting patterns start anew at every space between two characters that are not
+    white space, so pieces can be encoded apart. Texts of printable characters, spaces and line
+    ends alone need no search.
+    """
+    if not text:
+        return []
+    if "\0" in text:
+        return None
+    plain = "  " not in text and " \n" not in text and "\n " not in text and text.replace("\n", "").isprintable()
+    if not plain and CROWDED.search(text):
+        return None
+    parts = text.replace(" ", "\0 ").split("\0")
+    return parts if parts[0] else parts[1:]
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into row slices whose text column holds about `most` bytes; one row is never cut."""
     lengths = np.diff(utf8_column(batch.column(column))[1])
