@@ -106,8 +106,7 @@ def is_test_path(path: Name) -> Column:
 
 def is_binary(content: Name) -> Column:
     """A NUL in the first 8192 bytes, or not UTF-8."""
-    head = F.substring(F.hex(F.substring(col(content), 1, 8192)), 1, 16384)
-    nul = F.regexp_like(head, F.lit("^(?:..)*?00"))
+    nul = F.instr(F.substring(col(content), 1, 8192).cast("string"), "\0") > 0
     return nul | ~F.coalesce(F.is_valid_utf8(col(content).cast("string")), F.lit(False))
 
 
@@ -223,7 +222,7 @@ NO_CALLS = ["if", "for", "while", "switch", "function", "def", "class", "return"
 
 def call_identifiers(line: Name) -> Column:
     """Before each '(' and at the line's end, the last identifier after a dot, but for keywords."""
-    return F.filter(F.transform(F.split(col(line), "[(]"), lambda x: F.regexp_extract(F.rtrim(x), r"([A-Za-z0-9_$]*)$", 1)), lambda y: (y != "") & ~y.isin(*NO_CALLS))
+    return F.filter(F.transform(F.split(col(line), "[(]"), lambda x: F.regexp_extract(F.regexp_replace(x, r"\s+$", ""), r"([A-Za-z0-9_$]*)$", 1)), lambda y: (y != "") & ~y.isin(*NO_CALLS))
 
 
 def simple_name(symbol: Name) -> Column:
