@@ -93,7 +93,7 @@ class Bound:
 
     def extension(self, n: int) -> int:
         """Tokens that prefixes extended by so many, less one, share."""
-        return max(1, self.prefix(n) // 3)
+        return max(1, 3 * self.prefix(n) // 4)
 
     def links(self, shared, a, b):
         return self.den * shared >= self.num * (a + b - shared)
@@ -173,6 +173,12 @@ def linked(ids: list[int], sets: list[np.ndarray], bound: Bound) -> list[tuple[i
     return out
 
 
+def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose doc is one of the ids (id); these are broadcast if they are few."""
+    few = ids.limit(SMALL + 1).count() <= SMALL
+    return rows.join(F.broadcast(ids) if few else ids, rows.doc == ids.id, "left_semi")
+
+
 def _signatures(docs: DataFrame, k: int, bound: Bound) -> DataFrame:
     def run(batches):
         for whole in batches:
@@ -188,19 +194,29 @@ def _signatures(docs: DataFrame, k: int, bound: Bound) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc long, n long, digest binary, need int, head array<long>")
 
 
-def _sets(docs: DataFrame, k: int, bound: Bound) -> DataFrame:
-    """(doc, n, tokens as bytes, keys of combinations where `frequent`)."""
+def _keys(docs: DataFrame, k: int, bound: Bound) -> DataFrame:
+    """(doc, key) of the token combinations of (doc, text)."""
 
     def run(batches):
         for whole in batches:
             for b in slices(whole, "text"):
-                sets = shingle_sets(b.column(1), k)
-                keys = [combinations(s, bound) if f else np.zeros(0, np.int64) for s, f in zip(sets, b.column(2).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([x.tolist() for x in keys], pa.list_(pa.int64()))], names=["doc", "n", "tokens", "keys"]
-                )
+                keys = [combinations(s, bound) for s in shingle_sets(b.column(1), k)]
+                doc = b.column(0).to_numpy(zero_copy_only=False).repeat([len(x) for x in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(np.concatenate(keys))], names=["doc", "key"])
+
+    return docs.select("doc", "text").mapInArrow(run, "doc long, key long")
+
+
+def _sets(members: DataFrame, k: int) -> DataFrame:
+    """(doc, family, blocks, tokens): the sets of (doc, text, family, blocks) as bytes."""
+
+    def run(batches):
+        for whole in batches:
+            for b in slices(whole, "text"):
+                sets = [s.tobytes() for s in shingle_sets(b.column(1), k)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(sets, pa.binary())], names=["doc", "family", "blocks", "tokens"])
 
-    return docs.select("doc_id", "text", "frequent").mapInArrow(run, "doc long, n long, tokens binary, keys array<long>")
+    return members.mapInArrow(run, "doc long, family long, blocks int, tokens binary")
 
 
 def _compare(dealt: DataFrame, bound: Bound) -> DataFrame:
@@ -234,40 +250,47 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) ->
     are one document. An empty table gives an empty result.
 
     Equal sets are one. Tokens are ordered by hash. In linked sets, prefixes extended by e - 1 share e
-    tokens, so only documents with that many tokens that others' prefixes hold too go on. Among them, a pair
-    shares a token that is rare, which is indexed alone; or all that it shares are frequent,
-    and then both are indexed by combinations of tokens over the prefix extended to the whole
-    set, of which linked sets have one in common. What index entries connect is a family; its members
-    are compared in blocks of bounded size, and only edges that span its classes leave a block.
+    tokens, so only documents with that many tokens that others' prefixes hold too go on. Among them, a
+    linked pair shares e rare tokens, each indexed alone under FREQUENT documents at most, or a
+    frequent one; documents with a frequent one are indexed by combinations of tokens over the prefix
+    extended to the whole set, of which linked sets have one in common. What index entries connect
+    is a family; its members are compared in blocks of bounded size, and only edges that span
+    its classes leave a block.
     """
     bound = Bound(num, den)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    named_rows = rows.where("doc_id is not null").withColumnRenamed("doc_id", "doc")
     signed = checkpointed(_signatures(rows, k, bound))
     named = signed.where("doc is not null and digest is not null")
-    classes = named.groupBy("digest").agg(F.min("doc").alias("rep"))
-    reps = named.join(classes, F.expr("doc = rep") & (named.digest == classes.digest), "left_semi").dropDuplicates(["doc", "digest"])
-
-    heads = reps.select("doc", "need", F.explode("head").alias("tok")).repartition("tok")
-    shared = heads.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1").select("tok")
-    common = checkpointed(heads.join(shared, "tok").select("doc", "need", "tok"))
-    going = common.groupBy("doc").agg(F.count("*").alias("c"), F.min("need").alias("need")).where("c >= need").select("doc")
-    tokens = checkpointed(common.join(going, "doc", "left_semi").select("doc", "tok").distinct())
-    held = tokens.groupBy("tok").agg(F.count("*").alias("c"), F.min("doc").alias("b")).where("c > 1")
-    entries = checkpointed(tokens.join(held, "tok").select("doc", "c", "b"))
-    candidates = checkpointed(entries.groupBy("doc").agg((F.max("c") > FREQUENT).alias("frequent")))
-
-    small = candidates.count() <= SMALL
-    full = rows.join(F.broadcast(candidates) if small else candidates, rows.doc_id == F.col("doc"))
-    sets = checkpointed(_sets(full, k, bound).dropDuplicates(["doc", "tokens"]))
-    keyed = sets.select("doc", F.explode("keys").alias("key")).distinct()
+    classes = checkpointed(named.groupBy("digest").agg(F.min("doc").alias("rep")))
+    reps = among(named, classes.select(F.col("rep").alias("id")))
+
+    heads = reps.select("doc", F.explode("head").alias("tok")).repartition("tok")
+    # every column is used on both sides of the join, so that they read one exchange
+    shared = heads.groupBy("tok").agg(F.count("*").alias("c"), F.min("doc").alias("b")).where("c > 1 and b is not null").select("tok")
+    counts = heads.join(shared, "tok").groupBy("doc").agg(F.count("*").alias("c"))
+    needs = reps.groupBy("doc").agg(F.min("need").alias("need"))
+    going = checkpointed(counts.join(needs, "doc").where("c >= need").select(F.col("doc").alias("id")))
+    tokens = among(reps, going).select("doc", "need", F.explode("head").alias("tok")).repartition("tok")
+    held = tokens.groupBy("tok").agg(F.count("*").alias("c"), F.min("doc").alias("b"), F.min("need").alias("m")).where("c > 1 and b is not null and m is not null").select("tok", "c")
+    met = tokens.join(held, "tok")
+    frequent = checkpointed(met.where(F.col("c") > FREQUENT).select(F.col("doc").alias("id")).distinct())
+    few = met.where(F.col("c") <= FREQUENT).groupBy("tok").agg(F.array_sort(F.collect_set(F.struct("doc", "need"))).alias("d"))
+    pair = lambda x, y: F.struct(x["doc"].alias("b"), y["doc"].alias("a"), F.greatest(x["need"], y["need"]).alias("need"))
+    pairs = F.flatten(F.transform("d", lambda x, i: F.transform(F.slice("d", i + 2, F.size("d")), lambda y: pair(x, y))))
+    rare = few.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("c"), F.max("p.need").alias("need")).where("c >= need").select("a", "b")
+
+    keyed = _keys(among(named_rows, frequent), k, bound).repartition("key")
     met = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min("doc").alias("b")).where("c > 1")
-    edges = entries.where(F.col("c") <= FREQUENT).select(F.col("doc").alias("a"), "b").unionByName(keyed.join(met, "key").select(F.col("doc").alias("a"), "b"))
-    families = connected_components(edges)
+    edges = rare.unionByName(keyed.join(met.where("b is not null"), "key").select(F.col("doc").alias("a"), "b"))
+    families = checkpointed(connected_components(edges).withColumnRenamed("component", "family"))
 
-    members = sets.join(families.withColumnRenamed("component", "family"), F.col("doc") == F.col("node"))
-    sizes = families.withColumnRenamed("component", "family").join(sets.select("doc", "n"), F.col("doc") == F.col("node")).groupBy("family").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    sizes = families.join(signed.select(F.col("doc").alias("node"), "n"), "node").groupBy("family").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    places = checkpointed(families.join(sizes, "family").select(F.col("node").alias("id"), "family", "blocks"))
+    few = places.count() <= SMALL
+    members = _sets(named_rows.join(F.broadcast(places) if few else places, named_rows.doc == places.id).select("doc", "text", "family", "blocks"), k)
     block = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
-    dealt = members.select("family", "doc", "tokens").join(sizes, "family").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("family", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc", "tokens").repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi")
     components = connected_components(_compare(dealt, bound))
 
