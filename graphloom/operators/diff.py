@@ -26,7 +26,7 @@ def exported_names(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def declared_public(snippet: X.Name) -> Column:
     """The first line that isn't blank or an attribute starts with pub or export."""
-    rows = F.filter(F.transform(F.split(X.col(snippet), "\n"), F.trim), lambda x: (x != "") & ~F.startswith(x, F.lit("#[")))
+    rows = F.filter(F.transform(F.split(X.col(snippet), "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~F.startswith(x, F.lit("#[")))
     return F.coalesce(F.regexp_like(F.get(rows, F.lit(0)), F.lit(r"^(pub |pub\(|export )")), F.lit(False))
 
 

@@ -1 +1 @@
-
+"""Watching a codebase: change events, debounce, incremental maintenance."""
