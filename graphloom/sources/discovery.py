@@ -45,6 +45,19 @@ def not_ignored(path: X.Name, rules: list[str]) -> Column:
     return keep
 
 
+def ignore_rules(spark: SparkSession, root: str) -> list[str]:
+    """Lines of root's .gitignore, which Spark's readers pass over as hidden."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/.gitignore")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    stream = fs.open(path)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split("\n")
+    finally:
+        stream.close()
+
+
 def discover(spark: SparkSession, root: str, rules: list[str] | None = None) -> DataFrame:
     """(path, content): regular files below root by relative path. Rules of root's .gitignore hold unless others are given."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
@@ -53,8 +66,7 @@ def discover(spark: SparkSession, root: str, rules: list[str] | None = None) ->
     plain = F.regexp_replace(base, "^file:/*", "/")
     files = files.select(F.when(F.startswith(full, plain), F.substr(full, F.length(plain) + 1)).otherwise(full).alias("path"), "content")
     if rules is None:
-        found = files.where("path = '.gitignore'").select(F.col("content").cast("string")).collect()
-        rules = found[0][0].split("\n") if found else []
+        rules = ignore_rules(spark, root)
     return files.where(not_ignored("path", rules))
 
 

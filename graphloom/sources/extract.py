@@ -249,6 +249,11 @@ def brace_facts(path: str, text: str, language: str) -> list[dict]:
     qualify = lambda name: f"{stack[-1][0]}{sep}{name}" if stack[-1][0] else name
     name_like = re.compile(r"[A-Za-z_$~][A-Za-z0-9_$]*$")
 
+    def close(place: int, end: int) -> None:
+        """A scope's span ends with its body."""
+        if place >= 0 and (span := b.rows[place]["span"]):
+            b.rows[place]["span"] = b.span(span["byte_start"], offset(end))
+
     def close_paren(i: int) -> int:
         level = 0
         for j in range(i, len(words)):
@@ -308,7 +313,7 @@ def brace_facts(path: str, text: str, language: str) -> list[dict]:
             i = j + 1 if name else i + 1
             continue
         if w == "@end" and len(stack) > 1:
-            stack.pop()
+            close(stack.pop()[2], m.end())
             opened.pop()
         elif language == "objective-c" and w in ("-", "+") and not inside and words[i + 1 : i + 2] == ["("]:
             j = close_paren(i + 1) + 1
@@ -368,7 +373,7 @@ def brace_facts(path: str, text: str, language: str) -> list[dict]:
                 pending = None
         elif w == "}":
             if opened and opened[-1] == depth and len(stack) > 1:
-                stack.pop()
+                close(stack.pop()[2], m.end())
                 opened.pop()
             depth = max(0, depth - 1)
         elif w == ";" and paren_until < i:
