@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -91,16 +92,22 @@ def utf8_column(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return raw[off[0] : off[-1]], off - off[0]
 
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018  another C library may lack it
+except (OSError, AttributeError):
+    _LIBC = None
+
 #: A space beside other white space.
 CROWDED = regex.compile(r" \s|\s ")
 
 
 def cut_at_spaces(text: str | None) -> list[str] | None:
-    """Pieces of a text, cut before each space; None if a space stands beside other white space.
+    """Pieces of a text, cut before each space and around each line end; None if white space stands beside a space.
 
     The byte-level splitting patterns start anew at every space between two characters that are not
-    white space, so pieces can be encoded apart. Texts of printable characters, spaces and line
-    ends alone need no search.
+    white space, and take a single line end there alone, so pieces can be encoded apart. Texts of printable
+    characters, spaces and line ends alone need no search; without two line ends in a row, they are cut at those too.
     """
     if not text:
         return []
@@ -109,8 +116,17 @@ def cut_at_spaces(text: str | None) -> list[str] | None:
     plain = "  " not in text and " \n" not in text and "\n " not in text and text.replace("\n", "").isprintable()
     if not plain and CROWDED.search(text):
         return None
+    if plain and "\n\n" not in text:
+        text = text.replace("\n", "\0\n\0")
     parts = text.replace(" ", "\0 ").split("\0")
-    return parts if parts[0] else parts[1:]
+    return parts[not parts[0] : len(parts) - (not parts[-1])]
+
+
+def settle() -> None:
+    """Give freed memory back to the system; the allocators of a long-lived worker would keep it."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -120,7 +136,9 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[
     for i, size in enumerate(lengths.tolist()):
         if total and total + size > most:
             yield batch.slice(start, i - start)
+            settle()
             start, total = i, 0
         total += size
     if start < batch.num_rows:
         yield batch.slice(start)
+        settle()

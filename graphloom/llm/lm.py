@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, slices, table
+from .common import checkpointed, settle, slices, table
 from .media import scratch
 
 #: Bytes of context at most. An n-gram is kept if it makes up at least this share of all training
@@ -19,9 +20,9 @@ ORDER, SHARE = 5, 2.0**-23
 #: Ends a token sequence, and stands before its start; no token holds it.
 END = 10
 #: Bytes of text handled at once; symbols of a lane of the traversal.
-SLICE, LANE = 8 << 20, 1024
+SLICE, LANE = 6 << 20, 384
 #: Distinct n-grams that a training task holds before it emits them.
-HELD = 2_000_000
+HELD = 1_500_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -32,10 +33,10 @@ def tokens(text: str | None) -> list[bytes]:
 def symbols(parts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """Token sequences as one byte stream, each with ORDER ends before it, and n + 1 offsets.
 
-    Tokens are joined by a space, the last one is followed by an end.
+    Each token is followed by a space, and all by an end.
     """
     lead = bytes([END]) * ORDER
-    raw = [lead + b" ".join(p) + b"\n" for p in parts]
+    raw = [lead + b" ".join([*p, b"\n"]) for p in parts]
     offsets = np.cumsum(np.array([0, *map(len, raw)], np.int64))
     return np.frombuffer(b"".join(raw), np.uint8), offsets
 
@@ -191,10 +192,11 @@ class Automaton:
             now = self.fail[now]
         return out, gained
 
-    def score(self, stream: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """log10 probability of each sequence: all are traversed from left to right at once, long ones in lanes.
+    def gains(self, stream: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """log10 probability of each symbol after those before it; 0 for the leading ends.
 
-        A state depends on ORDER bytes, so a lane that starts inside a sequence reads those first.
+        All sequences are traversed from left to right at once, long ones in lanes. A state depends on ORDER
+        bytes, so a lane that starts inside a sequence reads those first.
         """
         starts, ends = offsets[:-1] + ORDER, offsets[1:]
         lanes = -(-(ends - starts) // LANE)
@@ -203,16 +205,29 @@ class Automaton:
         length = np.minimum(begin + LANE, ends[of]) - begin
         order = np.argsort(-length, kind="stable")
         of, begin, length = of[order], begin[order], length[order]
-        total, state = np.zeros(len(of)), np.zeros(len(of), np.int32)
+        out, state = np.zeros(len(stream), np.float32), np.zeros(len(of), np.int32)
         live = np.searchsorted(-length, -np.arange(LANE), "left")
         for t in range(-ORDER, int(length[0]) if len(length) else -ORDER):
             n = live[t] if t > 0 else len(of)
             if t == 0:
                 state[begin == starts[of]] = self.initial
-            state[:n], gained = self.step(state[:n], stream[begin[:n] + t].astype(np.int64))
+            at = begin[:n] + t
+            state[:n], gained = self.step(state[:n], stream[at].astype(np.int64))
             if t >= 0:
-                total[:n] += gained
-        return np.bincount(of, total, len(lanes))
+                out[at] = gained
+        return out
+
+    def score(self, stream: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """log10 probability of each sequence."""
+        return np.add.reduceat(self.gains(stream, offsets), offsets[:-1], dtype=np.float64) if len(offsets) > 1 else np.zeros(0)
+
+    def by_token(self, parts: list[list[bytes]]) -> np.ndarray:
+        """log10 probability of each token of the sequences and each one's end, in order."""
+        stream, offsets = symbols(parts)
+        fresh = np.zeros(len(stream) + 1, bool)
+        fresh[np.flatnonzero(stream == 32) + 1] = True
+        fresh[offsets[:-1] + ORDER] = True
+        return np.add.reduceat(self.gains(stream, offsets), np.flatnonzero(fresh[: len(stream)]), dtype=np.float64)
 
 
 def train(docs: DataFrame, share: float = SHARE) -> Automaton:
@@ -225,7 +240,6 @@ def train(docs: DataFrame, share: float = SHARE) -> Automaton:
         mask = (1 << 8 * (o + 1)) - 1
         level = counts.groupBy(F.lit(o).alias("o"), F.col("code").bitwiseAND(F.lit(mask)).alias("code")).agg(F.sum("n").alias("n"))
         levels = level if levels is None else levels.unionByName(level)
-    levels = checkpointed(levels)
     context = F.shiftright("code", 8)
     contexts = levels.groupBy("o", context.alias("code")).agg(F.sum("n").alias("n"), F.count("*").alias("k")).where(F.col("n") >= least)
     get = lambda df: df.toArrow()
@@ -247,20 +261,41 @@ def train(docs: DataFrame, share: float = SHARE) -> Automaton:
     return Automaton.build(arcs, states)
 
 
-BLOCK = "block long, docs array<long>, held array<boolean>, lengths array<long>, scores array<double>, words array<binary>, counts array<long>, places binary"
+#: What each token's probability is mixed of: the automaton, the lexicon of training tokens, the base.
+SPELLED, LEXICON, BASE = 0.4, 0.4, 0.2
+#: Tokens of at least this share of all, of which there are 1 / COMMON at most, are broadcast with their
+#: counts; those of all others go where they are asked for.
+COMMON = 2.0**-20
+BLOCK = "block long, docs array<long>, held array<boolean>, lengths array<long>, words array<binary>, counts array<long>, places binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+def digests(words: list[bytes]) -> np.ndarray:
+    """64-bit digests, which stand for the tokens in shuffles."""
+    return np.array(list(map(xxhash.xxh3_64_intdigest, words)), np.uint64).view(np.int64)
+
+
+def look_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    """Values by key from sorted keys and their values; 0 for others."""
+    if not len(table[0]):
+        return np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
+    return np.where(table[0][at] == keys, table[1][at], 0)
+
+
 def evaluate(docs: DataFrame, held_out: Column, share: float = SHARE) -> DataFrame:
     """Score every (doc_id, text) with a model of the texts for which held_out is false.
 
     A null text is empty: its one token is the end. Rows are independent, repeated ones repeat and
     count again in training; a null held_out counts as false. Other columns are ignored; an empty
-    table gives an empty result. score: log10 probability of the bytes of the tokens, joined by
-    spaces, and an end. base_score: the same of the tokens under add-one smoothed unigrams.
-
-    The model has a fixed bound and is broadcast; the vocabulary has none, so blocks of documents
-    send their distinct tokens to be counted, and get the counts of those alone back.
+    table gives an empty result. base_score: log10 probability of the tokens and an end
+    under add-one smoothed unigrams, which have one type for all that is unseen. score: a text is, at even
+    odds, by the base alone, or each token is by a mixture of what the automaton spells, given all
+    bytes before, of its share in training, and of the base.
+
+    The model and the most common tokens have fixed bounds and are broadcast; the vocabulary has none, so
+    blocks of documents send their distinct tokens to be counted, and get the counts of their rarer
+    ones back by a join.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
@@ -269,11 +304,10 @@ def evaluate(docs: DataFrame, held_out: Column, share: float = SHARE) -> DataFra
     def to_blocks(batches):
         from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId() << 32
+        number, packer = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=1)
         for whole in batches:
             for b in slices(whole, "text", SLICE):
                 parts = [tokens(t) for t in b.column(1).to_pylist()]
-                scores = model.value.score(*symbols(parts))
                 held = b.column(2).to_numpy(zero_copy_only=False)
                 words: dict[bytes, int] = {b"\n": 0}
                 places: list[int] = []
@@ -283,35 +317,62 @@ def evaluate(docs: DataFrame, held_out: Column, share: float = SHARE) -> DataFra
                 place = np.array(places, np.uint32)
                 lengths = np.array([len(p) + 1 for p in parts], np.int64)
                 counts = np.bincount(place[np.repeat(~held, lengths)], minlength=len(words))
-                row = [[number], [b.column(0).to_pylist()], [held.tolist()], [lengths], [scores], [list(words)], [counts], [place.tobytes()]]
-                kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["block", "docs", "held", "lengths", "scores", "words", "counts", "places"])
+                row = [[number], [b.column(0).to_pylist()], [held.tolist()], [lengths], [list(words)], [counts], [packer.compress(place.tobytes())]]
+                kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["block", "docs", "held", "lengths", "words", "counts", "places"])
                 number += 1
 
     path = scratch(spark, "lm-blocks")
     rows.mapInArrow(to_blocks, BLOCK).write.option("compression", "zstd").parquet(path)
     blocks = spark.read.schema(BLOCK).parquet(path)
 
-    local = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "w")).select("block", "pos", "w.words", "w.counts")
-    known = checkpointed(local.where("counts > 0").groupBy("words").agg(F.sum("counts").alias("c")))
+    def to_counts(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                b = batch.slice(i, 1)
+                counts = b.column("counts").flatten().to_numpy()
+                settle()
+                yield pa.RecordBatch.from_arrays([pa.array(digests(b.column("words")[0].as_py())[counts > 0]), pa.array(counts[counts > 0])], names=["word", "c"])
+
+    known = checkpointed(blocks.select("words", "counts").mapInArrow(to_counts, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")))
     n, v = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    answers = local.select("block", "pos", "words").join(known, "words").groupBy("block").agg(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), "c")).alias("known"))
-    wanted = blocks.select("block", "docs", "held", "lengths", "scores", "places").join(answers, "block", "left")
+    least = max(1, int(np.ceil(COMMON * n)))
+    common = known.where(F.col("c") >= least).toArrow().sort_by("word")
+    lexicon = spark.sparkContext.broadcast((common.column("word").to_numpy(), common.column("c").to_numpy()))
+
+    def to_rare(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                b = batch.slice(i, 1)
+                word = digests(b.column("words")[0].as_py())
+                pos = np.flatnonzero(look_up(lexicon.value, word) == 0)
+                yield pa.RecordBatch.from_arrays([pa.array(word[pos]), pa.array(np.full(len(pos), b.column("block")[0].as_py(), np.int64)), pa.array(pos.astype(np.int32))], names=["word", "block", "pos"])
+
+    rare = blocks.select("block", "words").mapInArrow(to_rare, "word long, block long, pos int").join(known.where(F.col("c") < least), "word")
+    answers = rare.groupBy("block").agg(F.collect_list(F.struct("pos", F.col("c").cast("int").alias("c"))).alias("known"))
+    wanted = blocks.select("block", "docs", "held", "lengths", "words", "places").join(answers, "block", "left")
 
     def to_rows(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 b = batch.slice(i, 1)
                 lengths = b.column("lengths").flatten().to_numpy()
-                place = np.frombuffer(b.column("places")[0].as_buffer(), np.uint32)
-                c = np.zeros(int(place.max()) + 1 if len(place) else 1, np.int64)
+                place = np.frombuffer(zstandard.ZstdDecompressor().decompress(b.column("places")[0].as_py()), np.uint32)
+                words = b.column("words")[0].as_py()
+                c = look_up(lexicon.value, digests(words))
                 got = b.column("known").flatten()
                 if len(got):
                     c[got.field(0).to_numpy()] = got.field(1).to_numpy()
                 starts = np.cumsum(lengths) - lengths
-                seen = c[place]
-                base = np.add.reduceat(np.log10(seen + 1.0), starts) - lengths * np.log10(n + v + 1.0)
-                out = [b.column("docs").flatten(), b.column("held").flatten(), pa.array(lengths), pa.array(np.add.reduceat((seen > 0).astype(np.int64), starts)), pa.array(np.full(len(lengths), n, np.int64)), pa.array(base), b.column("scores").flatten()]
+                seen, listed = c[place], place.tolist()
+                parts = [[words[j] for j in listed[s : s + m - 1]] for s, m in zip(starts.tolist(), lengths.tolist(), strict=True)]
+                base = (seen + 1.0) / (n + v + 1.0)
+                mixed = SPELLED * 10.0 ** model.value.by_token(parts) + LEXICON * seen / max(n, 1) + BASE * base
+                sums = lambda x: np.add.reduceat(x, starts)  # noqa: B023, E731
+                of_base = sums(np.log10(base))
+                score = np.logaddexp(sums(np.log(mixed)), of_base * np.log(10)) / np.log(10) - np.log10(2)
+                out = [b.column("docs").flatten(), b.column("held").flatten(), pa.array(lengths), pa.array(sums((seen > 0).astype(np.int64))), pa.array(np.full(len(lengths), n, np.int64)), pa.array(of_base), pa.array(score)]
+                settle()
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return wanted.mapInArrow(to_rows, SCORES)
