@@ -8,9 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from .common import checkpointed, table
+from .common import checkpointed, settle, table
 
 #: The router is fitted on so many vectors at most, those of the smallest digests; all are indexed.
 SAMPLE = 16384
@@ -23,10 +22,10 @@ MASS = 0.95
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     """For each vector the k others of largest inner product."""
     n, out = len(x), []
-    for i in range(0, n, 1024):
-        s = x[i : i + 1024] @ x.T
+    for i in range(0, n, 256):
+        s = x[i : i + 256] @ x.T
         s[np.arange(len(s)), np.arange(i, i + len(s))] = -np.inf
-        out.append(np.argpartition(-s, k - 1, axis=1)[:, :k])
+        out.append(np.argpartition(-s, k - 1, axis=1)[:, :k].copy())
     return np.concatenate(out)
 
 
@@ -212,12 +211,18 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, mass: float = MASS
 
     def work(r: pa.Table, q: pa.Table) -> pa.Table:
         both = [(t.column("vec_id").to_numpy(), matrix(t.column("v").combine_chunks())) for t in (q, r)]
-        got = best(*both, k) if q.num_rows and r.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.table({"query_id": pa.array(got[0], pa.int64()), "vec_id": pa.array(got[1], pa.int64()), "score": pa.array(got[2], pa.float64())})
-
-    near = left.groupBy("part", "rb", "qb").cogroup(right.groupBy("part", "rb", "qb")).applyInArrow(work, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        query, row, score = best(*both, k) if q.num_rows and r.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        at = np.flatnonzero(np.append(True, query[1:] != query[:-1])) if len(query) else np.zeros(0, int)
+        items = pa.StructArray.from_arrays([pa.array(-score), pa.array(row, pa.int64())], names=["far", "vec_id"])
+        near = pa.ListArray.from_arrays(pa.array(np.append(at, len(query)), pa.int32()), items)
+        settle()
+        return pa.table({"query_id": pa.array(query[at], pa.int64()), "near": near})
+
+    found = left.groupBy("part", "rb", "qb").cogroup(right.groupBy("part", "rb", "qb")).applyInArrow(work, "query_id long, near array<struct<far: double, vec_id: long>>")
+    nearest = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k)
+    return found.groupBy("query_id").agg(nearest.alias("near")).select("query_id", F.posexplode("near").alias("rank", "n")).select(
+        "query_id", (F.col("rank") + 1).alias("rank"), F.col("n.vec_id").alias("vec_id"), (-F.col("n.far")).alias("score")
+    )
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
