@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -11,20 +12,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import cut_at_spaces, slices, table
 from .media import scratch
 
 MAGIC = b"RPS1"
 #: Ids of a shard, about; documents are never cut.
 SHARD_IDS = 1 << 20
 #: Pairs must occur so often in a shard to get a rule; rounds of replacement, each of many pairs at once.
-LEAST, ROUNDS = 24, 4
+LEAST, ROUNDS = 24, 3
 #: Symbols between two entries of the index of expanded places.
 STEP = 256
 #: Stands for a null doc_id, which sorts first.
 NULL = -(1 << 63)
 #: Distinct pieces of text that a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000
+
+
+def slots(pairs: np.ndarray) -> np.ndarray:
+    """Places of pairs in a table of 2**18; where two of a round's pairs meet, the less frequent waits."""
+    return (pairs * np.uint32(2654435761)) >> np.uint32(14)
 
 
 def compress(ids: np.ndarray, first: int, least: int = LEAST, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -49,11 +55,12 @@ def compress(ids: np.ndarray, first: int, least: int = LEAST, rounds: int = ROUN
             break
         often = often[np.argsort(-counts[often], kind="stable")[:room]]
         chosen = ordered[starts[often]]
-        by_code = np.argsort(chosen)
-        codes = chosen[by_code]
-        at = np.minimum(np.searchsorted(codes, pairs), len(codes) - 1)
         none = len(chosen)
-        rank = np.where(codes[at] == pairs, by_code[at], none)
+        codes, ranks = np.full(1 << 18, 0xFFFFFFFF, np.uint32), np.zeros(1 << 18, np.int32)
+        at = slots(chosen[::-1])
+        codes[at], ranks[at] = chosen[::-1], np.arange(none - 1, -1, -1, dtype=np.int32)
+        at = slots(pairs)
+        rank = np.where(codes[at] == pairs, ranks[at], np.int32(none))
         take = rank < none
         take[1:] &= rank[1:] < rank[:-1]
         take[:-1] &= rank[:-1] <= rank[1:]
@@ -134,18 +141,72 @@ class Shard:
         return ids[begin : begin + end - start]
 
 
+class Pieces(dict):
+    """Ids by piece; one that is asked for and not there is noted, and gets a buffer to be filled."""
+
+    fresh: list[str]
+
+    def __missing__(self, piece: str) -> bytearray:
+        self.fresh.append(piece)
+        buffer = self[piece] = bytearray()
+        return buffer
+
+
 class Tokens:
     """Ids of texts from the tokenizers library, which is asked once for each distinct piece of text."""
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.size = self.library.get_vocab_size()
-        self.crowded = regex.compile(r" \s|\s ")
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.pieces: dict[str, bytes] = {}
+        self.spaced = np.zeros(self.size, bool)
+        for token, i in self.library.get_vocab().items():
+            self.spaced[i] = token.startswith("\u0120")
+        self.pieces = Pieces()
+        self.line_end = self.library.encode("\n", add_special_tokens=False).ids[0]
+        self.points = {c: self.ask([c])[0] for c in ".,"}
+
+    def ask(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def ask_joined(self, pieces: list[str], line_ends: bool) -> list[bytes]:
+        """Ids of many pieces in a text. Pieces that start with their one space start at each id that does so;
+        pieces without white space are joined by line ends, which have ids of their own."""
+        out: list[bytes] = []
+        for i in range(0, len(pieces), 4096):
+            some = pieces[i : i + 4096]
+            text = "\n" + "\n".join(some) if line_ends else "".join(some)
+            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            at = np.flatnonzero(ids == self.line_end if line_ends else self.spaced[ids])
+            if len(at) == len(some):
+                data, starts, ends = ids.tobytes(), (4 * (at + line_ends)).tolist(), (4 * np.append(at[1:], len(ids))).tolist()
+                out += [data[a:b] for a, b in zip(starts, ends, strict=True)]
+            else:
+                out += self.ask(some)
+        return out
+
+    def learn(self, fresh: list[str]) -> None:
+        """Fill the buffers of fresh pieces. Letters and a point or comma after them are apart for the library, so the letters serve other pieces too."""
+        pieces, points = self.pieces, self.points
+        pointed = [p for p in fresh if p[-1] in points and (p[1:-1] if p[0] == " " else p[:-1]).isalpha()]
+        known = {p[:-1]: pieces.get(p[:-1]) for p in pointed}
+        apart = set(pointed)
+        rest = list(dict.fromkeys([p for p in fresh if p not in apart] + [w for w, ids in known.items() if not ids]))
+        found: dict[str, bytes] = {}
+        clean = [p for p in rest if len(p.split()) == 1 and p[-1] > " " and p[1:].isprintable()]
+        for line_ends in (False, True):
+            some = [p for p in clean if (p[0] == " ") != line_ends]
+            found |= zip(some, self.ask_joined(some, line_ends), strict=True)
+        other = [p for p in rest if p not in found]
+        found |= zip(other, self.ask(other), strict=True)
+        for p in pointed:
+            found[p] = bytes(found.get(p[:-1]) or known[p[:-1]]) + points[p[-1]]
+        for p, ids in found.items():
+            if (buffer := pieces.get(p)) is not None:
+                buffer[:] = ids
+            pieces[p] = ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers.
@@ -153,29 +214,17 @@ class Tokens:
         The library splits a text before every space that stands between two characters that are
         not white space, so texts are cut there; others, and those with a special token, go to it whole.
         """
-        split = []
-        whole = {}
-        for i, t in enumerate(texts):
-            if not t:
-                split.append(())
-            elif self.crowded.search(t) or any(s in t for s in self.special):
-                whole[i] = t
-                split.append(())
-            else:
-                head, *rest = t.split(" ")
-                split.append(([head] if head else []) + [" " + x for x in rest])
-        wanted = set().union(*split)
+        split = [None if t and any(s in t for s in self.special) else cut_at_spaces(t) for t in texts]
+        self.pieces.fresh = []
+        get = self.pieces.__getitem__
+        found = [list(map(get, parts)) if parts else [] for parts in split]
+        self.learn(self.pieces.fresh)
+        out = [b"".join(ids) for ids in found]
+        whole = [i for i, parts in enumerate(split) if parts is None]
+        for i, ids in zip(whole, self.ask([texts[i] for i in whole]), strict=True):
+            out[i] = ids
         if len(self.pieces) > REMEMBERED:
-            self.pieces = {p: self.pieces[p] for p in wanted if p in self.pieces}
-        new = [p for p in wanted if p not in self.pieces]
-        four = lambda ids: struct.pack(f"<{len(ids)}I", *ids)
-        if new:
-            for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.pieces[p] = four(e.ids)
-        pieces = self.pieces
-        out = [b"".join([pieces[p] for p in parts]) for parts in split]
-        for i, e in zip(whole, self.library.encode_batch_fast(list(whole.values()), add_special_tokens=False) if whole else (), strict=True):
-            out[i] = four(e.ids)
+            self.pieces = Pieces((p, self.pieces[p]) for p in set().union(*filter(None, split)))
         return out
 
 
@@ -221,7 +270,7 @@ def write(docs: DataFrame, out: str, tokenizer: str, end: int = 0) -> DataFrame:
 
         part = TaskContext.get().partitionId()
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
+            for batch in slices(whole, "text"):
                 for d, x in zip(batch.column(0).to_pylist(), t.encode(batch.column(1).to_pylist()), strict=True):
                     ids.append(x + tail)
                     names.append(NULL if d is None else d)
