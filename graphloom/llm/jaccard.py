@@ -18,6 +18,8 @@ FREQUENT = 8
 GROWTH = 1.25
 #: Shingles of a block in which a family of candidates is compared.
 BLOCK = 1 << 19
+#: Bytes of text handled at once.
+SLICE = 2 << 20
 #: A list of ids of so many rows at most is broadcast; beyond, the join shuffles.
 SMALL = 1_000_000
 
@@ -79,10 +81,12 @@ def shingle_sets(column, k: int) -> list[np.ndarray]:
 
 @dataclass(frozen=True)
 class Bound:
-    """Jaccard similarity of at least num / den."""
+    """Jaccard similarity of at least num / den. Prefixes are extended by `extra` quarters of their length:
+    the more shingles documents share by chance, as short ones do, the more it takes to tell."""
 
     num: int
     den: int
+    extra: int = 3
 
     def least(self, n: int) -> int:
         """Shared tokens that a set of n has at least with any it links to; also that one's size."""
@@ -93,7 +97,7 @@ class Bound:
 
     def extension(self, n: int) -> int:
         """Tokens that prefixes extended by so many, less one, share."""
-        return max(1, 3 * self.prefix(n) // 4)
+        return max(1, self.extra * self.prefix(n) // 4)
 
     def links(self, shared, a, b):
         return self.den * shared >= self.num * (a + b - shared)
@@ -179,10 +183,34 @@ def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(ids) if few else ids, rows.doc == ids.id, "left_semi")
 
 
+def with_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows joined on doc = id with a list that is broadcast if it is short."""
+    few = ids.limit(SMALL + 1).count() <= SMALL
+    return rows.join(F.broadcast(ids) if few else ids, rows.doc == ids.id)
+
+
+def _prefix_edges(tokens: DataFrame, bound: Bound) -> DataFrame:
+    """Edges (doc, smallest doc) of documents that share a prefix token in their family's order.
+
+    tokens: (doc, family, n, tok), all of each set. Within a family, tokens that one set alone has
+    come first, the others by how many sets have them; so a set with a whole prefix of its own
+    has no edge, and what sets share in their prefixes is as rare as can be.
+    """
+    dealt = tokens.repartition("family", "tok")
+    # every column is used on both sides of the join, so that they read one exchange
+    held = dealt.groupBy("family", "tok").agg(F.count("*").alias("c"), F.min("doc").alias("b"), F.min("n").alias("m")).where("c > 1 and b is not null and m is not null").select("family", "tok", "c")
+    sets = dealt.join(held, ["family", "tok"]).groupBy("family", "doc").agg(F.min("n").alias("n"), F.count("*").alias("s"), F.array_sort(F.collect_list(F.struct("c", "tok"))).alias("shared"))
+    least = F.floor((F.col("n") * bound.num + (bound.den - 1)) / F.lit(bound.den))
+    left = (F.col("s") - least + 1).cast("int")
+    prefix = sets.where(left > 0).select("family", "doc", F.explode(F.slice("shared", F.lit(1), left)).alias("x")).select("family", "doc", F.col("x.tok").alias("tok")).repartition("family", "tok")
+    met = prefix.groupBy("family", "tok").agg(F.count("*").alias("c"), F.min("doc").alias("b")).where("c > 1 and b is not null")
+    return prefix.join(met, ["family", "tok"]).select(F.col("doc").alias("a"), "b")
+
+
 def _signatures(docs: DataFrame, k: int, bound: Bound) -> DataFrame:
     def run(batches):
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", SLICE):
                 sets = shingle_sets(b.column(1), k)
                 digest = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 heads = [s[: bound.prefix(len(s)) + bound.extension(len(s)) - 1].view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
@@ -199,7 +227,7 @@ def _keys(docs: DataFrame, k: int, bound: Bound) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", SLICE):
                 keys = [combinations(s, bound) for s in shingle_sets(b.column(1), k)]
                 doc = b.column(0).to_numpy(zero_copy_only=False).repeat([len(x) for x in keys])
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(np.concatenate(keys))], names=["doc", "key"])
@@ -207,12 +235,26 @@ def _keys(docs: DataFrame, k: int, bound: Bound) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(run, "doc long, key long")
 
 
+def _tokens(members: DataFrame, k: int) -> DataFrame:
+    """(doc, family, n, tok): all tokens of (doc, text, family)."""
+
+    def run(batches):
+        for whole in batches:
+            for b in slices(whole, "text", SLICE):
+                sets = shingle_sets(b.column(1), k)
+                sizes = [len(s) for s in sets]
+                doc, family = (b.column(i).to_numpy(zero_copy_only=False).repeat(sizes) for i in (0, 2))
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(family), pa.array(np.repeat(sizes, sizes).astype(np.int64)), pa.array(np.concatenate(sets).view(np.int64))], names=["doc", "family", "n", "tok"])
+
+    return members.select("doc", "text", "family").mapInArrow(run, "doc long, family long, n long, tok long")
+
+
 def _sets(members: DataFrame, k: int) -> DataFrame:
     """(doc, family, blocks, tokens): the sets of (doc, text, family, blocks) as bytes."""
 
     def run(batches):
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", SLICE):
                 sets = [s.tobytes() for s in shingle_sets(b.column(1), k)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(sets, pa.binary())], names=["doc", "family", "blocks", "tokens"])
 
@@ -254,10 +296,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) ->
     linked pair shares e rare tokens, each indexed alone under FREQUENT documents at most, or a
     frequent one; documents with a frequent one are indexed by combinations of tokens over the prefix
     extended to the whole set, of which linked sets have one in common. What index entries connect
-    is a family; its members are compared in blocks of bounded size, and only edges that span
-    its classes leave a block.
+    is a family, in which prefixes by rarity narrow it down to those that share a prefix token;
+    they are compared in blocks of bounded size, and only edges that span classes leave a block.
     """
-    bound = Bound(num, den)
+    bound = Bound(num, den, 3 if k < 4 else 1)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named_rows = rows.where("doc_id is not null").withColumnRenamed("doc_id", "doc")
     signed = checkpointed(_signatures(rows, k, bound))
@@ -283,12 +325,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) ->
     keyed = _keys(among(named_rows, frequent), k, bound).repartition("key")
     met = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min("doc").alias("b")).where("c > 1")
     edges = rare.unionByName(keyed.join(met.where("b is not null"), "key").select(F.col("doc").alias("a"), "b"))
-    families = checkpointed(connected_components(edges).withColumnRenamed("component", "family"))
+    broad = checkpointed(connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("family")))
+    families = checkpointed(connected_components(_prefix_edges(_tokens(with_ids(named_rows, broad), k), bound)).withColumnRenamed("component", "family"))
 
     sizes = families.join(signed.select(F.col("doc").alias("node"), "n"), "node").groupBy("family").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
     places = checkpointed(families.join(sizes, "family").select(F.col("node").alias("id"), "family", "blocks"))
-    few = places.count() <= SMALL
-    members = _sets(named_rows.join(F.broadcast(places) if few else places, named_rows.doc == places.id).select("doc", "text", "family", "blocks"), k)
+    members = _sets(with_ids(named_rows, places).select("doc", "text", "family", "blocks"), k)
     block = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
     dealt = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("family", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc", "tokens").repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi")

@@ -143,15 +143,16 @@ def identify(evidence: DataFrame, model: TextModel, keys: list[str]) -> DataFram
     fused = F.col("_scores")
     for part in (F.transform("prior", lambda p: F.log(p)), F.col("of_declared"), F.col("of_suffix")):
         fused = F.zip_with(fused, F.coalesce(part, zero), lambda a, b: a + b)
-    joined = joined.withColumn("_fused", fused).withColumn("_top", F.array_max("_fused"))
-    posterior = 1.0 / F.aggregate("_fused", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_top")))
+    best = F.array_max(F.transform("_fused", lambda v, i: F.struct(v.alias("v"), (-i).alias("i"))))
+    joined = joined.withColumn("_fused", fused).withColumn("_best", best)
+    posterior = 1.0 / F.aggregate("_fused", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_best.v")))
     accepted = (F.col("_n") > 0) & (F.col("_posterior") >= LEAST) & F.lit(bool(names))
     codes = F.array(*[F.lit(x) for x in names or [UNKNOWN]])
     return joined.withColumn("_posterior", F.coalesce(posterior, F.lit(0.0))).select(
         *keys,
-        F.when(accepted, codes[F.array_position("_fused", F.col("_top")).cast("int") - 1]).otherwise(UNKNOWN).alias("lang"),
+        F.when(accepted, F.get(codes, -F.col("_best.i"))).otherwise(UNKNOWN).alias("lang"),
         F.col("_posterior").alias("posterior"), F.col("_n").alias("n_trigrams"),
-        F.coalesce(codes[F.col("_likely")], F.lit(UNKNOWN)).alias("text_lang"), accepted.alias("accepted"),
+        F.coalesce(F.get(codes, F.col("_likely")), F.lit(UNKNOWN)).alias("text_lang"), accepted.alias("accepted"),
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, slices, table, utf8_column
-from .jaccard import RANDOM, SMALL, mix
+from .jaccard import RANDOM, SLICE, SMALL, mix
 
 #: Bytes of an anchor; of every window's anchors that of the least hash routes it.
 ANCHOR = 32
@@ -179,7 +179,7 @@ def _runs(docs: DataFrame, least: int) -> DataFrame:
 
     def go(batches):
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", SLICE):
                 raw, offsets = utf8_column(b.column(1))
                 anchor, start, many = anchored(raw, offsets, least)
                 view, digest = memoryview(np.ascontiguousarray(raw)), xxhash.xxh3_64_intdigest
@@ -206,7 +206,7 @@ def _pieces(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
 
     def go(batches):
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", SLICE):
                 raw, offsets = utf8_column(b.column(1))
                 data, out = raw.tobytes(), ([], [], [], [])
                 for i, (doc, runs) in enumerate(zip(b.column(0).to_pylist(), b.column(2), strict=True)):
@@ -279,7 +279,9 @@ def repeated_spans(docs: DataFrame, least: int = 100) -> DataFrame:
     that another run equals needs only the earliest of them; different runs of an anchor go to suffix arrays.
     """
     runs = _runs(docs, least).repartition("anchor")
-    often = runs.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    # every column is used on both sides of the join, so that they read one exchange
+    used = [F.max(c).alias(c) for c in ("run", "doc", "at")]
+    often = runs.groupBy("anchor").agg(F.count("*").alias("c"), *used).where("c > 1 and run is not null and doc is not null and at is not null").select("anchor")
     again = checkpointed(runs.join(often, "anchor"))
     kinds = checkpointed(again.groupBy("anchor", "run").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("c")))
     at, many = F.shiftright("at", 32), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))
@@ -317,7 +319,7 @@ def remove_repeats(docs: DataFrame, least: int = 100) -> DataFrame:
 
     def go(batches):
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", SLICE):
                 raw, offsets = utf8_column(b.column(1))
                 data, out = raw.tobytes(), []
                 for i, found in enumerate(b.column(2)):
@@ -354,7 +356,7 @@ def strip_repeats(docs: DataFrame, least: int = 100) -> DataFrame:
 
     def go(batches):
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", SLICE):
                 raw, offsets = utf8_column(b.column("text"))
                 data = raw.tobytes()
                 kept = [_cut(data[offsets[i] : offsets[i + 1]], found.values)[0].decode("utf-8", "ignore") for i, found in enumerate(b.column("spans"))]
