@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import expr as X
-from .tables import GraphTables, last_nodes
+from .tables import GraphTables, cut, last_nodes
 
 KEY = ["file", "language", "kind", "scoped_name"]
 IMPACT_KINDS = ["calls", "references", "imports", "depends-on"]
@@ -218,16 +218,22 @@ def triage(changes: DataFrame, symbols: DataFrame, dependencies: DataFrame, foun
 
 
 class GraphDiff:
-    """All sections of a comparison of two graphs; changes: (change, path, old_path)."""
+    """All sections of a comparison of two graphs; changes: (change, path, old_path).
 
-    def __init__(self, base: GraphTables, head: GraphTables, changes: DataFrame, base_sources: DataFrame | None = None, head_sources: DataFrame | None = None):
+    materialize computes the graphs and the sections that others build on once, for use of several.
+    """
+
+    def __init__(self, base: GraphTables, head: GraphTables, changes: DataFrame, base_sources: DataFrame | None = None, head_sources: DataFrame | None = None, materialize: bool = False):
+        held = cut if materialize else (lambda df: df)
+        if materialize:
+            base, head = base.materialized(), head.materialized()
         self.base, self.head = base, head
         self.changed_files = changes
         renames = rename_map(changes)
-        self.changed_symbols = compare_symbols(side_symbols(base, base_sources, renames), side_symbols(head, head_sources))
+        self.changed_symbols = held(compare_symbols(side_symbols(base, base_sources, renames), side_symbols(head, head_sources)))
         self.public_api_changes = self.changed_symbols.where("public_api")
-        self.dependency_changes = compare_dependencies(side_dependencies(base, renames), side_dependencies(head))
-        self.impacted_files = impacted_files(base, head, changes, self.changed_symbols, self.dependency_changes)
+        self.dependency_changes = held(compare_dependencies(side_dependencies(base, renames), side_dependencies(head)))
+        self.impacted_files = held(impacted_files(base, head, changes, self.changed_symbols, self.dependency_changes))
         self.diagnostics = diagnostics("base", None, base).unionByName(diagnostics("head", None, head))
 
     def stats(self) -> DataFrame:

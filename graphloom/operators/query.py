@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from .tables import GraphTables, best_facts, last_nodes
+from .tables import GraphTables, best_facts, cut, last_nodes
 
 NODE = ["id", "kind", "language", "name", "qualified_name", "symbol_kind", "file_id", "provenance", "confidence"]
 
@@ -106,7 +106,7 @@ class GraphQuery:
             level = frontier.withColumn("depth", F.lit(depth))
             seen = level if seen is None else seen.unionByName(level)
             if depth % checkpoint_every == 0:
-                seen = _cut(seen)
+                seen = cut(seen)
                 frontier = seen.where(F.col("depth") == depth).select("start_id", "id")
         if seen is None:
             seen = frontier.where("false").withColumn("depth", F.lit(0))
@@ -123,9 +123,3 @@ class GraphQuery:
         end = "from" if outgoing else "to"
         edges = self.tables.edges.where(F.col("kind") == kind)
         return edges.join(ids.select(F.col("id").alias(end)).distinct(), end, "left_semi")
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut a long lineage in the cluster's checkpoint folder, if there is one."""
-    sc = df.sparkSession.sparkContext
-    return df.checkpoint() if sc._jsc.sc().getCheckpointDir().isDefined() else df

@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from ..functions import expr as X
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Cut a long lineage in the cluster's checkpoint folder; without one, cache."""
+    sc = df.sparkSession.sparkContext
+    return df.checkpoint() if sc._jsc.sc().getCheckpointDir().isDefined() else df.cache()
+
+
 @dataclass(frozen=True)
 class GraphTables:
     """files, nodes, edges, diagnostics; nodes and edges carry their partition (file_part) and order in it (ord)."""
@@ -23,6 +29,10 @@ class GraphTables:
         """Nodes and edges kept for many queries."""
         return replace(self, nodes=self.nodes.cache(), edges=self.edges.cache())
 
+    def materialized(self) -> GraphTables:
+        """Computed once: checkpointed where the cluster names a folder for it, else cached."""
+        return GraphTables(*[None if df is None else cut(df) for df in (self.files, self.nodes, self.edges, self.diagnostics)])
+
     def only(self, changed: DataFrame) -> GraphTables:
         """The partitions of the file_ids in changed."""
         parts = changed.select(F.col("file_id").alias("file_part")).distinct()

@@ -13,7 +13,7 @@ def spark(tmp_path_factory):
     root = tmp_path_factory.mktemp("spark")
     session = (
         SparkSession.builder.master("local[4]").appName("tests")
-        .config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "4g").config("spark.ui.enabled", "false")
+        .config("spark.sql.shuffle.partitions", "2").config("spark.driver.memory", "4g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC").config("spark.sql.warehouse.dir", str(root / "warehouse"))
         .config("spark.checkpoint.dir", f"file://{root / 'checkpoints'}").getOrCreate()
     )

@@ -72,7 +72,7 @@ def test_empty_store(spark, tmp_path):
 
 
 def test_integrity(spark, repo):
-    tables, _ = discovery.index_path(spark, repo)
+    tables = discovery.index_path(spark, repo)[0].materialized()
     assert integrity.integrity_check(tables).count() == 0
     broken = tables.nodes.withColumn("file_id", F.when(F.col("kind") != "symbol", F.col("file_id")))
     assert integrity.symbols_without_file(broken).count() > 0
@@ -80,7 +80,7 @@ def test_integrity(spark, repo):
 
 
 def test_jsonl_round_trip(spark, repo, tmp_path):
-    tables, _ = discovery.index_path(spark, repo)
+    tables = discovery.index_path(spark, repo)[0].materialized()
     out = str(tmp_path / "lines")
     interchange.write_lines(interchange.export_jsonl(tables).coalesce(1), out)
     back = interchange.import_jsonl(interchange.read_jsonl(spark, out))
@@ -91,7 +91,7 @@ def test_jsonl_round_trip(spark, repo, tmp_path):
 
 @pytest.mark.parametrize("name", list(interchange.EXPORTS))
 def test_exports_are_json(spark, repo, name):
-    tables, _ = discovery.index_path(spark, repo)
+    tables = discovery.index_path(spark, repo)[0].materialized()
     lines = [r["line"] for r in interchange.export(tables, name).collect()]
     assert lines and all(json.loads(x) for x in lines)
 
@@ -143,7 +143,7 @@ def test_git_diff(spark, tmp_path):
         from graphloom.sources import extract
 
         sides.append((extract.index(src), src))
-    diff = GraphDiff(sides[0][0], sides[1][0], git.changes(spark, "HEAD~1", "HEAD"), sides[0][1], sides[1][1])
+    diff = GraphDiff(sides[0][0], sides[1][0], git.changes(spark, "HEAD~1", "HEAD"), sides[0][1], sides[1][1], materialize=True)
     changed = {r["symbol"]: (r["change"], r["public_api"]) for r in diff.changed_symbols.collect()}
     assert changed["lib.run"] == ("modified", True) and changed["lib.extra"] == ("added", True)
     assert not any("keep" in s for s in changed)
