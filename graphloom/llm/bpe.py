@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 from .common import cut_at_spaces, slices, table
 
 #: Distinct pieces of text that a worker remembers; beyond, it keeps only those of its slice at hand.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 #: Bytes of text whose distinct words one recursive query encodes.
-SLICE = 16 << 20
+SLICE = 8 << 20
 
+#: Words of a query, as it holds the rows of all its steps.
+WORDS = 25_000
 #: Longer words contract all pairs of the least rank in a step, so that a run of one letter takes few steps.
 SHORT = 48
 #: start: a row for each byte of each word, with its next row's place and token. key: rank, place and
@@ -80,7 +82,7 @@ class Encoder:
         self.ranks = read_ranks(path)
         self.pieces: dict[str, bytes] = {}
         self.odd: dict[str, bytes] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "preserve_insertion_order": False})
         merges = [(self.ranks[w[:i]], self.ranks[w[i:]], r) for w, r in self.ranks.items() if len(w) > 1 for i in range(1, len(w)) if w[:i] in self.ranks and w[i:] in self.ranks]
         a, b, r = zip(*merges, strict=True) if merges else ((), (), ())
         pairs = pa.table({"a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "rank": pa.array(r, pa.int32())})
@@ -94,8 +96,11 @@ class Encoder:
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each distinct word; a byte without an entry has no id, and raises."""
         out: list = [[r] if (r := self.ranks.get(w)) is not None else [] for w in words]
-        for query, some in ((ENCODE, [i for i, w in enumerate(words) if 2 <= len(w) <= SHORT and not out[i]]), (ENCODE_LONG, [i for i, w in enumerate(words) if len(w) > SHORT and not out[i]])):
-            if some:
+        short = [i for i, w in enumerate(words) if 2 <= len(w) <= SHORT and not out[i]]
+        long = [i for i, w in enumerate(words) if len(w) > SHORT and not out[i]]
+        for query, chosen, step in ((ENCODE, short, WORDS), (ENCODE_LONG, long, WORDS // 16)):
+            for first in range(0, len(chosen), step):
+                some = chosen[first : first + step]
                 lengths = np.array([len(words[i]) for i in some], np.int32)
                 tokens = self.bytes_of[np.frombuffer(b"".join([words[i] for i in some]), np.uint8)]
                 if tokens.min() < 0:
