@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, settle, table
+from .common import checkpointed, drawn, settle, table
 
-#: The router is fitted on so many vectors at most, those of the smallest digests; all are indexed.
+#: The router is fitted on so many vectors, about, those of the smallest digests; all are indexed.
 SAMPLE = 16384
 #: Vectors of a partition, about, while SAMPLE allows so many partitions; vectors of a block of work.
 PARTITION, MOST_PARTITIONS, BLOCK = 800, 64, 4096
@@ -166,7 +166,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, mass: float = MASS
     another dimension than most. Rows that repeat a query's vec_id are not its neighbours. Returns
     query_id, rank, vec_id, score. An empty table gives an empty result.
 
-    The graph cut and router are fitted on `sample` vectors at most; every vector is indexed, under its most
+    The graph cut and router are fitted on about `sample` vectors (a quarter more at most); every vector is indexed, under its most
     probable partition. Work is dealt in blocks of BLOCK vectors by BLOCK queries of a partition,
     so a partition with a third of all rows is split on both sides; only counts by partition reach
     the driver. With fewer than two partitions' vectors the search is exact.
@@ -180,8 +180,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, mass: float = MASS
     parts = 1 << max(0, min(round(math.log2(MOST_PARTITIONS)), round(math.log2(max(n, 1) / PARTITION))))
     router = None
     if parts > 1:
-        drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow()
-        router = Router(matrix(drawn.column(0).combine_chunks()), parts)
+        found = drawn(rows, "vec_id", n, sample).select("v").toArrow()
+        router = Router(matrix(found.column(0).combine_chunks()), parts)
     model = spark.sparkContext.broadcast(router)
 
     def placed(mass: float | None):

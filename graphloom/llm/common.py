@@ -32,6 +32,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def drawn(rows: DataFrame, key: str, n: int, sample: int) -> DataFrame:
+    """About `sample` of n rows, a quarter more at most: those whose key's digest is below their share of all digests.
+
+    No row is sorted or sent anywhere to be left out, and reruns draw the same.
+    """
+    if n > sample:
+        rows = rows.where(F.xxhash64(key) < F.lit(-(1 << 63) + (1 << 64) * sample // n))
+    return rows.limit(sample + sample // 4)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Label every node of an undirected edge list (a, b) with the smallest node it reaches.
 
