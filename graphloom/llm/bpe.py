@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 from .common import cut_at_spaces, slices, table
 
 #: Distinct pieces of text that a worker remembers; beyond, it keeps only those of its slice at hand.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Bytes of text whose distinct words one recursive query encodes.
-SLICE = 8 << 20
+SLICE = 4 << 20
 
 #: Words of a query, as it holds the rows of all its steps.
-WORDS = 25_000
+WORDS = 12_000
 #: Longer words contract all pairs of the least rank in a step, so that a run of one letter takes few steps.
 SHORT = 48
 #: start: a row for each byte of each word, with its next row's place and token. key: rank, place and
@@ -82,7 +82,7 @@ class Encoder:
         self.ranks = read_ranks(path)
         self.pieces: dict[str, bytes] = {}
         self.odd: dict[str, bytes] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "preserve_insertion_order": False})
         merges = [(self.ranks[w[:i]], self.ranks[w[i:]], r) for w, r in self.ranks.items() if len(w) > 1 for i in range(1, len(w)) if w[:i] in self.ranks and w[i:] in self.ranks]
         a, b, r = zip(*merges, strict=True) if merges else ((), (), ())
         pairs = pa.table({"a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "rank": pa.array(r, pa.int32())})
@@ -184,9 +184,9 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
         path, pattern = (a or b for a, b in zip((path, pattern), _defaults(), strict=True))
 
     def run(batches):
-        e = encoder(path, pattern)
         for whole in batches:
-            for batch in slices(whole, "text", SLICE):
+            for batch in slices(whole, "text", SLICE, "bpe", encoder.cache_clear):
+                e = encoder(path, pattern)
                 split = [e.split(t) for t in batch.column(1).to_pylist()]
                 e.learn(set().union(*split))
                 n, ids, sha, back = [], [], [], []

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -139,8 +140,26 @@ def settle() -> None:
         _LIBC.malloc_trim(0)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into row slices whose text column holds about `most` bytes; one row is never cut."""
+#: Who keeps what it learnt in this worker for its next task, and how to let go of it.
+_KEEPER: list = [None, None]
+
+
+def keep(owner: str | None, release: Callable[[], None] | None = None) -> None:
+    """Say what a worker keeps between tasks; what another operator kept is released first."""
+    if _KEEPER[0] != owner:
+        if _KEEPER[1] is not None:
+            _KEEPER[1]()
+            gc.collect()
+            settle()
+        _KEEPER[:] = [owner, release]
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20, owner: str | None = None, release: Callable[[], None] | None = None) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into row slices whose text column holds about `most` bytes; one row is never cut.
+
+    owner and release are for keep(): an operator that keeps nothing makes the worker let go of what others kept.
+    """
+    keep(owner, release)
     lengths = np.diff(utf8_column(batch.column(column))[1])
     start, total = 0, 0
     for i, size in enumerate(lengths.tolist()):

@@ -250,8 +250,7 @@ def write(docs: DataFrame, out: str, tokenizer: str, end: int = 0) -> DataFrame:
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
     def shards(batches):
-        t = tokens(tokenizer)
-        first = max(t.size, end + 1)
+        first = max(tokens(tokenizer).size, end + 1)
         tail = struct.pack("<I", end)
         part = number = 0
         ids: list[bytes] = []
@@ -270,8 +269,8 @@ def write(docs: DataFrame, out: str, tokenizer: str, end: int = 0) -> DataFrame:
 
         part = TaskContext.get().partitionId()
         for whole in batches:
-            for batch in slices(whole, "text"):
-                for d, x in zip(batch.column(0).to_pylist(), t.encode(batch.column(1).to_pylist()), strict=True):
+            for batch in slices(whole, "text", owner="repair", release=tokens.cache_clear):
+                for d, x in zip(batch.column(0).to_pylist(), tokens(tokenizer).encode(batch.column(1).to_pylist()), strict=True):
                     ids.append(x + tail)
                     names.append(NULL if d is None else d)
                     size += len(x) // 4 + 1
