@@ -43,6 +43,10 @@ def drawn(rows: DataFrame, key: str, n: int, sample: int) -> DataFrame:
     return rows.limit(sample + sample // 4)
 
 
+#: Edges of components up to which their minima are broadcast.
+FEW_EDGES = 500_000
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Label every node of an undirected edge list (a, b) with the smallest node it reaches.
 
@@ -64,15 +68,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not now[0]:
             break
+        # the minima have no more rows than there are edge ends; few of them need no shuffle of the edges
+        sent = F.broadcast if now[0] <= FEW_EDGES else (lambda df: df)
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
         large = (
-            both.where("v > u").join(low, "u").where("v <> m")
+            both.where("v > u").join(sent(low), "u").where("v <> m")
             .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         )
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            large.join(sent(low), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         )
         edges = checkpointed(small)

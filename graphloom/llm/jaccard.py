@@ -190,21 +190,21 @@ def with_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _prefix_edges(tokens: DataFrame, bound: Bound) -> DataFrame:
-    """Edges (doc, smallest doc) of documents that share a prefix token in their family's order.
+    """Edges (doc, smallest doc) of documents that share a prefix token in the order of rarity.
 
-    tokens: (doc, family, n, tok), all of each set. Within a family, tokens that one set alone has
-    come first, the others by how many sets have them; so a set with a whole prefix of its own
-    has no edge, and what sets share in their prefixes is as rare as can be.
+    tokens: (doc, n, tok), all of each candidate's set. Tokens that one candidate alone has come first, the
+    others by how many have them; so a set with a whole prefix of its own has no edge, and what
+    sets share in their prefixes is as rare as can be.
     """
-    dealt = tokens.repartition("family", "tok")
+    dealt = tokens.repartition("tok")
     # every column is used on both sides of the join, so that they read one exchange
-    held = dealt.groupBy("family", "tok").agg(F.count("*").alias("c"), F.min("doc").alias("b"), F.min("n").alias("m")).where("c > 1 and b is not null and m is not null").select("family", "tok", "c")
-    sets = dealt.join(held, ["family", "tok"]).groupBy("family", "doc").agg(F.min("n").alias("n"), F.count("*").alias("s"), F.array_sort(F.collect_list(F.struct("c", "tok"))).alias("shared"))
+    held = dealt.groupBy("tok").agg(F.count("*").alias("c"), F.min("doc").alias("b"), F.min("n").alias("m")).where("c > 1 and b is not null and m is not null").select("tok", "c")
+    sets = dealt.join(held, "tok").groupBy("doc").agg(F.min("n").alias("n"), F.count("*").alias("s"), F.array_sort(F.collect_list(F.struct("c", "tok"))).alias("shared"))
     least = F.floor((F.col("n") * bound.num + (bound.den - 1)) / F.lit(bound.den))
     left = (F.col("s") - least + 1).cast("int")
-    prefix = sets.where(left > 0).select("family", "doc", F.explode(F.slice("shared", F.lit(1), left)).alias("x")).select("family", "doc", F.col("x.tok").alias("tok")).repartition("family", "tok")
-    met = prefix.groupBy("family", "tok").agg(F.count("*").alias("c"), F.min("doc").alias("b")).where("c > 1 and b is not null")
-    return prefix.join(met, ["family", "tok"]).select(F.col("doc").alias("a"), "b")
+    prefix = sets.where(left > 0).select("doc", F.explode(F.slice("shared", F.lit(1), left)).alias("x")).select("doc", F.col("x.tok").alias("tok")).repartition("tok")
+    met = prefix.groupBy("tok").agg(F.count("*").alias("c"), F.min("doc").alias("b")).where("c > 1 and b is not null")
+    return prefix.join(met, "tok").select(F.col("doc").alias("a"), "b")
 
 
 def _signatures(docs: DataFrame, k: int, bound: Bound) -> DataFrame:
@@ -236,17 +236,17 @@ def _keys(docs: DataFrame, k: int, bound: Bound) -> DataFrame:
 
 
 def _tokens(members: DataFrame, k: int) -> DataFrame:
-    """(doc, family, n, tok): all tokens of (doc, text, family)."""
+    """(doc, n, tok): all tokens of (doc, text)."""
 
     def run(batches):
         for whole in batches:
             for b in slices(whole, "text", SLICE):
                 sets = shingle_sets(b.column(1), k)
                 sizes = [len(s) for s in sets]
-                doc, family = (b.column(i).to_numpy(zero_copy_only=False).repeat(sizes) for i in (0, 2))
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(family), pa.array(np.repeat(sizes, sizes).astype(np.int64)), pa.array(np.concatenate(sets).view(np.int64))], names=["doc", "family", "n", "tok"])
+                doc = b.column(0).to_numpy(zero_copy_only=False).repeat(sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(np.repeat(sizes, sizes).astype(np.int64)), pa.array(np.concatenate(sets).view(np.int64))], names=["doc", "n", "tok"])
 
-    return members.select("doc", "text", "family").mapInArrow(run, "doc long, family long, n long, tok long")
+    return members.select("doc", "text").mapInArrow(run, "doc long, n long, tok long")
 
 
 def _sets(members: DataFrame, k: int) -> DataFrame:
@@ -295,9 +295,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) ->
     tokens, so only documents with that many tokens that others' prefixes hold too go on. Among them, a
     linked pair shares e rare tokens, each indexed alone under FREQUENT documents at most, or a
     frequent one; documents with a frequent one are indexed by combinations of tokens over the prefix
-    extended to the whole set, of which linked sets have one in common. What index entries connect
-    is a family, in which prefixes by rarity narrow it down to those that share a prefix token;
-    they are compared in blocks of bounded size, and only edges that span classes leave a block.
+    extended to the whole set, of which linked sets have one in common. Among documents
+    that an entry joins to another, prefixes in the order of rarity connect families; a family is
+    compared in blocks of bounded size, and only edges that span its classes leave a block.
     """
     bound = Bound(num, den, 3 if k < 4 else 1)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -325,8 +325,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) ->
     keyed = _keys(among(named_rows, frequent), k, bound).repartition("key")
     met = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min("doc").alias("b")).where("c > 1")
     edges = rare.unionByName(keyed.join(met.where("b is not null"), "key").select(F.col("doc").alias("a"), "b"))
-    broad = checkpointed(connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("family")))
-    families = checkpointed(connected_components(_prefix_edges(_tokens(with_ids(named_rows, broad), k), bound)).withColumnRenamed("component", "family"))
+    met_ids = checkpointed(edges.where("a <> b").select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    families = checkpointed(connected_components(_prefix_edges(_tokens(among(named_rows, met_ids), k), bound)).withColumnRenamed("component", "family"))
 
     sizes = families.join(signed.select(F.col("doc").alias("node"), "n"), "node").groupBy("family").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
     places = checkpointed(families.join(sizes, "family").select(F.col("node").alias("id"), "family", "blocks"))
