@@ -51,7 +51,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Counts and digests of each document's ids."""
-    return bpe.encode(docs, with_ids=False).drop("ids")
+    return bpe.encode(docs, with_ids=False, thrifty=True).drop("ids")
 
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("suffix_dedup", repeats), ("mixing", mix), ("byte_bpe", token_ids)]

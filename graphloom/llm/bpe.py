@@ -13,15 +13,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_at_spaces, slices, table
+from .common import cut_at_spaces, keep, slices, table
 
 #: Distinct pieces of text that a worker remembers; beyond, it keeps only those of its slice at hand.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 #: Bytes of text whose distinct words one recursive query encodes.
-SLICE = 4 << 20
+SLICE = 16 << 20
 
 #: Words of a query, as it holds the rows of all its steps.
-WORDS = 12_000
+WORDS = 50_000
 #: Longer words contract all pairs of the least rank in a step, so that a run of one letter takes few steps.
 SHORT = 48
 #: start: a row for each byte of each word, with its next row's place and token. key: rank, place and
@@ -82,7 +82,7 @@ class Encoder:
         self.ranks = read_ranks(path)
         self.pieces: dict[str, bytes] = {}
         self.odd: dict[str, bytes] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False})
         merges = [(self.ranks[w[:i]], self.ranks[w[i:]], r) for w, r in self.ranks.items() if len(w) > 1 for i in range(1, len(w)) if w[:i] in self.ranks and w[i:] in self.ranks]
         a, b, r = zip(*merges, strict=True) if merges else ((), (), ())
         pairs = pa.table({"a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "rank": pa.array(r, pa.int32())})
@@ -171,21 +171,24 @@ def _defaults() -> tuple[str, str]:
     return P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, with_ids: bool = True, thrifty: bool = False) -> DataFrame:
     """Token ids of each text by the ranks in the file at path, with a digest of what they decode to.
 
     docs: doc_id, text; other columns are ignored. path is read where the tasks run. Returns doc_id,
     n_tokens, ids (null unless with_ids), ids_sha256 (of the decimal ids joined by commas) and
     decoded_sha256. A null or empty text has no ids: the digests are of nothing. Rows are
     independent, repeated ones repeat; an empty table gives an empty result. Nothing is shuffled:
-    each task encodes the distinct words of its slices in one recursive query a slice.
+    each task encodes the distinct words of its slices by recursive queries.
+
+    A worker keeps the pieces it has met for its next task. thrifty: it takes a quarter of the text at once
+    and keeps nothing after a task, for use beside operators that need the memory.
     """
     if path is None or pattern is None:
         path, pattern = (a or b for a, b in zip((path, pattern), _defaults(), strict=True))
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, "text", SLICE, "bpe", encoder.cache_clear):
+            for batch in slices(whole, "text", SLICE // 4 if thrifty else SLICE, "bpe", encoder.cache_clear):
                 e = encoder(path, pattern)
                 split = [e.split(t) for t in batch.column(1).to_pylist()]
                 e.learn(set().union(*split))
@@ -201,6 +204,9 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
                     [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.list_(pa.int32())) if with_ids else pa.nulls(len(n), pa.list_(pa.int32())), pa.array(sha, pa.string()), pa.array(back, pa.string())],
                     names=["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"],
                 )
+        if thrifty:
+            e = split = None
+            keep(None)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
