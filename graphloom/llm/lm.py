@@ -8,21 +8,22 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, settle, slices, table
 from .media import scratch
 
-#: Bytes of context at most. An n-gram is kept if it makes up at least this share of all training
-#: bytes, so that each order has 1 / SHARE n-grams at most, however large the corpus is.
-ORDER, SHARE = 5, 2.0**-23
+#: Bytes of context at most.
+ORDER = 5
 #: Ends a token sequence, and stands before its start; no token holds it.
 END = 10
 #: Bytes of text handled at once; symbols of a lane of the traversal.
-SLICE, LANE = 6 << 20, 384
+SLICE, LANE = 8 << 20, 384
 #: Distinct n-grams that a training task holds before it emits them.
 HELD = 1_500_000
+#: An n-gram's cost is -log10 of its probability in these units.
+UNITS = 10_000_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -46,9 +47,22 @@ def grams(stream: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     code = np.zeros(len(stream), np.uint64)
     for j in range(ORDER + 1):
         code[j:] |= stream[: len(stream) - j].astype(np.uint64) << np.uint64(8 * j)
-    counted = np.ones(len(stream), bool)
-    counted[(offsets[:-1, None] + np.arange(ORDER)).ravel()] = False
-    return code[counted]
+    return code[counted(stream, offsets)]
+
+
+def counted(stream: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which symbols are not leading ends."""
+    out = np.ones(len(stream), bool)
+    out[(offsets[:-1, None] + np.arange(ORDER)).ravel()] = False
+    return out
+
+
+def token_sums(gains: np.ndarray, stream: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of what each symbol gains, by token of the sequences and each one's end, in order."""
+    fresh = np.zeros(len(stream) + 1, bool)
+    fresh[np.flatnonzero(stream == 32) + 1] = True
+    fresh[offsets[:-1] + ORDER] = True
+    return np.add.reduceat(gains, np.flatnonzero(fresh[: len(stream)]), dtype=np.float64)
 
 
 def tally(codes: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -63,26 +77,66 @@ def tally(codes: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndar
     return codes[at], np.add.reduceat(weights, at) if len(at) else weights
 
 
-def count_grams(docs: DataFrame) -> DataFrame:
-    """(code, n) of all n-grams of the texts, summed over the corpus."""
+def opened(b: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block's one row: its words, the place among them of each token, tokens a document, and symbols()."""
+    lengths = b.column("lengths").flatten().to_numpy()
+    place = np.frombuffer(zstandard.ZstdDecompressor().decompress(b.column("places")[0].as_py()), np.uint32)
+    words = b.column("words")[0].as_py()
+    starts, listed = np.cumsum(lengths) - lengths, place.tolist()
+    parts = [[words[j] for j in listed[s : s + m - 1]] for s, m in zip(starts.tolist(), lengths.tolist(), strict=True)]
+    return words, place, lengths, *symbols(parts)
+
+
+def count_grams(blocks: DataFrame) -> DataFrame:
+    """(code, n) of all n-grams of all texts, with how often the training texts hold them (0 for those of held-out texts alone)."""
 
     def run(batches):
         held: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         out = lambda x: pa.RecordBatch.from_arrays([pa.array(x[0].astype(np.int64)), pa.array(x[1].astype(np.int64))], names=["code", "n"])
-        for whole in batches:
-            for b in slices(whole, "text", SLICE):
-                new = tally(grams(*symbols([tokens(t) for t in b.column(0).to_pylist()])))
-                held = tally(np.concatenate([held[0], new[0]]), np.concatenate([held[1], new[1]]))
+        for batch in batches:
+            for i in range(batch.num_rows):
+                b = batch.slice(i, 1)
+                *_, stream, offsets = opened(b)
+                code = grams(stream, offsets)
+                training = np.repeat(~b.column("held").flatten().to_numpy(zero_copy_only=False), np.diff(offsets) - ORDER)
+                asked, taught = tally(code)[0], tally(code[training])
+                del code, training, stream
+                held = tally(np.concatenate([held[0], asked, taught[0]]), np.concatenate([held[1], np.zeros(len(asked), np.int64), taught[1]]))
+                settle()
                 if len(held[0]) > HELD:
                     yield out(held)
                     held = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         if len(held[0]):
             yield out(held)
 
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "code long, n long")
+    rows = blocks.select("held", "lengths", "words", "places").mapInArrow(run, "code long, n long")
     return rows.groupBy("code").agg(F.sum("n").alias("n"))
 
 
+def costs(counts: DataFrame) -> DataFrame:
+    """(code, n, cost) of all n-grams (code, n): what the automaton of all of them, none left out, takes for the newest byte.
+
+    The same probabilities as Automaton's, by joins: of a context seen t times with k types, an arc seen n times has
+    n / (t + k), and the failure arc passes on k / (t + k) of the next shorter context's; an unseen context passes on all.
+    A context has 256 arcs at most and a suffix 256 longer n-grams, so no key of a join is crowded.
+    """
+    code, n = F.col("code"), F.col("n")
+    low = lambda o: code.bitwiseAND(F.lit((1 << 8 * (o + 1)) - 1))
+    levels = [counts]
+    for o in range(ORDER - 1, -1, -1):
+        levels.insert(0, checkpointed(levels[0].groupBy(low(o).alias("code")).agg(F.sum("n").alias("n"))))
+    total = levels[0].agg(F.sum("n")).first()[0] or 0
+    found = levels[0].select("code", "n", ((n + 1) / F.lit(total + 256)).alias("p"))
+    for o in range(1, ORDER + 1):
+        context = Window.partitionBy(F.shiftright("code", 8))
+        rows = levels[o].select("code", "n", F.sum("n").over(context).alias("t"), F.sum((n > 0).cast("long")).over(context).alias("k"), low(o - 1).alias("below"))
+        lower = found.select(code.alias("below"), F.col("p").alias("lower"))
+        t, k, rest = F.col("t"), F.col("k"), F.col("lower")
+        # there are 65,536 n-grams of two bytes at most
+        found = rows.join(F.broadcast(lower) if o <= 2 else lower, "below").select("code", "n", F.when(t > 0, n / (t + k) + k / (t + k) * rest).otherwise(rest).alias("p"))
+    return found.select("code", "n", F.greatest(F.lit(1), F.round(-F.log10("p") * UNITS).cast("int")).alias("cost"))
+
+
 @dataclass
 class Automaton:
     """States are contexts; arcs carry a byte's log10 probability and the next state; failure arcs lead to the
@@ -224,47 +278,13 @@ class Automaton:
     def by_token(self, parts: list[list[bytes]]) -> np.ndarray:
         """log10 probability of each token of the sequences and each one's end, in order."""
         stream, offsets = symbols(parts)
-        fresh = np.zeros(len(stream) + 1, bool)
-        fresh[np.flatnonzero(stream == 32) + 1] = True
-        fresh[offsets[:-1] + ORDER] = True
-        return np.add.reduceat(self.gains(stream, offsets), np.flatnonzero(fresh[: len(stream)]), dtype=np.float64)
-
-
-def train(docs: DataFrame, share: float = SHARE) -> Automaton:
-    """The automaton of all texts. Only n-grams of at least `share` of all symbols reach the driver."""
-    counts = checkpointed(count_grams(docs))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    least = max(1, int(np.ceil(share * total)))
-    levels = None
-    for o in range(ORDER + 1):
-        mask = (1 << 8 * (o + 1)) - 1
-        level = counts.groupBy(F.lit(o).alias("o"), F.col("code").bitwiseAND(F.lit(mask)).alias("code")).agg(F.sum("n").alias("n"))
-        levels = level if levels is None else levels.unionByName(level)
-    context = F.shiftright("code", 8)
-    contexts = levels.groupBy("o", context.alias("code")).agg(F.sum("n").alias("n"), F.count("*").alias("k")).where(F.col("n") >= least)
-    get = lambda df: df.toArrow()
-    a, s = get(levels.where(F.col("n") >= least)), get(contexts)
-
-    def by_order(t: pa.Table, names: tuple[str, ...]) -> list[tuple[np.ndarray, ...]]:
-        o = t.column("o").to_numpy()
-        cols = [t.column(c).to_numpy() for c in names]
-        out = []
-        for k in range(ORDER + 1):
-            part = [c[o == k] for c in cols]
-            order = np.argsort(part[0])
-            out.append((part[0][order].astype(np.uint64), *(p[order] for p in part[1:])))
-        return out
-
-    arcs, states = by_order(a, ("code", "n")), by_order(s, ("code", "n", "k"))
-    if not len(states[0][0]):
-        states[0] = (np.zeros(1, np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int64))
-    return Automaton.build(arcs, states)
+        return token_sums(self.gains(stream, offsets), stream, offsets)
 
 
 #: What each token's probability is mixed of: the automaton, the lexicon of training tokens, the base.
 SPELLED, LEXICON, BASE = 0.4, 0.4, 0.2
-#: Tokens of at least this share of all, of which there are 1 / COMMON at most, are broadcast with their
-#: counts; those of all others go where they are asked for.
+#: Tokens and n-grams of at least this share of all, of which there are 1 / COMMON at most, are broadcast with their
+#: counts and costs; those of all others go where they are asked for.
 COMMON = 2.0**-20
 BLOCK = "block long, docs array<long>, held array<boolean>, lengths array<long>, words array<binary>, counts array<long>, places binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -283,7 +303,23 @@ def look_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarra
     return np.where(table[0][at] == keys, table[1][at], 0)
 
 
-def evaluate(docs: DataFrame, held_out: Column, share: float = SHARE) -> DataFrame:
+def gathered(batches):
+    """Batches with a text column as larger ones of about SLICE bytes of text; texts that stand together ask for fewer n-grams."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for whole in batches:
+        for b in slices(whole, "text", SLICE):
+            more = b.column("text").nbytes
+            if held and size + more > SLICE:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+            held.append(b)
+            size += more
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def evaluate(docs: DataFrame, held_out: Column, share: float = COMMON) -> DataFrame:
     """Score every (doc_id, text) with a model of the texts for which held_out is false.
 
     A null text is empty: its one token is the end. Rows are independent, repeated ones repeat and
@@ -293,34 +329,32 @@ def evaluate(docs: DataFrame, held_out: Column, share: float = SHARE) -> DataFra
     odds, by the base alone, or each token is by a mixture of what the automaton spells, given all
     bytes before, of its share in training, and of the base.
 
-    The model and the most common tokens have fixed bounds and are broadcast; the vocabulary has none, so
-    blocks of documents send their distinct tokens to be counted, and get the counts of their rarer
-    ones back by a join.
+    The vocabulary and the automaton grow with the corpus and stay in distributed tables: blocks of documents send
+    their distinct tokens and n-grams to be counted, and get the counts and costs of their rarer ones back by
+    joins. Those of at least `share` of all have a fixed bound and are broadcast; this changes no result.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
-    model = spark.sparkContext.broadcast(train(rows.where("not held").select("text"), share))
 
     def to_blocks(batches):
         from pyspark import TaskContext
 
         number, packer = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=1)
-        for whole in batches:
-            for b in slices(whole, "text", SLICE):
-                parts = [tokens(t) for t in b.column(1).to_pylist()]
-                held = b.column(2).to_numpy(zero_copy_only=False)
-                words: dict[bytes, int] = {b"\n": 0}
-                places: list[int] = []
-                for p in parts:
-                    places += [words.setdefault(w, len(words)) for w in p]
-                    places.append(0)
-                place = np.array(places, np.uint32)
-                lengths = np.array([len(p) + 1 for p in parts], np.int64)
-                counts = np.bincount(place[np.repeat(~held, lengths)], minlength=len(words))
-                row = [[number], [b.column(0).to_pylist()], [held.tolist()], [lengths], [list(words)], [counts], [packer.compress(place.tobytes())]]
-                kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["block", "docs", "held", "lengths", "words", "counts", "places"])
-                number += 1
+        for b in gathered(batches):
+            parts = [tokens(t) for t in b.column(1).to_pylist()]
+            held = b.column(2).to_numpy(zero_copy_only=False)
+            words: dict[bytes, int] = {b"\n": 0}
+            places: list[int] = []
+            for p in parts:
+                places += [words.setdefault(w, len(words)) for w in p]
+                places.append(0)
+            place = np.array(places, np.uint32)
+            lengths = np.array([len(p) + 1 for p in parts], np.int64)
+            counts = np.bincount(place[np.repeat(~held, lengths)], minlength=len(words))
+            row = [[number], [b.column(0).to_pylist()], [held.tolist()], [lengths], [list(words)], [counts], [packer.compress(place.tobytes())]]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["block", "docs", "held", "lengths", "words", "counts", "places"])
+            number += 1
 
     path = scratch(spark, "lm-blocks")
     rows.mapInArrow(to_blocks, BLOCK).write.option("compression", "zstd").parquet(path)
@@ -336,7 +370,7 @@ def evaluate(docs: DataFrame, held_out: Column, share: float = SHARE) -> DataFra
 
     known = checkpointed(blocks.select("words", "counts").mapInArrow(to_counts, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")))
     n, v = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least = max(1, int(np.ceil(COMMON * n)))
+    least = max(1, int(np.ceil(share * n)))
     common = known.where(F.col("c") >= least).toArrow().sort_by("word")
     lexicon = spark.sparkContext.broadcast((common.column("word").to_numpy(), common.column("c").to_numpy()))
 
@@ -350,24 +384,47 @@ def evaluate(docs: DataFrame, held_out: Column, share: float = SHARE) -> DataFra
 
     rare = blocks.select("block", "words").mapInArrow(to_rare, "word long, block long, pos int").join(known.where(F.col("c") < least), "word")
     answers = rare.groupBy("block").agg(F.collect_list(F.struct("pos", F.col("c").cast("int").alias("c"))).alias("known"))
-    wanted = blocks.select("block", "docs", "held", "lengths", "words", "places").join(answers, "block", "left")
+
+    arcs = checkpointed(costs(checkpointed(count_grams(blocks))))
+    fewest = max(1, int(np.ceil(share * (arcs.agg(F.sum("n")).first()[0] or 0))))
+    head = arcs.where(F.col("n") >= fewest).select("code", F.col("cost").cast("long").alias("cost")).toArrow().sort_by("code")
+    head = spark.sparkContext.broadcast((head.column("code").to_numpy(), head.column("cost").to_numpy()))
+
+    def to_asked(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                b = batch.slice(i, 1)
+                code = tally(grams(*opened(b)[3:]))[0].view(np.int64)
+                pos = np.flatnonzero(look_up(head.value, code) == 0)
+                yield pa.RecordBatch.from_arrays([pa.array(code[pos]), pa.array(np.full(len(pos), b.column("block")[0].as_py(), np.int64)), pa.array(pos.astype(np.int32))], names=["code", "block", "pos"])
+                settle()
+
+    asked = blocks.select("block", "lengths", "words", "places").mapInArrow(to_asked, "code long, block long, pos int").join(arcs.where(F.col("n") < fewest), "code")
+    found = asked.groupBy("block").agg(F.collect_list(F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("cost").cast("long"))).alias("costs"))
+    wanted = blocks.select("block", "docs", "held", "lengths", "words", "places").join(answers, "block", "left").join(found, "block", "left")
 
     def to_rows(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 b = batch.slice(i, 1)
-                lengths = b.column("lengths").flatten().to_numpy()
-                place = np.frombuffer(zstandard.ZstdDecompressor().decompress(b.column("places")[0].as_py()), np.uint32)
-                words = b.column("words")[0].as_py()
+                words, place, lengths, stream, offsets = opened(b)
                 c = look_up(lexicon.value, digests(words))
                 got = b.column("known").flatten()
                 if len(got):
                     c[got.field(0).to_numpy()] = got.field(1).to_numpy()
                 starts = np.cumsum(lengths) - lengths
-                seen, listed = c[place], place.tolist()
-                parts = [[words[j] for j in listed[s : s + m - 1]] for s, m in zip(starts.tolist(), lengths.tolist(), strict=True)]
+                seen = c[place]
+                code = grams(stream, offsets)
+                distinct = tally(code)[0]
+                cost = look_up(head.value, distinct.view(np.int64))
+                given = b.column("costs").flatten().to_numpy()
+                cost[given >> 32] = given & 0xFFFFFFFF
+                gains = np.zeros(len(stream))
+                gains[counted(stream, offsets)] = cost[np.searchsorted(distinct, code)] / -UNITS
+                spelled = token_sums(gains, stream, offsets)
+                del code, gains, stream
                 base = (seen + 1.0) / (n + v + 1.0)
-                mixed = SPELLED * 10.0 ** model.value.by_token(parts) + LEXICON * seen / max(n, 1) + BASE * base
+                mixed = SPELLED * 10.0**spelled + LEXICON * seen / max(n, 1) + BASE * base
                 sums = lambda x: np.add.reduceat(x, starts)  # noqa: B023, E731
                 of_base = sums(np.log10(base))
                 score = np.logaddexp(sums(np.log(mixed)), of_base * np.log(10)) / np.log(10) - np.log10(2)

@@ -175,6 +175,19 @@ def test_automaton_is_the_interpolated_model():
     assert sum(probability(0x61626320, b) for b in range(256)) == pytest.approx(1)
 
 
+def small_corpus(spark):
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choice("abcd") for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    texts[7] += " zzq unseen"
+    return texts, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), F.col("doc_id") % 7 == 0
+
+
+def test_rare_ngrams_count_whatever_is_broadcast(spark):
+    _, docs, held = small_corpus(spark)
+    got = [{r["doc_id"]: r["score"] for r in lm.evaluate(docs, held, share).collect()} for share in (lm.COMMON, 0.01, 0.5)]
+    assert got[0] == pytest.approx(got[1], rel=1e-9) and got[0] == pytest.approx(got[2], rel=1e-9)
+
+
 # 3
 
 
