@@ -287,7 +287,7 @@ SPELLED, LEXICON, BASE = 0.4, 0.4, 0.2
 #: counts and costs; those of all others go where they are asked for.
 COMMON = 2.0**-20
 BLOCK = "block long, docs array<long>, held array<boolean>, lengths array<long>, words array<binary>, counts array<long>, places binary"
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, automaton_score double"
 
 
 def digests(words: list[bytes]) -> np.ndarray:
@@ -327,7 +327,8 @@ def evaluate(docs: DataFrame, held_out: Column, share: float = COMMON) -> DataFr
     table gives an empty result. base_score: log10 probability of the tokens and an end
     under add-one smoothed unigrams, which have one type for all that is unseen. score: a text is, at even
     odds, by the base alone, or each token is by a mixture of what the automaton spells, given all
-    bytes before, of its share in training, and of the base.
+    bytes before, of its share in training, and of the base; where the base has not seen a token it isn't spelled in full,
+    so a score is no probability of the text. automaton_score is: the automaton alone, each token spelled to its end.
 
     The vocabulary and the automaton grow with the corpus and stay in distributed tables: blocks of documents send
     their distinct tokens and n-grams to be counted, and get the counts and costs of their rarer ones back by
@@ -428,9 +429,9 @@ def evaluate(docs: DataFrame, held_out: Column, share: float = COMMON) -> DataFr
                 sums = lambda x: np.add.reduceat(x, starts)  # noqa: B023, E731
                 of_base = sums(np.log10(base))
                 score = np.logaddexp(sums(np.log(mixed)), of_base * np.log(10)) / np.log(10) - np.log10(2)
-                out = [b.column("docs").flatten(), b.column("held").flatten(), pa.array(lengths), pa.array(sums((seen > 0).astype(np.int64))), pa.array(np.full(len(lengths), n, np.int64)), pa.array(of_base), pa.array(score)]
+                out = [b.column("docs").flatten(), b.column("held").flatten(), pa.array(lengths), pa.array(sums((seen > 0).astype(np.int64))), pa.array(np.full(len(lengths), n, np.int64)), pa.array(of_base), pa.array(score), pa.array(sums(spelled))]
                 settle()
-                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "automaton_score"])
 
     return wanted.mapInArrow(to_rows, SCORES)
 

@@ -188,6 +188,21 @@ def test_rare_ngrams_count_whatever_is_broadcast(spark):
     assert got[0] == pytest.approx(got[1], rel=1e-9) and got[0] == pytest.approx(got[2], rel=1e-9)
 
 
+def test_automaton_score_is_the_whole_automaton(spark):
+    texts, docs, held = small_corpus(spark)
+    code, n = lm.tally(lm.grams(*lm.symbols([lm.tokens(t) for i, t in enumerate(texts) if i % 7])))
+    arcs, states = [], []
+    for o in range(lm.ORDER + 1):
+        c, m = lm.tally(code & np.uint64((1 << 8 * (o + 1)) - 1), n)
+        x, t = lm.tally(c >> np.uint64(8), m)
+        arcs.append((c, m))
+        states.append((x, t, lm.tally(c >> np.uint64(8), np.ones(len(c), int))[1]))
+    want = lm.Automaton.build(arcs, states).score(*lm.symbols([lm.tokens(t) for t in texts]))
+    for share in (lm.COMMON, 0.01):
+        got = {r["doc_id"]: r["automaton_score"] for r in lm.evaluate(docs, held, share).collect()}
+        assert [got[i] for i in range(len(texts))] == pytest.approx(want.tolist(), rel=1e-5, abs=1e-4)
+
+
 # 3
 
 
