@@ -18,8 +18,8 @@ from .media import scratch
 MAGIC = b"RPS1"
 #: Ids of a shard, about; documents are never cut.
 SHARD_IDS = 1 << 20
-#: Pairs must occur so often in a shard to get a rule; rounds of replacement, each of many pairs at once.
-LEAST, ROUNDS = 24, 3
+#: Pairs must occur so often in a shard, without overlaps, to get a rule.
+LEAST = 2
 #: Symbols between two entries of the index of expanded places.
 STEP = 256
 #: Stands for a null doc_id, which sorts first.
@@ -29,61 +29,79 @@ REMEMBERED = 1_200_000
 
 
 def slots(pairs: np.ndarray) -> np.ndarray:
-    """Places of pairs in a table of 2**18; where two of a round's pairs meet, the less frequent waits."""
-    return (pairs * np.uint32(2654435761)) >> np.uint32(14)
+    """Places of pairs in a table of 2**20, to tell apart most of those that occur once."""
+    return ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
 
 
-def compress(ids: np.ndarray, first: int, least: int = LEAST, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, first: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair: rules (a, b) for symbols first, first + 1, ...; their expansion lengths; the reduced sequence.
 
-    Ids must be below first. A round ranks the pairs that occur at least `least` times, most
-    frequent first, and replaces each occurrence that ranks before both that it overlaps (of equal
-    ones, the left). Ends when no pair is left, or after the rounds, or when 16 bits are used up.
+    Ids must be below first. A round ranks the pairs that occur at least `least` times without overlaps, most
+    frequent first, and replaces each occurrence that ranks before both that it overlaps (of a stretch of equal
+    ones, every other). Pairs of which fewer than two are left to replace wait. Ends when no pair is left: the
+    first in rank is always replaced wherever it was counted.
     """
+    least = max(least, 2)
     seq = ids.astype(np.uint32)
     rules, lengths = np.zeros((0, 2), np.uint32), np.zeros(0, np.uint32)
-    for _ in range(rounds):
-        room = 0xFFFF - first - len(rules)
-        if len(seq) < 2 or room <= 0 or first > 0xFFFF:
-            break
-        pairs = seq[:-1] << np.uint32(16) | seq[1:]
-        ordered = np.sort(pairs)
-        starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    while len(seq) > 1:
+        pairs = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
+        index = np.arange(len(pairs))
+        fresh = np.append(True, pairs[1:] != pairs[:-1])
+        even = (index - np.maximum.accumulate(np.where(fresh, index, 0))) & 1 == 0
+        at = slots(pairs)
+        place = np.flatnonzero(even & (np.bincount(at, even, 1 << 20)[at] >= least))
+        order = place[np.argsort(pairs[place], kind="stable")]
+        ordered = pairs[order]
+        starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(order) else np.zeros(0, int)
         counts = np.diff(np.append(starts, len(ordered)))
         often = np.flatnonzero(counts >= least)
         if not len(often):
             break
-        often = often[np.argsort(-counts[often], kind="stable")[:room]]
-        chosen = ordered[starts[often]]
-        none = len(chosen)
-        codes, ranks = np.full(1 << 18, 0xFFFFFFFF, np.uint32), np.zeros(1 << 18, np.int32)
-        at = slots(chosen[::-1])
-        codes[at], ranks[at] = chosen[::-1], np.arange(none - 1, -1, -1, dtype=np.int32)
-        at = slots(pairs)
-        rank = np.where(codes[at] == pairs, ranks[at], np.int32(none))
-        take = rank < none
-        take[1:] &= rank[1:] < rank[:-1]
+        often = often[np.argsort(-counts[often], kind="stable")]
+        none = len(often)
+        ranks = np.full(len(starts), none)
+        ranks[often] = np.arange(none)
+        rank = np.full(len(pairs), none)
+        rank[order] = np.repeat(ranks, counts)
+        odd = np.flatnonzero(~even)
+        rank[odd] = rank[odd - 1]
+        take = even & (rank < none)
+        take[1:] &= rank[1:] <= rank[:-1]
         take[:-1] &= rank[:-1] <= rank[1:]
-        used = np.unique(rank[take])
-        if not len(used):
-            break
+        times = np.bincount(rank[take], minlength=none)
+        used = np.flatnonzero(times >= 2)
+        where = np.flatnonzero(take)
+        where = where[times[rank[where]] >= 2]
         number = np.zeros(none, np.uint32)
         number[used] = first + len(rules) + np.arange(len(used), dtype=np.uint32)
-        where = np.flatnonzero(take)
         out = seq.copy()
         out[where] = number[rank[where]]
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False
-        new = np.stack([chosen[used] >> np.uint32(16), chosen[used] & np.uint32(0xFFFF)], 1)
-        size = lambda s: np.where(s < first, 1, np.append(lengths, 0)[np.minimum(np.maximum(s.astype(np.int64) - first, 0), len(lengths))])
+        chosen = ordered[starts[often[used]]]
+        new = np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
+        size = lambda s: np.where(s < first, 1, np.append(lengths, 0)[np.minimum(np.maximum(s.astype(np.int64) - first, 0), len(lengths))])  # noqa: B023, E731
         rules, lengths = np.concatenate([rules, new]), np.concatenate([lengths, (size(new[:, 0]) + size(new[:, 1])).astype(np.uint32)])
         seq = out[keep]
     return rules, lengths, seq
 
 
-def expand(seq: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
-    """The ids a sequence of symbols stands for: all rules are opened at once, until none is left."""
+def expand(seq: np.ndarray, rules: np.ndarray, first: int, lengths: np.ndarray | None = None) -> np.ndarray:
+    """The ids a sequence of symbols stands for: all rules are opened at once, until none is left.
+
+    With the rules' expansion lengths, each symbol is put in its place at once, so depth costs nothing."""
     seq = seq.astype(np.uint32)
+    if lengths is not None:
+        size = lambda s: np.where(s < first, 1, np.append(lengths, 1)[np.where(s < first, 0, s.astype(np.int64) - first)]).astype(np.int64)
+        sizes = size(seq)
+        out, at = np.zeros(int(sizes.sum()), np.uint32), np.cumsum(sizes) - sizes
+        while len(seq):
+            own = seq < first
+            out[at[own]] = seq[own]
+            body, at = rules[seq[~own].astype(np.int64) - first], at[~own]
+            seq, at = np.concatenate([body[:, 0], body[:, 1]]), np.concatenate([at, at + size(body[:, 0])])
+        return out
     while True:
         composite = seq >= first
         if not composite.any():
@@ -100,7 +118,7 @@ def write_shard(docs: np.ndarray, counts: np.ndarray, ids: np.ndarray, first: in
     """A shard: magic; numbers of documents, rules, symbols, ids; first nonterminal; document ids and
     token counts; rules; expansion lengths; symbols; the expanded place of every STEP-th symbol."""
     rules, lengths, seq = compress(ids, first)
-    wide = bool(len(seq)) and int(seq.max()) > 0xFFFF
+    wide = max(int(seq.max(initial=0)), int(rules.max(initial=0))) > 0xFFFF
     sizes = np.ones(len(seq), np.int64)
     over = seq >= first
     sizes[over] = lengths[seq[over] - first]
@@ -127,7 +145,7 @@ class Shard:
         self.starts = np.cumsum(self.counts.astype(np.int64)) - self.counts
 
     def all(self) -> np.ndarray:
-        return expand(self.seq, self.rules, self.first)
+        return expand(self.seq, self.rules, self.first, self.lengths)
 
     def document(self, i: int) -> np.ndarray:
         """Ids of the i-th document, expanding only the symbols between two entries of the index."""
@@ -136,7 +154,7 @@ class Shard:
             return np.zeros(0, np.uint32)
         a = int(np.searchsorted(self.places, start, "right")) - 1
         b = int(np.searchsorted(self.places, end, "left"))
-        ids = expand(self.seq[a * STEP : b * STEP], self.rules, self.first)
+        ids = expand(self.seq[a * STEP : b * STEP], self.rules, self.first, self.lengths)
         begin = start - int(self.places[a])
         return ids[begin : begin + end - start]
 

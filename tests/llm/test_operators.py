@@ -389,6 +389,22 @@ def test_repair_round_trip():
         repair.Shard(b"nope" + bytes(60))
 
 
+def test_repair_leaves_no_pair_twice():
+    rng = np.random.default_rng(1)
+    text = rng.integers(0, 50000, 400)
+    for first in (50257, 200000):
+        ids = np.concatenate([np.concatenate([text, rng.integers(0, 50000, 50)]) for _ in range(300)] + [np.full(1000, 7)]).astype(np.uint32)
+        rules, lengths, seq = repair.compress(ids, first)
+        seen, last = Counter(), None
+        for i, pair in enumerate(zip(seq.tolist(), seq[1:].tolist())):
+            if last != (pair, i - 1):
+                seen[pair] += 1
+                last = (pair, i)
+        assert max(seen.values()) == 1 and lengths.max() >= 400 and len(rules) > 0
+        s = repair.Shard(repair.write_shard(np.arange(1), np.array([len(ids)]), ids, first))
+        assert (s.all() == ids).all() and (s.document(0) == ids).all()
+
+
 def test_token_output(spark, sf, documents):
     from tokenizers import Tokenizer
 
