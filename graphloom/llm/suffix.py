@@ -126,13 +126,15 @@ def merged(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
 
 
 def later_spans(docs: np.ndarray, places: np.ndarray, texts: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans (doc, start, end) of the given pieces of documents that repeat what starts earlier among them."""
+    """Spans (doc, start, end) of the given pieces of documents that repeat what starts earlier among them.
+
+    A piece may be given more than once, as rows that repeat a doc_id do; what starts at the first's place is the first.
+    """
     whose, starts, ends = [], [], []
     for length, owner, place in maximal_repeats(texts, least):
         doc, at = docs[owner], places[owner] + place
         first = np.lexsort((at, doc))[0] if len(doc) > 2 else int((doc[1], at[1]) < (doc[0], at[0]))
-        keep = np.ones(len(doc), bool)
-        keep[first] = False
+        keep = (doc != doc[first]) | (at != at[first])
         whose.append(doc[keep])
         starts.append(at[keep])
         ends.append(at[keep] + length)

@@ -253,6 +253,21 @@ def test_repeats_against_brute_force(spark, documents, monkeypatch):
         assert got == want
 
 
+def test_rows_of_one_document_repeat_nothing(spark, monkeypatch):
+    rng = random.Random(4)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    line, shared = noise(60), noise(150)
+    texts = {i: noise(120) + line + noise(120) for i in range(1, 6)}
+    texts[1] += shared
+    texts[5] += shared
+    want = brute_repeats([(i, t.encode()) for i, t in texts.items()])
+    df = spark.createDataFrame([(i, texts[i]) for i in (1, 1, 2, 3, 3, 3, 4, 5, 5)], "doc_id long, text string")
+    for crowd in (suffix.CROWD, 2):
+        monkeypatch.setattr(suffix, "CROWD", crowd)
+        rows = [tuple(r) for r in suffix.remove_repeats(df).drop("kept").collect()]
+        assert len(rows) == 9 and all(r[1:] == want[r[0]] for r in rows)
+
+
 def test_strip_keeps_columns(spark):
     text = "some words é that are long enough to be a repeat of more than a hundred bytes, é as this one is, surely, yes"
     df = spark.createDataFrame([(1, text, 3), (2, "before " + text + " after", 3)], "doc_id long, text string, n_chars long")
