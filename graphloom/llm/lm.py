@@ -1,29 +1,33 @@
-"""Language-model scores by a weighted backoff automaton over bytes, beside a distributed unigram base."""
+"""Language-model scores by a weighted backoff automaton over words, whose counts stay distributed."""
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, settle, slices, table
-from .media import scratch
+from .common import settle, slices, table
+from .jaccard import A, B, C, mix
 
-#: Bytes of context at most.
-ORDER = 5
-#: Ends a token sequence, and stands before its start; no token holds it.
-END = 10
-#: Bytes of text handled at once; symbols of a lane of the traversal.
+#: Stand after and before a token sequence; no token holds them.
+END, START = b"\n", b" "
+#: Bytes of text of a block; tokens of a lane of the traversal.
 SLICE, LANE = 8 << 20, 384
-#: Distinct n-grams that a training task holds before it emits them.
-HELD = 1_500_000
-#: An n-gram's cost is -log10 of its probability in these units.
-UNITS = 10_000_000
+#: Words of context at most.
+CONTEXT = 2
+#: A shorter context's distribution counts as so many observations beside a context of one word, and of two.
+WEIGHTS = (4096.0, 2.0)
+#: Bits that codes of n-grams have beyond those it takes to number all n-grams: an n-gram meets another's code once in 2**SPARE look-ups.
+SPARE = 24
+#: Codes counted in one part, about.
+PART = 4 << 20
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -31,279 +35,224 @@ def tokens(text: str | None) -> list[bytes]:
     return text.encode("utf-8").lower().split() if text else []
 
 
-def symbols(parts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Token sequences as one byte stream, each with ORDER ends before it, and n + 1 offsets.
+def pack(values: np.ndarray) -> bytes:
+    """Unsigned numbers as separately compressed planes of their bytes, lowest first, as many as it takes."""
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)
+    n = (int(values.max()).bit_length() + 7) // 8 if len(values) else 0
+    blobs = [squeeze(np.ascontiguousarray(planes[:, i]).tobytes()) for i in range(n)]
+    return b"".join([struct.pack("<qB", len(values), n), *(struct.pack("<I", len(b)) + b for b in blobs)])
 
-    Each token is followed by a space, and all by an end.
-    """
-    lead = bytes([END]) * ORDER
-    raw = [lead + b" ".join([*p, b"\n"]) for p in parts]
-    offsets = np.cumsum(np.array([0, *map(len, raw)], np.int64))
-    return np.frombuffer(b"".join(raw), np.uint8), offsets
-
-
-def grams(stream: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """For each symbol but the leading ends, the ORDER bytes before it and itself, the newest lowest."""
-    code = np.zeros(len(stream), np.uint64)
-    for j in range(ORDER + 1):
-        code[j:] |= stream[: len(stream) - j].astype(np.uint64) << np.uint64(8 * j)
-    return code[counted(stream, offsets)]
-
-
-def counted(stream: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Which symbols are not leading ends."""
-    out = np.ones(len(stream), bool)
-    out[(offsets[:-1, None] + np.arange(ORDER)).ravel()] = False
-    return out
-
-
-def token_sums(gains: np.ndarray, stream: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Sums of what each symbol gains, by token of the sequences and each one's end, in order."""
-    fresh = np.zeros(len(stream) + 1, bool)
-    fresh[np.flatnonzero(stream == 32) + 1] = True
-    fresh[offsets[:-1] + ORDER] = True
-    return np.add.reduceat(gains, np.flatnonzero(fresh[: len(stream)]), dtype=np.float64)
-
-
-def tally(codes: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes in order and their sums."""
-    if weights is None:
-        codes = np.sort(codes)
-        at = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, int)
-        return codes[at], np.diff(np.append(at, len(codes)))
-    order = np.argsort(codes, kind="stable")
-    codes, weights = codes[order], weights[order]
-    at = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, int)
-    return codes[at], np.add.reduceat(weights, at) if len(at) else weights
-
-
-def opened(b: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block's one row: its words, the place among them of each token, tokens a document, and symbols()."""
-    lengths = b.column("lengths").flatten().to_numpy()
-    place = np.frombuffer(zstandard.ZstdDecompressor().decompress(b.column("places")[0].as_py()), np.uint32)
-    words = b.column("words")[0].as_py()
-    starts, listed = np.cumsum(lengths) - lengths, place.tolist()
-    parts = [[words[j] for j in listed[s : s + m - 1]] for s, m in zip(starts.tolist(), lengths.tolist(), strict=True)]
-    return words, place, lengths, *symbols(parts)
-
-
-def count_grams(blocks: DataFrame) -> DataFrame:
-    """(code, n) of all n-grams of all texts, with how often the training texts hold them (0 for those of held-out texts alone)."""
-
-    def run(batches):
-        held: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        out = lambda x: pa.RecordBatch.from_arrays([pa.array(x[0].astype(np.int64)), pa.array(x[1].astype(np.int64))], names=["code", "n"])
-        for batch in batches:
-            for i in range(batch.num_rows):
-                b = batch.slice(i, 1)
-                *_, stream, offsets = opened(b)
-                code = grams(stream, offsets)
-                training = np.repeat(~b.column("held").flatten().to_numpy(zero_copy_only=False), np.diff(offsets) - ORDER)
-                asked, taught = tally(code)[0], tally(code[training])
-                del code, training, stream
-                held = tally(np.concatenate([held[0], asked, taught[0]]), np.concatenate([held[1], np.zeros(len(asked), np.int64), taught[1]]))
-                settle()
-                if len(held[0]) > HELD:
-                    yield out(held)
-                    held = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        if len(held[0]):
-            yield out(held)
 
-    rows = blocks.select("held", "lengths", "words", "places").mapInArrow(run, "code long, n long")
-    return rows.groupBy("code").agg(F.sum("n").alias("n"))
+def unpack(data: bytes) -> np.ndarray:
+    size, n = struct.unpack_from("<qB", data)
+    planes, at = np.zeros((size, 8), np.uint8), 9
+    expand = zstandard.ZstdDecompressor().decompress
+    for i in range(n):
+        length = struct.unpack_from("<I", data, at)[0]
+        planes[:, i] = np.frombuffer(expand(data[at + 4 : at + 4 + length]), np.uint8)
+        at += 4 + length
+    return planes.reshape(-1).view("<u8")
+
 
+def tally(codes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct codes in order, the sums of their weights, and the place among them of each code."""
+    order = np.argsort(codes)
+    ordered = codes[order]
+    fresh = np.append(True, ordered[1:] != ordered[:-1])[: len(codes)]
+    at = np.flatnonzero(fresh)
+    place = np.empty(len(codes), np.int64)
+    place[order] = np.cumsum(fresh) - 1
+    return ordered[at], np.add.reduceat(weights[order], at) if len(at) else weights[:0], place
 
-def costs(counts: DataFrame) -> DataFrame:
-    """(code, n, cost) of all n-grams (code, n): what the automaton of all of them, none left out, takes for the newest byte.
 
-    The same probabilities as Automaton's, by joins: of a context seen t times with k types, an arc seen n times has
-    n / (t + k), and the failure arc passes on k / (t + k) of the next shorter context's; an unseen context passes on all.
-    A context has 256 arcs at most and a suffix 256 longer n-grams, so no key of a join is crowded.
+@dataclass
+class Block:
+    """Token sequences, each with an end, as places among their sorted distinct digests.
+
+    starts: of each sequence. word: by token; before: the token before, or len(digests) for a start.
     """
-    code, n = F.col("code"), F.col("n")
-    low = lambda o: code.bitwiseAND(F.lit((1 << 8 * (o + 1)) - 1))
-    levels = [counts]
-    for o in range(ORDER - 1, -1, -1):
-        levels.insert(0, checkpointed(levels[0].groupBy(low(o).alias("code")).agg(F.sum("n").alias("n"))))
-    total = levels[0].agg(F.sum("n")).first()[0] or 0
-    found = levels[0].select("code", "n", ((n + 1) / F.lit(total + 256)).alias("p"))
-    for o in range(1, ORDER + 1):
-        context = Window.partitionBy(F.shiftright("code", 8))
-        rows = levels[o].select("code", "n", F.sum("n").over(context).alias("t"), F.sum((n > 0).cast("long")).over(context).alias("k"), low(o - 1).alias("below"))
-        lower = found.select(code.alias("below"), F.col("p").alias("lower"))
-        t, k, rest = F.col("t"), F.col("k"), F.col("lower")
-        # there are 65,536 n-grams of two bytes at most
-        found = rows.join(F.broadcast(lower) if o <= 2 else lower, "below").select("code", "n", F.when(t > 0, n / (t + k) + k / (t + k) * rest).otherwise(rest).alias("p"))
-    return found.select("code", "n", F.greatest(F.lit(1), F.round(-F.log10("p") * UNITS).cast("int")).alias("cost"))
+
+    digests: np.ndarray
+    word: np.ndarray
+    lengths: np.ndarray
+    held: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str | None], held: np.ndarray) -> Block:
+        known: dict[bytes, int] = {END: 0}
+        places: list[int] = []
+        lengths = []
+        for text in texts:
+            found = tokens(text)
+            places += [known.setdefault(w, len(known)) for w in found]
+            places.append(0)
+            lengths.append(len(found) + 1)
+        digests = np.array(list(map(xxhash.xxh3_64_intdigest, known)), np.uint64)
+        digests, _, rank = tally(digests, np.ones(len(digests), np.int64))
+        return cls(digests, rank[np.array(places, np.int64)], np.array(lengths, np.int64), held)
+
+    @property
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.lengths) - self.lengths
+
+    @property
+    def taught(self) -> np.ndarray:
+        """1 for each token of a training sequence, 0 for others."""
+        return np.repeat(~self.held, self.lengths).astype(np.int64)
+
+    def ngrams(self) -> Ngrams:
+        """The distinct n-grams of the block. An n-gram of two or three ends at each token with as many before it, of which a start is one."""
+        size = len(self.digests) + 1
+        before = np.append(0, self.word[:-1])
+        before[self.starts] = size - 1
+        two, _, of_two = tally(before * size + self.word, before[:0] if not len(before) else self.taught)
+        inner = np.ones(len(self.word), bool)
+        inner[self.starts] = False
+        at = np.flatnonzero(inner)
+        three, _, of_three = tally(of_two[at - 1] * size + self.word[at], self.taught[at])
+        return Ngrams(size, two, of_two, three, of_three, at)
+
+
+@dataclass
+class Ngrams:
+    """two: (word before, word); three: (place of the first two words in two, word); of_two, of_three: place by token, of those at `at` for three."""
+
+    size: int
+    two: np.ndarray
+    of_two: np.ndarray
+    three: np.ndarray
+    of_three: np.ndarray
+    at: np.ndarray
+
+    def codes(self, digests: np.ndarray, bits: int) -> np.ndarray:
+        """Codes of all words, then n-grams of two, then of three."""
+        name = np.append(digests, np.uint64(xxhash.xxh3_64_intdigest(START)))
+        pairs = mix(mix(name[self.two // self.size] + A) * B + name[self.two % self.size])
+        triples = mix(pairs[self.three // self.size] * C + name[self.three % self.size])
+        return np.concatenate([mix(digests * A + C), pairs, triples]) >> np.uint64(64 - bits)
+
+    def counts(self, block: Block) -> np.ndarray:
+        """How often the block's training sequences hold each."""
+        taught = block.taught
+        count = lambda places, n, weight: np.bincount(places, weight, n).astype(np.int64)
+        return np.concatenate([count(block.word, self.size - 1, taught), count(self.of_two, len(self.two), taught), count(self.of_three, len(self.three), taught[self.at])])
 
 
 @dataclass
 class Automaton:
-    """States are contexts; arcs carry a byte's log10 probability and the next state; failure arcs lead to the
-    context without its oldest byte, at the price of a weight. State 0 is the empty context, which has all arcs."""
+    """States are contexts: none (0), each word (1 + its place; that of a start last), and each n-gram of two that training holds.
+
+    Arcs carry a word's log10 probability and the next state, the longest suffix that is a state. A failure arc
+    leads to the context without its oldest word, at the price of a weight. State 0 has an arc for each word.
+    """
 
+    size: int
     keys: np.ndarray
     goes: np.ndarray
-    weight: np.ndarray
+    gains: np.ndarray
     fail: np.ndarray
     price: np.ndarray
-    #: The state before a sequence: the longest kept context of ends alone.
-    initial: int = 0
 
     @classmethod
-    def build(cls, arcs: list[tuple[np.ndarray, np.ndarray]], states: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Automaton:
-        """arcs[o]: sorted (code, n) of the n-grams with o bytes of context that are kept.
-        states[o]: sorted (context, total, types) of the contexts of o bytes that are kept.
+    def build(cls, grams: Ngrams, counts: np.ndarray, sequences: int, total: int, types: int) -> Automaton:
+        """counts: in all of training, in the order of codes(); sequences: of training; total, types: tokens there, and distinct ones.
 
-        Witten-Bell: of a context with total t and k types, an arc seen n times has n / (t + k) and
-        a share of what is left, in proportion to the next shorter context; pruned arcs count as left.
+        A word seen c times of `total` has (c + 1) / (total + types + 1): one type stands for all that is unseen. After a context
+        seen t times, a word seen n times there has (n + weight * what the shorter context gives it) / (t + weight).
         """
-        total = int(states[0][1][0]) if len(states[0][1]) else 0
-        first = np.concatenate([[0, 1], 1 + np.cumsum([len(s[0]) for s in states[1:]])]).astype(np.int64)
-        seen = np.zeros(256)
-        if len(arcs[0][0]):
-            seen[arcs[0][0].astype(np.int64)] = arcs[0][1]
-        root = (seen + 1) / (seen.sum() + 256)
-        if total > seen.sum():
-            root = (seen + (total - seen.sum() + 256) / 256) / (total + 256)
-        probability, fails, prices = [root], [np.zeros(1, np.int64)], [np.ones(1)]
-        codes = [np.arange(256, dtype=np.uint64)] + [a[0] for a in arcs[1:]]
-        owner = [np.zeros(256, np.int64)]
-        byte = np.uint64(8)
-        for o in range(1, ORDER + 1):
-            context, t, k = states[o]
-            code, n = arcs[o]
-            at = np.searchsorted(context, code >> byte)
-            kept = np.bincount(at, n, minlength=len(context)) if len(context) else np.zeros(0)
-            left = (t + k - kept) / np.maximum(t + k, 1)
-            lower = np.uint64((1 << 8 * o) - 1)
-            below = np.searchsorted(codes[o - 1], code & lower)
-            probability.append(n / (t + k)[at] + left[at] * probability[o - 1][below] if len(code) else np.zeros(0))
-            shorter = np.uint64((1 << 8 * (o - 1)) - 1)
-            fails.append(first[o - 1] + np.searchsorted(states[o - 1][0], context & shorter) if o > 1 else np.zeros(len(context), np.int64))
-            prices.append(left)
-            owner.append(first[o] + at)
-        goes = []
-        for o in range(ORDER + 1):
-            to = np.zeros(len(codes[o]), np.int64)
-            for length in range(1, min(o + 1, ORDER) + 1):
-                context = states[length][0]
-                if len(context):
-                    want = codes[o] & np.uint64((1 << 8 * length) - 1)
-                    place = np.minimum(np.searchsorted(context, want), len(context) - 1)
-                    to = np.where(context[place] == want, first[length] + place, to)
-            goes.append(to)
-        initial = 0
-        for o in range(1, ORDER + 1):
-            ends = np.uint64(int.from_bytes(bytes([END]) * o, "big"))
-            at = int(np.searchsorted(states[o][0], ends))
-            if at < len(states[o][0]) and states[o][0][at] == ends:
-                initial = int(first[o] + at)
-        key = np.concatenate(owner) << 8 | (np.concatenate(codes) & np.uint64(255)).astype(np.int64)
-        size = 1 << max(10, int(2 * len(key) - 1).bit_length())
-        keys, to, weight = np.full(size, -1, np.int64), np.zeros(size, np.int32), np.zeros(size, np.float32)
-        open_, slot = np.arange(len(key)), cls.slot(key, size)
-        while len(open_):
-            free = keys[slot] < 0
-            keys[slot[free]] = open_[free]
-            won = keys[slot] == open_
-            open_, slot = open_[~won], (slot[~won] + 1) & (size - 1)
-        used = keys >= 0
-        to[used], weight[used] = np.concatenate(goes)[keys[used]], np.log10(np.concatenate(probability)[keys[used]])
-        keys[used] = key[keys[used]]
-        return cls(keys, to, weight, np.concatenate(fails).astype(np.int32), np.log10(np.maximum(np.concatenate(prices), 1e-300)).astype(np.float32), initial)
+        size, words = grams.size, grams.size - 1
+        one, two, three = np.split(counts, [words, words + len(grams.two)])
+        of_one = (one + 1) / (total + types + 1)
+        seen = np.append(one, sequences)
+        context, word = grams.two // size, grams.two % size
+        of_two = (two + WEIGHTS[0] * of_one[word]) / (seen[context] + WEIGHTS[0])
+        pair, third = grams.three // size, grams.three % size
+        # the last two words of an n-gram of three are in the block too
+        last = np.searchsorted(grams.two, word[pair] * size + third)
+        of_three = (three + WEIGHTS[1] * of_two[last]) / (two[pair] + WEIGHTS[1])
+        state_of_two = np.where(two > 0, 1 + size + np.arange(len(two)), 1 + word)
+        arc_two, arc_three = np.flatnonzero(two > 0), np.flatnonzero(three > 0)
+        owner = np.concatenate([np.zeros(words, np.int64), 1 + context[arc_two], 1 + size + pair[arc_three]])
+        by = np.concatenate([np.arange(words), word[arc_two], third[arc_three]])
+        goes = np.concatenate([1 + np.arange(words), state_of_two[arc_two], state_of_two[last[arc_three]]])
+        gains = np.log10(np.concatenate([of_one, of_two[arc_two], of_three[arc_three]]))
+        fail = np.concatenate([np.zeros(1 + size, np.int64), 1 + word])
+        price = np.log10(np.concatenate([[1.0], WEIGHTS[0] / (seen + WEIGHTS[0]), WEIGHTS[1] / (two + WEIGHTS[1])]))
+        key = owner * size + by
+        room = 1 << max(4, int(2 * len(key)).bit_length())
+        keys, arc = np.full(room, -1, np.int64), np.full(room, -1, np.int64)
+        left, slot = np.arange(len(key)), cls.slot(key, room)
+        while len(left):
+            free = arc[slot] < 0
+            arc[slot[free]] = left[free]
+            won = arc[slot] == left
+            left, slot = left[~won], (slot[~won] + 1) & (room - 1)
+        used = arc >= 0
+        keys[used] = key[arc[used]]
+        to, gained = np.zeros(room, np.int64), np.zeros(room)
+        to[used], gained[used] = goes[arc[used]], gains[arc[used]]
+        return cls(size, keys, to, gained, fail, price)
 
     @staticmethod
-    def slot(key: np.ndarray, size: int) -> np.ndarray:
-        return ((key * np.int64(0x9E3779B1)) >> np.int64(7)) & (size - 1)
-
-    def step(self, state: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where each lane goes and the log10 probability it gains: along failure arcs until one has the byte."""
-        gained = np.zeros(len(state), np.float32)
-        out = np.zeros(len(state), np.int32)
-        lanes, now = np.arange(len(state)), state
-        size = len(self.keys)
+    def slot(key: np.ndarray, room: int) -> np.ndarray:
+        return (mix(key.astype(np.uint64)) & np.uint64(room - 1)).astype(np.int64)
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each lane goes and the log10 probability it gains: along failure arcs until a state has the word."""
+        gained, out = np.zeros(len(state)), np.zeros(len(state), np.int64)
+        lanes, now, room = np.arange(len(state)), state, len(self.keys)
         while len(lanes):
-            key = now.astype(np.int64) << 8 | byte
-            slot = self.slot(key, size)
+            key = now * self.size + word
+            slot = self.slot(key, room)
             got = self.keys[slot]
             missed = np.flatnonzero((got != key) & (got >= 0))
             while len(missed):
-                slot[missed] = (slot[missed] + 1) & (size - 1)
+                slot[missed] = (slot[missed] + 1) & (room - 1)
                 got[missed] = self.keys[slot[missed]]
                 missed = missed[(got[missed] != key[missed]) & (got[missed] >= 0)]
             hit = got == key
-            if hit.all():
-                out[lanes] = self.goes[slot]
-                gained[lanes] += self.weight[slot]
-                break
-            found = lanes[hit]
+            found, rest = lanes[hit], ~hit
             out[found] = self.goes[slot[hit]]
-            gained[found] += self.weight[slot[hit]]
-            rest = ~hit
-            lanes, now, byte = lanes[rest], now[rest], byte[rest]
+            gained[found] += self.gains[slot[hit]]
+            lanes, now, word = lanes[rest], now[rest], word[rest]
             gained[lanes] += self.price[now]
             now = self.fail[now]
         return out, gained
 
-    def gains(self, stream: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """log10 probability of each symbol after those before it; 0 for the leading ends.
+    def traverse(self, word: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """log10 probability of each sequence.
 
-        All sequences are traversed from left to right at once, long ones in lanes. A state depends on ORDER
-        bytes, so a lane that starts inside a sequence reads those first.
+        All sequences are traversed from left to right at once, long ones in lanes. A state depends on CONTEXT
+        words, so a lane that starts inside a sequence reads those first.
         """
-        starts, ends = offsets[:-1] + ORDER, offsets[1:]
-        lanes = -(-(ends - starts) // LANE)
+        if not len(lengths):
+            return np.zeros(0)
+        starts = np.cumsum(lengths) - lengths
+        lanes = -(-lengths // LANE)
         of = np.repeat(np.arange(len(lanes)), lanes)
         begin = starts[of] + (np.arange(len(of)) - np.repeat(np.cumsum(lanes) - lanes, lanes)) * LANE
-        length = np.minimum(begin + LANE, ends[of]) - begin
+        length = np.minimum(begin + LANE, (starts + lengths)[of]) - begin
         order = np.argsort(-length, kind="stable")
         of, begin, length = of[order], begin[order], length[order]
-        out, state = np.zeros(len(stream), np.float32), np.zeros(len(of), np.int32)
+        sums, state = np.zeros(len(of)), np.zeros(len(of), np.int64)
         live = np.searchsorted(-length, -np.arange(LANE), "left")
-        for t in range(-ORDER, int(length[0]) if len(length) else -ORDER):
+        for t in range(-CONTEXT, int(length[0])):
             n = live[t] if t > 0 else len(of)
             if t == 0:
-                state[begin == starts[of]] = self.initial
-            at = begin[:n] + t
-            state[:n], gained = self.step(state[:n], stream[at].astype(np.int64))
+                state[begin == starts[of]] = self.size
+            # what a sequence's first lane reads before its start does not count
+            state[:n], gained = self.step(state[:n], word[begin[:n] + t])
             if t >= 0:
-                out[at] = gained
-        return out
-
-    def score(self, stream: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """log10 probability of each sequence."""
-        return np.add.reduceat(self.gains(stream, offsets), offsets[:-1], dtype=np.float64) if len(offsets) > 1 else np.zeros(0)
-
-    def by_token(self, parts: list[list[bytes]]) -> np.ndarray:
-        """log10 probability of each token of the sequences and each one's end, in order."""
-        stream, offsets = symbols(parts)
-        return token_sums(self.gains(stream, offsets), stream, offsets)
-
-
-#: What each token's probability is mixed of: the automaton, the lexicon of training tokens, the base.
-SPELLED, LEXICON, BASE = 0.4, 0.4, 0.2
-#: Tokens and n-grams of at least this share of all, of which there are 1 / COMMON at most, are broadcast with their
-#: counts and costs; those of all others go where they are asked for.
-COMMON = 2.0**-20
-BLOCK = "block long, docs array<long>, held array<boolean>, lengths array<long>, words array<binary>, counts array<long>, places binary"
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, automaton_score double"
-
-
-def digests(words: list[bytes]) -> np.ndarray:
-    """64-bit digests, which stand for the tokens in shuffles."""
-    return np.array(list(map(xxhash.xxh3_64_intdigest, words)), np.uint64).view(np.int64)
+                sums[:n] += gained
+        return np.bincount(of, sums, len(lengths))
 
 
-def look_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
-    """Values by key from sorted keys and their values; 0 for others."""
-    if not len(table[0]):
-        return np.zeros(len(keys), np.int64)
-    at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
-    return np.where(table[0][at] == keys, table[1][at], 0)
+BLOCK = "block long, docs array<long>, held array<boolean>, lengths array<long>, digests binary, places binary"
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def gathered(batches):
+def gathered(batches) -> Iterator[pa.RecordBatch]:
     """Batches with a text column as larger ones of about SLICE bytes of text; texts that stand together ask for fewer n-grams."""
     held: list[pa.RecordBatch] = []
     size = 0
@@ -319,121 +268,131 @@ def gathered(batches):
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def evaluate(docs: DataFrame, held_out: Column, share: float = COMMON) -> DataFrame:
+def opened(b: pa.RecordBatch | pa.Table, i: int = 0) -> Block:
+    row = b.slice(i, 1)
+    digests = np.cumsum(unpack(row.column("digests")[0].as_py()), dtype=np.uint64)
+    lists = [np.array(row.column(c)[0].as_py(), kind) for c, kind in (("lengths", np.int64), ("held", bool))]
+    return Block(digests, unpack(row.column("places")[0].as_py()).astype(np.int64), *lists)
+
+
+def parted(codes: np.ndarray, bits: int, parts: int) -> np.ndarray:
+    """Where each of `parts` even ranges of all codes begins among these, which are in order; and their number."""
+    return np.searchsorted(codes, np.array([-(-(j << bits) // parts) for j in range(parts)], np.uint64)).tolist() + [len(codes)]
+
+
+def evaluate(docs: DataFrame, held_out: Column, part: int = PART) -> DataFrame:
     """Score every (doc_id, text) with a model of the texts for which held_out is false.
 
     A null text is empty: its one token is the end. Rows are independent, repeated ones repeat and
     count again in training; a null held_out counts as false. Other columns are ignored; an empty
     table gives an empty result. base_score: log10 probability of the tokens and an end
-    under add-one smoothed unigrams, which have one type for all that is unseen. score: a text is, at even
-    odds, by the base alone, or each token is by a mixture of what the automaton spells, given all
-    bytes before, of its share in training, and of the base; where the base has not seen a token it isn't spelled in full,
-    so a score is no probability of the text. automaton_score is: the automaton alone, each token spelled to its end.
-
-    The vocabulary and the automaton grow with the corpus and stay in distributed tables: blocks of documents send
-    their distinct tokens and n-grams to be counted, and get the counts and costs of their rarer ones back by
-    joins. Those of at least `share` of all have a fixed bound and are broadcast; this changes no result.
+    under add-one smoothed unigrams, which have one type for all that is unseen. score: the same tokens by
+    the automaton of all n-grams of up to three words; after any context, the known words and the one type sum to 1.
+
+    No n-gram is left out and none goes to the driver. A block of documents asks for its distinct n-grams by sorted
+    codes, dealt by ranges of the codes to parts; a part sums up what blocks counted and answers each with what the
+    others did. A part holds about `part` codes, and a hot n-gram once a block. From the answers a block builds the
+    states and arcs that its texts can meet, and traverses them. Codes are as long as a fixed chance of confusion takes.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
 
+    def to_words(batches):
+        for b in gathered(batches):
+            block = Block.of(b.column(1).to_pylist(), b.column(2).to_numpy(zero_copy_only=False))
+            counts = np.bincount(block.word, block.taught, len(block.digests)).astype(np.int64)
+            use = counts > 0
+            sequences = np.where(block.digests == xxhash.xxh3_64_intdigest(END), counts, 0)
+            extra = [len(block.word)] + [0] * (len(use) - 1)
+            keep = use | (np.arange(len(use)) == 0)
+            settle()
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep].astype(np.int64)) for x in (block.digests.view(np.int64), counts, sequences, np.array(extra))], names=["word", "c", "s", "every"])
+
+    words = rows.mapInArrow(to_words, "word long, c long, s long, every long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("s").alias("s"), F.sum("every").alias("every"))
+    total, types, sequences, every = (x or 0 for x in words.agg(F.sum("c"), F.count_if(F.col("c") > 0), F.sum("s"), F.sum("every")).first())
+    bits = min(64, (2 * every).bit_length() + SPARE)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, -(-2 * every // part))
+
     def to_blocks(batches):
         from pyspark import TaskContext
 
-        number, packer = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=1)
+        number = TaskContext.get().partitionId() << 32
         for b in gathered(batches):
-            parts = [tokens(t) for t in b.column(1).to_pylist()]
             held = b.column(2).to_numpy(zero_copy_only=False)
-            words: dict[bytes, int] = {b"\n": 0}
-            places: list[int] = []
-            for p in parts:
-                places += [words.setdefault(w, len(words)) for w in p]
-                places.append(0)
-            place = np.array(places, np.uint32)
-            lengths = np.array([len(p) + 1 for p in parts], np.int64)
-            counts = np.bincount(place[np.repeat(~held, lengths)], minlength=len(words))
-            row = [[number], [b.column(0).to_pylist()], [held.tolist()], [lengths], [list(words)], [counts], [packer.compress(place.tobytes())]]
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["block", "docs", "held", "lengths", "words", "counts", "places"])
+            block = Block.of(b.column(1).to_pylist(), held)
+            row = [[number], [b.column(0).to_pylist()], [held.tolist()], [block.lengths], [pack(np.diff(block.digests, prepend=np.uint64(0)))], [pack(block.word)]]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+            del block
+            settle()
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["block", "docs", "held", "lengths", "digests", "places"])
             number += 1
 
-    path = scratch(spark, "lm-blocks")
-    rows.mapInArrow(to_blocks, BLOCK).write.option("compression", "zstd").parquet(path)
-    blocks = spark.read.schema(BLOCK).parquet(path)
-
-    def to_counts(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                b = batch.slice(i, 1)
-                counts = b.column("counts").flatten().to_numpy()
-                settle()
-                yield pa.RecordBatch.from_arrays([pa.array(digests(b.column("words")[0].as_py())[counts > 0]), pa.array(counts[counts > 0])], names=["word", "c"])
-
-    known = checkpointed(blocks.select("words", "counts").mapInArrow(to_counts, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")))
-    n, v = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least = max(1, int(np.ceil(share * n)))
-    common = known.where(F.col("c") >= least).toArrow().sort_by("word")
-    lexicon = spark.sparkContext.broadcast((common.column("word").to_numpy(), common.column("c").to_numpy()))
-
-    def to_rare(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                b = batch.slice(i, 1)
-                word = digests(b.column("words")[0].as_py())
-                pos = np.flatnonzero(look_up(lexicon.value, word) == 0)
-                yield pa.RecordBatch.from_arrays([pa.array(word[pos]), pa.array(np.full(len(pos), b.column("block")[0].as_py(), np.int64)), pa.array(pos.astype(np.int32))], names=["word", "block", "pos"])
-
-    rare = blocks.select("block", "words").mapInArrow(to_rare, "word long, block long, pos int").join(known.where(F.col("c") < least), "word")
-    answers = rare.groupBy("block").agg(F.collect_list(F.struct("pos", F.col("c").cast("int").alias("c"))).alias("known"))
-
-    arcs = checkpointed(costs(checkpointed(count_grams(blocks))))
-    fewest = max(1, int(np.ceil(share * (arcs.agg(F.sum("n")).first()[0] or 0))))
-    head = arcs.where(F.col("n") >= fewest).select("code", F.col("cost").cast("long").alias("cost")).toArrow().sort_by("code")
-    head = spark.sparkContext.broadcast((head.column("code").to_numpy(), head.column("cost").to_numpy()))
+    # both readers of the blocks use every column, so that they read one exchange
+    blocks = rows.mapInArrow(to_blocks, BLOCK).repartition(least, "block")
 
     def to_asked(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                b = batch.slice(i, 1)
-                code = tally(grams(*opened(b)[3:]))[0].view(np.int64)
-                pos = np.flatnonzero(look_up(head.value, code) == 0)
-                yield pa.RecordBatch.from_arrays([pa.array(code[pos]), pa.array(np.full(len(pos), b.column("block")[0].as_py(), np.int64)), pa.array(pos.astype(np.int32))], names=["code", "block", "pos"])
-                settle()
-
-    asked = blocks.select("block", "lengths", "words", "places").mapInArrow(to_asked, "code long, block long, pos int").join(arcs.where(F.col("n") < fewest), "code")
-    found = asked.groupBy("block").agg(F.collect_list(F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("cost").cast("long"))).alias("costs"))
-    wanted = blocks.select("block", "docs", "held", "lengths", "words", "places").join(answers, "block", "left").join(found, "block", "left")
-
-    def to_rows(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                b = batch.slice(i, 1)
-                words, place, lengths, stream, offsets = opened(b)
-                c = look_up(lexicon.value, digests(words))
-                got = b.column("known").flatten()
-                if len(got):
-                    c[got.field(0).to_numpy()] = got.field(1).to_numpy()
-                starts = np.cumsum(lengths) - lengths
-                seen = c[place]
-                code = grams(stream, offsets)
-                distinct = tally(code)[0]
-                cost = look_up(head.value, distinct.view(np.int64))
-                given = b.column("costs").flatten().to_numpy()
-                cost[given >> 32] = given & 0xFFFFFFFF
-                gains = np.zeros(len(stream))
-                gains[counted(stream, offsets)] = cost[np.searchsorted(distinct, code)] / -UNITS
-                spelled = token_sums(gains, stream, offsets)
-                del code, gains, stream
-                base = (seen + 1.0) / (n + v + 1.0)
-                mixed = SPELLED * 10.0**spelled + LEXICON * seen / max(n, 1) + BASE * base
-                sums = lambda x: np.add.reduceat(x, starts)  # noqa: B023, E731
-                of_base = sums(np.log10(base))
-                score = np.logaddexp(sums(np.log(mixed)), of_base * np.log(10)) / np.log(10) - np.log10(2)
-                out = [b.column("docs").flatten(), b.column("held").flatten(), pa.array(lengths), pa.array(sums((seen > 0).astype(np.int64))), pa.array(np.full(len(lengths), n, np.int64)), pa.array(of_base), pa.array(score), pa.array(sums(spelled))]
+                block = opened(batch, i)
+                grams = block.ngrams()
+                codes, counts, _ = tally(grams.codes(block.digests, bits), grams.counts(block))
+                del grams
+                cuts = parted(codes, bits, parts)
+                name = batch.column(0)[i].as_py()
+                for j, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                    if a < z:
+                        out = [pa.array([j], pa.int32()), pa.array([name], pa.int64()), pa.array([pack(np.diff(codes[a:z], prepend=np.uint64(0)))], pa.binary()), pa.array([pack(counts[a:z])], pa.binary())]
+                        yield pa.RecordBatch.from_arrays(out, names=["part", "block", "codes", "counts"])
                 settle()
-                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "automaton_score"])
 
-    return wanted.mapInArrow(to_rows, SCORES)
+    def to_answers(batches):
+        def answers(part, names, codes, counts):
+            sizes = list(map(len, codes))
+            own = np.concatenate(counts)
+            _, sums, place = tally(np.concatenate(codes), own)
+            others = np.split(sums[place] - own, np.cumsum(sizes)[:-1])
+            blobs = [pack(x) for x in others]
+            settle()
+            for a in range(0, len(names), 64):
+                some = slice(a, a + 64)
+                yield pa.RecordBatch.from_arrays([pa.array(names[some], pa.int64()), pa.array([part] * len(names[some]), pa.int32()), pa.array(blobs[some], pa.binary())], names=["block", "part", "others"])
+
+        last, names, codes, counts = None, [], [], []
+        for b in batches:
+            for j, name, x, c in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                if j != last and names:
+                    yield from answers(last, names, codes, counts)
+                    names, codes, counts = [], [], []
+                last = j
+                names.append(name)
+                codes.append(np.cumsum(unpack(x), dtype=np.uint64))
+                counts.append(unpack(c).astype(np.int64))
+        if names:
+            yield from answers(last, names, codes, counts)
+
+    asked = blocks.mapInArrow(to_asked, "part int, block long, codes binary, counts binary")
+    answered = asked.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(to_answers, "block long, part int, others binary")
+
+    def to_rows(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table({})
+        block = opened(left.combine_chunks())
+        grams = block.ngrams()
+        _, own, place = tally(grams.codes(block.digests, bits), grams.counts(block))
+        order = np.argsort(right.column("part").to_numpy())
+        counts = own + np.concatenate([unpack(right.column("others")[int(i)].as_py()).astype(np.int64) for i in order])
+        counts = counts[place]
+        automaton = Automaton.build(grams, counts, sequences, total, types)
+        seen = counts[: grams.size - 1]
+        starts, lengths = block.starts, block.lengths
+        of = lambda x: np.add.reduceat(x[block.word], starts)
+        out = [left.column("docs").combine_chunks().flatten(), pa.array(block.held), pa.array(lengths), pa.array(of((seen > 0).astype(np.int64))), pa.array(np.full(len(lengths), total, np.int64)), pa.array(of(np.log10((seen + 1.0) / (total + types + 1.0)))), pa.array(automaton.traverse(block.word, lengths))]
+        del automaton, grams, block, counts, place
+        settle()
+        return pa.Table.from_arrays(out, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return blocks.groupBy("block").cogroup(answered.repartition(least, "block").groupBy("block")).applyInArrow(to_rows, SCORES)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,87 +120,80 @@ def test_posterior_by_hand(spark, documents):
 # 2
 
 
-def test_lm_base_and_gain(spark, sf, documents):
+def brute_lm(tokens_of, held):
+    """Score and base score of each sequence of tokens (None ends it), by counts in dictionaries."""
+    one, two, three, after = Counter(), Counter(), Counter(), Counter()
+    for i, ws in tokens_of.items():
+        if not held[i]:
+            seq = ["start", *ws]
+            one.update(ws)
+            after.update(seq[:-1])
+            two.update(zip(seq, ws, strict=False))
+            three.update(zip(seq, ws, ws[1:], strict=False))
+    n, v = sum(one.values()), len(one)
+    k2, k3 = lm.WEIGHTS
+    out = {}
+    for i, ws in tokens_of.items():
+        score = base = 0.0
+        for j, w in enumerate(ws):
+            p = (one.get(w, 0) + 1) / (n + v + 1)
+            base += math.log10(p)
+            before = ws[j - 1] if j else "start"
+            p = (two[before, w] + k2 * p) / (after[before] + k2)
+            if j:
+                context = (ws[j - 2] if j > 1 else "start", before)
+                p = (three[(*context, w)] + k3 * p) / (two[context] + k3)
+            score += math.log10(p)
+        out[i] = (score, base)
+    return out, one
+
+
+def test_lm_against_brute_force(spark, sf, documents):
     got = {r["doc_id"]: r for r in lm.op2(spark, sf).collect()}
     toks = {r["doc_id"]: [*words(r["text"]), None] for r in documents.collect()}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in toks}
-    c = Counter(w for i in toks if not held[i] for w in toks[i])
-    n, v = sum(c.values()), len(c)
+    want, c = brute_lm(toks, held)
     for i, ws in toks.items():
         r = got[i]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(ws), sum(w in c for w in ws), n)
-        assert r["base_score"] == pytest.approx(sum(math.log10((c.get(w, 0) + 1) / (n + v + 1)) for w in ws), rel=1e-9)
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(ws), sum(w in c for w in ws), sum(c.values()))
+        assert (r["score"], r["base_score"]) == pytest.approx(want[i], rel=1e-9)
     out = [got[i] for i in toks if held[i]]
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
-def test_automaton_is_the_interpolated_model():
-    rng = random.Random(5)
-    parts = [[bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(0, 12))] for _ in range(60)]
-    code, n = lm.tally(lm.grams(*lm.symbols(parts)))
-    least, arcs, states = 4, [], []
-    for o in range(lm.ORDER + 1):
-        c, m = lm.tally(code & np.uint64((1 << 8 * (o + 1)) - 1), n)
-        x, t = lm.tally(c >> np.uint64(8), m)
-        _, k = lm.tally(c >> np.uint64(8), np.ones(len(c), int))
-        arcs.append((c[m >= least], m[m >= least]))
-        states.append((x[t >= least], t[t >= least], k[t >= least]))
-    a = lm.Automaton.build(arcs, states)
-    kept = [dict(zip(c.tolist(), m.tolist(), strict=True)) for c, m in arcs]
-    known = [{x: (t, k) for x, t, k in zip(*(v.tolist() for v in s), strict=True)} for s in states]
-    total, seen = states[0][1][0], sum(kept[0].values())
-
-    def probability(context, byte):
-        p = (kept[0].get(byte, 0) + (total - seen + 256) / 256) / (total + 256)
-        for o in range(1, lm.ORDER + 1):
-            x = context & ((1 << 8 * o) - 1)
-            if x not in known[o]:
-                break
-            t, k = known[o][x]
-            own = sum(m for c, m in kept[o].items() if c >> 8 == x)
-            p = kept[o].get(x << 8 | byte, 0) / (t + k) + (t + k - own) / (t + k) * p
-        return p
-
-    texts = [[b"ab", b"cab"], [], [b"zz", b"a"], [b"abc"] * 300]
-    stream, offsets = lm.symbols(texts)
-    scores = a.score(stream, offsets)
-    for i in range(len(texts)):
-        seq, context, expected = stream[offsets[i] : offsets[i + 1]].tolist(), 0, 0.0
-        for j, byte in enumerate(seq):
-            if j >= lm.ORDER:
-                expected += math.log10(probability(context, byte))
-            context = (context << 8 | byte) & ((1 << 8 * lm.ORDER) - 1)
-        assert scores[i] == pytest.approx(expected, rel=1e-4)
-    assert a.by_token(texts).sum() == pytest.approx(scores.sum(), rel=1e-5)
-    assert sum(probability(0x61626320, b) for b in range(256)) == pytest.approx(1)
-
-
-def small_corpus(spark):
+def test_lm_over_many_blocks_and_lanes(spark, monkeypatch):
     rng = random.Random(6)
-    texts = [" ".join("".join(rng.choice("abcd") for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    texts = [" ".join(rng.choice("abcdefg") * rng.randint(1, 2) for _ in range(rng.choice((0, 1, 2, 30, 900)))) for _ in range(80)]
     texts[7] += " zzq unseen"
-    return texts, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), F.col("doc_id") % 7 == 0
-
-
-def test_rare_ngrams_count_whatever_is_broadcast(spark):
-    _, docs, held = small_corpus(spark)
-    got = [{r["doc_id"]: r["score"] for r in lm.evaluate(docs, held, share).collect()} for share in (lm.COMMON, 0.01, 0.5)]
-    assert got[0] == pytest.approx(got[1], rel=1e-9) and got[0] == pytest.approx(got[2], rel=1e-9)
-
-
-def test_automaton_score_is_the_whole_automaton(spark):
-    texts, docs, held = small_corpus(spark)
-    code, n = lm.tally(lm.grams(*lm.symbols([lm.tokens(t) for i, t in enumerate(texts) if i % 7])))
-    arcs, states = [], []
-    for o in range(lm.ORDER + 1):
-        c, m = lm.tally(code & np.uint64((1 << 8 * (o + 1)) - 1), n)
-        x, t = lm.tally(c >> np.uint64(8), m)
-        arcs.append((c, m))
-        states.append((x, t, lm.tally(c >> np.uint64(8), np.ones(len(c), int))[1]))
-    want = lm.Automaton.build(arcs, states).score(*lm.symbols([lm.tokens(t) for t in texts]))
-    for share in (lm.COMMON, 0.01):
-        got = {r["doc_id"]: r["automaton_score"] for r in lm.evaluate(docs, held, share).collect()}
-        assert [got[i] for i in range(len(texts))] == pytest.approx(want.tolist(), rel=1e-5, abs=1e-4)
+    toks = {i: [*words(t), None] for i, t in enumerate(texts)}
+    want, _ = brute_lm(toks, {i: i % 7 == 0 for i in toks})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(9)
+    for part in (lm.PART, 64):
+        got = {r["doc_id"]: (r["score"], r["base_score"]) for r in lm.evaluate(docs, F.col("doc_id") % 7 == 0, part).collect()}
+        assert all(got[i] == pytest.approx(want[i], rel=1e-9) for i in toks) and len(got) == len(toks)
+
+
+def test_automaton_sums_to_one():
+    texts = ["a b c a b", "a b d", "", "c c c c", "b a"]
+    block = lm.Block.of([*texts, "a x c y b"], np.array([False] * len(texts) + [True]))
+    grams = block.ngrams()
+    counts = grams.counts(block)
+    one = counts[: grams.size - 1]
+    automaton = lm.Automaton.build(grams, counts, len(texts), int(one.sum()), int((one > 0).sum()))
+    known, unseen = np.flatnonzero(one > 0), np.flatnonzero(one == 0)
+    assert len(unseen) == 2
+    end = block.word[block.starts[1] - 1]
+    last = np.concatenate([[-1], np.arange(grams.size), grams.two % grams.size])
+    for state in np.flatnonzero(last != end):  # nothing follows an end
+        every = np.append(known, unseen[0])
+        assert (10.0 ** automaton.step(np.full(len(every), state), every)[1]).sum() == pytest.approx(1)
+        same = automaton.step(np.full(2, state), unseen)[1]
+        assert same[0] == same[1]
+
+
+def test_packed_numbers():
+    for values in ([], [0], [5, 0, 1 << 63, 300], list(range(70000))):
+        assert lm.unpack(lm.pack(np.array(values, np.uint64))).tolist() == values
 
 
 # 3
