@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import struct
 import zlib
 from array import array
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import cut_at_spaces, slices, table
 from .media import scratch
 
-MAGIC = b"RPS1"
+MAGIC = b"RPS2"
 #: Ids of a shard, about; documents are never cut.
 SHARD_IDS = 1 << 20
 #: Pairs must occur so often in a shard, without overlaps, to get a rule.
@@ -28,11 +29,6 @@ NULL = -(1 << 63)
 REMEMBERED = 1_200_000
 
 
-def slots(pairs: np.ndarray) -> np.ndarray:
-    """Places of pairs in a table of 2**20, to tell apart most of those that occur once."""
-    return ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-
-
 def compress(ids: np.ndarray, first: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair: rules (a, b) for symbols first, first + 1, ...; their expansion lengths; the reduced sequence.
 
@@ -40,51 +36,65 @@ def compress(ids: np.ndarray, first: int, least: int = LEAST) -> tuple[np.ndarra
     frequent first, and replaces each occurrence that ranks before both that it overlaps (of a stretch of equal
     ones, every other). Pairs of which fewer than two are left to replace wait. Ends when no pair is left: the
     first in rank is always replaced wherever it was counted.
+
+    Replacing makes no more of a pair of symbols that are there, so a round looks at those places alone whose pair
+    was frequent in the last one or has a new symbol. A pair and its place are sorted as one number.
     """
     least = max(least, 2)
     seq = ids.astype(np.uint32)
-    rules, lengths = np.zeros((0, 2), np.uint32), np.zeros(0, np.uint32)
-    while len(seq) > 1:
-        pairs = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        index = np.arange(len(pairs))
-        fresh = np.append(True, pairs[1:] != pairs[:-1])
-        even = (index - np.maximum.accumulate(np.where(fresh, index, 0))) & 1 == 0
-        at = slots(pairs)
-        place = np.flatnonzero(even & (np.bincount(at, even, 1 << 20)[at] >= least))
-        order = place[np.argsort(pairs[place], kind="stable")]
-        ordered = pairs[order]
-        starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(order) else np.zeros(0, int)
-        counts = np.diff(np.append(starts, len(ordered)))
-        often = np.flatnonzero(counts >= least)
-        if not len(often):
+    active = np.arange(max(0, len(seq) - 1))
+    rules, lengths, n_rules = [np.zeros((0, 2), np.uint32)], np.zeros(0, np.uint32), 0
+    while len(active):
+        a, b = seq[active], seq[active + 1]
+        even, odd = np.ones(len(active), bool), active[:0]
+        same = np.flatnonzero(a == b)
+        if len(same):
+            at, index = active[same], np.arange(len(same))
+            fresh = np.append(True, (at[1:] != at[:-1] + 1) | (a[same[1:]] != a[same[:-1]]))
+            late = (index - np.maximum.accumulate(np.where(fresh, index, 0))) & 1 == 1
+            even[same[late]], odd = False, at[late]
+        place = active[even]
+        bits, room = np.uint64((first + n_rules).bit_length()), np.uint64(len(seq).bit_length())
+        pairs = a[even].astype(np.uint64) << bits | b[even]
+        if 2 * bits + room <= 64:
+            key = np.sort(pairs << room | place.astype(np.uint64))
+            pairs, place = key >> room, (key & ((np.uint64(1) << room) - np.uint64(1))).astype(np.int64)
+        else:
+            order = np.argsort(pairs, kind="stable")
+            pairs, place = pairs[order], place[order]
+        starts = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)])
+        counts = np.diff(np.append(starts, len(pairs)))
+        often = counts >= least
+        none = int(often.sum())
+        if not none:
             break
-        often = often[np.argsort(-counts[often], kind="stable")]
-        none = len(often)
-        ranks = np.full(len(starts), none)
-        ranks[often] = np.arange(none)
-        rank = np.full(len(pairs), none)
-        rank[order] = np.repeat(ranks, counts)
-        odd = np.flatnonzero(~even)
+        place, chosen, counts = place[np.repeat(often, counts)], pairs[starts[often]], counts[often]
+        order = np.argsort(-counts, kind="stable")
+        ranks = np.empty(none, np.int32)
+        ranks[order] = np.arange(none, dtype=np.int32)
+        own = np.repeat(ranks, counts)
+        rank = np.full(len(seq) + 1, none, np.int32)  # its last is also before its first
+        rank[place] = own
         rank[odd] = rank[odd - 1]
-        take = even & (rank < none)
-        take[1:] &= rank[1:] <= rank[:-1]
-        take[:-1] &= rank[:-1] <= rank[1:]
-        times = np.bincount(rank[take], minlength=none)
-        used = np.flatnonzero(times >= 2)
-        where = np.flatnonzero(take)
-        where = where[times[rank[where]] >= 2]
-        number = np.zeros(none, np.uint32)
-        number[used] = first + len(rules) + np.arange(len(used), dtype=np.uint32)
-        out = seq.copy()
-        out[where] = number[rank[where]]
-        keep = np.ones(len(seq), bool)
-        keep[where + 1] = False
-        chosen = ordered[starts[often[used]]]
-        new = np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
-        size = lambda s: np.where(s < first, 1, np.append(lengths, 0)[np.minimum(np.maximum(s.astype(np.int64) - first, 0), len(lengths))])  # noqa: B023, E731
-        rules, lengths = np.concatenate([rules, new]), np.concatenate([lengths, (size(new[:, 0]) + size(new[:, 1])).astype(np.uint32)])
-        seq = out[keep]
-    return rules, lengths, seq
+        take = (own <= rank[place - 1]) & (own <= rank[place + 1])
+        where, own = place[take], own[take]
+        used = np.bincount(own, minlength=none) >= 2
+        where, own = where[used[own]], own[used[own]]
+        number = np.cumsum(used, dtype=np.uint32) + np.uint32(first + n_rules - 1)
+        seq[where] = number[own]
+        new = chosen[order[used]]
+        new = np.stack([new >> bits, new & ((np.uint64(1) << bits) - np.uint64(1))], 1).astype(np.uint32)
+        size = lambda s: np.where(s < first, 1, np.append(lengths, 0)[np.where(s < first, len(lengths), s.astype(np.int64) - first)])  # noqa: B023, E731
+        lengths = np.append(lengths, (size(new[:, 0]) + size(new[:, 1])).astype(np.uint32))
+        rules.append(new)
+        n_rules += len(new)
+        stays, live = np.ones(len(seq), bool), np.zeros(len(seq), bool)
+        stays[where + 1] = False
+        live[place] = live[odd[rank[odd] < none]] = live[where] = live[where - 1] = True
+        seq, live = seq[stays], live[stays]
+        live[-1] = False
+        active = np.flatnonzero(live)
+    return np.concatenate(rules), lengths, seq
 
 
 def expand(seq: np.ndarray, rules: np.ndarray, first: int, lengths: np.ndarray | None = None) -> np.ndarray:
@@ -116,16 +126,18 @@ def expand(seq: np.ndarray, rules: np.ndarray, first: int, lengths: np.ndarray |
 
 def write_shard(docs: np.ndarray, counts: np.ndarray, ids: np.ndarray, first: int) -> bytes:
     """A shard: magic; numbers of documents, rules, symbols, ids; first nonterminal; document ids and
-    token counts; rules; expansion lengths; symbols; the expanded place of every STEP-th symbol."""
+    token counts; symbols of the rules, two each, and of the sequence, as planes of their bytes, lowest first; expansion
+    lengths; the expanded place of every STEP-th symbol."""
     rules, lengths, seq = compress(ids, first)
-    wide = max(int(seq.max(initial=0)), int(rules.max(initial=0))) > 0xFFFF
     sizes = np.ones(len(seq), np.int64)
     over = seq >= first
     sizes[over] = lengths[seq[over] - first]
     places = np.cumsum(sizes) - sizes
-    head = MAGIC + struct.pack("<QQQQIB", len(docs), len(rules), len(seq), len(ids), first, wide)
-    kind = "<u4" if wide else "<u2"
-    return b"".join((head, docs.astype("<i8").tobytes(), counts.astype("<u4").tobytes(), rules.astype(kind).tobytes(), lengths.astype("<u4").tobytes(), seq.astype(kind).tobytes(), places[::STEP].astype("<u8").tobytes()))
+    symbols = np.concatenate([rules.ravel(), seq])
+    width = max(1, (int(symbols.max(initial=0)).bit_length() + 7) // 8)
+    head = MAGIC + struct.pack("<QQQQIB", len(docs), len(rules), len(seq), len(ids), first, width)
+    planes = [np.ascontiguousarray(symbols.astype("<u4").view(np.uint8)[i::4]).tobytes() for i in range(width)]
+    return b"".join((head, docs.astype("<i8").tobytes(), counts.astype("<u4").tobytes(), *planes, lengths.astype("<u4").tobytes(), places[::STEP].astype("<u8").tobytes()))
 
 
 class Shard:
@@ -134,14 +146,18 @@ class Shard:
     def __init__(self, blob: bytes):
         if blob[:4] != MAGIC:
             raise ValueError("not a shard of token ids")
-        nd, nr, ns, self.n_ids, self.first, wide = struct.unpack_from("<QQQQIB", blob, 4)
-        at, kind = 4 + struct.calcsize("<QQQQIB"), "<u4" if wide else "<u2"
+        nd, nr, ns, self.n_ids, self.first, width = struct.unpack_from("<QQQQIB", blob, 4)
+        at, n = 4 + struct.calcsize("<QQQQIB"), 2 * nr + ns
         parts = []
-        for what, n in (("<i8", nd), ("<u4", nd), (kind, 2 * nr), ("<u4", nr), (kind, ns), ("<u8", -(-ns // STEP))):
-            parts.append(np.frombuffer(blob, what, n, at))
+        for what, many in (("<i8", nd), ("<u4", nd), *[("u1", n)] * width, ("<u4", nr), ("<u8", -(-ns // STEP))):
+            parts.append(np.frombuffer(blob, what, many, at))
             at += parts[-1].nbytes
-        self.docs, self.counts, rules, self.lengths, self.seq, self.places = parts
-        self.rules = rules.reshape(-1, 2).astype(np.uint32)
+        self.docs, self.counts, *planes, self.lengths, self.places = parts
+        symbols = np.zeros((n, 4), np.uint8)
+        for i, plane in enumerate(planes):
+            symbols[:, i] = plane
+        symbols = symbols.reshape(-1).view("<u4")
+        self.rules, self.seq = symbols[: 2 * nr].reshape(-1, 2), symbols[2 * nr :]
         self.starts = np.cumsum(self.counts.astype(np.int64)) - self.counts
 
     def all(self) -> np.ndarray:
@@ -232,12 +248,16 @@ class Tokens:
         The library splits a text before every space that stands between two characters that are
         not white space, so texts are cut there; others, and those with a special token, go to it whole.
         """
+        collecting = gc.isenabled()
+        gc.disable()  # it would walk the lists of pieces again and again
         split = [None if t and any(s in t for s in self.special) else cut_at_spaces(t) for t in texts]
         self.pieces.fresh = []
         get = self.pieces.__getitem__
         found = [list(map(get, parts)) if parts else [] for parts in split]
         self.learn(self.pieces.fresh)
         out = [b"".join(ids) for ids in found]
+        if collecting:
+            gc.enable()
         whole = [i for i, parts in enumerate(split) if parts is None]
         for i, ids in zip(whole, self.ask([texts[i] for i in whole]), strict=True):
             out[i] = ids
