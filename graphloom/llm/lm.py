@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -55,23 +56,46 @@ def unpack(data: bytes) -> np.ndarray:
     return planes.reshape(-1).view("<u8")
 
 
-def tally(codes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def ordered(values: np.ndarray, bits: int) -> np.ndarray:
+    """The order of unsigned numbers of so many bits: as many of the leading bits as there is room for are sorted
+    beside the place, as one number; the few that these leave out of order are swapped."""
+    room = len(values).bit_length()
+    short = np.uint64(max(0, bits + room - 64))
+    mask = np.uint64((1 << room) - 1)
+    order = (np.sort((values >> short) << np.uint64(room) | np.arange(len(values), dtype=np.uint64)) & mask).astype(np.int32 if room < 32 else np.int64)
+    while short and len(bad := np.flatnonzero((found := values[order])[1:] < found[:-1])):
+        bad = bad[np.append(True, np.diff(bad) > 1)]
+        order[bad], order[bad + 1] = order[bad + 1], order[bad]
+    return order
+
+
+def tally(codes: np.ndarray, bits: int, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
     """Distinct codes in order, the sums of their weights, and the place among them of each code."""
-    order = np.argsort(codes)
-    ordered = codes[order]
-    fresh = np.append(True, ordered[1:] != ordered[:-1])[: len(codes)]
+    order = ordered(codes, bits)
+    sorted_ = codes[order]
+    fresh = np.append(True, sorted_[1:] != sorted_[:-1])[: len(codes)]
     at = np.flatnonzero(fresh)
-    place = np.empty(len(codes), np.int64)
-    place[order] = np.cumsum(fresh) - 1
-    return ordered[at], np.add.reduceat(weights[order], at) if len(at) else weights[:0], place
+    place = np.empty(len(codes), np.int32)
+    place[order] = np.cumsum(fresh, dtype=np.int32) - np.int32(1)
+    return sorted_[at], None if weights is None else np.add.reduceat(weights[order], at) if len(at) else weights[:0], place
+
+
+class Known(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+
+def digests(words) -> np.ndarray:
+    """64-bit digests, which stand for the words."""
+    return np.array(list(map(xxhash.xxh3_64_intdigest, words)), np.uint64)
 
 
 @dataclass
 class Block:
-    """Token sequences, each with an end, as places among their sorted distinct digests.
-
-    starts: of each sequence. word: by token; before: the token before, or len(digests) for a start.
-    """
+    """Token sequences, each with an end, as places among their sorted distinct digests: by token, its word."""
 
     digests: np.ndarray
     word: np.ndarray
@@ -80,17 +104,14 @@ class Block:
 
     @classmethod
     def of(cls, texts: list[str | None], held: np.ndarray) -> Block:
-        known: dict[bytes, int] = {END: 0}
-        places: list[int] = []
-        lengths = []
+        known = Known({END: 0})
+        places, lengths, end = [], [], np.zeros(1, np.int32)
         for text in texts:
             found = tokens(text)
-            places += [known.setdefault(w, len(known)) for w in found]
-            places.append(0)
+            places += [np.fromiter(map(known.__getitem__, found), np.int32, len(found)), end]
             lengths.append(len(found) + 1)
-        digests = np.array(list(map(xxhash.xxh3_64_intdigest, known)), np.uint64)
-        digests, _, rank = tally(digests, np.ones(len(digests), np.int64))
-        return cls(digests, rank[np.array(places, np.int64)], np.array(lengths, np.int64), held)
+        names, _, rank = tally(digests(known), 64)
+        return cls(names, rank[np.concatenate(places)] if places else rank[:0], np.array(lengths, np.int64), held)
 
     @property
     def starts(self) -> np.ndarray:
@@ -99,24 +120,29 @@ class Block:
     @property
     def taught(self) -> np.ndarray:
         """1 for each token of a training sequence, 0 for others."""
-        return np.repeat(~self.held, self.lengths).astype(np.int64)
+        return np.repeat(~self.held, self.lengths).astype(np.float64)
 
     def ngrams(self) -> Ngrams:
         """The distinct n-grams of the block. An n-gram of two or three ends at each token with as many before it, of which a start is one."""
         size = len(self.digests) + 1
-        before = np.append(0, self.word[:-1])
-        before[self.starts] = size - 1
-        two, _, of_two = tally(before * size + self.word, before[:0] if not len(before) else self.taught)
+        wide = np.uint64(size)
+        before = np.append(self.word[:1], self.word[:-1]).astype(np.uint64)
+        before[self.starts] = wide - np.uint64(1)
+        two, _, of_two = tally(before * wide + self.word.astype(np.uint64), 2 * size.bit_length())
+        del before
         inner = np.ones(len(self.word), bool)
         inner[self.starts] = False
         at = np.flatnonzero(inner)
-        three, _, of_three = tally(of_two[at - 1] * size + self.word[at], self.taught[at])
-        return Ngrams(size, two, of_two, three, of_three, at)
+        three, _, of_three = tally(of_two[at - 1].astype(np.uint64) * wide + self.word[at].astype(np.uint64), len(two).bit_length() + size.bit_length())
+        last = np.empty(len(three), np.int32)
+        last[of_three] = of_two[at]
+        return Ngrams(size, two, of_two, three, of_three, at, last)
 
 
 @dataclass
 class Ngrams:
-    """two: (word before, word); three: (place of the first two words in two, word); of_two, of_three: place by token, of those at `at` for three."""
+    """two: word before, times size, and word; three: place of the first two words in two, times size, and word; of_two,
+    of_three: place by token, of those at `at` for three; last: place in two of the last two words of three."""
 
     size: int
     two: np.ndarray
@@ -124,19 +150,25 @@ class Ngrams:
     three: np.ndarray
     of_three: np.ndarray
     at: np.ndarray
+    last: np.ndarray
+
+    def parts(self, three: bool) -> tuple[np.ndarray, np.ndarray]:
+        context, word = np.divmod(self.three if three else self.two, np.uint64(self.size))
+        return context.astype(np.int32), word.astype(np.int32)
 
-    def codes(self, digests: np.ndarray, bits: int) -> np.ndarray:
+    def codes(self, names: np.ndarray, bits: int) -> np.ndarray:
         """Codes of all words, then n-grams of two, then of three."""
-        name = np.append(digests, np.uint64(xxhash.xxh3_64_intdigest(START)))
-        pairs = mix(mix(name[self.two // self.size] + A) * B + name[self.two % self.size])
-        triples = mix(pairs[self.three // self.size] * C + name[self.three % self.size])
-        return np.concatenate([mix(digests * A + C), pairs, triples]) >> np.uint64(64 - bits)
+        every = np.append(names, np.uint64(xxhash.xxh3_64_intdigest(START)))
+        context, word = self.parts(False)
+        pairs = mix(mix(every + A)[context] * B + every[word])
+        context, word = self.parts(True)
+        triples = mix(pairs[context] * C + every[word])
+        return np.concatenate([mix(names * A + C), pairs, triples]) >> np.uint64(64 - bits)
 
     def counts(self, block: Block) -> np.ndarray:
         """How often the block's training sequences hold each."""
         taught = block.taught
-        count = lambda places, n, weight: np.bincount(places, weight, n).astype(np.int64)
-        return np.concatenate([count(block.word, self.size - 1, taught), count(self.of_two, len(self.two), taught), count(self.of_three, len(self.three), taught[self.at])])
+        return np.concatenate([np.bincount(block.word, taught, self.size - 1), np.bincount(self.of_two, taught, len(self.two)), np.bincount(self.of_three, taught[self.at], len(self.three))]).astype(np.int64)
 
 
 @dataclass
@@ -144,11 +176,12 @@ class Automaton:
     """States are contexts: none (0), each word (1 + its place; that of a start last), and each n-gram of two that training holds.
 
     Arcs carry a word's log10 probability and the next state, the longest suffix that is a state. A failure arc
-    leads to the context without its oldest word, at the price of a weight. State 0 has an arc for each word.
+    leads to the context without its oldest word, at the price of a weight. State 0 has an arc for each word, the first ones.
     """
 
     size: int
     keys: np.ndarray
+    slots: np.ndarray
     goes: np.ndarray
     gains: np.ndarray
     fail: np.ndarray
@@ -165,60 +198,51 @@ class Automaton:
         one, two, three = np.split(counts, [words, words + len(grams.two)])
         of_one = (one + 1) / (total + types + 1)
         seen = np.append(one, sequences)
-        context, word = grams.two // size, grams.two % size
+        context, word = grams.parts(False)
         of_two = (two + WEIGHTS[0] * of_one[word]) / (seen[context] + WEIGHTS[0])
-        pair, third = grams.three // size, grams.three % size
-        # the last two words of an n-gram of three are in the block too
-        last = np.searchsorted(grams.two, word[pair] * size + third)
-        of_three = (three + WEIGHTS[1] * of_two[last]) / (two[pair] + WEIGHTS[1])
-        state_of_two = np.where(two > 0, 1 + size + np.arange(len(two)), 1 + word)
-        arc_two, arc_three = np.flatnonzero(two > 0), np.flatnonzero(three > 0)
-        owner = np.concatenate([np.zeros(words, np.int64), 1 + context[arc_two], 1 + size + pair[arc_three]])
-        by = np.concatenate([np.arange(words), word[arc_two], third[arc_three]])
-        goes = np.concatenate([1 + np.arange(words), state_of_two[arc_two], state_of_two[last[arc_three]]])
-        gains = np.log10(np.concatenate([of_one, of_two[arc_two], of_three[arc_three]]))
-        fail = np.concatenate([np.zeros(1 + size, np.int64), 1 + word])
+        pair, third = grams.parts(True)
+        of_three = (three + WEIGHTS[1] * of_two[grams.last]) / (two[pair] + WEIGHTS[1])
+        state = np.where(two > 0, 1 + size + np.arange(len(two), dtype=np.int32), 1 + word)
+        use_two, use_three = two > 0, three > 0
+        keys = np.concatenate([np.arange(words), (1 + context[use_two]) * np.int64(size) + word[use_two], (1 + size + pair[use_three]) * np.int64(size) + third[use_three]])
+        goes = np.concatenate([1 + np.arange(words, dtype=np.int32), state[use_two], state[grams.last[use_three]]])
+        gains = np.log10(np.concatenate([of_one, of_two[use_two], of_three[use_three]]))
+        fail = np.concatenate([np.zeros(1 + size, np.int32), 1 + word])
         price = np.log10(np.concatenate([[1.0], WEIGHTS[0] / (seen + WEIGHTS[0]), WEIGHTS[1] / (two + WEIGHTS[1])]))
-        key = owner * size + by
-        room = 1 << max(4, int(2 * len(key)).bit_length())
-        keys, arc = np.full(room, -1, np.int64), np.full(room, -1, np.int64)
-        left, slot = np.arange(len(key)), cls.slot(key, room)
+        slots = np.full(1 << max(4, int(2 * len(keys)).bit_length()), -1, np.int32)
+        left = np.arange(words, len(keys), dtype=np.int32)
+        slot = cls.slot(keys[words:], len(slots))
         while len(left):
-            free = arc[slot] < 0
-            arc[slot[free]] = left[free]
-            won = arc[slot] == left
-            left, slot = left[~won], (slot[~won] + 1) & (room - 1)
-        used = arc >= 0
-        keys[used] = key[arc[used]]
-        to, gained = np.zeros(room, np.int64), np.zeros(room)
-        to[used], gained[used] = goes[arc[used]], gains[arc[used]]
-        return cls(size, keys, to, gained, fail, price)
+            free = slots[slot] < 0
+            slots[slot[free]] = left[free]
+            lost = slots[slot] != left
+            left, slot = left[lost], (slot[lost] + 1) & (len(slots) - 1)
+        return cls(size, keys, slots, goes, gains, fail, price)
 
     @staticmethod
     def slot(key: np.ndarray, room: int) -> np.ndarray:
-        return (mix(key.astype(np.uint64)) & np.uint64(room - 1)).astype(np.int64)
+        return (key.astype(np.uint64) * A >> np.uint64(65 - room.bit_length())).astype(np.int64)
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each lane goes and the log10 probability it gains: along failure arcs until a state has the word."""
-        gained, out = np.zeros(len(state)), np.zeros(len(state), np.int64)
-        lanes, now, room = np.arange(len(state)), state, len(self.keys)
+        gained, arc = np.zeros(len(state)), word.copy()
+        lanes, now = np.flatnonzero(state), state[state > 0]
         while len(lanes):
-            key = now * self.size + word
-            slot = self.slot(key, room)
-            got = self.keys[slot]
-            missed = np.flatnonzero((got != key) & (got >= 0))
-            while len(missed):
-                slot[missed] = (slot[missed] + 1) & (room - 1)
-                got[missed] = self.keys[slot[missed]]
-                missed = missed[(got[missed] != key[missed]) & (got[missed] >= 0)]
-            hit = got == key
-            found, rest = lanes[hit], ~hit
-            out[found] = self.goes[slot[hit]]
-            gained[found] += self.gains[slot[hit]]
-            lanes, now, word = lanes[rest], now[rest], word[rest]
+            key = now * np.int64(self.size) + word[lanes]
+            slot = self.slot(key, len(self.slots))
+            got = self.slots[slot]
+            miss = np.flatnonzero((got >= 0) & (self.keys[got] != key))
+            while len(miss):
+                slot[miss] = (slot[miss] + 1) & (len(self.slots) - 1)
+                got[miss] = self.slots[slot[miss]]
+                miss = miss[(got[miss] >= 0) & (self.keys[got[miss]] != key[miss])]
+            hit = got >= 0
+            arc[lanes[hit]] = got[hit]
+            lanes, now = lanes[~hit], now[~hit]
             gained[lanes] += self.price[now]
             now = self.fail[now]
-        return out, gained
+            lanes, now = lanes[now > 0], now[now > 0]
+        return self.goes[arc], gained + self.gains[arc]
 
     def traverse(self, word: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """log10 probability of each sequence.
@@ -235,7 +259,7 @@ class Automaton:
         length = np.minimum(begin + LANE, (starts + lengths)[of]) - begin
         order = np.argsort(-length, kind="stable")
         of, begin, length = of[order], begin[order], length[order]
-        sums, state = np.zeros(len(of)), np.zeros(len(of), np.int64)
+        sums, state = np.zeros(len(of)), np.zeros(len(of), np.int32)
         live = np.searchsorted(-length, -np.arange(LANE), "left")
         for t in range(-CONTEXT, int(length[0])):
             n = live[t] if t > 0 else len(of)
@@ -272,7 +296,7 @@ def opened(b: pa.RecordBatch | pa.Table, i: int = 0) -> Block:
     row = b.slice(i, 1)
     digests = np.cumsum(unpack(row.column("digests")[0].as_py()), dtype=np.uint64)
     lists = [np.array(row.column(c)[0].as_py(), kind) for c, kind in (("lengths", np.int64), ("held", bool))]
-    return Block(digests, unpack(row.column("places")[0].as_py()).astype(np.int64), *lists)
+    return Block(digests, unpack(row.column("places")[0].as_py()).astype(np.int32), *lists)
 
 
 def parted(codes: np.ndarray, bits: int, parts: int) -> np.ndarray:
@@ -299,14 +323,20 @@ def evaluate(docs: DataFrame, held_out: Column, part: int = PART) -> DataFrame:
 
     def to_words(batches):
         for b in gathered(batches):
-            block = Block.of(b.column(1).to_pylist(), b.column(2).to_numpy(zero_copy_only=False))
-            counts = np.bincount(block.word, block.taught, len(block.digests)).astype(np.int64)
-            use = counts > 0
-            sequences = np.where(block.digests == xxhash.xxh3_64_intdigest(END), counts, 0)
-            extra = [len(block.word)] + [0] * (len(use) - 1)
-            keep = use | (np.arange(len(use)) == 0)
+            counts, every = Counter({END: 0}), b.num_rows
+            for text, held in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                found = tokens(text)
+                every += len(found)
+                if not held:
+                    counts.update(found)
+                    counts[END] += 1
+            n = np.array(list(counts.values()), np.int64)
+            ends = np.zeros((2, len(n)), np.int64)
+            ends[:, 0] = counts[END], every
+            names = digests(counts)
+            del counts
             settle()
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep].astype(np.int64)) for x in (block.digests.view(np.int64), counts, sequences, np.array(extra))], names=["word", "c", "s", "every"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (names.view(np.int64), n, *ends)], names=["word", "c", "s", "every"])
 
     words = rows.mapInArrow(to_words, "word long, c long, s long, every long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("s").alias("s"), F.sum("every").alias("every"))
     total, types, sequences, every = (x or 0 for x in words.agg(F.sum("c"), F.count_if(F.col("c") > 0), F.sum("s"), F.sum("every")).first())
@@ -336,8 +366,8 @@ def evaluate(docs: DataFrame, held_out: Column, part: int = PART) -> DataFrame:
             for i in range(batch.num_rows):
                 block = opened(batch, i)
                 grams = block.ngrams()
-                codes, counts, _ = tally(grams.codes(block.digests, bits), grams.counts(block))
-                del grams
+                codes, counts, _ = tally(grams.codes(block.digests, bits), bits, grams.counts(block))
+                del grams, block
                 cuts = parted(codes, bits, parts)
                 name = batch.column(0)[i].as_py()
                 for j, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
@@ -350,7 +380,7 @@ def evaluate(docs: DataFrame, held_out: Column, part: int = PART) -> DataFrame:
         def answers(part, names, codes, counts):
             sizes = list(map(len, codes))
             own = np.concatenate(counts)
-            _, sums, place = tally(np.concatenate(codes), own)
+            _, sums, place = tally(np.concatenate(codes), bits, own)
             others = np.split(sums[place] - own, np.cumsum(sizes)[:-1])
             blobs = [pack(x) for x in others]
             settle()
@@ -379,16 +409,17 @@ def evaluate(docs: DataFrame, held_out: Column, part: int = PART) -> DataFrame:
             return pa.table({})
         block = opened(left.combine_chunks())
         grams = block.ngrams()
-        _, own, place = tally(grams.codes(block.digests, bits), grams.counts(block))
+        _, own, place = tally(grams.codes(block.digests, bits), bits, grams.counts(block))
         order = np.argsort(right.column("part").to_numpy())
         counts = own + np.concatenate([unpack(right.column("others")[int(i)].as_py()).astype(np.int64) for i in order])
         counts = counts[place]
+        del own, place
         automaton = Automaton.build(grams, counts, sequences, total, types)
         seen = counts[: grams.size - 1]
         starts, lengths = block.starts, block.lengths
         of = lambda x: np.add.reduceat(x[block.word], starts)
         out = [left.column("docs").combine_chunks().flatten(), pa.array(block.held), pa.array(lengths), pa.array(of((seen > 0).astype(np.int64))), pa.array(np.full(len(lengths), total, np.int64)), pa.array(of(np.log10((seen + 1.0) / (total + types + 1.0)))), pa.array(automaton.traverse(block.word, lengths))]
-        del automaton, grams, block, counts, place
+        del automaton, grams, block, counts
         settle()
         return pa.Table.from_arrays(out, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
