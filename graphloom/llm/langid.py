@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, drawn, slices, table, utf8_column
+from .common import checkpointed, slices, table, utf8_column
 from .url_filter import host_of
 
-#: Hashed byte trigrams; labelled texts the text model is fitted on, about (those of the smallest digests).
-SLOTS, SAMPLE = 1 << 15, 4000
+#: Hashed byte trigrams; labelled texts the text model is fitted on, about; languages it knows at most.
+SLOTS, SAMPLE, MOST = 1 << 15, 4000, 500
 #: A text counts as so many independent trigrams at most, as its trigrams depend on each other.
 WORTH = 60
 #: Pseudo-counts: of the parent's distribution for a domain and a host, of each value for a declared language or suffix.
@@ -56,17 +56,6 @@ class TextModel:
     langs: list[str]
     table: np.ndarray
 
-    @classmethod
-    def fit(cls, langs: list[str | None], texts: pa.Array) -> TextModel:
-        names = sorted({x for x in langs if x})
-        counts = np.full((len(names), SLOTS), 0.5)
-        slot, weight, offsets = trigrams(texts)
-        for i, name in enumerate(langs):
-            if name:
-                part = slice(offsets[i], offsets[i + 1])
-                counts[names.index(name)] += np.bincount(slot[part], weight[part], SLOTS)
-        return cls(names, np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32))
-
     def score(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """(texts x languages) log-likelihoods of at most WORTH trigrams' weight, and the numbers of trigrams."""
         slot, weight, offsets = trigrams(texts)
@@ -77,11 +66,32 @@ class TextModel:
 
 
 def fit_text_model(labelled: DataFrame, sample: int = SAMPLE) -> TextModel:
-    """Fit on (doc_id, text, lang), on about `sample` rows (a quarter more at most)."""
-    named = labelled.where("lang is not null and lang <> ''")
-    rows = drawn(named.select("doc_id", "lang", F.col("text").cast("string").alias("text")), "doc_id", named.select("lang").count(), sample)
-    found = rows.where("text is not null").select("lang", "text").toArrow()
-    return TextModel.fit(found.column(0).to_pylist(), found.column(1))
+    """Fit on (doc_id, text, lang): about as many texts of each language, `sample` in all, those of the smallest digests.
+
+    Languages are counted over all rows, so a rare one is known too; of more than MOST, the most frequent count.
+    Trigrams are counted where the texts are; only sums by language and slot reach the driver. Null texts hold none.
+    """
+    named = labelled.select("doc_id", "lang", F.col("text").cast("string").alias("text")).where("lang is not null and lang <> ''")
+    sizes = {r["lang"]: r["count"] for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST).collect()}
+    names = sorted(sizes)
+    counts = np.full((len(names), SLOTS), 0.5)
+    if names:
+        each = max(1, sample // len(names))
+        bars = [F.lit(x) for name in names for x in (name, min((1 << 63) - 1, -(1 << 63) + (1 << 64) * each // sizes[name]))]
+        rows = named.where(F.xxhash64("doc_id") <= F.create_map(*bars)[F.col("lang")]).select("lang", "text")
+
+        def run(batches):
+            for whole in batches:
+                for b in slices(whole, "text"):
+                    slot, weight, offsets = trigrams(b.column(1))
+                    own = np.array([names.index(x) for x in b.column(0).to_pylist()], np.int64)
+                    sums = np.bincount(np.repeat(own, np.diff(offsets)) * SLOTS + slot, weight)
+                    at = np.flatnonzero(sums)
+                    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["at", "n"])
+
+        found = rows.mapInArrow(run, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+        np.add.at(counts.reshape(-1), found.column("at").to_numpy(), found.column("n").to_numpy())
+    return TextModel(names, np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32))
 
 
 def declared_language(value: Column) -> Column:
