@@ -157,7 +157,7 @@ def anchored(raw: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarr
     h, length, m = RANDOM[raw], 1, np.uint64(0xD6E8FEB86659FD93)
     while length < ANCHOR:
         h = h[:-length] * m + h[length:]
-        m, length = m * m, 2 * length
+        m, length = np.multiply(m, m, dtype=np.uint64), 2 * length
     own, width = mix(h), 1
     h = own
     while 2 * width <= span:
@@ -176,8 +176,25 @@ def anchored(raw: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarr
     return value[fresh], at[fresh], np.diff(np.append(fresh, len(at)))
 
 
-def _runs(docs: DataFrame, least: int) -> DataFrame:
-    """(anchor, run, doc, at): at holds a run's first window and their number, run is a hash of the bytes they cover."""
+def earliest(run: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of each distinct run's first occurrence by (doc, at), and of those that repeat one of them (not of the same occurrence given twice)."""
+    order = np.argsort(run)
+    sorted_ = run[order]
+    same = sorted_[1:] == sorted_[:-1]
+    many = np.append(same, False) | np.append(False, same) if len(run) else np.zeros(0, bool)
+    few = order[many]
+    few = few[np.lexsort((at[few], doc[few], run[few]))]
+    first = np.append(True, run[few[1:]] != run[few[:-1]])[: len(few)]
+    head = few[first][np.cumsum(first) - 1]
+    return np.sort(np.append(order[~many], few[first])), few[(doc[few] != doc[head]) | (at[few] != at[head])]
+
+
+def _runs(docs: DataFrame, least: int, again: bool = False) -> DataFrame:
+    """(anchor, run, doc, at): at holds a run's first window and their number, run is a hash of the bytes they cover.
+
+    Of equal runs of a slice of documents only the first by (doc, at) goes on, so a passage that a third of all rows hold
+    crosses the network once a slice. again: the others, which thus repeat an earlier one whatever other slices hold.
+    """
 
     def go(batches):
         for whole in batches:
@@ -189,7 +206,8 @@ def _runs(docs: DataFrame, least: int) -> DataFrame:
                 row = np.searchsorted(offsets, start, "right") - 1
                 doc = b.column(0).to_numpy(zero_copy_only=False)[row] if b.num_rows else np.zeros(0, np.int64)
                 at = (start - offsets[row]) << 32 | many
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(run.view(np.int64)), pa.array(doc.astype(np.int64)), pa.array(at)], names=["anchor", "run", "doc", "at"])
+                use = earliest(run, doc, at)[again]
+                yield pa.RecordBatch.from_arrays([pa.array(x[use].astype(np.int64, copy=False)) for x in (anchor.view(np.int64), run.view(np.int64), doc, at)], names=["anchor", "run", "doc", "at"])
 
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(go, "anchor long, run long, doc long, at long")
 
@@ -278,7 +296,8 @@ def repeated_spans(docs: DataFrame, least: int = 100) -> DataFrame:
     bytes; they may overlap. Documents without any are left out.
 
     Windows of `least` bytes are routed by anchors, of which neighbours share most. A run of windows of one anchor
-    that another run equals needs only the earliest of them; different runs of an anchor go to suffix arrays.
+    that another run equals needs only the earliest of them, which slices of documents settle among theirs before the shuffle;
+    different runs of an anchor go to suffix arrays.
     """
     runs = _runs(docs, least).repartition("anchor")
     # every column is used on both sides of the join, so that they read one exchange
@@ -288,7 +307,9 @@ def repeated_spans(docs: DataFrame, least: int = 100) -> DataFrame:
     kinds = checkpointed(again.groupBy("anchor", "run").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("c")))
     at, many = F.shiftright("at", 32), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))
     copies = again.join(kinds.where("c > 1").select("anchor", "run", "first"), ["anchor", "run"]).where(F.struct("doc", "at") != F.col("first"))
-    spans = copies.select("doc", at.alias("start"), (at + many + (least - 1)).alias("end"))
+    spans = copies.select("doc", at.alias("start"), (at + many + (least - 1)).alias("end")).unionByName(
+        _runs(docs, least, again=True).select("doc", at.alias("start"), (at + many + (least - 1)).alias("end"))
+    )
     crowds = kinds.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1")
     various = checkpointed(kinds.join(crowds, "anchor").select("anchor", F.col("first.doc").alias("doc"), F.col("first.at").alias("at"), "k"))
     spans = spans.unionByName(_by_shard(_pieces(docs, various.where(F.col("k") <= CROWD), least), least))
@@ -345,27 +366,30 @@ def remove_repeats(docs: DataFrame, least: int = 100) -> DataFrame:
 
 
 def strip_repeats(docs: DataFrame, least: int = 100) -> DataFrame:
-    """docs with the repeats removed from text, all columns kept (see remove_repeats).
+    """docs with the repeats removed from text, all columns kept, whatever their names (see remove_repeats).
 
     A character of which a byte is removed goes whole. n_chars, if there is one, is counted anew
-    in the documents that change.
+    in the documents that change. Rows with a null text, and those without a doc_id, stay as they are.
     """
     spans = checkpointed(repeated_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), least))
-    ids = spans.select("doc").distinct()
-    small = F.broadcast(ids) if ids.count() <= SMALL else ids
-    whole = docs.join(small, docs.doc_id == F.col("doc"), "left_anti")
-    touched = _only(docs, spans).join(spans, F.col("doc_id") == F.col("doc")).drop("doc")
+    found = spans.select(F.col("doc").alias("_repeats_in"), F.col("spans").alias("_repeats"))
+    ids = found.select("_repeats_in")
+    few = ids.count() <= SMALL
+    same = F.col("doc_id").cast("long") == F.col("_repeats_in")
+    whole = docs.join(F.broadcast(ids) if few else ids, same, "left_anti")
+    # ids first, as spans are longer than a list that is broadcast may be
+    touched = docs.join(F.broadcast(ids) if few else ids, same, "left_semi").join(found, same)
 
     def go(batches):
         for batch in batches:
             for b in slices(batch, "text", SLICE):
                 raw, offsets = utf8_column(b.column("text"))
                 data = raw.tobytes()
-                kept = [_cut(data[offsets[i] : offsets[i + 1]], found.values)[0].decode("utf-8", "ignore") for i, found in enumerate(b.column("spans"))]
+                kept = [_cut(data[offsets[i] : offsets[i + 1]], found.values)[0].decode("utf-8", "ignore") for i, found in enumerate(b.column("_repeats"))]
                 at = b.schema.get_field_index("text")
-                yield b.set_column(at, b.schema.field(at), pa.array(kept, b.schema.field(at).type)).drop_columns(["spans"])
+                yield b.set_column(at, b.schema.field(at), pa.array(kept, b.schema.field(at).type)).drop_columns(["_repeats"])
 
-    changed = touched.select(*docs.columns, "spans").mapInArrow(go, docs.schema)
+    changed = touched.select(*[F.col(f"`{c}`") for c in docs.columns], "_repeats").mapInArrow(go, docs.schema)
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return whole.unionByName(changed)
