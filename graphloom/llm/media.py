@@ -11,10 +11,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import ensure_checkpoint_dir, table
+from .common import ensure_checkpoint_dir, slices, table
 
 #: Bytes of a sample, samples of a chunk (each chunk's first sample is a sync sample), samples a second.
 SAMPLE, CHUNK, TIMESCALE = 64, 16, 8000
+#: Bytes of texts or media handled at once.
+HELD = 4 << 20
 #: Boxes that hold boxes; stsd and dref hold theirs after a version and a count.
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
 COUNTED = {b"stsd", b"dref"}
@@ -95,45 +97,60 @@ def boxes(data: memoryview, start: int, end: int, path: tuple[bytes, ...] = ())
 
 
 def probe(media: bytes | None) -> dict | None:
-    """Codec, duration, sample count and keyframe byte ranges of the first track, from its tables alone.
+    """Codec, duration, sample count and keyframe byte ranges of the first track with whole tables, from its tables alone.
 
-    The payload is never read. Null or bytes without a whole sample table give None. Without an
-    stss box every sample is a sync sample.
+    The payload is never read. Null, or bytes without such a track, give None: also a table that is cut off, tables that
+    disagree on the number of samples or chunks, and samples that lie outside of the bytes. Without an stss box every
+    sample is a sync sample.
     """
     if media is None:
         return None
-    data, found = memoryview(media), {}
+    data = memoryview(media)
     for path, body, stop in boxes(data, 0, len(data)):
-        if len(path) > 1 and path[-2] == b"stsd":
+        if path[-1] == b"trak":
+            try:
+                found = _track(data, body, stop)
+            except (struct.error, ValueError, IndexError):
+                found = None
+            if found is not None:
+                return found
+    return None
+
+
+def _track(data: memoryview, start: int, end: int) -> dict | None:
+    found: dict = {}
+    for path, body, stop in boxes(data, start, end, (b"moov", b"trak")):
+        if path[-2] == b"stsd":
             found.setdefault("codec", path[-1].decode("latin-1"))
         found.setdefault(path[-1], (body, stop))
     if not {b"mdhd", b"stts", b"stsc", b"stsz"} <= found.keys() or "codec" not in found or not ({b"stco", b"co64"} & found.keys()):
         return None
-    numbers = lambda at, count, kind: np.frombuffer(data, kind, count, at).astype(np.int64)
+
+    def entries(kind: bytes, width: str, wide: int = 1, skip: int = 4) -> np.ndarray:
+        at, stop = found[kind]
+        n = struct.unpack_from(">I", data, at + skip)[0] * wide
+        if at + skip + 4 + n * np.dtype(width).itemsize > stop:
+            raise ValueError("a table is cut off")
+        return np.frombuffer(data, width, n, at + skip + 4).astype(np.int64)
+
     at = found[b"mdhd"][0]
     scale, duration = struct.unpack_from(">IQ", data, at + 20) if data[at] else struct.unpack_from(">II", data, at + 12)
-    at = found[b"stsz"][0] + 4
-    fixed, n = struct.unpack_from(">II", data, at)
-    sizes = np.full(n, fixed, np.int64) if fixed else numbers(at + 8, n, ">u4")
-    kind, width = (b"stco", ">u4") if b"stco" in found else (b"co64", ">u8")
-    at = found[kind][0] + 4
-    places = numbers(at + 4, struct.unpack_from(">I", data, at)[0], width)
-    at = found[b"stsc"][0] + 4
-    runs = numbers(at + 4, 3 * struct.unpack_from(">I", data, at)[0], ">u4").reshape(-1, 3)
-    per = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(places) + 1)))
-    if per.sum() != n:
+    fixed, n = struct.unpack_from(">II", data, found[b"stsz"][0] + 4)
+    places = entries(b"stco", ">u4") if b"stco" in found else entries(b"co64", ">u8")
+    runs = entries(b"stsc", ">u4", 3).reshape(-1, 3)
+    steps = entries(b"stts", ">u4", 2).reshape(-1, 2)
+    many = np.diff(np.append(runs[:, 0], len(places) + 1))
+    if (many < 0).any() or int((runs[:, 1] * many).sum()) != n or int(steps[:, 0].sum()) != n:
         return None
+    sizes = np.full(n, fixed, np.int64) if fixed else entries(b"stsz", ">u4", skip=8)
+    per = np.repeat(runs[:, 1], many)
     chunk = np.repeat(np.arange(len(places)), per)
     ahead = np.cumsum(sizes) - sizes
     firsts = np.cumsum(per) - per
     offsets = places[chunk] + ahead - ahead[firsts[chunk]] if n else ahead
-    at = found[b"stts"][0] + 4
-    steps = numbers(at + 4, 2 * struct.unpack_from(">I", data, at)[0], ">u4").reshape(-1, 2)
-    if b"stss" in found:
-        at = found[b"stss"][0] + 4
-        sync = numbers(at + 4, struct.unpack_from(">I", data, at)[0], ">u4") - 1
-    else:
-        sync = np.arange(n)
+    sync = entries(b"stss", ">u4") - 1 if b"stss" in found else np.arange(n)
+    if n and (int((offsets + sizes).max()) > len(data) or int(offsets.min()) < 0) or len(sync) and not 0 <= int(sync.min()) <= int(sync.max()) < n:
+        return None
     return {
         "codec": found["codec"], "timescale": scale, "duration": duration, "samples": n, "ticks": int((steps[:, 0] * steps[:, 1]).sum()),
         "offsets": offsets, "sizes": sizes, "key_offsets": offsets[sync], "key_sizes": sizes[sync],
@@ -150,8 +167,7 @@ def payload_of(media: bytes, tables: dict) -> bytes:
     return b"".join(media[offsets[i] : offsets[j] + sizes[j]] for i, j in zip(first.tolist(), last.tolist(), strict=True))
 
 
-def padded(text: str | None) -> bytes:
-    raw = (text or "").encode("utf-8")
+def padded(raw: bytes) -> bytes:
     return raw + bytes(max(1, -(-len(raw) // SAMPLE)) * SAMPLE - len(raw))
 
 
@@ -162,17 +178,15 @@ def store(docs: DataFrame, path: str) -> DataFrame:
     """Write a media column for (doc_id, text) as a table at path, and read it back.
 
     A null text is stored as an empty one: one sample of zeros. Other columns are ignored; repeated
-    rows give repeated rows.
+    rows give repeated rows; an empty table gives an empty result.
     """
 
     def to_media(batches):
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            step = 512
-            for i in range(0, batch.num_rows, step):
-                raw = texts.slice(i, step).to_pylist()
-                sizes = [len((t or "").encode()) for t in raw]
-                yield pa.RecordBatch.from_arrays([ids.slice(i, step), pa.array(sizes, pa.int64()), pa.array([mux(padded(t)) for t in raw], pa.binary())], names=["doc_id", "n_bytes", "media"])
+        for whole in batches:
+            for batch in slices(whole, "text", HELD):
+                raw = [(t or "").encode() for t in batch.column(1).to_pylist()]
+                media = pa.array([mux(padded(t)) for t in raw], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in raw], pa.int64()), media], names=["doc_id", "n_bytes", "media"])
 
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     rows.mapInArrow(to_media, STORED).write.mode("overwrite").option("compression", "zstd").parquet(path)
@@ -186,10 +200,16 @@ FEATURES = (
 
 
 def features(stored: DataFrame) -> DataFrame:
-    """Digests of a stored media column with what its sample tables say: codec, duration, keyframe byte ranges."""
+    """Digests of a stored media column with what its sample tables say: codec, duration, keyframe byte ranges.
+
+    stored: doc_id, n_bytes, media; other columns are ignored. Media that probe() gives nothing for, nulls and empty ones
+    among them, get null in all but doc_id, n_bytes and the length and digest of the media itself (of no bytes for a
+    null). Rows are independent, repeated ones repeat; an empty table gives an empty result. About HELD bytes of media
+    are held at once, or one row.
+    """
 
     def read(batches):
-        for batch in batches:
+        for batch in (b for whole in batches for b in slices(whole, "media", HELD)):
             out = []
             for doc, n, media in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 t = probe(media)

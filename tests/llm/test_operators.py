@@ -450,16 +450,22 @@ def test_pieces_join_to_what_the_libraries_give():
 
 def test_media_round_trip(spark, sf, documents):
     for r in documents.limit(50).collect():
-        payload = media.padded(r["text"])
+        payload = media.padded((r["text"] or "").encode())
         tables = media.probe(media.mux(payload))
         assert media.payload_of(media.mux(payload), tables) == payload
         assert tables["codec"] == "raw " and tables["duration"] == tables["ticks"] == len(payload)
         assert tables["key_offsets"][0] == 32 and (tables["key_sizes"] == 64).all()
     got = {r["doc_id"]: r for r in media.op8(spark, sf).collect()}
     for r in documents.collect():
-        payload = media.padded(r["text"])
+        payload = media.padded((r["text"] or "").encode())
         g = got[r["doc_id"]]
         assert (g["n_bytes"], g["payload_bytes"], g["payload_sha256"], g["tail_crc32"]) == (len((r["text"] or "").encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        file, n = media.mux(payload), len(payload) // 64
+        assert (g["media_bytes"], g["media_sha256"], g["codec"], g["duration_s"]) == (len(file), hashlib.sha256(file).hexdigest(), "raw ", len(payload) / 8000)
+        keys = [(32 + 1024 * i, 64) for i in range(-(-n // 16))]
+        assert [tuple(k) for k in g["keyframes"]] == keys
+        assert g["feature"] == f"raw |{len(payload)}/8000|samples={n}|sync={len(keys)}|first={keys[0][0]}+64|last={keys[-1][0]}+64"
+        assert all(file[a : a + m] == payload[1024 * i : 1024 * i + 64] for i, (a, m) in enumerate(keys))
 
 
 def test_foreign_boxes():
@@ -471,6 +477,38 @@ def test_foreign_boxes():
         media.mux(b"abc")
 
 
+def track(samples, sync=None, sizes=None, stts=None):
+    """A trak of one chunk of samples at the given places' first."""
+    sizes = sizes or [8] * samples
+    tables = [
+        media.full(b"stsd", struct.pack(">I", 1), media.box(b"mp4a", bytes(28))), media.full(b"stts", struct.pack(">III", 1, samples if stts is None else stts, 10)),
+        *([media.full(b"stss", struct.pack(f">{len(sync) + 1}I", len(sync), *sync))] if sync is not None else []),
+        media.full(b"stsc", struct.pack(">4I", 1, 1, samples, 1)), media.full(b"stsz", struct.pack(f">{samples + 2}I", 0, samples, *sizes)), media.full(b"stco", struct.pack(">2I", 1, 0)),
+    ]
+    mdhd = media.full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 100, samples * 10, 0, 0))
+    return media.box(b"trak", media.box(b"mdia", mdhd, media.box(b"minf", media.box(b"stbl", *tables))))
+
+
+def test_tracks_do_not_mix():
+    both = media.box(b"moov", track(40), track(40, sync=[1, 2, 3]))
+    assert len(media.probe(both)["key_offsets"]) == 40
+    shorter = media.box(b"moov", track(3, sync=[2]), track(40, sync=[40]))
+    assert media.probe(shorter)["key_offsets"].tolist() == [8]
+    for damaged in (track(4, sync=[5]), track(4, sync=[0]), track(4, sizes=[8, 8, 8, 1 << 30]), track(4, stts=5)):
+        assert media.probe(media.box(b"moov", damaged)) is None
+        assert media.probe(media.box(b"moov", damaged, track(2)))["samples"] == 2
+    assert media.probe(media.box(b"moov", track(4)[:-3])) is None
+    cut = track(4)
+    assert media.probe(media.box(b"moov", cut.replace(struct.pack(">II", 0, 4), struct.pack(">II", 0, 400)))) is None
+
+
+def test_features_of_foreign_rows(spark):
+    rows = [(1, 0, None), (2, 0, bytearray()), (3, 3, bytearray(b"abc")), (None, 64, bytearray(media.mux(bytes(64))))]
+    got = {r["doc_id"]: r for r in media.features(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert [got[i]["media_bytes"] for i in (1, 2, 3)] == [0, 0, 3] and all(got[i]["payload_sha256"] is None for i in (1, 2, 3))
+    assert got[None]["payload_bytes"] == 64
+
+
 # 9
 
 
