@@ -20,8 +20,8 @@ GROWTH = 1.25
 BLOCK, MEMBERS = 1 << 19, 1024
 #: Bytes of text handled at once.
 SLICE = 2 << 20
-#: A list of ids of so many rows at most (some megabytes) is broadcast; beyond, the join shuffles.
-SMALL = 100_000
+#: A list of ids of so many rows at most (4 MB, about 16 MB as a table in memory) is broadcast; beyond, the join shuffles.
+SMALL = 500_000
 
 FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 SPACE = np.zeros(256, bool)
