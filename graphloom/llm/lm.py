@@ -402,7 +402,7 @@ def evaluate(docs: DataFrame, held_out: Column, part: int = PART) -> DataFrame:
             yield from answers(last, names, codes, counts)
 
     asked = blocks.mapInArrow(to_asked, "part int, block long, codes binary, counts binary")
-    answered = asked.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(to_answers, "block long, part int, others binary")
+    answered = asked.repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(to_answers, "block long, part int, others binary")
 
     def to_rows(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
