@@ -218,12 +218,12 @@ def triage(changes: DataFrame, symbols: DataFrame, dependencies: DataFrame, foun
 
 
 class GraphDiff:
-    """All sections of a comparison of two graphs; changes: (change, path, old_path).
+    """All sections of a comparison of two graphs; changes: (change, path, old_path); *_run: diagnostics of a whole run.
 
     materialize computes the graphs and the sections that others build on once, for use of several.
     """
 
-    def __init__(self, base: GraphTables, head: GraphTables, changes: DataFrame, base_sources: DataFrame | None = None, head_sources: DataFrame | None = None, materialize: bool = False):
+    def __init__(self, base: GraphTables, head: GraphTables, changes: DataFrame, base_sources: DataFrame | None = None, head_sources: DataFrame | None = None, materialize: bool = False, base_run: DataFrame | None = None, head_run: DataFrame | None = None):
         held = cut if materialize else (lambda df: df)
         if materialize:
             base, head = base.materialized(), head.materialized()
@@ -234,7 +234,7 @@ class GraphDiff:
         self.public_api_changes = self.changed_symbols.where("public_api")
         self.dependency_changes = held(compare_dependencies(side_dependencies(base, renames), side_dependencies(head)))
         self.impacted_files = held(impacted_files(base, head, changes, self.changed_symbols, self.dependency_changes))
-        self.diagnostics = diagnostics("base", None, base).unionByName(diagnostics("head", None, head))
+        self.diagnostics = diagnostics("base", base_run, base).unionByName(diagnostics("head", head_run, head))
 
     def stats(self) -> DataFrame:
         return stats(self.changed_files, self.changed_symbols, self.dependency_changes, self.impacted_files, self.diagnostics, self.base, self.head)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
@@ -27,53 +28,65 @@ class GraphQuery:
         rows = [(names,)] if isinstance(names, str) else [(n,) for n in names]
         return self.tables.nodes.sparkSession.createDataFrame(rows, "wanted string").distinct()
 
+    def _last(self, ids: DataFrame) -> DataFrame:
+        """The last node of each of the ids (id): only their rows are ranked."""
+        return last_nodes(replace(self.tables, nodes=self.tables.nodes.join(ids.select("id").distinct(), "id", "left_semi")))
+
+    def _last_where(self, condition: Column) -> DataFrame:
+        """Last nodes that meet a condition: ids of nodes that do are ranked, as no other's last node can."""
+        return self._last(self.tables.nodes.where(condition).select("id")).where(condition)
+
     def symbols(self) -> DataFrame:
         return self.by_id.where("kind = 'symbol'").orderBy("id")
 
     def lookup_symbols(self, name: str | None = None, qualified_name: str | None = None, path: str | None = None, symbol_kind: str | None = None) -> DataFrame:
         """Best fact of each symbol key among symbols that match all that is given, in the order of the keys."""
-        found = self.by_id.where("kind = 'symbol'")
+        wanted = F.col("kind") == "symbol"
         for column, value in (("name", name), ("qualified_name", qualified_name), ("symbol_kind", symbol_kind)):
             if value is not None:
-                found = found.where(F.col(column) == value)
+                wanted &= F.col(column) == value
+        found = self._last_where(wanted)
         if path is not None:
             found = found.join(self.paths.where(F.col("path") == path).select("file_id"), "file_id", "left_semi")
         return best_facts(found).orderBy(*[F.asc_nulls_first(c) for c in ("file_id", "name", "qualified_name", "symbol_kind")])
 
     def matching_symbols(self, name: str) -> DataFrame:
-        return self.by_id.where((F.col("kind") == "symbol") & ((F.col("name") == name) | (F.col("qualified_name") == name)))
+        return self._last_where((F.col("kind") == "symbol") & ((F.col("name") == name) | (F.col("qualified_name") == name)))
 
-    def named(self, names) -> DataFrame:
-        """Ids of nodes of any kind with one of the names, as (wanted, id)."""
-        known = self.by_id.select("id", F.explode(F.array_distinct(F.array_compact(F.array("name", "qualified_name")))).alias("wanted"))
-        return known.join(self._names(names), "wanted").distinct()
+    def named(self, names, kind: str | None = None) -> DataFrame:
+        """Ids of nodes of a kind, or any, with one of the names, as (wanted, id)."""
+        wanted = self._names(names)
+        known = lambda nodes: nodes.select("id", "kind", F.explode(F.array_distinct(F.array_compact(F.array("name", "qualified_name")))).alias("wanted")).join(wanted, "wanted")
+        found = known(self._last(known(self.tables.nodes)))
+        return (found if kind is None else found.where(F.col("kind") == kind)).select("wanted", "id").distinct()
 
     def file_dependencies(self, paths) -> DataFrame:
         """Distinct labels that files import or depend on, as (path, label)."""
         files = self.paths.join(self._names(paths), F.col("path") == F.col("wanted")).select("path", F.col("file_id").alias("file_part"))
         edges = self.tables.edges.where(F.col("kind").isin("imports", "depends-on")).select("file_part", F.col("to").alias("id"))
-        labels = self.by_id.select("id", X.label().alias("label")).where("label is not null")
-        return files.join(edges, "file_part").join(labels, "id").select("path", "label").distinct()
+        met = files.join(edges, "file_part")
+        labels = self._last(met).select("id", X.label().alias("label")).where("label is not null")
+        return met.join(labels, "id").select("path", "label").distinct()
 
     def package_dependencies(self) -> DataFrame:
-        return self.by_id.where("kind = 'package' and name is not null").select("name").distinct().orderBy("name")
+        return self._last_where((F.col("kind") == "package") & F.col("name").isNotNull()).select("name").distinct().orderBy("name")
 
     def _out(self, kind: str, starts: DataFrame) -> DataFrame:
         """Nodes at the ends of edges of a kind from the starts (id, ...); a row an edge."""
         edges = self.tables.edges.where(F.col("kind") == kind).select(F.col("from").alias("id"), F.col("to").alias("_to"), F.col("id").alias("edge_id"))
-        ends = self.by_id.select(*[F.col(c) if c != "id" else F.col("id").alias("_to") for c in NODE])
-        return starts.join(edges, "id").drop("id").join(ends, "_to").withColumnRenamed("_to", "id")
+        met = starts.join(edges, "id").drop("id")
+        ends = self._last(met.select(F.col("_to").alias("id"))).select(*[F.col(c) if c != "id" else F.col("id").alias("_to") for c in NODE])
+        return met.join(ends, "_to").withColumnRenamed("_to", "id")
 
     def _into(self, kind: str, names) -> DataFrame:
         edges = self.tables.edges.where(F.col("kind") == kind).select(F.col("to").alias("id"), F.col("from").alias("_from"), F.col("id").alias("edge_id"))
-        ends = self.by_id.select(*[F.col(c) if c != "id" else F.col("id").alias("_from") for c in NODE])
         found = self.named(names).join(edges, "id").withColumnRenamed("id", "target_id")
+        ends = self._last(found.select(F.col("_from").alias("id"))).select(*[F.col(c) if c != "id" else F.col("id").alias("_from") for c in NODE])
         return found.join(ends, "_from").withColumnRenamed("_from", "id")
 
     def callees(self, names) -> DataFrame:
         """What symbols of the names call: a bag, one row an edge."""
-        symbols = self.by_id.where("kind = 'symbol'").select("id")
-        return self._out("calls", self.named(names).join(symbols, "id", "left_semi"))
+        return self._out("calls", self.named(names, "symbol"))
 
     def callers(self, names) -> DataFrame:
         """What calls a node of any kind of the names: a bag, one row an edge."""
@@ -85,7 +98,8 @@ class GraphQuery:
     def impact_from_files(self, paths) -> DataFrame:
         """Paths of changed files and of files with an import or dependency into one: one hop. Unknown paths are ignored."""
         changed = self.paths.join(self._names(paths), F.col("path") == F.col("wanted"), "left_semi").select("file_id")
-        targets = self.by_id.select("id", "file_id").join(changed, "file_id", "left_semi").select("id")
+        into = lambda nodes: nodes.join(changed, "file_id", "left_semi").select("id")
+        targets = into(self._last(into(self.tables.nodes)))
         edges = self.tables.edges.where(F.col("kind").isin("imports", "depends-on"))
         hit = edges.join(targets, edges["to"] == targets["id"], "left_semi").select(F.col("file_part").alias("file_id"))
         return self.paths.join(hit.unionByName(changed).distinct(), "file_id", "left_semi").select("path").distinct().orderBy("path")
@@ -110,12 +124,11 @@ class GraphQuery:
                 frontier = seen.where(F.col("depth") == depth).select("start_id", "id")
         if seen is None:
             seen = frontier.where("false").withColumn("depth", F.lit(0))
-        return seen.join(self.by_id.select(*NODE), "id").orderBy("start_id", "id")
+        return seen.join(self._last(seen).select(*NODE), "id").orderBy("start_id", "id")
 
     def dependency_tree(self, names, max_depth: int = 3) -> DataFrame:
         """traverse_dependencies from every symbol of the names; what several reach repeats."""
-        symbols = self.by_id.where("kind = 'symbol'").select("id")
-        starts = self.named(names).join(symbols, "id", "left_semi").select(F.col("id").alias("start_id"))
+        starts = self.named(names, "symbol").select(F.col("id").alias("start_id"))
         return self.traverse_dependencies(starts, max_depth)
 
     def neighbours(self, ids: DataFrame, kind: str, outgoing: bool = True) -> DataFrame:

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import expr as X
 
 
-def source_lines(sources: DataFrame, key: str = "file_id", text: str = "text") -> DataFrame:
-    """(key, i, line, trimmed, span) of every line. Offsets count one byte a line end, whatever it is."""
-    rows = sources.select(key, F.posexplode(X.lines(text)).alias("i", "line"))
+def source_lines(sources: DataFrame, key: str = "file_id", text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """(key, *also, i, line, trimmed, span) of every line. Offsets count one byte a line end, whatever it is."""
+    rows = sources.select(key, *also, F.posexplode(X.lines(text)).alias("i", "line"))
     ahead = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.octet_length("line") + 1).over(ahead), F.lit(0))
     rows = rows.withColumn("before", before)
-    return rows.select(key, "i", "line", F.regexp_replace("line", r"^\s+|\s+$", "").alias("trimmed"), X.line_span("i", "before", "line").alias("span"))
+    return rows.select(key, *also, "i", "line", F.regexp_replace("line", r"^\s+|\s+$", "").alias("trimmed"), X.line_span("i", "before", "line").alias("span"))
 
 
 def _first(line: X.Name, prefixes: list[str]) -> Column:
@@ -47,7 +47,7 @@ def brace_type(line: X.Name) -> Column:
 
 
 def brace_function(line: X.Name) -> Column:
-    """The last identifier before the first parenthesis of a line that doesn't end in ';', unless a keyword."""
+    """The last identifier before the first parenthesis of a line that doesn't end in ';', unless a keyword (fixed values)."""
     t = X.col(line)
     name = F.regexp_extract(F.substring_index(t, "(", 1), r"([A-Za-z0-9_]+)[^A-Za-z0-9_]*$", 1)
     return F.when(F.contains(t, F.lit("(")) & ~F.endswith(t, F.lit(";")) & (name != "") & ~name.isin("if", "for", "while", "switch", "return"), name)
@@ -62,6 +62,7 @@ def rust_import(line: X.Name) -> Column:
 
 
 def rust_function(line: X.Name) -> Column:
+    # fixed values: what starts a function
     return _first(line, ["fn ", "pub fn ", "async fn ", "pub async fn "])
 
 
@@ -98,12 +99,14 @@ def ts_import(line: X.Name) -> Column:
 
 
 def ts_export(line: X.Name) -> Column:
+    # fixed values: what an export may declare
     kinds = ["default function ", "default class ", "function ", "class ", "interface ", "type ", "enum ", "const ", "let ", "var "]
     return F.when(F.startswith(X.col(line), F.lit("export ")), F.coalesce(_first(line, [f"export {k}" for k in kinds]), F.lit("default")))
 
 
 def ts_symbol(line: X.Name) -> Column:
     t = X.col(line)
+    # fixed values: words and prefixes that declare, in the order they are tried
     both = lambda word: _first(t, [f"export {word} ", f"{word} "])
     variable = _first(t, ["export const ", "const ", "export let ", "let ", "export var ", "var "])
     arrow = F.contains(t, F.lit("=>")) | F.contains(t, F.lit("function"))
@@ -118,6 +121,7 @@ def ts_symbol(line: X.Name) -> Column:
 def ts_calls(line: X.Name) -> Column:
     """Calls of a line; none but those of a declaration's keywords, and no require."""
     t = X.col(line)
+    # fixed values: starts of lines that declare
     starts = ["function ", "class ", "interface ", "export function ", "export class ", "export interface "]
     declares = F.regexp_like(t, F.lit("^(" + "|".join(starts) + ")"))
     return F.filter(X.call_identifiers(t), lambda c: ~declares & (c != "require"))

@@ -2,18 +2,38 @@
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; one of this machine only where none is named, as in tests."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-shared-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut a long lineage in the cluster's checkpoint folder; without one, cache."""
-    sc = df.sparkSession.sparkContext
-    return df.checkpoint() if sc._jsc.sc().getCheckpointDir().isDefined() else df.cache()
+    """Cut a long lineage by a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """df with the place of each row in an order, from 0: rows are sorted by ranges, and each range starts after those before.
+
+    Only the counts by range, a row each, meet in one task.
+    """
+    placed = cut(df.orderBy(*order).withColumn("_range", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))
+    return placed.join(F.broadcast(starts), "_range").select(*df.columns, (F.col("_start") + F.col("_in")).alias(name))
 
 
 @dataclass(frozen=True)
@@ -30,7 +50,7 @@ class GraphTables:
         return replace(self, nodes=self.nodes.cache(), edges=self.edges.cache())
 
     def materialized(self) -> GraphTables:
-        """Computed once: checkpointed where the cluster names a folder for it, else cached."""
+        """Computed once and checkpointed."""
         return GraphTables(*[None if df is None else cut(df) for df in (self.files, self.nodes, self.edges, self.diagnostics)])
 
     def only(self, changed: DataFrame) -> GraphTables:
@@ -55,7 +75,7 @@ def replace_partitions(state: GraphTables, changed: GraphTables) -> GraphTables:
 
 
 def latest(rows: DataFrame, key: str, *version: str) -> DataFrame:
-    """The row of the greatest version for each key, by a partial aggregation instead of a sort."""
+    """The row of the greatest version for each key; partly aggregated before the shuffle."""
     names = rows.columns
     return rows.groupBy(key).agg(F.max_by(F.struct(*names), F.struct(*version)).alias("_row")).select(*[F.col(f"_row.{c}").alias(c) for c in names])
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..operators.diff import GraphDiff, important_symbols
-from ..operators.tables import GraphTables
+from ..operators.tables import GraphTables, shared_folder
 from ..sources import extract, interchange
 from ..streaming import watch
 from .projection import GRAPH_SQL, graph, read
@@ -88,8 +90,8 @@ def export_symbols(spark, d):
 
 
 def export_scip(spark, d):
-    doc = F.from_json("line", "documents array<struct<relative_path: string, symbols: array<struct<id: string>>>>")["documents"]
-    return interchange.export_scip(graph(spark, d)).select(F.explode(doc).alias("x")).select("x.relative_path", F.size("x.symbols").cast("long").alias("n"), F.array_join(F.array_sort("x.symbols.id"), ",").alias("ids"))
+    doc = F.from_json(F.ltrim(F.col("line"), F.lit(",")), "relative_path string, symbols array<struct<id: string>>")
+    return interchange.export_scip(graph(spark, d)).where("line not like '{\"version%' and line <> ']}'").select(doc.alias("x")).where("size(x.symbols) > 0").select("x.relative_path", F.size("x.symbols").cast("long").alias("n"), F.array_join(F.array_sort("x.symbols.id"), ",").alias("ids"))
 
 
 def export_lsif(spark, d):
@@ -98,12 +100,17 @@ def export_lsif(spark, d):
 
 
 def import_roundtrip(spark, d):
-    g = graph(spark, d)
-    pos = F.col("partition_pos") * 1_000_000_000 + F.col("section") * 200_000_000
-    lines = interchange._records(g).select((pos + F.col("ord")).alias("pos"), "line")
-    back = interchange.import_jsonl(lines)
-    count = lambda df, name: df.groupBy("file_part").agg(F.count("*").alias(name))
-    return back.files.select(F.col("file_id").alias("file_part"), "path", "fingerprint").join(count(back.nodes, "n_nodes"), "file_part").join(count(back.edges, "n_edges"), "file_part")
+    """All columns of what an export of many part files gives when it is read again."""
+    path = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    interchange.write_lines(interchange.export_jsonl(graph(spark, d)), path)
+    back = interchange.import_jsonl(interchange.read_jsonl(spark, path))
+    null = F.lit(None).cast("string")
+    number = lambda c: F.col(c).cast("long")
+    files = back.files.select(F.lit("file").alias("record"), F.col("file_id").alias("file_part"), F.lit("").alias("id"), F.col("path").alias("a"), F.col("language").alias("b"), F.col("fingerprint").alias("c"), number("partition_pos").alias("n"), number("parse_time_micros").alias("m"))
+    nodes = back.nodes.select(F.lit("node").alias("record"), "file_part", "id", F.concat_ws("|", "kind", "language", "name", "qualified_name", "symbol_kind").alias("a"), F.col("file_id").alias("b"), F.concat_ws("|", "provenance", "confidence").alias("c"), number("span.byte_end").alias("n"), number("span.end.column").alias("m"))
+    edges = back.edges.select(F.lit("edge").alias("record"), "file_part", "id", F.col("kind").alias("a"), F.col("from").alias("b"), F.col("to").alias("c"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("m"))
+    diagnostics = back.diagnostics.select(F.lit("diagnostic").alias("record"), "file_part", null.alias("id"), F.col("severity").alias("a"), F.col("message").alias("b"), F.col("file_id").alias("c"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("m"))
+    return files.unionByName(nodes).unionByName(edges).unionByName(diagnostics)
 
 
 def scip_import(spark, d):
@@ -221,11 +228,14 @@ QUERIES = {
         "CASE WHEN EXISTS (SELECT 1 FROM changes WHERE change = 'removed') THEN 'high' ELSE 'medium' END AS risk, 'No test files changed; verify existing coverage exercises this diff.' || CASE WHEN (SELECT count(*) FROM symbols) > 20 THEN ' | Raw symbol diff is broad; prefer top_changes and review_focus for agent triage.' ELSE '' END "
         "|| CASE WHEN EXISTS (SELECT 1 FROM diags WHERE file IN (SELECT path FROM changes)) THEN ' | Changed files have parser or indexing diagnostics; inspect diagnostics before trusting impact.' ELSE '' END AS notes", _DIFF)),
     "q_public_api": (public_api, "WITH {code} SELECT o_orderkey, t <> '' AND regexp_matches(t, '^(pub |pub\\(|export )') AS public FROM code"),
-    "q_export_jsonl": (export_jsonl, g("SELECT 'partition' AS type, count(*) AS n, count(*) AS partitions FROM g_files UNION ALL SELECT 'node', count(*), count(DISTINCT file_part) FROM g_nodes UNION ALL SELECT 'edge', count(*), count(DISTINCT file_part) FROM g_edges UNION ALL SELECT 'diagnostic', count(*), count(DISTINCT file_part) FROM g_diagnostics")),
+    "q_export_jsonl": (export_jsonl, g("SELECT 'partition' AS type, count(*) AS n, count(*) AS partitions FROM g_files UNION ALL SELECT 'node', count(*), count(DISTINCT file_part) FROM g_nodes UNION ALL SELECT 'edge', count(*), count(DISTINCT file_part) FROM g_edges UNION ALL SELECT 'diagnostic', count(*), count(DISTINCT file_part) FROM g_diagnostics HAVING count(*) > 0")),
     "q_export_symbols": (export_symbols, g("SELECT coalesce(file_id, '') AS path, name, qualified_name, 'symbol' AS kind FROM g_nodes WHERE symbol_kind IS NOT NULL")),
     "q_export_scip": (export_scip, g("SELECT f.path AS relative_path, count(n.id) AS n, string_agg(n.id, ',' ORDER BY n.id) AS ids FROM g_files f JOIN g_nodes n ON n.file_part = f.file_id AND n.symbol_kind IS NOT NULL GROUP BY f.path")),
     "q_export_lsif": (export_lsif, g("SELECT row_number() OVER (ORDER BY partition_pos, section, ord) AS id, label, uri, symbol FROM (SELECT partition_pos, 0 AS section, 0 AS ord, 'document' AS label, path AS uri, NULL AS symbol FROM g_files UNION ALL SELECT partition_pos, 1, ord, 'resultSet', NULL, qualified_name FROM g_nodes JOIN g_files ON file_part = g_files.file_id WHERE symbol_kind IS NOT NULL)")),
-    "q_import_jsonl_roundtrip": (import_roundtrip, g("SELECT f.file_id AS file_part, f.path, f.fingerprint, n.n AS n_nodes, e.n AS n_edges FROM g_files f JOIN (SELECT file_part, count(*) AS n FROM g_nodes GROUP BY 1) n ON n.file_part = f.file_id JOIN (SELECT file_part, count(*) AS n FROM g_edges GROUP BY 1) e ON e.file_part = f.file_id")),
+    "q_import_jsonl_roundtrip": (import_roundtrip, g(
+        "SELECT 'file' AS record, file_id AS file_part, '' AS id, path AS a, language AS b, fingerprint AS c, partition_pos AS n, parse_time_micros AS m FROM g_files "
+        "UNION ALL SELECT 'node', file_part, id, concat_ws('|', kind, language, name, qualified_name, symbol_kind), file_id, provenance || '|' || confidence, byte_end, col_end FROM g_nodes "
+        "UNION ALL SELECT 'edge', file_part, id, kind, src, dst, NULL, NULL FROM g_edges UNION ALL SELECT 'diagnostic', file_part, NULL, severity, message, file_id, NULL, NULL FROM g_diagnostics")),
     "q_scip_import": (scip_import, "SELECT 'n' || s_nationkey || '.py' AS path, 'm' AS name, s_suppkey + 1 AS line, 10::BIGINT AS col_end, 'scip' AS provenance, CASE WHEN s_suppkey % 3 = 1 THEN 'defines' ELSE 'references' END AS edge FROM supplier"),
     "q_lsp_import": (lsp_import, "SELECT '/w/n' || s_nationkey AS path, CASE WHEN s_suppkey % 2 = 0 THEN 'defines' ELSE 'references' END AS kind, count(*) AS n FROM supplier GROUP BY 1, 2"),
     "q_extract_python": (extract_python, "SELECT 'f' || c_nationkey AS file_id, 'mod' || c_nationkey || '.' || c_mktsegment || '.m' || c_custkey AS qualified_name, 'method' AS symbol_kind FROM customer UNION ALL SELECT DISTINCT 'f' || c_nationkey, 'mod' || c_nationkey || '.' || c_mktsegment, 'class' FROM customer UNION ALL SELECT DISTINCT 'f' || c_nationkey, 'mod' || c_nationkey, 'module' FROM customer UNION ALL SELECT DISTINCT 'f' || c_nationkey, 'mod' || c_nationkey || '.value', 'variable' FROM customer"),

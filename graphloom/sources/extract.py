@@ -3,24 +3,28 @@
 from __future__ import annotations
 
 import ast
+import itertools
 import json
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import expr as X
-from ..operators.tables import GraphTables, dedup_edges, dedup_external, resolve_local
+from ..operators.tables import GraphTables, cut, dedup_edges, dedup_external, numbered, resolve_local
+from . import scan
 
 FACTS = "file_id string, ord long, fact string, name string, qualified_name string, symbol_kind string, span " + schema.SPAN.simpleString() + ", owner long, provenance string, confidence string, message string"
 #: Larger texts are scanned by line.
 MOST_BYTES = 2 << 20
-#: Diagnostics of a file at most, characters of a snippet in them at most.
-MOST_DIAGNOSTICS, SNIPPET = 4, 40
+#: Diagnostics of a file at most, characters of a snippet in them at most, lines of a Python text that are put right at most.
+MOST_DIAGNOSTICS, SNIPPET, REPAIRS = 4, 40, 32
+#: How facts are found: by lines alone; by structure alone; by structure, and by lines where a text is too large for it.
+MODES = ["scanner-only", "tree-only", "tree-with-fallback"]
 TREE, SCAN = ("tree-sitter", "high"), ("structural-scanner", "medium")
 
 
@@ -122,17 +126,43 @@ class _Python(ast.NodeVisitor):
         self.generic_visit(node)
 
 
+def _tolerant(text: str) -> tuple[ast.Module | None, list[int]]:
+    """A tree of what parses, and the numbers of lines with errors, each put right by a statement that leaves what is inside in place."""
+    lines, wrong = text.split("\n"), []
+    indent = lambda line: len(line) - len(line.lstrip())
+    for _ in range(REPAIRS):
+        try:
+            return ast.parse("\n".join(lines)), wrong
+        except (ValueError, RecursionError, MemoryError):
+            return None, wrong
+        except SyntaxError as e:
+            at = min(max(1, e.lineno or 1), len(lines)) - 1
+            while at > 0 and not lines[at].strip():
+                at -= 1
+            if at + 1 not in wrong:
+                wrong.append(at + 1)
+            after = next((x for x in lines[at + 1 :] if x.strip()), "")
+            pad = " " * indent(lines[at])
+            better = pad + ("if 1:" if indent(after) > len(pad) else "pass")
+            lines[at] = better if lines[at] != better else ""
+    return None, wrong
+
+
 def python_facts(path: str, text: str) -> list[dict]:
-    b = Builder(path, text, TREE)
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
-        b = Builder(path, text)
-        line = (getattr(e, "text", None) or "").strip()[:SNIPPET]
+    """Facts of a syntax tree; lines that don't parse are left out of it, each with a diagnostic."""
+    tree, wrong = _tolerant(text)
+    b = Builder(path, text, TREE) if tree else Builder(path, text)
+    if tree:
+        _Python(b).visit(tree)
+    else:
         python_lines(b)
-        b.add("diagnostic", None, message=f"syntax error near {line!r}" if line else "syntax error")
-        return b.rows
-    _Python(b).visit(tree)
+    lines = text.split("\n")
+    for n in sorted(wrong)[:MOST_DIAGNOSTICS]:
+        line = lines[n - 1].strip()[:SNIPPET]
+        start = b.starts[n - 1]
+        b.add("diagnostic", None, span=b.span(start, start + len(lines[n - 1].encode())), message=f"syntax error near {line}" if line else "syntax error")
+    if not tree and not wrong:
+        b.add("diagnostic", None, message="syntax error")
     return b.rows
 
 
@@ -226,7 +256,7 @@ LANGUAGES = {
     "typescript": BraceLanguage(".", {"class": "class", "interface": "interface", "enum": "enum", "type": "type-alias", "namespace": "module"}, _matches(r"""^\s*import\b[^;'"]*?['"]([^'"]+)['"]|\brequire\(\s*['"]([^'"]+)['"]|^\s*export\b[^;'"=({]*\{[^}]*\}\s*from\s*['"]([^'"]+)['"]"""), frozenset({"function"}), True, frozenset({"const", "let", "var"}), True),
 }
 LANGUAGES["javascript"] = LANGUAGES["typescript"]
-#: Words before a parenthesis that are neither functions nor calls.
+#: Words before a parenthesis that are neither functions nor calls.
 KEYWORDS = {"if", "for", "while", "switch", "return", "class", "struct", "enum", "interface", "public", "private", "protected", "static", "const", "var", "let", "type", "catch", "function", "fn", "func", "match", "else", "new", "sizeof", "super", "constructor", "throw", "typeof", "in", "of", "await", "import", "impl", "where", "do"}
 
 
@@ -263,7 +293,7 @@ def brace_facts(path: str, text: str, language: str) -> list[dict]:
         return len(words) - 1
 
     def body_after(j: int) -> bool:
-        for w in words[j + 1 : j + 40]:
+        for w in itertools.islice(words, j + 1, None):
             if w == "{":
                 return True
             if w in (";", "}", ")", ",", "=") or w == "=>" and language not in ("typescript", "javascript"):
@@ -327,7 +357,7 @@ def brace_facts(path: str, text: str, language: str) -> list[dict]:
         elif w in lang.variables and i + 1 < len(words) and not (inside and language != "rust"):
             j = i + 1 + (words[i + 1] == "mut")
             if j < len(words) and name_like.match(words[j]):
-                statement = text[tokens[j].end() : tokens[j].end() + 200].split(";")[0].split("\n")[0]
+                statement = re.compile(r"[^;\n]*").match(text, tokens[j].end())[0]
                 is_function = language in ("typescript", "javascript") and ("=>" in statement or re.match(r"\s*(:[^=]*)?=\s*(async\s+)?function\b", statement))
                 kind = "function" if is_function else "variable"
                 place = b.add("symbol", words[j], qualify(words[j]), kind, at(m.start(), tokens[j].end()))
@@ -350,7 +380,8 @@ def brace_facts(path: str, text: str, language: str) -> list[dict]:
             if j >= len(words):
                 break
             name = words[j]
-            paren = next((k for k in range(j + 1, min(j + 40, len(words))) if words[k] == "("), None)
+            paren = next((k for k in range(j + 1, len(words)) if words[k] in ("(", "{", ";", "}")), None)
+            paren = paren if paren is not None and words[paren] == "(" else None
             macro = words[j + 1 : j + 2] == ["!"]
             declared = w in lang.functions or (not macro and not inside and name not in KEYWORDS and paren is not None and body_after(close_paren(paren)) and (stack[-1][1] in ("class", "interface") or language in ("c", "cpp", "java", "objective-c")))
             if declared and paren is not None:
@@ -462,28 +493,40 @@ class Registry:
     def register(self, language: str, extractor: Extractor) -> None:
         self.extractors[language] = extractor
 
-    def facts(self, path: str, text: str, language: str, most: int = MOST_BYTES) -> list[dict]:
+    def facts(self, path: str, text: str, language: str, most: int = MOST_BYTES, mode: str = MODES[2]) -> list[dict]:
+        """Facts of a text; of one to be scanned by line, those that the line scanners of scan.py don't give."""
         extractor = self.extractors.get(language)
         if extractor is None:
             return []
-        if len(text.encode()) > most:
-            b = Builder(path, text)
+        large = language != "json" and len(text.encode()) > most
+        if not large and (mode != "scanner-only" or language not in (*scan.LANGUAGES, "python")):
+            return extractor(path, text)
+        b = Builder(path, text)
+        if language == "python" and mode != "tree-only":
             python_lines(b)
+        if large and mode != "scanner-only":
+            # after all facts of lines
             b.add("diagnostic", None, message=f"tree parse skipped large {language} file: {len(b.raw)} bytes > {most}")
-            return b.rows
-        return extractor(path, text)
+            b.rows[-1]["ord"] = len(b.starts) * scan.ROOM
+        return b.rows
 
 
-def extract_facts(sources: DataFrame, registry: Registry | None = None, most: int = MOST_BYTES) -> DataFrame:
-    """Facts of (file_id, path, language, text); an extractor that fails leaves a diagnostic."""
+def extract_facts(sources: DataFrame, registry: Registry | None = None, most: int = MOST_BYTES, mode: str = MODES[2]) -> DataFrame:
+    """Facts of (file_id, path, language, text); an extractor that fails leaves a diagnostic.
+
+    Texts over `most` bytes, or all with mode 'scanner-only', are scanned by line, as their language asks.
+    """
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode}; one of {', '.join(MODES)}")
     registry = registry or Registry()
+    by_line = F.lit(mode == "scanner-only") | (F.octet_length("text") > most)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for file_id, path, language, text in batch[["file_id", "path", "language", "text"]].itertuples(index=False):
                 try:
-                    found = registry.facts(path, text or "", language, most)
+                    found = registry.facts(path, text or "", language, most, mode)
                 except Exception as e:  # noqa: BLE001  a file must not fail the index
                     b = Builder(path, "")
                     b.add("diagnostic", None, message=f"extraction failed: {type(e).__name__}")
@@ -491,13 +534,17 @@ def extract_facts(sources: DataFrame, registry: Registry | None = None, most: in
                 rows += [{"file_id": file_id, **r} for r in found]
             yield pd.DataFrame(rows, columns=["file_id", "ord", "fact", "name", "qualified_name", "symbol_kind", "span", "owner", "provenance", "confidence", "message"])
 
-    return sources.select("file_id", "path", "language", "text").mapInPandas(run, FACTS)
+    found = sources.select("file_id", "path", "language", "text").mapInPandas(run, FACTS)
+    return found if mode == "tree-only" else found.unionByName(scan.scan_facts(sources.where(by_line)))
 
 
 def build_graph(sources: DataFrame, facts: DataFrame, resolve: bool = True) -> GraphTables:
-    """Nodes and edges of facts: all ids are expressions, all links are joins within a file."""
+    """Nodes and edges of facts: all ids are expressions, all links are joins within a file.
+
+    Facts are written once to the shared folder, so that no text is parsed again for the tables made of them.
+    """
     files = sources.select("repo_id", "file_id", "path", "language")
-    rows = facts.join(files, "file_id")
+    rows = cut(facts).join(files, "file_id")
     none, null, long = F.lit(None).cast(schema.SPAN), F.lit(None).cast("string"), lambda c: c.cast("long")
     quality = ["provenance", "confidence"]
     file_node = X.node_id("repo_id", "file_id", F.lit("file"), "language", "path", X.file_name("path"), none)
@@ -532,13 +579,12 @@ def build_graph(sources: DataFrame, facts: DataFrame, resolve: bool = True) -> G
     if resolve:
         local = sources.where("language <> 'json'").select(F.col("file_id").alias("file_part"))
         edges = resolve_local(nodes.join(local, "file_part", "left_semi"), edges)
-    diagnostics = rows.where(of("diagnostic")).select(F.col("file_id").alias("file_part"), "ord", F.lit("warning").alias("severity"), F.substring("message", 1, 400).alias("message"), "file_id", none.alias("span"))
+    diagnostics = rows.where(of("diagnostic")).select(F.col("file_id").alias("file_part"), "ord", F.lit("warning").alias("severity"), "message", "file_id", "span")
     zero = F.lit(0).cast("long")
-    position = F.dense_rank().over(Window.orderBy("path")) - 1
-    table = sources.select("file_id", "path", "language", "fingerprint", zero.alias("parse_time_micros"), zero.alias("extraction_time_micros")).withColumn("partition_pos", position.cast("long"))
-    return GraphTables(table, nodes, edges, diagnostics)
+    table = sources.select("file_id", "path", "language", "fingerprint", zero.alias("parse_time_micros"), zero.alias("extraction_time_micros"))
+    return GraphTables(numbered(table, "partition_pos", "path", "file_id"), nodes, edges, diagnostics)
 
 
-def index(sources: DataFrame, registry: Registry | None = None, most: int = MOST_BYTES) -> GraphTables:
+def index(sources: DataFrame, registry: Registry | None = None, most: int = MOST_BYTES, mode: str = MODES[2]) -> GraphTables:
     """The graph of sources (repo_id, file_id, path, language, fingerprint, text)."""
-    return build_graph(sources, extract_facts(sources, registry, most))
+    return build_graph(sources, extract_facts(sources, registry, most, mode))

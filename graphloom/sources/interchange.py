@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import expr as X
-from ..operators.tables import GraphTables, positioned
+from ..operators.tables import GraphTables, cut, numbered, positioned
 
 NODE_FIELDS = [f.name for f in schema.NODES.fields if f.name not in ("file_part", "ord")]
 EDGE_FIELDS = [f.name for f in schema.EDGES.fields if f.name not in ("file_part", "ord")]
@@ -46,14 +46,17 @@ def export_symbols(tables: GraphTables) -> DataFrame:
 
 
 def export_scip(tables: GraphTables) -> DataFrame:
-    """One document: version and, by path, the nodes with a symbol kind."""
+    """Lines that together are one JSON document: version and, by path, the nodes with a symbol kind; a line a path."""
     body = F.struct("ord", F.struct(*[F.col(f"`{f}`") for f in NODE_FIELDS]).alias("node"))
     symbols = tables.nodes.where("symbol_kind is not null").groupBy(F.col("file_part").alias("file_id")).agg(F.transform(F.array_sort(F.collect_list(body)), lambda x: x["node"]).alias("symbols"))
     path = F.replace("path", F.lit("\\"), F.lit("/"))
     empty = F.array().cast(symbols.schema["symbols"].dataType)
-    files = tables.files.join(symbols, "file_id", "left").select("partition_pos", F.struct(path.alias("relative_path"), F.coalesce("symbols", empty).alias("symbols")).alias("file"))
-    documents = F.transform(F.array_sort(F.collect_list(F.struct("partition_pos", F.to_json("file").alias("json")))), lambda x: x["json"])
-    return files.agg(F.concat(F.lit('{"version":1,"documents":['), F.array_join(documents, ","), F.lit("]}")).alias("line"))
+    first = tables.files.agg(F.min("partition_pos").alias("first"))
+    files = tables.files.join(symbols, "file_id", "left").select("partition_pos", F.to_json(F.struct(path.alias("relative_path"), F.coalesce("symbols", empty).alias("symbols"))).alias("json"))
+    comma = F.when(F.col("partition_pos") == F.col("first"), "").otherwise(",")
+    lines = files.crossJoin(F.broadcast(first)).select(F.lit(1).alias("section"), "partition_pos", F.concat(comma, "json").alias("line"))
+    frame = tables.files.sparkSession.createDataFrame([(0, 0, '{"version":1,"documents":['), (2, 0, "]}")], "section int, partition_pos long, line string")
+    return lines.unionByName(frame).orderBy("section", "partition_pos").select("line")
 
 
 def export_lsif(tables: GraphTables) -> DataFrame:
@@ -92,16 +95,22 @@ RECORD = (
 
 
 def import_jsonl(lines: DataFrame) -> GraphTables:
-    """The graph of (pos, line). Records go to the first partition of their file id if that stands before them; others are dropped, blank lines skipped."""
-    rows = lines.where(F.trim("line") != "").select("pos", F.from_json("line", RECORD, {"mode": "FAILFAST"}).alias("r")).select("pos", "r.*")
+    """The graph of (pos, line), pos of any type that has an order; each line is parsed once.
+
+    Records go to the first partition of their file id if that stands before them; others are dropped, blank lines
+    skipped. Records keep their order, and partitions that of their first lines.
+    """
+    rows = cut(lines.where(F.trim("line") != "").select("pos", F.from_json("line", RECORD, {"mode": "FAILFAST"}).alias("r")).select("pos", "r.*"))
     parts = rows.where("type = 'partition'")
     first = parts.groupBy("file_id").agg(F.min_by(F.struct("pos", "path", "language", "fingerprint", "metrics"), "pos").alias("p"))
-    files = first.select("file_id", "p.path", "p.language", "p.fingerprint", "p.metrics.parse_time_micros", "p.metrics.extraction_time_micros", F.col("p.pos").alias("partition_pos"))
+    files = first.select("file_id", "p.path", "p.language", "p.fingerprint", "p.metrics.parse_time_micros", "p.metrics.extraction_time_micros", F.col("p.pos").alias("_pos"))
+    files = numbered(files, "partition_pos", "_pos").drop("_pos")
     known = first.select(F.col("file_id").alias("partition"), F.col("p.pos").alias("_start"))
 
     def of(kind: str, fields: list[str]) -> DataFrame:
         own = rows.where(F.col("type") == kind).join(known, "partition").where("pos > _start")
-        return own.select(F.col("partition").alias("file_part"), F.col("pos").alias("ord"), *[F.col(f"{kind}.`{f}`").alias(f) for f in fields])
+        place = F.row_number().over(Window.partitionBy("partition").orderBy("pos")) - 1
+        return own.select(F.col("partition").alias("file_part"), place.cast("long").alias("ord"), *[F.col(f"{kind}.`{f}`").alias(f) for f in fields])
 
     return GraphTables(files, of("node", NODE_FIELDS), of("edge", EDGE_FIELDS), of("diagnostic", DIAGNOSTIC_FIELDS))
 
@@ -161,9 +170,12 @@ def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, line) in file order."""
-    rows = spark.read.text(path, wholetext=True)
-    return rows.select(F.posexplode(F.split("value", "\n")).alias("pos", "line")).withColumn("pos", F.col("pos").cast("long"))
+    """(pos, line) of a file or of all part files of a folder: by the file's name, where its split starts, and the place there.
+
+    Files are split and read by many tasks; a whole one is never a row.
+    """
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"))
+    return spark.read.text(path).select(at.alias("pos"), F.col("value").alias("line"))
 
 
 def write_lines(df: DataFrame, path: str) -> None:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +23,9 @@ class GraphStore:
     """A folder with versions of the base, a pointer to the current one, and deltas on top of it.
 
     Readers see base and deltas, the latest partition of each file; a file's deletion is a
-    tombstone. Writers make a new folder first and then swing the pointer, so a reader never sees half a
-    state. All access goes through Spark's readers and Hadoop's file system, so any store it knows will do.
+    tombstone. Writers make a new folder first and then a pointer of the next number, which no other writer can make
+    too: who comes second puts its change on top of the first's. So a reader never sees half a state, and no
+    change is lost. All access goes through Spark's readers and Hadoop's file system, so any store it knows will do.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -36,20 +39,40 @@ class GraphStore:
     def _fs(self):
         return self._path("x").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _pointer(self) -> tuple[int, dict]:
+        """Number and state of the current pointer."""
+        found = [s.getPath().getName() for s in self._fs().globStatus(self._path("CURRENT-*")) or []]
+        if not found:
+            return 0, {"base": None, "deltas": []}
+        rows = self.spark.read.text(f"{self.root}/{max(found)}").collect()
+        return int(max(found)[8:]), json.loads("".join(r[0] for r in rows))
+
     def _read_pointer(self) -> dict:
-        if not self._fs().exists(self._path("CURRENT")):
-            return {"base": None, "deltas": []}
-        rows = self.spark.read.text(f"{self.root}/CURRENT").collect()
-        return json.loads("".join(r[0] for r in rows))
-
-    def _write_pointer(self, state: dict) -> None:
-        fs, new = self._fs(), self._path(f"CURRENT.{uuid.uuid4().hex}")
-        out = fs.create(new, True)
+        return self._pointer()[1]
+
+    def _write_pointer(self, number: int, state: dict) -> bool:
+        """Whether this was the first to write the pointer of that number: a whole file gets its name, if nothing has it."""
+        jvm = self.spark._jvm
+        new, name = self._path(f"pointer-{uuid.uuid4().hex}"), self._path(f"CURRENT-{number:012d}")
+        out = self._fs().create(new, True)
         out.write(bytearray(json.dumps(state).encode()))
         out.close()
-        if fs.exists(self._path("CURRENT")):
-            fs.delete(self._path("CURRENT"), False)
-        fs.rename(new, self._path("CURRENT"))
+        keep = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), self.spark._jsc.hadoopConfiguration()).rename(new, name, keep)
+        except Py4JJavaError as e:
+            self._fs().delete(new, False)
+            if "FileAlreadyExistsException" not in str(e.java_exception.getClass().getName()):
+                raise
+            return False
+        return True
+
+    def _swing(self, change: Callable[[dict], dict]) -> None:
+        """Put a change on the current state, again if another writer was faster."""
+        while True:
+            number, state = self._pointer()
+            if self._write_pointer(number + 1, change(state)):
+                return
 
     def _write(self, tables: GraphTables, name: str, removed: DataFrame | None = None) -> None:
         for table, kind in TABLES.items():
@@ -70,18 +93,28 @@ class GraphStore:
         name = f"base-{uuid.uuid4().hex}"
         self._write(tables, name)
         self._index(tables, name)
-        self._write_pointer({"base": name, "deltas": []})
+        self._swing(lambda _: {"base": name, "deltas": []})
 
     def replace_partitions(self, tables: GraphTables, removed: DataFrame | None = None) -> None:
         """Append partitions that take the place of those of the same files; removed (file_id) deletes files."""
-        state = self._read_pointer()
-        name = f"delta-{len(state['deltas']):08d}-{uuid.uuid4().hex}"
+        name = f"delta-{uuid.uuid4().hex}"
         self._write(tables, name, removed)
-        self._write_pointer(state | {"deltas": [*state["deltas"], name]})
+        self._swing(lambda state: state | {"deltas": [*state["deltas"], name]})
 
     def compact(self) -> None:
-        """Make the latest state the base."""
-        self.replace_all(self.load_latest())
+        """Make the latest state the base; deltas that come meanwhile stay on top of it."""
+        old = self._read_pointer()
+        name = f"base-{uuid.uuid4().hex}"
+        tables = self.load_latest(old)
+        self._write(tables, name)
+        self._index(tables, name)
+
+        def change(state: dict) -> dict:
+            if state["base"] != old["base"]:  # another base took this one's place
+                return state
+            return {"base": name, "deltas": state["deltas"][len(old["deltas"]) :]}
+
+        self._swing(change)
 
     def _index(self, tables: GraphTables, name: str) -> None:
         symbols = last_nodes(tables).where("kind = 'symbol'").withColumn("name_shard", X.shard(F.coalesce("name", F.lit(""))))
@@ -90,9 +123,9 @@ class GraphStore:
 
     # Reading
 
-    def load_latest(self) -> GraphTables:
-        """The base with every delta applied in order."""
-        state = self._read_pointer()
+    def load_latest(self, state: dict | None = None) -> GraphTables:
+        """The base with every delta applied in order, of the current state or a given one."""
+        state = state or self._read_pointer()
         names = ([state["base"]] if state["base"] else []) + state["deltas"]
         if not names:
             return GraphTables(**{t: self.spark.createDataFrame([], k) for t, k in TABLES.items()})

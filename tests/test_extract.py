@@ -57,6 +57,29 @@ def test_symbols_of_brace_languages(path, wanted):
     assert names(path, "import")
 
 
+def test_one_error_leaves_the_rest_of_a_python_tree():
+    text = SOURCES["coverage.py"].replace("value = 3", "value = = 3\n\ndef two(:\n    return main(2)\n\nlast = 4")
+    rows = extract.python_facts("coverage.py", text)
+    assert {"coverage.Service.run", "coverage.main", "coverage.last"} <= {r["qualified_name"] for r in rows if r["fact"] == "symbol"}
+    found = [(r["message"], r["span"]["start"]["line"]) for r in rows if r["fact"] == "diagnostic"]
+    assert found == [("syntax error near value = = 3", 15), ("syntax error near def two(:", 17)]
+    assert len([r for r in extract.python_facts("x.py", "def (:\n" * 9) if r["fact"] == "diagnostic"]) == 4
+
+
+@pytest.mark.parametrize("path", [p for p in SOURCES if p.rsplit(".", 1)[-1] not in ("json", "py")])
+def test_lines_of_each_language(spark, path):
+    rows = [("r", path, path, LANGUAGE[path], "", SOURCES[path])]
+    src = spark.createDataFrame(rows, "repo_id string, file_id string, path string, language string, fingerprint string, text string")
+    scanned = extract.index(src, mode="scanner-only")
+    large = extract.index(src, most=10)
+    wanted = {"coverage.ts": {"Service", "main", "run"}, "coverage.rs": {"run", "main"}, "a.c": {"Point", "add", "main"}, "a.cpp": {"Widget", "size"}, "a.go": {"Counter", "Add"}, "Widget.java": {"Widget", "size"}, "W.m": {"Widget"}}[path]
+    for g in (scanned, large):
+        assert wanted <= {r["name"] for r in g.nodes.where("kind = 'symbol'").collect()}
+        assert {"defines"} <= {r["kind"] for r in g.edges.collect()} and g.edges.where("kind = 'imports'").count() == 1
+    assert scanned.diagnostics.count() == 0 and large.diagnostics.count() == 1
+    assert extract.index(src, most=10, mode="tree-only").nodes.count() == 1
+
+
 def test_json_manifest():
     assert {"package.json", "fixture"} == set(symbols("package.json"))
     assert names("package.json", "dependency") == ["react", "x", "y"]

@@ -42,6 +42,64 @@ def test_ignore_rules(spark, rule, path, hit):
     assert kept == (0 if hit else 1)
 
 
+def test_nested_ignore_files(spark, tmp_path):
+    root = tmp_path / "top" / "repo"
+    (root / "a" / "deep").mkdir(parents=True)
+    (root / "gen").mkdir()
+    (tmp_path / "top" / ".git").mkdir()
+    (tmp_path / "top" / ".gitignore").write_text("/repo/above.py\nlast.py\n")
+    (root / ".gitignore").write_text("gen/\n*.log.py\n")
+    (root / "a" / ".gitignore").write_text("own.py\n!last.py\n/deep/only.py\n")
+    (root / ".ignore").write_text("b?.py\n[xy].py\n")
+    for name in ("above.py", "last.py", "own.py", "gen/in.py", "a/own.py", "a/last.py", "a/deep/only.py", "a/deep/own.py", "a/only.py", "q.log.py", "b1.py", "x.py", "z.py", "__init__.py", "a/gen.py"):
+        (root / name).write_text("v = 1\n")
+    (root / "a" / ".gitignore").write_text((root / "a" / ".gitignore").read_text() + "!/gen/in.py\n")
+    assert paths(discovery.discover(spark, str(root))) == ["__init__.py", "a/gen.py", "a/last.py", "a/only.py", "own.py", "z.py"]
+
+
+def test_unreadable_files_leave_diagnostics(spark, repo):
+    os.symlink("/proc/self/mem", os.path.join(repo, "mem.py"))
+    tables, _ = discovery.index_path(spark, repo)
+    assert [r["message"].split(":")[0] for r in tables.diagnostics.collect()] == ["failed to read mem.py"]
+
+
+def test_two_writers_lose_nothing(spark, repo, tmp_path):
+    store = GraphStore(spark, str(tmp_path / "store"))
+    tables, _ = discovery.index_path(spark, repo)
+    store.replace_all(tables)
+    assert not store._write_pointer(1, {"base": None, "deltas": []})
+    other, seen = GraphStore(spark, store.root), []
+    plain = store._write_pointer
+
+    def late(number, state):
+        if not seen:
+            seen.append(1)
+            other.replace_partitions(tables.only(tables.files.where("path = 'app.ts'")))
+        return plain(number, state)
+
+    store._write_pointer = late
+    store.replace_partitions(tables.only(tables.files.where("path = 'lib.ts'")))
+    assert len(store._read_pointer()["deltas"]) == 2 and paths(store.load_latest().files) == ["app.ts", "lib.ts", "tool.py"]
+
+
+def test_bursts_end_with_quiet_or_the_longest_wait():
+    from graphloom.streaming.watch import until_quiet
+
+    def run(states, quiet, most):
+        at, clock = [0], [0.0]
+        look = lambda: {"a": states[min(at[0], len(states) - 1)]}
+
+        def sleep(s):
+            at[0], clock[0] = at[0] + 1, clock[0] + s
+
+        return until_quiet(look, {"a": [0, 0]}, quiet, most, lambda: clock[0], sleep)["a"], round(clock[0], 2)
+
+    assert run([(0, 0)], 0.2, 9) == ((0, 0), 0.0)
+    state, took = run([(1, 1), (2, 2), (3, 3)], 0.2, 9)
+    assert state == (3, 3) and 0.3 <= took <= 0.35
+    assert run([(i, i) for i in range(1, 1000)], 0.2, 1)[1] in (1.0, 1.05)
+
+
 def test_store_merges_base_and_deltas(spark, repo, tmp_path):
     store = GraphStore(spark, str(tmp_path / "store"))
     tables, _ = discovery.index_path(spark, repo)
@@ -79,10 +137,11 @@ def test_integrity(spark, repo):
     assert integrity.dangling_edges(tables.nodes.where("kind <> 'symbol'"), tables.edges).count() > 0
 
 
-def test_jsonl_round_trip(spark, repo, tmp_path):
+@pytest.mark.parametrize("split", [False, True])
+def test_jsonl_round_trip(spark, repo, tmp_path, split):
     tables = discovery.index_path(spark, repo)[0].materialized()
     out = str(tmp_path / "lines")
-    interchange.write_lines(interchange.export_jsonl(tables).coalesce(1), out)
+    interchange.write_lines(interchange.export_jsonl(tables).repartitionByRange(7, F.monotonically_increasing_id()).sortWithinPartitions(F.monotonically_increasing_id()) if split else interchange.export_jsonl(tables), out)
     back = interchange.import_jsonl(interchange.read_jsonl(spark, out))
     for name in ("nodes", "edges", "diagnostics"):
         a, b = (getattr(t, name).drop("ord") for t in (tables, back))
@@ -93,7 +152,7 @@ def test_jsonl_round_trip(spark, repo, tmp_path):
 def test_exports_are_json(spark, repo, name):
     tables = discovery.index_path(spark, repo)[0].materialized()
     lines = [r["line"] for r in interchange.export(tables, name).collect()]
-    assert lines and all(json.loads(x) for x in lines)
+    assert lines and all(json.loads(x) for x in (["".join(lines)] if name == "scip" else lines))
 
 
 def test_unknown_format(spark):
