@@ -19,7 +19,7 @@ GROWTH = 1.25
 #: Shingles and documents of a block in which a family of candidates is compared, about.
 BLOCK, MEMBERS = 1 << 19, 1024
 #: Bytes of text handled at once.
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: A list of ids of so many rows at most (4 MB, about 16 MB as a table in memory) is broadcast; beyond, the join shuffles.
 SMALL = 500_000
 

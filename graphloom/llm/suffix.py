@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, slices, table, utf8_column
+from .common import checkpointed, settle, slices, table, utf8_column
 from .jaccard import RANDOM, SLICE, SMALL, mix
 
 #: Bytes of an anchor; of every window's anchors that of the least hash routes it.
@@ -18,9 +18,9 @@ ANCHOR = 32
 #: No byte of UTF-8; ends a text in a shard.
 STOP = 0xFF
 #: Bytes of text in a shard's suffix array, about.
-SHARD = 2 << 20
-#: An anchor with more different surroundings is dealt by window instead of by anchor.
-CROWD = 32768
+SHARD = 1 << 20
+#: An anchor with more different surroundings (2.7 MB of them at most) is dealt by window instead of by anchor.
+CROWD = 16384
 
 
 def suffix_array(text: np.ndarray, longest: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
@@ -32,16 +32,17 @@ def suffix_array(text: np.ndarray, longest: int) -> tuple[np.ndarray, list[tuple
         wide[: len(wide) - h] = wide[: len(wide) - h] << np.uint64(bits) | wide[h:]
     key, h, levels = wide[:n], 8, []
     while True:
-        order = np.argsort(key)
+        order = np.argsort(key).astype(np.int32)
         ordered = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.append(False, ordered[1:] != ordered[:-1]))
+        rank = np.empty(n, np.int32)
+        rank[order] = np.cumsum(np.append(False, ordered[1:] != ordered[:-1]), dtype=np.int32)
+        del ordered
         levels.append((h, rank))
         if h >= longest or (n and rank[order[-1]] == n - 1):
             return order, levels
-        behind = np.zeros(n, np.int64)
-        behind[: max(0, n - h)] = rank[h:] + 1
-        key, h = (rank.astype(np.uint64) << np.uint64(32)) | behind.astype(np.uint64), 2 * h
+        key = rank.astype(np.uint64) << np.uint64(32)
+        key[: max(0, n - h)] |= (rank[h:] + 1).astype(np.uint64)
+        h *= 2
 
 
 def common_prefixes(text: np.ndarray, left: np.ndarray, right: np.ndarray, levels: list[tuple[int, np.ndarray]], room: np.ndarray) -> np.ndarray:
@@ -71,11 +72,12 @@ def maximal_repeats(texts: list[bytes], least: int) -> list[tuple[int, np.ndarra
     sizes = np.array([len(t) for t in texts], np.int64)
     text = np.frombuffer(bytes([STOP]).join(texts) + bytes([STOP]), np.uint8)
     starts = np.cumsum(sizes + 1) - sizes - 1
-    owner = np.repeat(np.arange(len(texts)), sizes + 1)
-    place = np.arange(len(text)) - starts[owner]
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes + 1)
+    place = np.arange(len(text), dtype=np.int32) - starts.astype(np.int32)[owner]
     order, levels = suffix_array(text, int(sizes.max()))
-    room = sizes[owner] - place
+    room = sizes.astype(np.int32)[owner] - place
     array = order[room[order] >= least]
+    del order
     if len(array) < 2:
         return []
     lcp = common_prefixes(text, array[:-1], array[1:], levels, np.minimum(room[array[:-1]], room[array[1:]]))
@@ -259,6 +261,7 @@ def _by_shard(pieces: DataFrame, least: int) -> DataFrame:
                 if anchor != last and size >= SHARD:
                     yield flush()
                     docs, places, texts, size = [], [], [], 0
+                    settle()
                 last = anchor
                 docs.append(doc)
                 places.append(place)
@@ -266,6 +269,7 @@ def _by_shard(pieces: DataFrame, least: int) -> DataFrame:
                 size += len(piece)
         if texts:
             yield flush()
+        settle()
 
     return pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(go, SPANS)
 
