@@ -99,14 +99,19 @@ def best_facts(nodes: DataFrame) -> DataFrame:
     return scored.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn", "_score")
 
 
+def first_symbols(nodes: DataFrame) -> DataFrame:
+    """(file_part, known, local): the first symbol of each name or qualified name in a partition."""
+    symbols = nodes.where("kind = 'symbol'").select("file_part", "id", "ord", F.explode(F.array_distinct(F.array_compact(F.array("name", "qualified_name")))).alias("known"))
+    return symbols.groupBy("file_part", "known").agg(F.min_by("id", "ord").alias("local"))
+
+
 def resolve_local(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Point calls and references at local symbols.
 
     Within a partition, an edge to an external symbol goes to the first symbol whose name or
     qualified name is that symbol's name, and gets a new id; others stay, and so does the external node.
     """
-    symbols = nodes.where("kind = 'symbol'").select("file_part", "id", "ord", F.explode(F.array_distinct(F.array_compact(F.array("name", "qualified_name")))).alias("known"))
-    first = symbols.groupBy("file_part", "known").agg(F.min_by("id", "ord").alias("local"))
+    first = first_symbols(nodes)
     external = nodes.where("kind = 'external-symbol'").groupBy("file_part", F.col("id").alias("to")).agg(F.min_by("name", "ord").alias("known"))
     hit = external.join(first, ["file_part", "known"]).select("file_part", "to", "local")
     moved = F.col("local").isNotNull() & F.col("kind").isin("calls", "references")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,9 @@ from .. import schema
 from ..functions import expr as X
 from ..operators import incremental, integrity
 from ..operators.query import GraphQuery
-from ..operators.tables import adjacency, best_facts, last_nodes, latest, replace_partitions, resolve_local
-from .projection import GRAPH_SQL, graph, read
+from ..operators.tables import adjacency, best_facts, first_symbols, last_nodes, latest, replace_partitions, resolve_local, shared_folder
+from ..sources.store import GraphStore
+from .projection import GRAPH_SQL, file_number, graph, read
 
 WANTED = ["supplier_3", "mod.supplier_5", "mod.BUILDING_1", "BUILDING_7", "AUTOMOBILE_7", "MACHINERY_7", "HOUSEHOLD_7", "FURNITURE_7"]
 _WANTED = "('" + "', '".join(WANTED) + "')"
@@ -21,6 +23,13 @@ FLAT = ["id", "kind", "language", "name", "qualified_name", "symbol_kind", "file
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def stored(spark: SparkSession, d: str) -> GraphStore:
+    """A store of the graph, with its projections."""
+    store = GraphStore(spark, f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}")
+    store.replace_all(graph(spark, d))
+    return store
+
+
 def _q(spark: SparkSession, d: str) -> GraphQuery:
     return GraphQuery(graph(spark, d))
 
@@ -65,7 +74,7 @@ def impact(spark, d):
 
 def deps_tree(spark, d):
     q = _q(spark, d)
-    starts = q.tables.nodes.where("id in ('node:cust:63', 'node:cust:40', 'node:cust:33')").select(F.col("id").alias("start_id"))
+    starts = q.tables.nodes.where("kind = 'symbol' and name = 'BUILDING_7'").select(F.col("id").alias("start_id"))
     return q.traverse_dependencies(starts, 3).select("start_id", "id", F.col("depth").cast("long").alias("depth"), "name")
 
 
@@ -85,7 +94,7 @@ def _local(spark, d):
     """Suppliers call by name whatever customer their number names, through an external symbol in their file."""
     g = graph(spark, d)
     s = F.col("s_suppkey")
-    part = F.concat(F.lit("file:"), F.col("s_nationkey").cast("string"))
+    part = F.concat(F.lit("file:"), file_number(F.col("s_nationkey"), s).cast("string"))
     known = F.concat(F.lit("BUILDING_"), (s % 40).cast("string"))
     external = read(spark, d, "supplier").select(
         part.alias("file_part"), (s + 5_000_000).alias("ord"), F.concat(F.lit("node:ext:"), known).alias("id"), F.lit("external-symbol").alias("kind"), F.lit("unknown").alias("language"),
@@ -105,9 +114,7 @@ def local_resolve(spark, d):
 
 
 def first_symbol_by_name(spark, d):
-    nodes = graph(spark, d).nodes.where("kind = 'symbol'")
-    known = nodes.select("file_part", "id", "ord", F.explode(F.array("name", "qualified_name")).alias("known"))
-    return known.groupBy("file_part", "known").agg(F.min_by("id", "ord").alias("id"))
+    return first_symbols(graph(spark, d).nodes).select("file_part", "known", F.col("local").alias("id"))
 
 
 def latest_partition(spark, d):
@@ -126,16 +133,16 @@ def replace_partition(spark, d):
 def incremental_plan(spark, d):
     g = graph(spark, d)
     changed = g.files.where("partition_pos in (1, 3)").select(F.concat(F.lit("lib/Brand#"), (F.col("partition_pos") + 10).cast("string"), F.lit(".py")).alias("path")).unionByName(g.files.where("partition_pos = 3").select("path"))
-    return incremental.plan_reindex(incremental.import_stems(g), changed)
+    return stored(spark, d).plan_reindex(changed)
 
 
 def reverse_deps_index(spark, d):
-    return incremental.import_stems(graph(spark, d)).select("stem", "path", F.col("stem_shard").cast("long").alias("stem_shard"))
+    store = stored(spark, d)
+    return spark.read.parquet(f"{store.root}/{store._read_pointer()['base']}/stems").select("stem", "path", F.col("stem_shard").cast("long").alias("stem_shard"))
 
 
 def symbol_index_shard(spark, d):
-    nodes = last_nodes(graph(spark, d)).where("kind = 'symbol'").withColumn("name_shard", X.shard("name"))
-    return best_facts(nodes.where((F.col("name_shard") == X.shard(F.lit("supplier_3"))) & (F.col("name") == "supplier_3"))).select("id", "name", "file_id", F.col("name_shard").cast("long").alias("name_shard"))
+    return stored(spark, d).lookup_symbol("supplier_3").select("id", "name", "file_id", X.shard("name").cast("long").alias("name_shard"))
 
 
 def manifest_check(spark, d):
@@ -215,13 +222,13 @@ QUERIES: dict[str, tuple[Query, str]] = {
     "q_file_deps": (file_deps, g("SELECT DISTINCT f.path, coalesce(n.qualified_name, n.name) AS label FROM g_files f JOIN g_edges e ON e.file_part = f.file_id AND e.kind IN ('imports', 'depends-on') JOIN g_last n ON n.id = e.dst")),
     "q_packages": (packages, g("SELECT DISTINCT name FROM g_nodes WHERE kind = 'package'")),
     "q_impact": (impact, g("SELECT path FROM g_files WHERE partition_pos % 12 = 1 UNION SELECT f.path FROM g_edges e JOIN g_last n ON n.id = e.dst JOIN g_files c ON c.file_id = n.file_id AND c.partition_pos % 12 = 1 JOIN g_files f ON f.file_id = e.file_part WHERE e.kind IN ('imports', 'depends-on')")),
-    "q_deps_tree": (deps_tree, g("SELECT w.start_id, w.id, min(w.depth)::BIGINT AS depth, any_value(n.name) AS name FROM walk w JOIN g_last n ON n.id = w.id WHERE w.depth > 0 GROUP BY w.start_id, w.id", "walk AS (SELECT id AS start_id, id, 0 AS depth FROM g_last WHERE id IN ('node:cust:63', 'node:cust:40', 'node:cust:33') UNION ALL SELECT start_id, e.dst, depth + 1 FROM walk JOIN g_edges e ON e.src = walk.id AND e.kind = 'depends-on' WHERE depth < 3)")),
+    "q_deps_tree": (deps_tree, g("SELECT w.start_id, w.id, min(w.depth)::BIGINT AS depth, any_value(n.name) AS name FROM walk w JOIN g_last n ON n.id = w.id WHERE w.depth > 0 GROUP BY w.start_id, w.id", "walk AS (SELECT id AS start_id, id, 0 AS depth FROM g_last WHERE kind = 'symbol' AND name = 'BUILDING_7' UNION ALL SELECT start_id, e.dst, depth + 1 FROM walk JOIN g_edges e ON e.src = walk.id AND e.kind = 'depends-on' WHERE depth < 3)")),
     "q_adjacency_degree": (adjacency_degree, g("SELECT id, kind, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM (SELECT src AS id, kind, 1 AS o, 0 AS i FROM g_edges UNION ALL SELECT dst, kind, 0, 1 FROM g_edges) GROUP BY id, kind")),
     "q_best_fact": (best_fact, g(f"SELECT {_S(FLAT)} FROM g_last WHERE kind = 'symbol' QUALIFY {_BEST}")),
     "q_node_last_wins": (node_last_wins, g("SELECT file_part, ord, id, kind FROM g_last")),
     "q_local_resolve": (local_resolve, g(
         "SELECT e.file_part, CASE WHEN f.id IS NULL THEN 'edge:' || substr(sha256('calls' || chr(0) || e.src || chr(0) || e.dst || chr(0) || chr(0)), 1, 24) ELSE 'edge:' || substr(sha256('calls' || chr(0) || e.src || chr(0) || f.id || chr(0) || chr(0)), 1, 24) END AS id, "
-        "e.src AS \"from\", coalesce(f.id, e.dst) AS \"to\" FROM (SELECT 'file:' || s_nationkey AS file_part, 'node:supp:' || s_suppkey AS src, 'node:ext:BUILDING_' || s_suppkey % 40 AS dst, 'BUILDING_' || s_suppkey % 40 AS known FROM supplier) e "
+        "e.src AS \"from\", coalesce(f.id, e.dst) AS \"to\" FROM (SELECT 'file:' || (s_nationkey + 25 * (s_suppkey // 500)) AS file_part, 'node:supp:' || s_suppkey AS src, 'node:ext:BUILDING_' || s_suppkey % 40 AS dst, 'BUILDING_' || s_suppkey % 40 AS known FROM supplier) e "
         "LEFT JOIN (SELECT file_part, known, arg_min(id, ord) AS id FROM (SELECT file_part, id, ord, name AS known FROM g_nodes WHERE kind = 'symbol' UNION ALL SELECT file_part, id, ord, qualified_name FROM g_nodes WHERE kind = 'symbol') GROUP BY 1, 2) f USING (file_part, known)")),
     "q_first_symbol_by_name": (first_symbol_by_name, g("SELECT file_part, known, arg_min(id, ord) AS id FROM (SELECT file_part, id, ord, name AS known FROM g_nodes WHERE kind = 'symbol' UNION ALL SELECT file_part, id, ord, qualified_name FROM g_nodes WHERE kind = 'symbol') GROUP BY 1, 2")),
     "q_latest_partition": (latest_partition, "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"),

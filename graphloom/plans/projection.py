@@ -27,30 +27,43 @@ ENDS = [".py", ".ts", ".rs", ".go", ".java"]
 LANGS = ["python", "typescript", "rust", "go", "java"]
 
 
+#: Customers or suppliers of a nation that stand in one file, by their keys; a nation has more files the more there are.
+FILE = 500
+NATIONS = 25
+
+
+def file_number(nation: F.Column, key: F.Column) -> F.Column:
+    return (nation + NATIONS * F.floor(key / FILE)).cast("long")
+
+
 def graph(spark: SparkSession, sf_dir: str) -> GraphTables:
-    """Files are nations; symbols are customers and suppliers; suppliers' first lines import brands."""
+    """Files are parts of nations; symbols are customers and suppliers, who call and import by all lines of orders."""
     nation, region = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
     customer, supplier = read(spark, sf_dir, "customer"), read(spark, sf_dir, "supplier")
     part, orders = read(spark, sf_dir, "part"), read(spark, sf_dir, "orders")
-    line = read(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    line = read(spark, sf_dir, "lineitem")
     n = F.col("n_nationkey")
-    files = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
-        F.concat(F.lit("file:"), n.cast("string")).alias("file_id"),
-        F.concat(F.lower("r_name"), F.lit("/"), F.lower("n_name"), pick(ENDS, n % 5)).alias("path"),
+    owners = lambda df, nation_key, key: df.select(F.col(nation_key).alias("nation"), F.floor(F.col(key) / FILE).alias("part"))
+    parts = owners(customer, "c_nationkey", "c_custkey").unionByName(owners(supplier, "s_nationkey", "s_suppkey")).unionByName(nation.select(n.alias("nation"), F.lit(0).cast("long").alias("part"))).distinct()
+    number, folder = (n + NATIONS * F.col("part")).cast("long"), F.when(F.col("part") > 0, F.concat(F.lit("/part"), F.col("part").cast("string"))).otherwise("")
+    files = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).join(parts, n == F.col("nation")).select(
+        F.concat(F.lit("file:"), number.cast("string")).alias("file_id"),
+        F.concat(F.lower("r_name"), F.lit("/"), F.lower("n_name"), folder, pick(ENDS, n % 5)).alias("path"),
         pick(LANGS, n % 5).alias("language"),
-        F.sha2(F.concat(F.lit("text of "), F.col("n_name")), 256).alias("fingerprint"),
-        (n * 10).cast("long").alias("parse_time_micros"), (n * 10 + 5).cast("long").alias("extraction_time_micros"), n.cast("long").alias("partition_pos"),
+        F.sha2(F.concat(F.lit("text of "), F.col("n_name"), folder), 256).alias("fingerprint"),
+        (number * 10).alias("parse_time_micros"), (number * 10 + 5).alias("extraction_time_micros"), number.alias("partition_pos"),
     )
 
-    def file_of(key: str) -> F.Column:
-        return F.concat(F.lit("file:"), F.col(key).cast("string"))
+    def file_of(nation_key: str, key: str | None = None) -> F.Column:
+        at = file_number(F.col(nation_key), F.col(key)) if key else F.col(nation_key)
+        return F.concat(F.lit("file:"), at.cast("string"))
 
     def symbols(df: DataFrame, key: str, nation_key: str, tag: str, name, kind, base: int) -> DataFrame:
         k = F.col(key)
         return df.select(
-            file_of(nation_key).alias("file_part"), (k + base).cast("long").alias("ord"), F.concat(F.lit(f"node:{tag}:"), k.cast("string")).alias("id"),
+            file_of(nation_key, key).alias("file_part"), (k + base).cast("long").alias("ord"), F.concat(F.lit(f"node:{tag}:"), k.cast("string")).alias("id"),
             F.lit("symbol").alias("kind"), pick(LANGS, F.col(nation_key) % 5).alias("language"), name.alias("name"), F.concat(F.lit("mod."), name).alias("qualified_name"),
-            kind.alias("symbol_kind"), F.when(k % 89 != 0, file_of(nation_key)).alias("file_id"),
+            kind.alias("symbol_kind"), F.when(k % 89 != 0, file_of(nation_key, key)).alias("file_id"),
             span(k * 20, F.when(k % 97 == 0, -3).otherwise(k % 17), k % 500 + 1).alias("span"),
             pick(schema.PROVENANCES, k % 6).alias("provenance"), pick(schema.CONFIDENCES, k % 4).alias("confidence"),
         )
@@ -84,16 +97,16 @@ def graph(spark: SparkSession, sf_dir: str) -> GraphTables:
 
     node = lambda tag, key: F.concat(F.lit(f"node:{tag}:"), F.col(key).cast("string"))
     calls = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_suppkey").distinct().join(customer, F.col("o_custkey") == c)
-    small = customer.where("c_custkey between 1 and 63").withColumn("half", F.floor(c / 2).cast("long"))
+    halves = customer.withColumn("half", F.floor(c / 2).cast("long"))
     edges = (
-        edges_of(calls, "calls", 0, F.col("o_custkey") * 100_000 + F.col("l_suppkey"), node("cust", "o_custkey"), node("supp", "l_suppkey"), file_of("c_nationkey"))
-        .unionByName(edges_of(supplier, "references", 0, s, node("supp", "s_suppkey"), node("cust", "s_suppkey"), file_of("s_nationkey")))
-        .unionByName(edges_of(small, "depends-on", 0, c, node("cust", "c_custkey"), node("cust", "half"), file_of("c_nationkey")))
+        edges_of(calls, "calls", 0, F.col("o_custkey") * 100_000 + F.col("l_suppkey"), node("cust", "o_custkey"), node("supp", "l_suppkey"), file_of("c_nationkey", "c_custkey"))
+        .unionByName(edges_of(supplier, "references", 0, s, node("supp", "s_suppkey"), node("cust", "s_suppkey"), file_of("s_nationkey", "s_suppkey")))
+        .unionByName(edges_of(halves, "depends-on", 0, c, node("cust", "c_custkey"), node("cust", "half"), file_of("c_nationkey", "c_custkey")))
         .unionByName(edges_of(brands, "imports", 0, number, F.concat(F.lit("node:imp:"), F.col("s_nationkey").cast("string"), F.lit(":"), F.col("p_brand")), F.concat(F.lit("node:pkg:"), F.col("p_brand")), file_of("s_nationkey")))
     )
     diagnostics = supplier.where("s_acctbal < 0").select(
-        file_of("s_nationkey").alias("file_part"), s.alias("ord"), F.lit("warning").alias("severity"), F.concat(F.lit("parse error near supplier "), s.cast("string")).alias("message"),
-        F.when(s % 5 != 0, file_of("s_nationkey")).alias("file_id"), F.lit(None).cast(schema.SPAN).alias("span"),
+        file_of("s_nationkey", "s_suppkey").alias("file_part"), s.alias("ord"), F.lit("warning").alias("severity"), F.concat(F.lit("parse error near supplier "), s.cast("string")).alias("message"),
+        F.when(s % 5 != 0, file_of("s_nationkey", "s_suppkey")).alias("file_id"), F.lit(None).cast(schema.SPAN).alias("span"),
     )
     return GraphTables(files, nodes, edges, diagnostics)
 
@@ -103,8 +116,8 @@ def _list(values: list[str]) -> str:
 
 
 _SYMBOL = """
-  SELECT 'file:' || {nk} AS file_part, ({k} + {base})::BIGINT AS ord, 'node:{tag}:' || {k} AS id, 'symbol' AS kind, {langs}[{nk} % 5 + 1] AS language,
-    {name} AS name, 'mod.' || {name} AS qualified_name, {kind} AS symbol_kind, CASE WHEN {k} % 89 <> 0 THEN 'file:' || {nk} END AS file_id,
+  SELECT 'file:' || ({nk} + 25 * ({k} // 500)) AS file_part, ({k} + {base})::BIGINT AS ord, 'node:{tag}:' || {k} AS id, 'symbol' AS kind, {langs}[{nk} % 5 + 1] AS language,
+    {name} AS name, 'mod.' || {name} AS qualified_name, {kind} AS symbol_kind, CASE WHEN {k} % 89 <> 0 THEN 'file:' || ({nk} + 25 * ({k} // 500)) END AS file_id,
     ({k} * 20)::BIGINT AS byte_start, ({k} * 20 + CASE WHEN {k} % 97 = 0 THEN -3 ELSE {k} % 17 END)::BIGINT AS byte_end, ({k} % 500 + 1)::BIGINT AS line,
     (CASE WHEN {k} % 97 = 0 THEN -3 ELSE {k} % 17 END + 1)::BIGINT AS col_end, {prov}[{k} % 6 + 1] AS provenance, {conf}[{k} % 4 + 1] AS confidence
   FROM {table}"""
@@ -112,10 +125,12 @@ _P, _C, _G = _list(schema.PROVENANCES), _list(schema.CONFIDENCES), _list(LANGS)
 #: The same graph as common table expressions; spans are flat.
 GRAPH_SQL = f"""
 g_files AS (
-  SELECT 'file:' || n_nationkey AS file_id, lower(r_name) || '/' || lower(n_name) || {_list(ENDS)}[n_nationkey % 5 + 1] AS path, {_G}[n_nationkey % 5 + 1] AS language,
-    sha256('text of ' || n_name) AS fingerprint, (n_nationkey * 10)::BIGINT AS parse_time_micros, (n_nationkey * 10 + 5)::BIGINT AS extraction_time_micros, n_nationkey::BIGINT AS partition_pos
-  FROM nation JOIN region ON n_regionkey = r_regionkey),
-brands AS (SELECT DISTINCT s_nationkey, p_brand FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1),
+  SELECT 'file:' || number AS file_id, lower(r_name) || '/' || lower(n_name) || folder || {_list(ENDS)}[n_nationkey % 5 + 1] AS path, {_G}[n_nationkey % 5 + 1] AS language,
+    sha256('text of ' || n_name || folder) AS fingerprint, (number * 10)::BIGINT AS parse_time_micros, (number * 10 + 5)::BIGINT AS extraction_time_micros, number::BIGINT AS partition_pos
+  FROM (SELECT n_name, n_regionkey, n_nationkey, n_nationkey + 25 * part AS number, CASE WHEN part > 0 THEN '/part' || part ELSE '' END AS folder FROM nation JOIN
+    (SELECT c_nationkey AS nation, c_custkey // 500 AS part FROM customer UNION SELECT s_nationkey, s_suppkey // 500 FROM supplier UNION SELECT n_nationkey, 0 FROM nation) ON n_nationkey = nation)
+  JOIN region ON n_regionkey = r_regionkey),
+brands AS (SELECT DISTINCT s_nationkey, p_brand FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey),
 g_nodes AS ({_SYMBOL.format(nk="c_nationkey", k="c_custkey", base=0, tag="cust", langs=_G, name="(c_mktsegment || '_' || c_custkey % 40)", kind="['function', 'method', 'class'][c_custkey % 3 + 1]", prov=_P, conf=_C, table="customer")}
   UNION ALL {_SYMBOL.format(nk="s_nationkey", k="s_suppkey", base=1000000, tag="supp", langs=_G, name="('supplier_' || s_suppkey % 10)", kind="'class'", prov=_P, conf=_C, table="supplier")}
   UNION ALL SELECT 'file:' || s_nationkey, string_split(p_brand, '#')[-1]::BIGINT + 2000000, 'node:imp:' || s_nationkey || ':' || p_brand, 'import', {_G}[s_nationkey % 5 + 1], p_brand, 'lib/' || p_brand || '.py',
@@ -123,13 +138,13 @@ g_nodes AS ({_SYMBOL.format(nk="c_nationkey", k="c_custkey", base=0, tag="cust",
   UNION ALL SELECT 'file:' || s_nationkey, string_split(p_brand, '#')[-1]::BIGINT + 3000000, 'node:pkg:' || p_brand, 'package', 'unknown', p_brand, NULL,
     NULL, NULL, NULL, NULL, NULL, NULL, 'structural-scanner', 'medium' FROM brands),
 g_edges AS (
-  SELECT 'file:' || c_nationkey AS file_part, 'edge:calls:node:cust:' || o_custkey || '>node:supp:' || l_suppkey AS id, 'calls' AS kind, 'node:cust:' || o_custkey AS src, 'node:supp:' || l_suppkey AS dst
-  FROM (SELECT DISTINCT o_custkey, l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1) JOIN customer ON o_custkey = c_custkey
-  UNION ALL SELECT 'file:' || s_nationkey, 'edge:references:node:supp:' || s_suppkey || '>node:cust:' || s_suppkey, 'references', 'node:supp:' || s_suppkey, 'node:cust:' || s_suppkey FROM supplier
-  UNION ALL SELECT 'file:' || c_nationkey, 'edge:depends-on:node:cust:' || c_custkey || '>node:cust:' || (c_custkey // 2), 'depends-on', 'node:cust:' || c_custkey, 'node:cust:' || (c_custkey // 2) FROM customer WHERE c_custkey BETWEEN 1 AND 63
+  SELECT 'file:' || (c_nationkey + 25 * (c_custkey // 500)) AS file_part, 'edge:calls:node:cust:' || o_custkey || '>node:supp:' || l_suppkey AS id, 'calls' AS kind, 'node:cust:' || o_custkey AS src, 'node:supp:' || l_suppkey AS dst
+  FROM (SELECT DISTINCT o_custkey, l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey) JOIN customer ON o_custkey = c_custkey
+  UNION ALL SELECT 'file:' || (s_nationkey + 25 * (s_suppkey // 500)), 'edge:references:node:supp:' || s_suppkey || '>node:cust:' || s_suppkey, 'references', 'node:supp:' || s_suppkey, 'node:cust:' || s_suppkey FROM supplier
+  UNION ALL SELECT 'file:' || (c_nationkey + 25 * (c_custkey // 500)), 'edge:depends-on:node:cust:' || c_custkey || '>node:cust:' || (c_custkey // 2), 'depends-on', 'node:cust:' || c_custkey, 'node:cust:' || (c_custkey // 2) FROM customer
   UNION ALL SELECT 'file:' || s_nationkey, 'edge:imports:node:imp:' || s_nationkey || ':' || p_brand || '>node:pkg:' || p_brand, 'imports', 'node:imp:' || s_nationkey || ':' || p_brand, 'node:pkg:' || p_brand FROM brands),
 g_diagnostics AS (
-  SELECT 'file:' || s_nationkey AS file_part, s_suppkey AS ord, 'warning' AS severity, 'parse error near supplier ' || s_suppkey AS message, CASE WHEN s_suppkey % 5 <> 0 THEN 'file:' || s_nationkey END AS file_id FROM supplier WHERE s_acctbal < 0),
+  SELECT 'file:' || (s_nationkey + 25 * (s_suppkey // 500)) AS file_part, s_suppkey AS ord, 'warning' AS severity, 'parse error near supplier ' || s_suppkey AS message, CASE WHEN s_suppkey % 5 <> 0 THEN 'file:' || (s_nationkey + 25 * (s_suppkey // 500)) END AS file_id FROM supplier WHERE s_acctbal < 0),
 g_last AS (
   SELECT * EXCLUDE (rn) FROM (SELECT n.*, row_number() OVER (PARTITION BY n.id ORDER BY f.partition_pos DESC, n.ord DESC) AS rn FROM g_nodes n JOIN g_files f ON n.file_part = f.file_id) WHERE rn = 1)
 """
