@@ -1,8 +1,9 @@
-"""Approximate nearest neighbours by learned partitions: a balanced cut of a neighbour graph, and a router."""
+"""Approximate nearest neighbours by learned partitions: balanced cuts of neighbour graphs, and a tree of routers."""
 
 from __future__ import annotations
 
 import math
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -11,10 +12,12 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, drawn, settle, table
 
-#: The router is fitted on so many vectors, about, those of the smallest digests; all are indexed.
+#: Each router is fitted on so many vectors, about, those of the smallest digests; all are indexed.
 SAMPLE = 16384
-#: Vectors of a partition, about, while SAMPLE allows so many partitions; vectors of a block of work.
-PARTITION, MOST_PARTITIONS, BLOCK = 800, 64, 4096
+#: Vectors of a partition, about; partitions that a router tells apart at most; vectors of a block of work.
+PARTITION, FANOUT, BLOCK = 800, 64, 4096
+#: Vectors that a router is fitted on at least; fewer are one partition.
+FEWEST = 64
 #: A query is routed to its most probable partitions until they hold so much of the router's probability.
 MASS = 0.95
 
@@ -101,16 +104,49 @@ class Router:
         s = np.exp(s - s.max(1, keepdims=True))
         return s / s.sum(1, keepdims=True)
 
-    def route(self, x: np.ndarray, mass: float | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(row, partition) pairs: of each vector the most probable partition, or as many as hold `mass` of its probability."""
+    def shares(self, x: np.ndarray, mass: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, partition, probability): of each vector the most probable partition, or as many as hold `mass` of its probability."""
         z = (np.asarray(x, np.float32) - self.mean) / self.scale
         p = self.softmax(np.maximum(z @ self.w[0] + self.w[1], 0) @ self.w[2] + self.w[3])
         order = np.argsort(-p, axis=1, kind="stable")
-        if mass is None:
-            return np.arange(len(x)), order[:, 0]
         held = np.cumsum(np.take_along_axis(p, order, 1), axis=1)
-        rows, places = np.nonzero(np.column_stack([np.ones(len(x), bool), held[:, :-1] < mass]))
-        return rows, order[rows, places]
+        rows, places = np.nonzero(np.column_stack([np.ones(len(x), bool), held[:, :-1] < (mass or 0)]))
+        return rows, order[rows, places], p[rows, order[rows, places]]
+
+
+def parts_of(n: int, least: int = 1) -> int:
+    """Partitions of n vectors that one router tells apart: a power of two."""
+    return 1 << max(least.bit_length() - 1, min(FANOUT.bit_length() - 1, round(math.log2(max(n, 1) / PARTITION))))
+
+
+class Tree:
+    """A router to partitions, and one below each of those that are large. A leaf's number is the first one's times FANOUT, and the second one's."""
+
+    def __init__(self, top: Router):
+        self.top, self.below, self.fanout = top, {}, FANOUT
+
+    @property
+    def leaves(self) -> int:
+        return sum(self.below[i].parts if i in self.below else 1 for i in range(self.top.parts))
+
+    def route(self, x: np.ndarray, mass: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) pairs: of each vector the most probable leaf, or as many as hold `mass` of its probability."""
+        rows, parts, p = self.top.shares(x, mass)
+        out = [], [], []
+        for i in np.unique(parts):
+            at = np.flatnonzero(parts == i)
+            inner, leaf, q = self.below[i].shares(x[rows[at]], mass) if i in self.below else (np.arange(len(at)), np.zeros(len(at), np.int64), np.ones(len(at)))
+            for column, v in zip(out, (rows[at[inner]], i * self.fanout + leaf, p[at[inner]] * q), strict=True):
+                column.append(v)
+        if not out[0]:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        rows, leaves, p = map(np.concatenate, out)
+        order = np.lexsort((leaves, -p, rows))
+        rows, leaves, p = rows[order], leaves[order], p[order]
+        first = np.searchsorted(rows, rows)
+        before = np.cumsum(p) - p
+        keep = before - before[first] < mass if mass is not None else np.arange(len(rows)) == first
+        return rows[keep], leaves[keep]
 
 
 def usable(vector: Column) -> Column:
@@ -156,40 +192,80 @@ def best(queries: tuple[np.ndarray, np.ndarray], rows: tuple[np.ndarray, np.ndar
     return tuple(np.concatenate(v) if v else np.zeros(0, t) for v, t in zip(found, (np.int64, np.int64, float), strict=True))
 
 
+def fit(rows: DataFrame, n: int, sample: int) -> Tree:
+    """A tree of routers for n vectors (vec_id, v), with leaves in proportion to n: a second level where one router's partitions are too few.
+
+    A router below is fitted in a task on a sample of its partition; at most FANOUT of them reach the driver.
+    """
+    found = drawn(rows, "vec_id", n, sample).select("v").toArrow()
+    tree = Tree(Router(matrix(found.column(0).combine_chunks()), parts_of(n, 2)))
+    if n < 2 * PARTITION * FANOUT:
+        return tree
+    top = rows.sparkSession.sparkContext.broadcast(tree)
+
+    def place(batches):
+        for b in batches:
+            if b.num_rows:
+                _, part = top.value.route(matrix(b.column(1)))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(part // top.value.fanout, pa.int32())], names=["vec_id", "v", "part"])
+
+    placed = rows.mapInArrow(place, "vec_id long, v array<double>, part int")
+    sizes = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}
+    large = {part: m for part, m in sizes.items() if m >= 2 * PARTITION}
+    if not large:
+        return tree
+    bars = [F.lit(x) for part, m in large.items() for x in (part, min((1 << 63) - 1, -(1 << 63) + (1 << 64) * sample // m))]
+
+    def fit_one(group: pa.Table) -> pa.Table:
+        part = group.column("part")[0].as_py()
+        router = Router(matrix(group.slice(0, sample + sample // 4).column("v").combine_chunks()), parts_of(large[part], 2))
+        return pa.table({"part": pa.array([part], pa.int32()), "router": pa.array([pickle.dumps(router)], pa.binary())})
+
+    chosen = placed.where(F.xxhash64("vec_id") <= F.create_map(*bars)[F.col("part")])
+    for r in chosen.groupBy("part").applyInArrow(fit_one, "part int, router binary").collect():
+        tree.below[r["part"]] = pickle.loads(r["router"])
+    top.unpersist()
+    return tree
+
+
+#: Numbers of leaves of vectors of other dimensions than most: the dimension is added.
+OTHER = 1 << 30
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 20, mass: float = MASS, sample: int = SAMPLE) -> DataFrame:
     """Each query's k nearest of all other vectors by inner product, as far as the routed partitions hold them.
 
     mass is what a query's partitions hold of the router's probability, and about the recall to expect.
 
     vectors: vec_id, embedding; other columns are ignored. is_query: a condition on vec_id. Vectors
-    that are null, empty, zero or hold a null or non-finite component take no part, nor do those of
-    another dimension than most. Rows that repeat a query's vec_id are not its neighbours. Returns
-    query_id, rank, vec_id, score. An empty table gives an empty result.
-
-    The graph cut and router are fitted on about `sample` vectors (a quarter more at most); every vector is indexed, under its most
-    probable partition. Work is dealt in blocks of BLOCK vectors by BLOCK queries of a partition,
-    so a partition with a third of all rows is split on both sides; only counts by partition reach
-    the driver. With fewer than two partitions' vectors the search is exact.
+    that are null, empty, zero or hold a null or non-finite component take no part. Rows that repeat a query's vec_id are
+    not its neighbours. A query meets vectors of its own dimension alone; the commonest dimension is partitioned, each other one is
+    one partition. Returns query_id, rank, vec_id, score. An empty table gives an empty result.
+
+    A graph cut and its router are fitted on about `sample` vectors (a quarter more at most); every vector is indexed, under its most
+    probable partition. There are as many partitions as it takes for about PARTITION vectors each, two at least. Work is
+    dealt in blocks of BLOCK vectors by BLOCK queries of a partition, so a partition with a third of all rows is split on both
+    sides; only counts by partition reach the driver.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     rows = rows.where("vec_id is not null").where(usable(F.col("v")))
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    n, d = (sizes[0]["count"], sizes[0]["d"]) if sizes else (0, 1)
-    rows = rows.where(F.size("v") == d)
-    parts = 1 << max(0, min(round(math.log2(MOST_PARTITIONS)), round(math.log2(max(n, 1) / PARTITION))))
-    router = None
-    if parts > 1:
-        found = drawn(rows, "vec_id", n, sample).select("v").toArrow()
-        router = Router(matrix(found.column(0).combine_chunks()), parts)
-    model = spark.sparkContext.broadcast(router)
+    n, d = (sizes[0]["count"], sizes[0]["d"]) if sizes else (0, 0)
+    # a router needs some vectors to learn from
+    model = spark.sparkContext.broadcast(fit(rows.where(F.size("v") == d), n, sample) if n >= FEWEST else None)
 
     def placed(mass: float | None):
         def run(batches):
             for b in batches:
-                if not b.num_rows:
-                    continue
-                index, to = model.value.route(matrix(b.column(1)), mass) if model.value else (np.arange(b.num_rows), np.zeros(b.num_rows, int))
+                size = np.diff(b.column(1).offsets.to_numpy())
+                usual = np.flatnonzero(size == d)
+                if model.value is None or not len(usual):
+                    index, to = np.arange(b.num_rows), OTHER + size
+                else:
+                    index, to = model.value.route(matrix(b.column(1).take(pa.array(usual))), mass)
+                    other = np.flatnonzero(size != d)
+                    index, to = np.append(usual[index], other), np.append(to, OTHER + size[other])
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(index)), b.column(1).take(pa.array(index)), pa.array(to, pa.int32())], names=["vec_id", "v", "part"])
 
         return run
@@ -197,17 +273,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, mass: float = MASS
     schema = "vec_id long, v array<double>, part int"
     held = checkpointed(rows.mapInArrow(placed(None), schema))
     asked = checkpointed(rows.where(is_query).mapInArrow(placed(mass), schema))
-
-    def blocks(df: DataFrame) -> Column:
-        counts = {r["part"]: r["count"] for r in df.groupBy("part").count().collect()}
-        return F.element_at(F.array(*[F.lit(max(1, -(-counts.get(p, 0) // BLOCK))) for p in range(parts)]), F.col("part") + 1)
-
-    of_rows, of_queries = blocks(held), blocks(asked)
-    spread = lambda own, other, mine, others: (
-        lambda df: df.withColumn(mine, F.pmod(F.xxhash64("vec_id"), own).cast("int")).withColumn(others, F.explode(F.sequence(F.lit(0), other - 1)))
+    # a row a partition, of which there are some thousands at most
+    blocks = lambda df, name: df.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    both = F.broadcast(blocks(held, "of_rows").join(blocks(asked, "of_queries"), "part"))
+    spread = lambda df, own, other, mine, others: (
+        df.join(both, "part").withColumn(mine, F.pmod(F.xxhash64("vec_id"), F.col(own)).cast("int")).withColumn(others, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select("vec_id", "v", "part", "rb", "qb")
     )
-    left = spread(of_rows, of_queries, "rb", "qb")(held)
-    right = spread(of_queries, of_rows, "qb", "rb")(asked)
+    left = spread(held, "of_rows", "of_queries", "rb", "qb")
+    right = spread(asked, "of_queries", "of_rows", "qb", "rb")
 
     def work(r: pa.Table, q: pa.Table) -> pa.Table:
         both = [(t.column("vec_id").to_numpy(), matrix(t.column("v").combine_chunks())) for t in (q, r)]

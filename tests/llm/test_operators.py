@@ -288,18 +288,26 @@ def test_neighbours(spark, sf):
     assert hits / (20 * len(got)) >= 0.9
 
 
-def test_routed_recall_and_odd_vectors(spark, monkeypatch):
+@pytest.mark.parametrize("two_levels", [False, True])
+def test_routed_recall_and_odd_vectors(spark, monkeypatch, two_levels):
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(c, 0.3, (150, 8)) for c in rng.normal(0, 2, (8, 8))])
-    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(5000, None), (5020, [0.0] * 8), (5040, [float("nan")] * 8), (5060, [1.0, None] * 4), (5080, [1.0]), (5100, [])]
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(5000, None), (5020, [0.0] * 8), (5040, [float("nan")] * 8), (5060, [1.0, None] * 4), (5080, [1.0]), (5081, [3.0]), (5082, [2.0]), (5100, [])]
     rows += [(6000 + i, rows[7][1]) for i in range(300)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("part", F.lit(1))
     monkeypatch.setattr(ann, "PARTITION", 100)
     monkeypatch.setattr(ann, "BLOCK", 64)
+    if two_levels:
+        monkeypatch.setattr(ann, "FANOUT", 4)
+        usual = df.where(F.size("embedding") == 8).where(ann.usable(F.col("embedding"))).select("vec_id", F.col("embedding").alias("v"))
+        tree = ann.fit(usual, 1500, ann.SAMPLE)
+        assert tree.below and tree.leaves >= 8
     got = {}
     for r in ann.search(df, F.col("vec_id") % 20 == 0).collect():
         got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
-    assert not {5000, 5020, 5040, 5060, 5080, 5100} & set(got)
+    assert not {5000, 5020, 5040, 5060, 5100} & set(got)
+    # vectors of another dimension meet each other
+    assert [got[5080][i] for i in (1, 2)] == [(5081, 3.0), (5082, 2.0)] and len(got.pop(5080)) == 2
     ids = np.array([i for i, v in rows if v and len(v) == 8 and i not in (5020, 5040, 5060)])
     y = np.array([v for i, v in rows if i in set(ids.tolist())])
     hits = 0
