@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import json
 import struct
 import zlib
 from array import array
@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut_at_spaces, slices, table
+from .common import slices, table, utf8_column
+from .jaccard import A, B, C, mix
 from .media import scratch
 
 MAGIC = b"RPS2"
@@ -25,8 +26,8 @@ LEAST = 2
 STEP = 256
 #: Stands for a null doc_id, which sorts first.
 NULL = -(1 << 63)
-#: Distinct pieces of text that a worker remembers.
-REMEMBERED = 1_200_000
+#: Distinct pieces of text that a worker remembers; bytes of text handled at once.
+REMEMBERED, SLICE = 1_500_000, 4 << 20
 
 
 def compress(ids: np.ndarray, first: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -175,32 +176,114 @@ class Shard:
         return ids[begin : begin + end - start]
 
 
-class Pieces(dict):
-    """Ids by piece; one that is asked for and not there is noted, and gets a buffer to be filled."""
+#: Bytes that stand in plain texts: printable ASCII, line ends, and letters of U+00C0 to U+00FF after 0xC3.
+PLAIN = np.zeros(256, bool)
+PLAIN[[10, 0xC3, *range(32, 127), *range(0x80, 0xC0)]] = True
+#: Bytes of a piece that its key holds, as three numbers; longer ones are rare, and looked up by themselves.
+KEY = 24
+MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
-    fresh: list[str]
 
-    def __missing__(self, piece: str) -> bytearray:
-        self.fresh.append(piece)
-        buffer = self[piece] = bytearray()
-        return buffer
+def plain_texts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which texts have plain bytes alone, and no white space beside white space."""
+    before = np.append(np.uint8(0), raw[:-1]) if len(raw) else raw
+    space, after = (raw == 32) | (raw == 10), (before == 32) | (before == 10)
+    after[offsets[:-1][offsets[:-1] < len(raw)]] = False
+    bad = ~PLAIN[raw] | (space & after) | (((raw & 0xC0) == 0x80) & (before != 0xC3))
+    out = np.ones(len(offsets) - 1, bool)
+    out[np.searchsorted(offsets, np.flatnonzero(bad), "right") - 1] = False
+    return out
+
+
+class Table:
+    """Ids by piece: pieces of KEY bytes at most by their bytes as numbers, in open addressing; others in a dictionary."""
+
+    def __init__(self, size: int = 1 << 16):
+        self.slots = np.full(4 * size, -1, np.int32)
+        self.keys = np.zeros((3, size), np.uint64)
+        self.start, self.many = np.zeros(size, np.int64), np.zeros(size, np.int32)
+        self.ids, self.used, self.n = np.zeros(8 * size, np.uint32), 0, 0
+        self.long: dict[bytes, int] = {}
+
+    @staticmethod
+    def grown(x: np.ndarray, size: int) -> np.ndarray:
+        out = np.zeros((*x.shape[:-1], size), x.dtype)
+        out[..., : x.shape[-1]] = x
+        return out
+
+    @staticmethod
+    def hash(keys: np.ndarray) -> np.ndarray:
+        return mix(mix(mix(keys[0] + A) * B + keys[1]) * C + keys[2])
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Entry of each key, -1 for none."""
+        room = np.uint64(len(self.slots) - 1)
+        slot = (self.hash(keys) & room).astype(np.int64)
+        out = self.slots[slot]
+        left = np.flatnonzero(out >= 0)
+        while len(left):
+            e = out[left]
+            left = left[(self.keys[0][e] != keys[0][left]) | (self.keys[1][e] != keys[1][left]) | (self.keys[2][e] != keys[2][left])]
+            slot[left] = (slot[left] + 1) & int(room)
+            out[left] = self.slots[slot[left]]
+            left = left[out[left] >= 0]
+        return out
+
+    def add(self, keys: np.ndarray | None, found: list[bytes]) -> np.ndarray:
+        """New entries with their ids; those with keys, which must be new and differ, can be found by them."""
+        many = np.array([len(x) // 4 for x in found], np.int32)
+        entry = np.arange(self.n, self.n + len(found))
+        total = int(many.sum())
+        if self.n + len(found) > len(self.start):
+            size = 2 * (self.n + len(found))
+            self.keys, self.start, self.many = self.grown(self.keys, size), self.grown(self.start, size), self.grown(self.many, size)
+        if self.used + total > len(self.ids):
+            self.ids = self.grown(self.ids, 2 * (self.used + total))
+        self.ids[self.used : self.used + total] = np.frombuffer(b"".join(found), "<u4")
+        self.start[entry], self.many[entry] = self.used + np.cumsum(many) - many, many
+        self.n, self.used = self.n + len(found), self.used + total
+        if keys is not None:
+            self.keys[:, entry] = keys
+            self.place(entry)
+        return entry
+
+    def place(self, entry: np.ndarray) -> None:
+        if 2 * self.n > len(self.slots):
+            self.slots = np.full(1 << int(8 * self.n).bit_length(), -1, np.int32)
+            # entries of the dictionary have no keys
+            entry = np.setdiff1d(np.arange(self.n), np.fromiter(self.long.values(), np.int64, len(self.long)))
+        slot = (self.hash(self.keys[:, entry]) & np.uint64(len(self.slots) - 1)).astype(np.int64)
+        while len(entry):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = entry[free]
+            lost = self.slots[slot] != entry
+            entry, slot = entry[lost], (slot[lost] + 1) & (len(self.slots) - 1)
 
 
 class Tokens:
-    """Ids of texts from the tokenizers library, which is asked once for each distinct piece of text."""
+    """Ids of texts from the tokenizers library, which is asked once for each distinct piece of text.
+
+    A library of byte-level pieces splits a text before every space that stands between two characters that are not
+    white space, and around a line end that stands alone, so plain texts are cut there; all others, and those with a special
+    token, go to it whole, as do all of a library that splits otherwise.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.size = self.library.get_vocab_size()
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        how = json.loads(self.library.to_str())
+        before = how.get("pre_tokenizer") or {}
+        self.cuts = how.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         self.spaced = np.zeros(self.size, bool)
         for token, i in self.library.get_vocab().items():
             self.spaced[i] = token.startswith("\u0120")
-        self.pieces = Pieces()
-        self.line_end = self.library.encode("\n", add_special_tokens=False).ids[0]
-        self.points = {c: self.ask([c])[0] for c in ".,"}
+        self.table = Table()
+        if self.cuts:
+            self.line_end = self.library.encode("\n", add_special_tokens=False).ids[0]
+            self.points = {c: self.ask([c])[0] for c in ".,"}
 
     def ask(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
@@ -221,13 +304,11 @@ class Tokens:
                 out += self.ask(some)
         return out
 
-    def learn(self, fresh: list[str]) -> None:
-        """Fill the buffers of fresh pieces. Letters and a point or comma after them are apart for the library, so the letters serve other pieces too."""
-        pieces, points = self.pieces, self.points
-        pointed = [p for p in fresh if p[-1] in points and (p[1:-1] if p[0] == " " else p[:-1]).isalpha()]
-        known = {p[:-1]: pieces.get(p[:-1]) for p in pointed}
-        apart = set(pointed)
-        rest = list(dict.fromkeys([p for p in fresh if p not in apart] + [w for w, ids in known.items() if not ids]))
+    def ids_of(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces. Letters and a point or comma after them are apart for the library, so those letters are asked for once."""
+        points = self.points
+        letters = {p: p[:-1] for p in pieces if p[-1] in points and (p[1:-1] if p[0] == " " else p[:-1]).isalpha()}
+        rest = list(dict.fromkeys([letters.get(p, p) for p in pieces]))
         found: dict[str, bytes] = {}
         clean = [p for p in rest if len(p.split()) == 1 and p[-1] > " " and p[1:].isprintable()]
         for line_ends in (False, True):
@@ -235,36 +316,71 @@ class Tokens:
             found |= zip(some, self.ask_joined(some, line_ends), strict=True)
         other = [p for p in rest if p not in found]
         found |= zip(other, self.ask(other), strict=True)
-        for p in pointed:
-            found[p] = bytes(found.get(p[:-1]) or known[p[:-1]]) + points[p[-1]]
-        for p, ids in found.items():
-            if (buffer := pieces.get(p)) is not None:
-                buffer[:] = ids
-            pieces[p] = ids
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit numbers.
-
-        The library splits a text before every space that stands between two characters that are
-        not white space, so texts are cut there; others, and those with a special token, go to it whole.
-        """
-        collecting = gc.isenabled()
-        gc.disable()  # it would walk the lists of pieces again and again
-        split = [None if t and any(s in t for s in self.special) else cut_at_spaces(t) for t in texts]
-        self.pieces.fresh = []
-        get = self.pieces.__getitem__
-        found = [list(map(get, parts)) if parts else [] for parts in split]
-        self.learn(self.pieces.fresh)
-        out = [b"".join(ids) for ids in found]
-        if collecting:
-            gc.enable()
-        whole = [i for i, parts in enumerate(split) if parts is None]
-        for i, ids in zip(whole, self.ask([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        if len(self.pieces) > REMEMBERED:
-            self.pieces = Pieces((p, self.pieces[p]) for p in set().union(*filter(None, split)))
+        return [found[letters[p]] + points[p[-1]] if p in letters else found[p] for p in pieces]
+
+    def entries(self, raw: np.ndarray, data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The table's entry of each piece; new pieces are learnt."""
+        padded = np.append(raw, np.zeros(KEY, np.uint8))
+        eight = np.ndarray((len(raw) + KEY - 7,), "<u8", padded, strides=(1,))
+        size = ends - starts
+        keys = np.stack([eight[starts + 8 * i] & MASKS[np.clip(size - 8 * i, 0, 8)] for i in range(3)])
+        short = size <= KEY
+        out = np.full(len(starts), -1, np.int32)
+        out[short] = self.table.find(keys[:, short])
+        fresh = np.flatnonzero(short & (out < 0))
+        if len(fresh):
+            order = fresh[np.lexsort(keys[:, fresh])]
+            first = np.append(True, (keys[:, order[1:]] != keys[:, order[:-1]]).any(0))
+            heads = order[first]
+            new = self.table.add(keys[:, heads], self.ids_of([data[a:z].decode() for a, z in zip(starts[heads].tolist(), ends[heads].tolist(), strict=True)]))
+            out[order] = new[np.cumsum(first) - 1]
+        for i in np.flatnonzero(~short).tolist():
+            piece = data[starts[i] : ends[i]]
+            if piece not in self.table.long:
+                self.table.long[piece] = int(self.table.add(None, self.ask([piece.decode()]))[0])
+            out[i] = self.table.long[piece]
         return out
 
+    def encode(self, column: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, each with the end id if there is one; and how many each has."""
+        raw, offsets = utf8_column(column)
+        raw = np.ascontiguousarray(raw)
+        data, n = raw.tobytes(), len(offsets) - 1
+        plain = plain_texts(raw, offsets) if self.cuts else np.diff(offsets) == 0
+        for s in self.special:
+            at = data.find(s)
+            while at >= 0:
+                plain[np.searchsorted(offsets, at, "right") - 1] = False
+                at = data.find(s, at + 1)
+        if self.table.n > REMEMBERED:
+            self.table = Table()
+        counts = np.zeros(n, np.int64)
+        ids = np.zeros(0, np.uint32)
+        if plain.any() and len(raw):
+            cut = (raw == 32) | (raw == 10)
+            cut[1:] |= raw[:-1] == 10
+            cut[offsets[:-1][np.diff(offsets) > 0]] = True
+            starts = np.flatnonzero(cut)
+            doc = np.repeat(np.arange(n), np.diff(np.searchsorted(starts, offsets)))
+            ends = np.append(starts[1:], len(raw))
+            use = plain[doc]
+            starts, ends, doc = starts[use], ends[use], doc[use]
+            e = self.entries(raw, data, starts, ends)
+            many, first = self.table.many[e], self.table.start[e]
+            ids = self.table.ids[np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+            counts = np.bincount(doc, many, n).astype(np.int64)
+        rest = np.flatnonzero(~plain)
+        whole = self.ask([data[offsets[i] : offsets[i + 1]].decode() for i in rest])
+        counts[rest] = [len(x) // 4 for x in whole]
+        total = counts + (end is not None)
+        begin = np.cumsum(total) - total
+        out = np.full(int(total.sum()), end or 0, np.uint32)
+        own = counts * plain
+        out[np.arange(len(ids)) + np.repeat(begin - (np.cumsum(own) - own), own)] = ids
+        for i, x in zip(rest.tolist(), whole, strict=True):
+            out[begin[i] : begin[i] + counts[i]] = np.frombuffer(x, "<u4")
+        return out, total
+
 
 @lru_cache(maxsize=2)
 def tokens(path: str) -> Tokens:
@@ -288,33 +404,35 @@ def write(docs: DataFrame, out: str, tokenizer: str, end: int = 0) -> DataFrame:
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
     def shards(batches):
-        first = max(tokens(tokenizer).size, end + 1)
-        tail = struct.pack("<I", end)
-        part = number = 0
-        ids: list[bytes] = []
-        names: list[int] = []
-        size = 0
+        from pyspark import TaskContext
+
+        first, part = max(tokens(tokenizer).size, end + 1), TaskContext.get().partitionId()
+        number, held, size = 0, [], 0
 
         def flush():
-            nonlocal number, ids, names, size
-            counts = np.array([len(x) // 4 for x in ids], np.int64)
-            blob = write_shard(np.array(names, np.int64), counts, np.frombuffer(b"".join(ids), "<u4"), first)
-            row = [[part], [number], [names[0]], [int(counts.sum())], [blob]]
-            number, ids, names, size = number + 1, [], [], 0
+            nonlocal number, held, size
+            names, counts, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            blob = write_shard(names, counts, ids, first)
+            row = [[part], [number], [int(names[0])], [int(counts.sum())], [blob]]
+            number, held, size = number + 1, [], 0
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["part", "shard", "first_doc", "n_ids", "blob"])
 
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
         for whole in batches:
-            for batch in slices(whole, "text", owner="repair", release=tokens.cache_clear):
-                for d, x in zip(batch.column(0).to_pylist(), tokens(tokenizer).encode(batch.column(1).to_pylist()), strict=True):
-                    ids.append(x + tail)
-                    names.append(NULL if d is None else d)
-                    size += len(x) // 4 + 1
+            for batch in slices(whole, "text", SLICE, "repair", tokens.cache_clear):
+                names = batch.column(0).fill_null(NULL).to_numpy()
+                ids, counts = tokens(tokenizer).encode(batch.column(1), end)
+                ends = np.cumsum(counts)
+                done = 0
+                while done < len(names):
+                    # the document that fills the shard ends it
+                    at = ends[done - 1] if done else 0
+                    upto = min(len(names), int(np.searchsorted(ends, at + SHARD_IDS - size)) + 1)
+                    held.append((names[done:upto], counts[done:upto], ids[at : ends[upto - 1]]))
+                    size += int(ends[upto - 1] - at)
+                    done = upto
                     if size >= SHARD_IDS:
                         yield flush()
-        if names:
+        if held:
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -433,7 +433,7 @@ def test_token_output(spark, sf, documents):
         start += len(ids)
 
 
-TRICKY = ["a  b", " lead", "trail ", "x\n\ny z", "tab\there", "it's we'll", "é b c", "", "a\n b", "num 12 34a", " x", "***a b!!", "a\r\nb c", "<|endoftext|> x", "end\n", "\nstart a", "a.\nB c", "q\0r s"]
+TRICKY = ["a  b", " lead", "trail ", "x\n\ny z", "tab\there", "it's we'll", "é b c", "", "a\n b", "num 12 34a", " x", "***a b!!", "a\r\nb c", "<|endoftext|> x", "end\n", "\nstart a", "a.\nB c", "q\0r s", "naïve Straße, über.", "a" * 40 + " " + "b" * 24 + " " + "c" * 25, "x\u00a0y z", "×÷ À", "Ā b", "\u0085 n", "end. "]
 
 
 def test_pieces_join_to_what_the_libraries_give():
@@ -441,8 +441,15 @@ def test_pieces_join_to_what_the_libraries_give():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    got = [list(struct.unpack(f"<{len(x) // 4}I", x)) for x in repair.Tokens(P.path("byte_bpe_50k.json")).encode(TRICKY)]
-    assert got == [t.encode(x, add_special_tokens=False).ids for x in TRICKY]
+    import pyarrow as pa
+
+    tokens, many = repair.Tokens(P.path("byte_bpe_50k.json")), []
+    for texts in (TRICKY, [None, "", *reversed(TRICKY)], [], [" ".join(TRICKY)], many):
+        ids, counts = tokens.encode(pa.array(texts, pa.string()), 7)
+        ends = np.cumsum(counts)
+        assert [ids[e - c : e].tolist() for e, c in zip(ends, counts, strict=True)] == [[*t.encode(x or "", add_special_tokens=False).ids, 7] for x in texts]
+        rng = random.Random(8)
+        many += ["".join(rng.choice(["a", "B", "é", "ß", "word", " ", " ", " ", "\n", ".", ",", "12", "'s", "x" * 30, "€", "\u00a0", "\t", "tiön"]) for _ in range(rng.randint(0, 40))) for _ in range(300)]
     e = bpe.Encoder(*bpe._defaults())
     plain = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=e.ranks, special_tokens={})
     for x in TRICKY:
