@@ -63,6 +63,15 @@ SELECT word, list(tok ORDER BY pos) AS ids FROM state WHERE NOT open GROUP BY wo
 """
 
 
+def known_pattern() -> str | None:
+    """The splitting pattern that cut_at_spaces() goes with."""
+    try:
+        import public_tokenizers
+    except ModuleNotFoundError:
+        return None
+    return public_tokenizers.PATTERN
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
@@ -80,8 +89,9 @@ class Encoder:
     def __init__(self, path: str, pattern: str):
         self.pattern = regex.compile(pattern)
         self.ranks = read_ranks(path)
+        self.cuts = pattern == known_pattern()
         self.pieces: dict[str, bytes] = {}
-        self.odd: dict[str, bytes] = {}
+        self.back: dict[str, bytes] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False})
         merges = [(self.ranks[w[:i]], self.ranks[w[i:]], r) for w, r in self.ranks.items() if len(w) > 1 for i in range(1, len(w)) if w[:i] in self.ranks and w[i:] in self.ranks]
         a, b, r = zip(*merges, strict=True) if merges else ((), (), ())
@@ -135,29 +145,28 @@ class Encoder:
         return out
 
     def split(self, text: str | None) -> list[str]:
-        """Pieces of a text, none of which cuts a match of the pattern."""
-        parts = cut_at_spaces(text)
-        return self.pattern.findall(text) if parts is None else parts
+        """Pieces of a text, none of which cuts a match of the pattern: cut at spaces for the pattern that is known to start
+        anew there, and its matches for any other."""
+        parts = cut_at_spaces(text) if self.cuts else None
+        return self.pattern.findall(text or "") if parts is None else parts
 
     def learn(self, pieces: set[str]) -> None:
-        """Encode what is new among the pieces, decode it again, and remember both."""
+        """Encode what is new among the pieces, decode the ids again, and remember both."""
         if len(self.pieces) > REMEMBERED:
-            self.pieces = {p: self.pieces[p] for p in pieces if p in self.pieces}
-            self.odd.clear()
+            kept = [p for p in pieces if p in self.pieces]
+            self.pieces, self.back = {p: self.pieces[p] for p in kept}, {p: self.back[p] for p in kept}
         new = {p: self.pattern.findall(p) for p in pieces.difference(self.pieces)}
         words = list({w for ws in new.values() for w in ws})
-        raw = [w.encode("utf-8") for w in words]
-        ids = self.encode_words(raw)
+        ids = self.encode_words([w.encode("utf-8") for w in words])
         coded = dict(zip(words, (",".join(map(str, i)).encode() for i in ids), strict=True))
-        odd = {w: b for w, r, b in zip(words, raw, self.decode_words(ids), strict=True) if r != b}
+        decoded = dict(zip(words, self.decode_words(ids), strict=True))
         for p, ws in new.items():
             self.pieces[p] = b",".join([coded[w] for w in ws])
-            if odd and any(w in odd for w in ws):
-                self.odd[p] = b"".join(odd.get(w, w.encode("utf-8")) for w in ws)
+            self.back[p] = b"".join([decoded[w] for w in ws])
 
     def decoded(self, parts: list[str]) -> bytes:
-        """What the ids of learnt pieces decode to; only what differs from the piece is held apart."""
-        return b"".join(self.odd.get(p, p.encode("utf-8")) for p in parts) if self.odd else "".join(parts).encode("utf-8")
+        """What the ids of learnt pieces decode to, as the ordered aggregation gave it."""
+        return b"".join(map(self.back.__getitem__, parts))
 
 
 @lru_cache(maxsize=2)

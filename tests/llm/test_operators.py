@@ -540,6 +540,26 @@ def test_bpe_against_tiktoken(spark, sf, documents):
         assert g["decoded_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest()
 
 
+def test_other_patterns_are_not_cut_at_spaces():
+    import tiktoken
+
+    path, _ = bpe._defaults()
+    for pattern in (r"[^\s]+\s*|\s+", r"\S+(?:\n\S+)?| +|\s"):
+        e = bpe.Encoder(path, pattern)
+        plain = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=e.ranks, special_tokens={})
+        for x in ["Hello.\nWorld and more", *TRICKY]:
+            parts = e.split(x)
+            e.learn(set(parts))
+            assert [int(i) for i in b",".join(e.pieces[p] for p in parts).split(b",") if i] == plain.encode_ordinary(x)
+
+
+def test_decoded_comes_from_the_ids(monkeypatch):
+    e = bpe.Encoder(*bpe._defaults())
+    monkeypatch.setattr(e, "decode_words", lambda ids: [b"?" * len(i) for i in ids])
+    e.learn({"some", " words"})
+    assert set(e.decoded(["some", " words"])) == {ord("?")}
+
+
 def test_long_words():
     import tiktoken
 
