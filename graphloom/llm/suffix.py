@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, settle, slices, table, utf8_column
+from .common import checkpointed, settle, slices, table, unused, utf8_column
 from .jaccard import RANDOM, SLICE, SMALL, mix
 
 #: Bytes of an anchor; of every window's anchors that of the least hash routes it.
@@ -376,10 +376,11 @@ def strip_repeats(docs: DataFrame, least: int = 100) -> DataFrame:
     in the documents that change. Rows with a null text, and those without a doc_id, stay as they are.
     """
     spans = checkpointed(repeated_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), least))
-    found = spans.select(F.col("doc").alias("_repeats_in"), F.col("spans").alias("_repeats"))
-    ids = found.select("_repeats_in")
+    where, what = unused(docs, "_where"), unused(docs, "_repeats")
+    found = spans.select(F.col("doc").alias(where), F.col("spans").alias(what))
+    ids = found.select(where)
     few = ids.count() <= SMALL
-    same = F.col("doc_id").cast("long") == F.col("_repeats_in")
+    same = F.col("doc_id").cast("long") == F.col(where)
     whole = docs.join(F.broadcast(ids) if few else ids, same, "left_anti")
     # ids first, as spans are longer than a list that is broadcast may be
     touched = docs.join(F.broadcast(ids) if few else ids, same, "left_semi").join(found, same)
@@ -389,11 +390,11 @@ def strip_repeats(docs: DataFrame, least: int = 100) -> DataFrame:
             for b in slices(batch, "text", SLICE):
                 raw, offsets = utf8_column(b.column("text"))
                 data = raw.tobytes()
-                kept = [_cut(data[offsets[i] : offsets[i + 1]], found.values)[0].decode("utf-8", "ignore") for i, found in enumerate(b.column("_repeats"))]
+                kept = [_cut(data[offsets[i] : offsets[i + 1]], found.values)[0].decode("utf-8", "ignore") for i, found in enumerate(b.column(what))]
                 at = b.schema.get_field_index("text")
-                yield b.set_column(at, b.schema.field(at), pa.array(kept, b.schema.field(at).type)).drop_columns(["_repeats"])
+                yield b.set_column(at, b.schema.field(at), pa.array(kept, b.schema.field(at).type)).drop_columns([what])
 
-    changed = touched.select(*[F.col(f"`{c}`") for c in docs.columns], "_repeats").mapInArrow(go, docs.schema)
+    changed = touched.select(*[F.col(f"`{c}`") for c in docs.columns], what).mapInArrow(go, docs.schema)
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return whole.unionByName(changed)

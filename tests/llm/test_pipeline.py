@@ -57,8 +57,45 @@ def test_ids_of_what_the_mix_took(stages):
     enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
     want = sorted((r["doc_id"], hashlib.sha256(",".join(map(str, enc.encode_ordinary(r["text"]))).encode()).hexdigest()) for r in stages["mixing"])
     assert sorted((r["doc_id"], r["ids_sha256"]) for r in stages["byte_bpe"]) == want
+    assert all(hashlib.sha256(",".join(map(str, r["ids"])).encode()).hexdigest() == r["ids_sha256"] for r in stages["byte_bpe"])
 
 
 def test_run(spark, sf, stages):
     got = corpus_pipeline.run(spark, sf).collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, stages["byte_bpe"]))
+    assert sorted(map(str, got)) == sorted(map(str, stages["byte_bpe"]))
+
+
+LONG = "The quick brown fox jumps over the lazy dog and then runs away from it because the dog was not so lazy after all, it seems"
+ODD = [
+    (1, LONG, "en", "a", 1), (2, None, None, None, None), (3, "", "en", "a", 0), (4, " \n\t ", "de", "b", 4), (5, LONG, "en", None, 9), (5, LONG, "en", None, 8), (6, "é" * 300 + " x  y z u v w q r s t " + LONG, "fr", "a", 2),
+    (None, "no id here at all, but a text of words", "en", "c", 1), (None, None, "en", "c", 1), (7, "word " * 5000, "en", "c", 1), (8, "a" * 20000, "en", "c", 1), (9, "a text of its own that shares its number", "xx", "b", 1), (9, "another text that shares a number with it", "en", "b", 1),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    names = "doc int, spans int, tok string, key double, _repeats int"
+    return spark.createDataFrame([(*r, 0, 1, "x", 1.5, 2) for r in ODD], f"doc_id long, text string, lang string, source string, n_chars long, {names}")
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_and_empty_tables(spark, sf, odd, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    got = stage(spark, odd, sf)
+    rows = got.collect()
+    assert stage(spark, odd.where("false"), sf).count() == 0
+    if name == "byte_bpe":
+        assert len(rows) == len(ODD) and all((r["n_tokens"] or 0) == len(r["ids"] or []) for r in rows)
+        return
+    assert got.columns == odd.columns
+    ids = sorted((r["doc_id"] for r in rows if r["doc_id"] is not None))
+    if name == "language_id":
+        assert not {2, 3, 4} & set(ids) and {1, 5, 9} <= set(ids) and sum(r["doc_id"] is None for r in rows) == 2
+    if name == "near_duplicates":
+        assert ids == [1, 2, 3, 4, 6, 7, 8, 9, 9] and sum(r["doc_id"] is None for r in rows) == 2
+    if name == "suffix_dedup":
+        texts = {(r["doc_id"], r["n_chars"]): r["text"] for r in rows}
+        assert len(rows) == len(ODD) and texts[1, 1] == LONG and texts[5, 0] == "" and (2, None) in texts
+        assert [t for (i, _), t in texts.items() if i == 6] == ["é x  y z u v w q r s t "]
+    if name == "mixing":
+        assert set(ids) <= {r[0] for r in ODD} and {1, 6} & set(ids)
