@@ -249,23 +249,28 @@ def _go_imports(text: str) -> list[tuple[str, int, int]]:
 LANGUAGES = {
     "c": BraceLanguage("::", {"struct": "class", "enum": "enum", "union": "class"}, _matches(r'^\s*#\s*include\s*([<"][^>"\n]+[>"])')),
     "cpp": BraceLanguage("::", {"class": "class", "struct": "class", "enum": "enum", "namespace": "module", "union": "class"}, _matches(r'^\s*#\s*include\s*([<"][^>"\n]+[>"])')),
-    "go": BraceLanguage(".", {"type": "class", "package": "module"}, _go_imports, frozenset({"func"})),
-    "java": BraceLanguage(".", {"class": "class", "interface": "interface", "enum": "enum", "record": "class", "package": "module"}, _matches(r"^\s*import\s+(?:static\s+)?([\w.*]+)\s*;")),
+    "go": BraceLanguage(".", {"type": "type-alias", "package": "module"}, _go_imports, frozenset({"func"}), False, frozenset({"var", "const"})),
+    "java": BraceLanguage(".", {"class": "class", "interface": "interface", "enum": "enum", "record": "class", "@interface": "interface", "package": "module"}, _matches(r"^\s*import\s+(?:static\s+)?([\w.*]+)\s*;")),
     "objective-c": BraceLanguage(".", {"@interface": "class", "@implementation": "class", "@protocol": "interface", "struct": "class", "enum": "enum"}, _matches(r'^\s*#\s*(?:import|include)\s*([<"][^>"\n]+[>"])|^\s*@import\s+([\w.]+)\s*;')),
     "rust": BraceLanguage("::", {"struct": "class", "enum": "enum", "trait": "interface", "impl": "class", "mod": "module", "type": "type-alias"}, _matches(r"^\s*(?:pub\s+)?use\s+([^;]+);"), frozenset({"fn"}), True, frozenset({"let", "const", "static"})),
-    "typescript": BraceLanguage(".", {"class": "class", "interface": "interface", "enum": "enum", "type": "type-alias", "namespace": "module"}, _matches(r"""^\s*import\b[^;'"]*?['"]([^'"]+)['"]|\brequire\(\s*['"]([^'"]+)['"]|^\s*export\b[^;'"=({]*\{[^}]*\}\s*from\s*['"]([^'"]+)['"]"""), frozenset({"function"}), True, frozenset({"const", "let", "var"}), True),
+    "typescript": BraceLanguage(".", {"class": "class", "interface": "interface", "enum": "enum", "type": "type-alias", "namespace": "module"}, _matches(r"""^\s*import\b[^;'"]*?['"]([^'"]+)['"]|\b(?:require|import)\(\s*['"]([^'"]+)['"]|^\s*export\b[^;'"=({]*\{[^}]*\}\s*from\s*['"]([^'"]+)['"]"""), frozenset({"function"}), True, frozenset({"const", "let", "var"}), True),
 }
 LANGUAGES["javascript"] = LANGUAGES["typescript"]
 #: Words before a parenthesis that are neither functions nor calls.
 KEYWORDS = {"if", "for", "while", "switch", "return", "class", "struct", "enum", "interface", "public", "private", "protected", "static", "const", "var", "let", "type", "catch", "function", "fn", "func", "match", "else", "new", "sizeof", "super", "constructor", "throw", "typeof", "in", "of", "await", "import", "impl", "where", "do"}
 
 
+#: What may stand before a field of a class.
+FIELD_STARTS = {"{", ";", "}", "public", "private", "protected", "readonly", "static", "declare", "abstract", "override", ")"}
+
+
 def brace_facts(path: str, text: str, language: str) -> list[dict]:
-    """Scopes by braces: types, functions (methods in a type), variables outside functions, calls, imports, exports."""
+    """Scopes by braces: types, functions (methods in a type), fields, variables outside functions, calls, references, imports, exports."""
     lang, b = LANGUAGES[language], Builder(path, text)
     offset = _byte_offsets(text)
     at = lambda a, z: b.span(offset(a), offset(z))
-    sep = lang.separator
+    sep, script = lang.separator, language in ("typescript", "javascript")
+    jsx = script and path.endswith("x")
     root = b.add("symbol", b.stem, b.stem, "module", b.span(0, len(b.raw))) if lang.module else -1
     stack: list[tuple[str, str, int]] = [(b.stem if lang.module else "", "module", root)]
     imports = lang.imports(text)
@@ -292,11 +297,24 @@ def brace_facts(path: str, text: str, language: str) -> list[dict]:
                 return j
         return len(words) - 1
 
+    def statement_end(i: int) -> int:
+        """The end of a statement outside of all brackets that open in it."""
+        level = 0
+        for j in range(i, len(words)):
+            level += (words[j] in "([{") - (words[j] in ")]}")
+            if level < 0 or (level == 0 and words[j] == ";"):
+                return j
+            if level == 0 and words[j] == "}" and "\n" in text[tokens[j].end() : tokens[j + 1].start() if j + 1 < len(words) else len(text)]:
+                return j + 1
+        return len(words)
+
     def body_after(j: int) -> bool:
+        throws = False
         for w in itertools.islice(words, j + 1, None):
+            throws |= w == "throws"
             if w == "{":
                 return True
-            if w in (";", "}", ")", ",", "=") or w == "=>" and language not in ("typescript", "javascript"):
+            if w in (";", "}", ")", "=") or w == "," and not throws or w == "=>" and not script:
                 return False
         return False
 
@@ -328,20 +346,61 @@ def brace_facts(path: str, text: str, language: str) -> list[dict]:
                 name = words[j] if name_like.match(words[j]) else None
             if name and not (w in ("struct", "enum", "union") and language in ("c", "cpp", "objective-c") and not body_after(j)) and not (w == "type" and language in ("typescript", "javascript") and words[j + 1 : j + 2] not in (["="], ["<"])):
                 kind = lang.scopes[w]
-                if w == "type" and language == "go" and words[j + 1 : j + 2] == ["interface"]:
-                    kind = "interface"
                 q = qualify(name)
                 place = b.add("symbol", name, q, kind, at(m.start(), tokens[j].end()))
                 if w == "package":
                     dotted = re.match(r"package\s+([\w.]+)", text[m.start() :])
                     stack[0] = (dotted[1] if dotted else name, "module", place)
-                elif w in ("@interface", "@implementation", "@protocol"):
+                elif language == "objective-c" and w in ("@interface", "@implementation", "@protocol"):
                     stack.append((q, kind, place))
                     opened.append(-1)
-                elif body_after(j) or w in ("impl",):
+                elif (body_after(j) or w in ("impl",)) and not (language == "go" and w == "type"):
                     pending = (q, kind, place)
             i = j + 1 if name else i + 1
             continue
+        direct = bool(opened) and opened[-1] in (depth, -1) and not inside and pending is None
+        before = words[i - 1] if i else ""
+        named = bool(name_like.match(before)) and before not in KEYWORDS
+        if script and w.startswith("@") and len(w) > 1:
+            j = i
+            while words[j + 1 : j + 2] == ["."] and j + 2 < len(words):
+                j += 2
+            b.add("reference", words[j].lstrip("@"), span=at(m.start(), tokens[j].end()), owner=stack[-1][2])
+            i = j + 1
+            continue
+        if jsx and w == "<" and not named and i + 1 < len(words) and words[i + 1][0].isupper():
+            b.add("reference", words[i + 1], span=at(m.start(), tokens[i + 1].end()), owner=stack[-1][2])
+        if script and direct and stack[-1][1] == "class" and w in (":", "=", ";", "?", "!") and named and (i < 2 or words[i - 2] in FIELD_STARTS):
+            b.add("symbol", before, qualify(before), "field", at(tokens[i - 1].start(), tokens[i - 1].end()))
+            if w in ("=", ":"):
+                i = statement_end(i)
+                continue
+        if language == "java" and direct and stack[-1][1] in ("class", "interface", "enum") and w in (";", "=", ",") and named and i > 1 and (name_like.match(words[i - 2]) or words[i - 2] in (">", "]", ",")) and words[i - 2] not in ("return", "package"):
+            b.add("symbol", before, qualify(before), "field", at(tokens[i - 1].start(), tokens[i - 1].end()))
+            if w == "=":
+                i = statement_end(i)
+                continue
+        if language in ("c", "cpp", "objective-c") and w == "=" and not inside and named and i > 1 and (name_like.match(words[i - 2]) or words[i - 2] in ("*", "&", ">")) and words[i + 1 : i + 2] != ["="]:
+            b.add("symbol", before, qualify(before), "variable", at(tokens[i - 1].start(), tokens[i - 1].end()))
+            i = statement_end(i)
+            continue
+        if language in ("c", "cpp", "objective-c") and w == "typedef":
+            level, j = 0, i
+            while j < len(words) and not (words[j] == ";" and level == 0):
+                level += (words[j] in "{(") - (words[j] in "})")
+                j += 1
+            pointer = next((k + 2 for k in range(i, j - 2) if words[k] == "(" and words[k + 1] == "*" and name_like.match(words[k + 2])), None)
+            place = pointer or (j - 1 if j > i and name_like.match(words[j - 1]) else None)
+            if place:
+                b.add("symbol", words[place], qualify(words[place]), "type-alias", at(m.start(), tokens[min(j, len(words) - 1)].end()))
+        if language == "objective-c" and inside and w == "[":
+            j, level = i + 1, 0
+            while j < len(words) and (level or words[j] == "["):
+                level += (words[j] == "[") - (words[j] == "]")
+                j += 1
+            j = j if j > i + 1 else j + 1
+            if j < len(words) and name_like.match(words[j]):
+                b.add("call", words[j], span=at(m.start(), tokens[j].end()), owner=stack[-1][2])
         if w == "@end" and len(stack) > 1:
             close(stack.pop()[2], m.end())
             opened.pop()
@@ -386,7 +445,7 @@ def brace_facts(path: str, text: str, language: str) -> list[dict]:
             declared = w in lang.functions or (not macro and not inside and name not in KEYWORDS and paren is not None and body_after(close_paren(paren)) and (stack[-1][1] in ("class", "interface") or language in ("c", "cpp", "java", "objective-c")))
             if declared and paren is not None:
                 in_type = stack[-1][1] in ("class", "interface")
-                kind = "method" if in_type else "function"
+                kind = "method" if in_type or language == "go" and words[i + 1 : i + 2] == ["("] else "function"
                 q = qualify(name)
                 end = close_paren(paren)
                 place = b.add("symbol", name, q, kind, at(m.start(), tokens[end].end()))

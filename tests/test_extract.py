@@ -57,6 +57,25 @@ def test_symbols_of_brace_languages(path, wanted):
     assert names(path, "import")
 
 
+def facts(path, text, language):
+    rows = extract.Registry().facts(path, text, language)
+    return {(r["fact"], r["name"], r["symbol_kind"]) for r in rows}
+
+
+def test_members_and_references_of_each_language():
+    ts = facts("a.tsx", "import React from 'react';\n@Component({ x: 1 })\nexport class Page {\n  private readonly count = 0;\n  title: string;\n  @Input() size?: number;\n  render(a: string) {\n    const x = a < b;\n    return <Header kind={a}><Body /></Header>;\n  }\n}\nconst late = () => import('./late');\nfunction id<T>(v: Array<T>) { return v; }\n", "typescript")
+    assert {("symbol", n, "field") for n in ("count", "title", "size")} <= ts and {("reference", n, None) for n in ("Component", "Input", "Header", "Body")} <= ts
+    assert ("symbol", "render", "method") in ts and {n for f, n, _ in ts if f == "import"} == {"React", "./late"} and not {n for f, n, _ in ts if f == "reference"} & {"T", "Array"}
+    java = facts("W.java", "package demo;\n@interface Mark { }\nclass W {\n  private int count, other = f(1, 2);\n  static final List<String> names = new ArrayList<>();\n  int size(int a) throws java.io.IOException, AnError, BError, CError, DError, EError, FError, GError, HError, IError, JError, KError, LError, MError, NError, OError, PError, QError, RError {\n    int local = 3;\n    return compute(local);\n  }\n}\n", "java")
+    assert {n for f, n, k in java if k == "field"} == {"count", "other", "names"} and ("symbol", "Mark", "interface") in java and ("symbol", "size", "method") in java and ("call", "compute", None) in java
+    go = facts("a.go", "package demo\n\ntype Counter struct { n int }\nvar limit = 3\nfunc (c *Counter) Inc() { c.n = add(c.n) }\nfunc Add(a int) int { return a }\n", "go")
+    assert {("symbol", "Counter", "type-alias"), ("symbol", "Inc", "method"), ("symbol", "Add", "function"), ("symbol", "limit", "variable"), ("call", "add", None)} <= go
+    c = facts("a.c", "typedef struct { int x; } Point;\ntypedef int (*compare)(int, int);\nstatic int total = 0;\nint main(void) { int local = 1; if (local == 2) { run(); } return 0; }\n", "c")
+    assert {("symbol", "Point", "type-alias"), ("symbol", "compare", "type-alias"), ("symbol", "total", "variable"), ("call", "run", None)} <= c and not any(n == "local" for _, n, _ in c)
+    m = facts("W.m", "@interface W : NSObject\n- (void)run;\n@end\n@implementation W\n- (void)run {\n  [self stop];\n  id x = [[Thing alloc] initWith:1];\n}\n@end\n", "objective-c")
+    assert {("call", n, None) for n in ("stop", "alloc", "initWith")} <= m
+
+
 def test_one_error_leaves_the_rest_of_a_python_tree():
     text = SOURCES["coverage.py"].replace("value = 3", "value = = 3\n\ndef two(:\n    return main(2)\n\nlast = 4")
     rows = extract.python_facts("coverage.py", text)
