@@ -95,6 +95,19 @@ class GraphQuery:
     def references(self, names) -> DataFrame:
         return self._into("references", names)
 
+    def partition_for_path(self, paths) -> DataFrame:
+        """(path, file_id) of files by path."""
+        return self.paths.join(self._names(paths), F.col("path") == F.col("wanted"), "left_semi").select("path", "file_id")
+
+    def path_for_file(self, file_ids) -> DataFrame:
+        """(file_id, path) of files by id."""
+        return self.paths.join(self._names(file_ids), F.col("file_id") == F.col("wanted"), "left_semi").select("file_id", "path")
+
+    def path_for_node(self, ids) -> DataFrame:
+        """(id, path) of nodes by id; null for nodes of no file."""
+        wanted = self._names(ids).withColumnRenamed("wanted", "id")
+        return self._last(wanted).select("id", "file_id").join(self.paths, "file_id", "left").select("id", "path")
+
     def impact_from_files(self, paths) -> DataFrame:
         """Paths of changed files and of files with an import or dependency into one: one hop. Unknown paths are ignored."""
         changed = self.paths.join(self._names(paths), F.col("path") == F.col("wanted"), "left_semi").select("file_id")

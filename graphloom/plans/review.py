@@ -134,6 +134,63 @@ def lsp_import(spark, d):
     return g.edges.join(paths, "file_part").groupBy("path", "kind").agg(F.count("*").alias("n"))
 
 
+#: Sources of a function a customer, by language: what a file starts with, a function (name, callee), what it ends with.
+TEMPLATES = {
+    "typescript": ("", "function {m}() {{\n  return {c}(1);\n}}\n", "", ".ts"),
+    "rust": ("", "fn {m}() {{\n    {c}(1);\n}}\n", "", ".rs"),
+    "go": ("package p\n\n", "func {m}() {{\n\t{c}(1)\n}}\n", "", ".go"),
+    "java": ("package p;\n\nclass K {{\n", "  int {m}() {{\n    return {c}(1);\n  }}\n", "}}\n", ".java"),
+    "c": ("#include <lib.h>\n", "int {m}(int a) {{\n  return {c}(1);\n}}\n", "", ".c"),
+}
+
+
+def labelled_edges(g: GraphTables):
+    """(path, kind, source, target) of edges, by the labels of their ends."""
+    labels = g.nodes.select("id", X.label().alias("label")).distinct()
+    ends = lambda name, to: labels.select(F.col("id").alias(name), F.col("label").alias(to))
+    paths = g.files.select(F.col("file_id").alias("file_part"), "path")
+    return g.edges.join(ends("from", "source"), "from").join(ends("to", "target"), "to").join(paths, "file_part").select("path", "kind", "source", "target")
+
+
+def as_sources(files):
+    """(nation, language, path, text) as sources."""
+    number = F.col("nation").cast("string")
+    return files.select(F.lit("repo").alias("repo_id"), F.concat(F.lit("f"), number).alias("file_id"), "path", "language", X.fingerprint("text").alias("fingerprint"), "text")
+
+
+def extract_edges(spark, d):
+    """Edges of sources in five languages, a file a nation with a function for each of its customers, which calls one of seven."""
+    k = F.col("c_custkey").cast("string")
+    callee = F.concat(F.lit("call_"), (F.col("c_custkey") % 7).cast("string"))
+    language = F.element_at(F.array(*[F.lit(x) for x in TEMPLATES]), (F.col("c_nationkey") % len(TEMPLATES) + 1).cast("int"))
+    rows = read(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey", language.alias("language"), k.alias("k"), callee.alias("callee"))
+
+    def by_language(value):
+        out = F
+        for name, parts in TEMPLATES.items():
+            out = out.when(F.col("language") == name, value(parts))
+        return out
+
+    def function(parts):
+        a, b, c = parts[1].format(m="\x01", c="\x02").replace("\x02", "\x01").split("\x01")
+        return F.concat(F.lit(a), F.lit("m"), F.col("k"), F.lit(b), F.col("callee"), F.lit(c))
+
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", by_language(function).alias("text")))), lambda x: x["text"]), "")
+    files = rows.groupBy("nation", "language").agg(body.alias("body"))
+    text = F.concat(by_language(lambda p: F.lit(p[0].format())), "body", by_language(lambda p: F.lit(p[2].format())))
+    path = F.concat(F.lit("src/mod"), F.col("nation").cast("string"), by_language(lambda p: F.lit(p[3])))
+    return labelled_edges(extract.index(as_sources(files.select("nation", "language", path.alias("path"), text.alias("text")))))
+
+
+def extract_json(spark, d):
+    """Edges of package manifests, one a nation, that depend on its suppliers."""
+    listed = F.map_from_entries(F.sort_array(F.collect_set(F.struct("s_name", F.lit("1")))))
+    name = F.concat(F.lit("pkg"), F.col("s_nationkey").cast("string"))
+    files = read(spark, d, "supplier").groupBy("s_nationkey").agg(F.to_json(F.struct(F.first(name).alias("name"), listed.alias("dependencies"))).alias("text"))
+    path = F.concat(F.lit("n"), F.col("s_nationkey").cast("string"), F.lit("/package.json"))
+    return labelled_edges(extract.index(as_sources(files.select(F.col("s_nationkey").alias("nation"), F.lit("json").alias("language"), path.alias("path"), "text"))))
+
+
 def extract_python(spark, d):
     """Symbols of Python sources written from customers: a class a segment with a method each, in the file of a nation."""
     rows = read(spark, d, "customer").select("c_nationkey", "c_mktsegment", "c_custkey")
@@ -239,6 +296,16 @@ QUERIES = {
     "q_scip_import": (scip_import, "SELECT 'n' || s_nationkey || '.py' AS path, 'm' AS name, s_suppkey + 1 AS line, 10::BIGINT AS col_end, 'scip' AS provenance, CASE WHEN s_suppkey % 3 = 1 THEN 'defines' ELSE 'references' END AS edge FROM supplier"),
     "q_lsp_import": (lsp_import, "SELECT '/w/n' || s_nationkey AS path, CASE WHEN s_suppkey % 2 = 0 THEN 'defines' ELSE 'references' END AS kind, count(*) AS n FROM supplier GROUP BY 1, 2"),
     "q_extract_python": (extract_python, "SELECT 'f' || c_nationkey AS file_id, 'mod' || c_nationkey || '.' || c_mktsegment || '.m' || c_custkey AS qualified_name, 'method' AS symbol_kind FROM customer UNION ALL SELECT DISTINCT 'f' || c_nationkey, 'mod' || c_nationkey || '.' || c_mktsegment, 'class' FROM customer UNION ALL SELECT DISTINCT 'f' || c_nationkey, 'mod' || c_nationkey, 'module' FROM customer UNION ALL SELECT DISTINCT 'f' || c_nationkey, 'mod' || c_nationkey || '.value', 'variable' FROM customer"),
+    "q_extract_edges": (extract_edges, """
+        WITH c AS (SELECT c_nationkey % 5 AS l, 'src/mod' || c_nationkey || ['.ts', '.rs', '.go', '.java', '.c'][c_nationkey % 5 + 1] AS path, 'mod' || c_nationkey AS stem, 'm' || c_custkey AS m, 'call_' || c_custkey % 7 AS callee FROM customer),
+        q AS (SELECT *, CASE l WHEN 0 THEN stem || '.' || m WHEN 1 THEN stem || '::' || m WHEN 2 THEN 'p.' || m WHEN 3 THEN 'p.K.' || m ELSE m END AS name FROM c)
+        SELECT path, 'calls' AS kind, name AS source, callee AS target FROM q UNION ALL SELECT path, 'defines', path, name FROM q
+        UNION ALL SELECT DISTINCT path, 'defines', path, CASE WHEN l < 2 THEN stem ELSE 'p' END FROM q WHERE l < 4 UNION ALL SELECT DISTINCT path, 'defines', path, 'p.K' FROM q WHERE l = 3
+        UNION ALL SELECT DISTINCT path, 'contains', path, 'lib.h' FROM q WHERE l = 4 UNION ALL SELECT DISTINCT path, 'imports', 'lib.h', 'lib.h' FROM q WHERE l = 4"""),
+    "q_extract_json": (extract_json, """
+        WITH s AS (SELECT DISTINCT 'n' || s_nationkey || '/package.json' AS path, 'pkg' || s_nationkey AS pkg, s_name FROM supplier)
+        SELECT DISTINCT path, 'defines' AS kind, path AS source, 'package.json' AS target FROM s UNION ALL SELECT DISTINCT path, 'defines', path, pkg FROM s
+        UNION ALL SELECT path, 'contains', path, s_name FROM s UNION ALL SELECT path, 'imports', s_name, s_name FROM s UNION ALL SELECT path, 'depends-on', 'package.json', s_name FROM s"""),
     "q_debounce_sessions": (debounce_sessions, "SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 30 MINUTE AS ended, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL THEN 1 ELSE 0 END AS fresh FROM events)) GROUP BY user_id, s"),
     "q_coalesce_paths": (coalesce_paths, "SELECT DISTINCT event_type || '/' || user_id % 10 || '.py' AS path FROM events"),
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import expr as X
-from ..operators.tables import cut
+from ..operators.tables import GraphTables, cut
 
 
 @dataclass(frozen=True)
@@ -233,6 +234,30 @@ def index_path(spark: SparkSession, root: str, repo_id: str | None = None, **how
     return graph, outcomes.where("status = 'skipped'").select("path", "reason").orderBy("path")
 
 
+def summarize_path(spark: SparkSession, root: str, repo_id: str | None = None, **how) -> DataFrame:
+    """One row of counts and times over a folder's graph, of which nothing is kept."""
+    from ..operators import incremental
+
+    return incremental.index_summary(index_path(spark, root, repo_id, **how)[0])
+
+
+def stream_path(spark: SparkSession, root: str, sink: Callable[[GraphTables], None], repo_id: str | None = None, size: int = 4 * FILES, **how) -> int:
+    """Hand a folder's graph to a sink, `size` files at a time in the order of their paths, and return their number.
+
+    A sink gets materialised tables and may keep, write or drop them; what it raises ends the scan.
+    """
+    from . import extract
+
+    kept = [r["path"] for r in spark.createDataFrame([(p,) for p in _listed(spark, root)], "path string").where(not_ignored("path", ignore_rules(spark, root))).where(X.path_candidate("path") & ~X.is_vendor_or_generated("path")).orderBy("path").collect()]
+    done = 0
+    for i in range(0, len(kept), size):
+        paths = spark.createDataFrame([(p,) for p in kept[i : i + size]], "path string")
+        tables = extract.index(sources(classify(contents(spark, root, paths), repo_id or repo_name(root))), **how).materialized()
+        sink(tables)
+        done += tables.files.count()
+    return done
+
+
 def repo_name(root: str) -> str:
     import hashlib
 

@@ -6,6 +6,7 @@ import ast
 import itertools
 import json
 import re
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -18,6 +19,7 @@ from ..functions import expr as X
 from ..operators.tables import GraphTables, cut, dedup_edges, dedup_external, numbered, resolve_local
 from . import scan
 
+COLUMNS = ["ord", "fact", "name", "qualified_name", "symbol_kind", "span", "owner", "provenance", "confidence", "message"]
 FACTS = "file_id string, ord long, fact string, name string, qualified_name string, symbol_kind string, span " + schema.SPAN.simpleString() + ", owner long, provenance string, confidence string, message string"
 #: Larger texts are scanned by line.
 MOST_BYTES = 2 << 20
@@ -584,6 +586,7 @@ def extract_facts(sources: DataFrame, registry: Registry | None = None, most: in
         for batch in batches:
             rows = []
             for file_id, path, language, text in batch[["file_id", "path", "language", "text"]].itertuples(index=False):
+                began = time.perf_counter()
                 try:
                     found = registry.facts(path, text or "", language, most, mode)
                 except Exception as e:  # noqa: BLE001  a file must not fail the index
@@ -591,7 +594,9 @@ def extract_facts(sources: DataFrame, registry: Registry | None = None, most: in
                     b.add("diagnostic", None, message=f"extraction failed: {type(e).__name__}")
                     found = b.rows
                 rows += [{"file_id": file_id, **r} for r in found]
-            yield pd.DataFrame(rows, columns=["file_id", "ord", "fact", "name", "qualified_name", "symbol_kind", "span", "owner", "provenance", "confidence", "message"])
+                # how long it took, in microseconds
+                rows.append({"file_id": file_id, **dict.fromkeys(COLUMNS), "ord": -1, "fact": "time", "owner": int(1e6 * (time.perf_counter() - began))})
+            yield pd.DataFrame(rows, columns=["file_id", *COLUMNS])
 
     found = sources.select("file_id", "path", "language", "text").mapInPandas(run, FACTS)
     return found if mode == "tree-only" else found.unionByName(scan.scan_facts(sources.where(by_line)))
@@ -639,8 +644,9 @@ def build_graph(sources: DataFrame, facts: DataFrame, resolve: bool = True) -> G
         local = sources.where("language <> 'json'").select(F.col("file_id").alias("file_part"))
         edges = resolve_local(nodes.join(local, "file_part", "left_semi"), edges)
     diagnostics = rows.where(of("diagnostic")).select(F.col("file_id").alias("file_part"), "ord", F.lit("warning").alias("severity"), "message", "file_id", "span")
-    zero = F.lit(0).cast("long")
-    table = sources.select("file_id", "path", "language", "fingerprint", zero.alias("parse_time_micros"), zero.alias("extraction_time_micros"))
+    # structures are parsed and walked in one pass, which is all extraction
+    times = rows.where(of("time")).groupBy("file_id").agg(F.sum("owner").alias("extraction_time_micros"))
+    table = sources.select("file_id", "path", "language", "fingerprint", F.lit(0).cast("long").alias("parse_time_micros")).join(times, "file_id", "left").fillna(0, "extraction_time_micros")
     return GraphTables(numbered(table, "partition_pos", "path", "file_id"), nodes, edges, diagnostics)
 
 

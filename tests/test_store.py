@@ -63,6 +63,31 @@ def test_unreadable_files_leave_diagnostics(spark, repo):
     assert [r["message"].split(":")[0] for r in tables.diagnostics.collect()] == ["failed to read mem.py"]
 
 
+def test_streamed_parts_are_the_whole(spark, repo):
+    from graphloom.sources.discovery import stream_path, summarize_path
+
+    found = []
+    assert stream_path(spark, repo, lambda g: found.append((paths(g.files), g.nodes.count())), size=2) == 3
+    assert [p for p, _ in found] == [["app.ts"], ["lib.ts", "tool.py"]]
+    summary = summarize_path(spark, repo).first()
+    assert summary["files"] == 3 and summary["nodes"] == sum(n for _, n in found) and summary["extraction_time_micros"] > 0
+
+    def broken(_):
+        raise RuntimeError("full")
+
+    with pytest.raises(RuntimeError):
+        stream_path(spark, repo, broken)
+
+
+def test_lookups_by_path(spark, repo):
+    tables = discovery.index_path(spark, repo)[0].materialized()
+    q = GraphQuery(tables)
+    file_id = q.partition_for_path("lib.ts").first()["file_id"]
+    assert q.path_for_file([file_id]).first()["path"] == "lib.ts"
+    node = q.matching_symbols("run").first()["id"]
+    assert q.path_for_node(node).first()["path"] == "lib.ts"
+
+
 def test_two_writers_lose_nothing(spark, repo, tmp_path):
     store = GraphStore(spark, str(tmp_path / "store"))
     tables, _ = discovery.index_path(spark, repo)
