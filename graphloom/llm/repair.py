@@ -43,44 +43,55 @@ def compress(ids: np.ndarray, first: int, least: int = LEAST) -> tuple[np.ndarra
     """
     least = max(least, 2)
     seq = ids.astype(np.uint32)
-    active = np.arange(max(0, len(seq) - 1))
+    active = np.arange(max(0, len(seq) - 1), dtype=np.int32)
     rules, lengths, n_rules = [np.zeros((0, 2), np.uint32)], np.zeros(0, np.uint32), 0
     while len(active):
-        a, b = seq[active], seq[active + 1]
-        even, odd = np.ones(len(active), bool), active[:0]
+        a, b = (seq[:-1], seq[1:]) if len(active) == len(seq) - 1 else (seq[active], seq[active + 1])
+        place, odd = active, active[:0]
         same = np.flatnonzero(a == b)
         if len(same):
             at, index = active[same], np.arange(len(same))
             fresh = np.append(True, (at[1:] != at[:-1] + 1) | (a[same[1:]] != a[same[:-1]]))
             late = (index - np.maximum.accumulate(np.where(fresh, index, 0))) & 1 == 1
-            even[same[late]], odd = False, at[late]
-        place = active[even]
+            odd, even = at[late], np.ones(len(active), bool)
+            even[same[late]] = False
+            even = np.flatnonzero(even)
+            place, a, b = place[even], a[even], b[even]
         bits, room = np.uint64((first + n_rules).bit_length()), np.uint64(len(seq).bit_length())
-        pairs = a[even].astype(np.uint64) << bits | b[even]
+        pairs = a.astype(np.uint64)
+        pairs <<= bits
+        pairs |= b
         if 2 * bits + room <= 64:
-            key = np.sort(pairs << room | place.astype(np.uint64))
-            pairs, place = key >> room, (key & ((np.uint64(1) << room) - np.uint64(1))).astype(np.int64)
+            pairs <<= room
+            pairs |= place.astype(np.uint64)
+            pairs.sort()
+            place = (pairs & ((np.uint64(1) << room) - np.uint64(1))).astype(np.int32)
+            pairs >>= room
         else:
             order = np.argsort(pairs, kind="stable")
             pairs, place = pairs[order], place[order]
-        starts = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)])
+        starts = np.append(0, np.flatnonzero(pairs[1:] != pairs[:-1]) + 1)
         counts = np.diff(np.append(starts, len(pairs)))
         often = counts >= least
         none = int(often.sum())
         if not none:
             break
-        place, chosen, counts = place[np.repeat(often, counts)], pairs[starts[often]], counts[often]
-        order = np.argsort(-counts, kind="stable")
-        ranks = np.empty(none, np.int32)
-        ranks[order] = np.arange(none, dtype=np.int32)
-        own = np.repeat(ranks, counts)
-        rank = np.full(len(seq) + 1, none, np.int32)  # its last is also before its first
-        rank[place] = own
-        rank[odd] = rank[odd - 1]
-        take = (own <= rank[place - 1]) & (own <= rank[place + 1])
-        where, own = place[take], own[take]
+        chosen, times = pairs[starts[often]], counts[often]
+        order = np.argsort(-times, kind="stable")
+        ranks = np.full(len(counts), none, np.int32)
+        ranks[np.flatnonzero(often)[order]] = np.arange(none, dtype=np.int32)
+        # by place, with one before the first and one after the last; pairs that are not frequent have the last rank
+        rank = np.full(len(seq) + 2, none, np.int32)
+        rank[place + 1] = np.repeat(ranks, counts)
+        rank[odd + 1] = rank[odd]
+        own = rank[1:-1]
+        take = (own <= rank[:-2]) & (own <= rank[2:]) & (own < none)
+        take[odd] = False
+        where = np.flatnonzero(take)
+        own = own[where]
         used = np.bincount(own, minlength=none) >= 2
-        where, own = where[used[own]], own[used[own]]
+        keep = used[own]
+        where, own = where[keep], own[keep]
         number = np.cumsum(used, dtype=np.uint32) + np.uint32(first + n_rules - 1)
         seq[where] = number[own]
         new = chosen[order[used]]
@@ -89,12 +100,13 @@ def compress(ids: np.ndarray, first: int, least: int = LEAST) -> tuple[np.ndarra
         lengths = np.append(lengths, (size(new[:, 0]) + size(new[:, 1])).astype(np.uint32))
         rules.append(new)
         n_rules += len(new)
-        stays, live = np.ones(len(seq), bool), np.zeros(len(seq), bool)
+        stays, live = np.ones(len(seq), bool), rank[1:-1] < none
         stays[where + 1] = False
-        live[place] = live[odd[rank[odd] < none]] = live[where] = live[where - 1] = True
+        live[where] = live[where - 1] = True
+        stays = np.flatnonzero(stays)
         seq, live = seq[stays], live[stays]
         live[-1] = False
-        active = np.flatnonzero(live)
+        active = np.flatnonzero(live).astype(np.int32)
     return np.concatenate(rules), lengths, seq
 
 
