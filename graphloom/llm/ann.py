@@ -292,10 +292,36 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, mass: float = MASS
         return pa.table({"query_id": pa.array(query[at], pa.int64()), "near": near})
 
     found = left.groupBy("part", "rb", "qb").cogroup(right.groupBy("part", "rb", "qb")).applyInArrow(work, "query_id long, near array<struct<far: double, vec_id: long>>")
-    nearest = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k)
-    return found.groupBy("query_id").agg(nearest.alias("near")).select("query_id", F.posexplode("near").alias("rank", "n")).select(
-        "query_id", (F.col("rank") + 1).alias("rank"), F.col("n.vec_id").alias("vec_id"), (-F.col("n.far")).alias("score")
-    )
+
+    def merge(batches):
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def nearest(query, far, row):
+            order = np.lexsort((row, far, query))
+            query, far, row = query[order], far[order], row[order]
+            fresh = np.append(True, (query[1:] != query[:-1]) | (row[1:] != row[:-1]) | (far[1:] != far[:-1]))[: len(query)]
+            query, far, row = query[fresh], far[fresh], row[fresh]
+            rank = np.arange(len(query)) - np.searchsorted(query, query) + 1
+            use = rank <= k
+            return pa.RecordBatch.from_arrays([pa.array(query[use]), pa.array(rank[use], pa.int32()), pa.array(row[use]), pa.array(-far[use])], names=["query_id", "rank", "vec_id", "score"])
+
+        for b in batches:
+            near = b.column(1)
+            items = near.flatten()
+            query = np.repeat(b.column(0).to_numpy(), np.diff(near.offsets.to_numpy()))
+            if not len(query):
+                continue
+            held.append((query, items.field(0).to_numpy(), items.field(1).to_numpy()))
+            if query[-1] != held[0][0][0]:
+                # what is found for the last query may go on in the next batch
+                query, far, row = (np.concatenate(x) for x in zip(*held, strict=True))
+                cut = int(np.searchsorted(query, query[-1]))
+                yield nearest(query[:cut], far[:cut], row[:cut])
+                held = [(query[cut:], far[cut:], row[cut:])]
+        if held:
+            yield nearest(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return found.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(merge, "query_id long, rank int, vec_id long, score double")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
