@@ -10,7 +10,7 @@ import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +19,14 @@ from ..functions import expr as X
 from ..operators.tables import GraphTables, cut, dedup_edges, dedup_external, numbered, resolve_local
 from . import scan
 
-COLUMNS = ["ord", "fact", "name", "qualified_name", "symbol_kind", "span", "owner", "provenance", "confidence", "message"]
 FACTS = "file_id string, ord long, fact string, name string, qualified_name string, symbol_kind string, span " + schema.SPAN.simpleString() + ", owner long, provenance string, confidence string, message string"
+_POINT = pa.struct([("line", pa.int64()), ("column", pa.int64())])
+ARROW = pa.schema([
+    ("file_id", pa.string()), ("ord", pa.int64()), ("fact", pa.string()), ("name", pa.string()), ("qualified_name", pa.string()), ("symbol_kind", pa.string()),
+    ("span", pa.struct([("byte_start", pa.int64()), ("byte_end", pa.int64()), ("start", _POINT), ("end", _POINT)])), ("owner", pa.int64()), ("provenance", pa.string()), ("confidence", pa.string()), ("message", pa.string()),
+])
+#: Facts that a task holds before it hands them on, about.
+ROWS = 50_000
 #: Larger texts are scanned by line.
 MOST_BYTES = 2 << 20
 #: Diagnostics of a file at most, characters of a snippet in them at most, lines of a Python text that are put right at most.
@@ -582,10 +588,10 @@ def extract_facts(sources: DataFrame, registry: Registry | None = None, most: in
     registry = registry or Registry()
     by_line = F.lit(mode == "scanner-only") | (F.octet_length("text") > most)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for file_id, path, language, text in batch[["file_id", "path", "language", "text"]].itertuples(index=False):
+            for file_id, path, language, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 began = time.perf_counter()
                 try:
                     found = registry.facts(path, text or "", language, most, mode)
@@ -593,12 +599,17 @@ def extract_facts(sources: DataFrame, registry: Registry | None = None, most: in
                     b = Builder(path, "")
                     b.add("diagnostic", None, message=f"extraction failed: {type(e).__name__}")
                     found = b.rows
-                rows += [{"file_id": file_id, **r} for r in found]
+                for r in found:
+                    r["file_id"] = file_id
+                rows += found
                 # how long it took, in microseconds
-                rows.append({"file_id": file_id, **dict.fromkeys(COLUMNS), "ord": -1, "fact": "time", "owner": int(1e6 * (time.perf_counter() - began))})
-            yield pd.DataFrame(rows, columns=["file_id", *COLUMNS])
+                rows.append({"file_id": file_id, "ord": -1, "fact": "time", "owner": int(1e6 * (time.perf_counter() - began))})
+                if len(rows) >= ROWS:
+                    yield pa.RecordBatch.from_pylist(rows, ARROW)
+                    rows = []
+            yield pa.RecordBatch.from_pylist(rows, ARROW)
 
-    found = sources.select("file_id", "path", "language", "text").mapInPandas(run, FACTS)
+    found = sources.select("file_id", "path", "language", "text").mapInArrow(run, FACTS)
     return found if mode == "tree-only" else found.unionByName(scan.scan_facts(sources.where(by_line)))
 
 
