@@ -230,12 +230,19 @@ def simple_name(symbol: Name) -> Column:
     return F.coalesce(F.nullif(F.element_at(F.split(col(symbol), "[/#.]"), -1), F.lit("")), col(symbol))
 
 
-def qualify(parent: Name, name: Name, separator: str = ".") -> Column:
-    return F.when(F.coalesce(col(parent), F.lit("")) == "", col(name)).otherwise(F.concat(col(parent), F.lit(separator), col(name)))
-
-
 # Scores and labels
 
+#: What risks and changes score in a review.
+RISK_SCORES = {"high": 20, "medium": 10, "low": 1}
+SYMBOL_SCORES = {"removed": 8, "added": 5, "modified": 3, "type-changed": 3, "renamed": 2, "copied": 2}
+PUBLIC_SCORE = 10
+FILE_SCORES = {"removed": 12, "added": 8, "renamed": 8, "type-changed": 6, "modified": 2, "copied": 2}
+#: Sentences of a review.
+SYMBOL_REASONS = {"removed": "symbol removed", "added": "new symbol added", "renamed": "symbol renamed", "copied": "symbol copied"}
+PUBLIC_REASON, OTHER_SYMBOL_REASON = "public API changed", "symbol behavior or shape changed"
+FILE_REASONS = {"removed": "file removed", "added": "new file added"}
+RENAMED_REASON, TEST_REASON, OTHER_FILE_REASON = "file renamed from ", "test coverage changed", "file changed"
+
 
 def fact_score(provenance: Name, confidence: Name) -> Column:
     return ((ordinal(provenance, schema.PROVENANCES) + 1) * 10 + ordinal(confidence, schema.CONFIDENCES) + 1).cast("int")
@@ -269,15 +276,15 @@ def by_value(x: Name, values: dict[str, int]) -> Column:
 
 
 def risk_score(risk: Name) -> Column:
-    return by_value(risk, {"high": 20, "medium": 10, "low": 1})
+    return by_value(risk, RISK_SCORES)
 
 
 def symbol_score(risk: Name, public: Name, change: Name) -> Column:
-    return risk_score(risk) + F.when(col(public), 10).otherwise(0) + by_value(change, {"removed": 8, "added": 5, "modified": 3, "type-changed": 3, "renamed": 2, "copied": 2})
+    return risk_score(risk) + F.when(col(public), PUBLIC_SCORE).otherwise(0) + by_value(change, SYMBOL_SCORES)
 
 
 def file_score(change: Name) -> Column:
-    return by_value(change, {"removed": 12, "added": 8, "renamed": 8, "type-changed": 6, "modified": 2, "copied": 2})
+    return by_value(change, FILE_SCORES)
 
 
 def file_risk(path: Name, change: Name) -> Column:
@@ -290,18 +297,17 @@ def max_risk(risk: Name) -> Column:
 
 
 def symbol_reason(public: Name, change: Name) -> Column:
-    c = col(change)
-    return (
-        F.when(col(public), "public API changed").when(c == "removed", "symbol removed").when(c == "added", "new symbol added")
-        .when(c == "renamed", "symbol renamed").when(c == "copied", "symbol copied").otherwise("symbol behavior or shape changed")
-    )
+    out = F.when(col(public), PUBLIC_REASON)
+    for value, reason in SYMBOL_REASONS.items():
+        out = out.when(col(change) == value, reason)
+    return out.otherwise(OTHER_SYMBOL_REASON)
 
 
 def file_reason(path: Name, change: Name, old_path: Name) -> Column:
     c = col(change)
     return (
-        F.when((c == "renamed") & col(old_path).isNotNull(), F.concat(F.lit("file renamed from "), col(old_path)))
-        .when(c == "removed", "file removed").when(c == "added", "new file added").when(is_test_path(path), "test coverage changed").otherwise("file changed")
+        F.when((c == "renamed") & col(old_path).isNotNull(), F.concat(F.lit(RENAMED_REASON), col(old_path)))
+        .when(c == "removed", FILE_REASONS["removed"]).when(c == "added", FILE_REASONS["added"]).when(is_test_path(path), TEST_REASON).otherwise(OTHER_FILE_REASON)
     )
 
 

@@ -155,6 +155,14 @@ def stats(changes: DataFrame, symbols: DataFrame, dependencies: DataFrame, impac
 
 # Triage
 
+#: Sentences of a review.
+DEPENDENCY_REASON = "dependency surface changed"
+DIAGNOSTIC_REASON = "changed file has parser or indexing diagnostics"
+IMPACT_REASON = "impacted by changed graph facts"
+NO_TESTS_NOTE = "No test files changed; verify existing coverage exercises this diff."
+BROAD_NOTE = "Raw symbol diff is broad; prefer top_changes and review_focus for agent triage."
+DIAGNOSTIC_NOTE = "Changed files have parser or indexing diagnostics; inspect diagnostics before trusting impact."
+
 
 def important_symbols(symbols: DataFrame) -> DataFrame:
     """Public, risky, added or removed symbols, highest score first."""
@@ -166,10 +174,10 @@ def _signals(changes: DataFrame, important: DataFrame, dependencies: DataFrame,
     text = lambda v=None: F.lit(v).cast("string")
     files = changes.select("path", X.file_score("change").alias("score"), X.file_risk("path", "change").alias("risk"), F.lit(1).alias("seq"), F.concat("change", F.lit("-file")).alias("kind"), text().alias("symbol"), X.file_reason("path", "change", "old_path").alias("reason"))
     symbols = important.where("path is not null").select("path", "score", "risk", F.lit(0).alias("seq"), text().alias("kind"), "symbol", X.symbol_reason("public_api", "change").alias("reason"))
-    deps = dependencies.select(F.col("file").alias("path"), F.lit(8).alias("score"), F.lit("medium").alias("risk"), F.lit(2).alias("seq"), F.concat("change", F.lit("-dependency")).alias("kind"), text().alias("symbol"), F.lit("dependency surface changed").alias("reason"))
+    deps = dependencies.select(F.col("file").alias("path"), F.lit(8).alias("score"), F.lit("medium").alias("risk"), F.lit(2).alias("seq"), F.concat("change", F.lit("-dependency")).alias("kind"), text().alias("symbol"), F.lit(DEPENDENCY_REASON).alias("reason"))
     known = files.unionByName(symbols).unionByName(deps)
     broken = found.where("file is not null").select(F.col("file").alias("path")).join(known.select("path").distinct(), "path", "left_semi")
-    return known.unionByName(broken.select("path", F.lit(6).alias("score"), F.lit("medium").alias("risk"), F.lit(0).alias("seq"), text().alias("kind"), text().alias("symbol"), F.lit("changed file has parser or indexing diagnostics").alias("reason")))
+    return known.unionByName(broken.select("path", F.lit(6).alias("score"), F.lit("medium").alias("risk"), F.lit(0).alias("seq"), text().alias("kind"), text().alias("symbol"), F.lit(DIAGNOSTIC_REASON).alias("reason")))
 
 
 def top_changes(changes: DataFrame, symbols: DataFrame, dependencies: DataFrame, found: DataFrame, n: int = TOP) -> DataFrame:
@@ -190,7 +198,7 @@ def review_focus(changes: DataFrame, top: DataFrame, impacted: DataFrame, n: int
     rows = top.select("path", (X.risk_score("risk") + 3).alias("score"), F.split("why_it_matters", "; ").alias("reasons"))
     rows = rows.unionByName(changes.select("path", X.file_score("change").alias("score"), F.array(X.file_reason("path", "change", "old_path")).alias("reasons")))
     touched = impacted.select("path").join(changes.select("path").distinct(), "path", "left_semi")
-    rows = rows.unionByName(touched.select("path", F.lit(1).alias("score"), F.array(F.lit("impacted by changed graph facts")).alias("reasons")))
+    rows = rows.unionByName(touched.select("path", F.lit(1).alias("score"), F.array(F.lit(IMPACT_REASON)).alias("reasons")))
     grouped = rows.groupBy("path").agg(F.sum("score").cast("long").alias("score"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("reasons")))), "; ").alias("reason"))
     return grouped.orderBy(F.desc("score"), "path").limit(n)
 
@@ -210,9 +218,9 @@ def triage(changes: DataFrame, symbols: DataFrame, dependencies: DataFrame, foun
         (F.col("public_api_changes") > 0) | (F.col("dependency_changes") > 0) | (F.col("diagnostics") > 0) | ~F.col("tests_changed") | (F.col("important_symbol_changes") > 8), "medium"
     ).otherwise("low")
     notes = F.array_compact(F.array(
-        F.when(~F.col("tests_changed"), "No test files changed; verify existing coverage exercises this diff."),
-        F.when(F.col("_symbols") > F.col("public_api_changes") + 20, "Raw symbol diff is broad; prefer top_changes and review_focus for agent triage."),
-        F.when(F.col("diagnostics") > 0, "Changed files have parser or indexing diagnostics; inspect diagnostics before trusting impact."),
+        F.when(~F.col("tests_changed"), NO_TESTS_NOTE),
+        F.when(F.col("_symbols") > F.col("public_api_changes") + 20, BROAD_NOTE),
+        F.when(F.col("diagnostics") > 0, DIAGNOSTIC_NOTE),
     ))
     return row.withColumn("risk", risk).withColumn("notes", notes).drop("_lost", "_dangerous", "_symbols")
 

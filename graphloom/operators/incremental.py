@@ -27,11 +27,6 @@ def plan_reindex(stems: DataFrame, changed: DataFrame) -> DataFrame:
     return changed.withColumn("reason", F.lit("changed")).unionByName(reverse.withColumn("reason", F.lit("reverse-dependency")))
 
 
-def unchanged(candidates: DataFrame, files: DataFrame) -> DataFrame:
-    """Candidates (file_id, fingerprint) that are stored as they are, which need no extraction."""
-    return candidates.join(files.select("file_id", "fingerprint"), ["file_id", "fingerprint"], "left_semi")
-
-
 def index_summary(tables: GraphTables, skipped: DataFrame | None = None) -> DataFrame:
     """One row: files, nodes, edges, diagnostics, times, and the largest file's nodes and edges."""
     per = lambda df, name: df.groupBy("file_part").agg(F.count("*").alias(name))
