@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from .. import schema
 from ..functions import expr as X
 from ..operators.diff import GraphDiff, important_symbols
 from ..operators.tables import GraphTables, shared_folder
@@ -14,15 +15,25 @@ from ..streaming import watch
 from .projection import GRAPH_SQL, graph, read
 
 
+#: Names that some files export, one of them qualified.
+EXPORTED = ["supplier_3", "mod.AUTOMOBILE_7"]
+
+
 def sides(spark, d) -> GraphDiff:
-    """Base and head: symbols by rule of their number; head's qualities changed for some; files renamed for some."""
+    """Base and head: symbols by rule of their number; head's qualities changed for some; files renamed for some, and some export names."""
     g = graph(spark, d)
     key = F.substring_index("id", ":", -1)
     symbol = F.col("kind") == "symbol"
     number = F.when(symbol, key.cast("long"))
     rest = F.coalesce(number, F.lit(-1))
-    base = GraphTables(g.files, g.nodes.where(~symbol | (rest % 10 != 0)), g.edges, g.diagnostics)
-    nodes = g.nodes.where(~symbol | (rest % 10 != 1)).withColumn("confidence", F.when(symbol & (rest % 7 == 0), "exact").otherwise(F.col("confidence")))
+    listed = g.files.where("partition_pos % 4 = 0").select("file_id", "language", F.explode(F.array(*[F.lit(x) for x in EXPORTED])).alias("name"))
+    null = F.lit(None).cast("string")
+    exports = listed.select(
+        F.col("file_id").alias("file_part"), F.lit(9_000_000).cast("long").alias("ord"), F.concat(F.lit("node:exp:"), "file_id", F.lit(":"), "name").alias("id"), F.lit("export").alias("kind"), "language", "name",
+        null.alias("qualified_name"), null.alias("symbol_kind"), "file_id", F.lit(None).cast(schema.SPAN).alias("span"), F.lit("structural-scanner").alias("provenance"), F.lit("medium").alias("confidence"),
+    )
+    base = GraphTables(g.files, g.nodes.where(~symbol | (rest % 10 != 0)).unionByName(exports), g.edges, g.diagnostics)
+    nodes = g.nodes.unionByName(exports).where(~symbol | (rest % 10 != 1)).withColumn("confidence", F.when(symbol & (rest % 7 == 0), "exact").otherwise(F.col("confidence")))
     renamed = F.when(F.col("partition_pos") % 11 == 0, F.concat(F.lit("moved/"), F.col("path"))).otherwise(F.col("path"))
     head = GraphTables(g.files.withColumn("path", renamed), nodes, g.edges.where("not (kind = 'imports' and id like '%Brand#1%')"), g.diagnostics)
     pos = F.col("partition_pos")
@@ -219,7 +230,7 @@ def g(sql: str, more: str = "") -> str:
 _SIDE = """SELECT f.{path} AS file, n.language, coalesce(n.symbol_kind, 'unknown') AS kind, arg_max({{own}}, n.ord) AS own,
   CASE WHEN n.symbol_kind = 'module' THEN '$module' WHEN instr(q, '.') > 1 AND instr(q, '.') < length(q) THEN substr(q, instr(q, '.') + 1) ELSE coalesce(name, q) END AS scoped_name
   FROM (SELECT *, coalesce(qualified_name, name, '') AS q, string_split(id, ':')[-1]::BIGINT AS k FROM g_nodes WHERE kind = 'symbol') n JOIN g_files f ON n.file_part = f.file_id WHERE {{where}} GROUP BY 1, 2, 3, 5"""
-_OWN = "{'prov': n.provenance, 'conf': " + "{conf}" + ", 'span': [n.byte_start, n.byte_end, n.line, n.col_end], 'name': n.name, 'q': n.qualified_name, 'path': f.path}"
+_OWN = "{'prov': n.provenance, 'conf': " + "{conf}" + ", 'span': [n.byte_start, n.byte_end, n.line, n.col_end], 'name': n.name, 'q': n.qualified_name, 'path': f.path, 'pub': f.partition_pos % 4 = 0 AND (n.name = 'supplier_3' OR n.qualified_name = 'mod.AUTOMOBILE_7')}"
 
 
 def _side(conf: str, where: str, path: str) -> str:
@@ -234,7 +245,7 @@ changes AS (SELECT CASE WHEN partition_pos % 11 = 0 THEN 'renamed' WHEN partitio
 renames AS (SELECT old_path FROM changes WHERE change = 'renamed'),
 b AS ({_side("n.confidence", "k % 10 <> 0", "path").replace("f.head_path AS file", "CASE WHEN f.path IN (SELECT old_path FROM renames) THEN f.head_path ELSE f.path END AS file")}),
 h AS ({_side("CASE WHEN n.k % 7 = 0 THEN 'exact' ELSE n.confidence END", "k % 10 <> 1", "head_path")}),
-symbols AS (SELECT * FROM (SELECT coalesce(h.file, b.file) AS file, coalesce(h.language, b.language) AS language, coalesce(h.kind, b.kind) AS kind, coalesce(h.scoped_name, b.scoped_name) AS scoped_name, b.own AS before, h.own AS after,
+symbols AS (SELECT *, CASE WHEN pub AND change = 'removed' THEN 'high' WHEN pub OR change = 'removed' THEN 'medium' ELSE 'low' END AS risk FROM (SELECT coalesce(b.own.pub, false) OR coalesce(h.own.pub, false) AS pub, coalesce(h.file, b.file) AS file, coalesce(h.language, b.language) AS language, coalesce(h.kind, b.kind) AS kind, coalesce(h.scoped_name, b.scoped_name) AS scoped_name, b.own AS before, h.own AS after,
   CASE WHEN b.own IS NULL THEN 'added' WHEN h.own IS NULL THEN 'removed' WHEN (b.own.prov, b.own.conf, b.own.span) IS DISTINCT FROM (h.own.prov, h.own.conf, h.own.span) THEN 'modified' END AS change
   FROM b FULL JOIN h ON b.file = h.file AND b.language = h.language AND b.kind = h.kind AND b.scoped_name = h.scoped_name) WHERE change IS NOT NULL),
 head_edges AS (SELECT * FROM g_edges WHERE NOT (kind = 'imports' AND id LIKE '%Brand#1%')),
@@ -252,11 +263,12 @@ impact AS (
     UNION ALL SELECT coalesce(sf.head_path, f.head_path), verb || ' ' || coalesce(n.qualified_name, n.name) FROM head_edges e JOIN verbs USING (kind) JOIN h_last n ON n.id = e.dst AND coalesce(n.qualified_name, n.name) IN (SELECT label FROM labels) LEFT JOIN h_last s ON s.id = e.src LEFT JOIN d_files sf ON sf.file_id = s.file_id LEFT JOIN d_files f ON f.file_id = e.file_part)
   GROUP BY path),
 diags AS (SELECT 'base' AS side, severity, message, f.path AS file FROM g_diagnostics d LEFT JOIN d_files f ON d.file_id = f.file_id UNION ALL SELECT 'head', severity, message, f.head_path FROM g_diagnostics d LEFT JOIN d_files f ON d.file_id = f.file_id),
-scored AS (SELECT coalesce(after.q, after.name, before.q, before.name) AS symbol, coalesce(after.path, before.path) AS path, change, CASE change WHEN 'removed' THEN 18 WHEN 'added' THEN 6 ELSE 4 END AS score, CASE change WHEN 'removed' THEN 'medium' ELSE 'low' END AS risk FROM symbols WHERE change IN ('added', 'removed')),
+scored AS (SELECT coalesce(after.q, after.name, before.q, before.name) AS symbol, coalesce(after.path, before.path) AS path, change, pub, risk,
+  CASE risk WHEN 'high' THEN 20 WHEN 'medium' THEN 10 ELSE 1 END + CASE WHEN pub THEN 10 ELSE 0 END + CASE change WHEN 'removed' THEN 8 WHEN 'added' THEN 5 ELSE 3 END AS score FROM symbols WHERE change IN ('added', 'removed') OR pub),
 signals AS (
   SELECT path, CASE change WHEN 'removed' THEN 12 WHEN 'added' THEN 8 WHEN 'renamed' THEN 8 ELSE 2 END AS score, CASE change WHEN 'removed' THEN 20 ELSE 10 END AS risk, 1 AS seq, change || '-file' AS kind, NULL AS symbol,
     CASE change WHEN 'renamed' THEN 'file renamed from ' || old_path WHEN 'removed' THEN 'file removed' WHEN 'added' THEN 'new file added' ELSE 'file changed' END AS reason FROM changes
-  UNION ALL SELECT path, score, CASE risk WHEN 'medium' THEN 10 ELSE 1 END, 0, NULL, symbol, CASE change WHEN 'removed' THEN 'symbol removed' ELSE 'new symbol added' END FROM scored
+  UNION ALL SELECT path, score, CASE risk WHEN 'high' THEN 20 WHEN 'medium' THEN 10 ELSE 1 END, 0, NULL, symbol, CASE WHEN pub THEN 'public API changed' WHEN change = 'removed' THEN 'symbol removed' ELSE 'new symbol added' END FROM scored
   UNION ALL SELECT file, 8, 10, 2, change || '-dependency', NULL, 'dependency surface changed' FROM deps),
 signals2 AS (SELECT * FROM signals UNION ALL SELECT file, 6, 10, 0, NULL, NULL, 'changed file has parser or indexing diagnostics' FROM diags WHERE file IN (SELECT path FROM signals)),
 top AS (
@@ -269,20 +281,20 @@ focus AS (
   UNION ALL SELECT path, 1, 'impacted by changed graph facts', 'impact' FROM impact WHERE path IN (SELECT path FROM changes))
 """
 QUERIES = {
-    "q_diff_symbols": (diff_symbols, g("SELECT file, language, kind, scoped_name, change, CASE change WHEN 'removed' THEN 'medium' ELSE 'low' END AS risk, CASE change WHEN 'modified' THEN 'symbol body or span changed' ELSE 'symbol ' || change END AS reason FROM symbols", _DIFF)),
+    "q_diff_symbols": (diff_symbols, g("SELECT file, language, kind, scoped_name, change, risk, CASE change WHEN 'modified' THEN 'symbol body or span changed' ELSE 'symbol ' || change END AS reason FROM symbols", _DIFF)),
     "q_diff_deps": (diff_deps, g("SELECT * FROM deps", _DIFF)),
     "q_diff_impact": (diff_impact, g("SELECT * FROM impact", _DIFF)),
     "q_diff_stats": (diff_stats, g(
         "SELECT (SELECT count(*) FROM changes WHERE change = 'added') AS files_added, (SELECT count(*) FROM changes WHERE change = 'removed') AS files_removed, (SELECT count(*) FROM changes WHERE change = 'modified') AS files_modified, (SELECT count(*) FROM changes WHERE change = 'renamed') AS files_renamed, "
-        "(SELECT count(*) FROM symbols WHERE change = 'added') AS symbols_added, (SELECT count(*) FROM symbols WHERE change = 'removed') AS symbols_removed, (SELECT count(*) FROM symbols WHERE change = 'modified') AS symbols_modified, 0::BIGINT AS public_api_changes, "
+        "(SELECT count(*) FROM symbols WHERE change = 'added') AS symbols_added, (SELECT count(*) FROM symbols WHERE change = 'removed') AS symbols_removed, (SELECT count(*) FROM symbols WHERE change = 'modified') AS symbols_modified, (SELECT count(*) FROM symbols WHERE pub) AS public_api_changes, "
         "(SELECT count(*) FROM deps) AS dependency_changes, (SELECT count(*) FROM impact) AS impacted_files, (SELECT count(*) FROM diags) AS diagnostics, (SELECT count(*) FROM g_files) AS base_indexed_files, (SELECT count(*) FROM g_files) AS head_indexed_files", _DIFF)),
     "q_diff_diagnostics": (diff_diagnostics, g("SELECT * FROM diags", _DIFF)),
     "q_agent_important": (agent_important, g("SELECT symbol, path, change, score::BIGINT AS score FROM scored", _DIFF)),
     "q_agent_top8": (agent_top8, g("SELECT * FROM top", _DIFF)),
     "q_agent_focus8": (agent_focus8, g("SELECT p.path, p.score::BIGINT AS score, string_agg(DISTINCT f.reason, '; ' ORDER BY f.reason) AS reason FROM (SELECT path, sum(score) AS score FROM (SELECT DISTINCT path, score, part FROM focus) GROUP BY path ORDER BY score DESC, path LIMIT 8) p JOIN focus f USING (path) GROUP BY p.path, p.score", _DIFF)),
     "q_agent_risk": (agent_risk, g(
-        "SELECT (SELECT count(*) FROM changes) AS files_changed, false AS tests_changed, 0::BIGINT AS public_api_changes, (SELECT count(*) FROM scored) AS important_symbol_changes, (SELECT count(*) FROM deps) AS dependency_changes, (SELECT count(*) FROM diags WHERE file IN (SELECT path FROM changes)) AS diagnostics, "
-        "CASE WHEN EXISTS (SELECT 1 FROM changes WHERE change = 'removed') THEN 'high' ELSE 'medium' END AS risk, 'No test files changed; verify existing coverage exercises this diff.' || CASE WHEN (SELECT count(*) FROM symbols) > 20 THEN ' | Raw symbol diff is broad; prefer top_changes and review_focus for agent triage.' ELSE '' END "
+        "SELECT (SELECT count(*) FROM changes) AS files_changed, false AS tests_changed, (SELECT count(*) FROM symbols WHERE pub) AS public_api_changes, (SELECT count(*) FROM scored) AS important_symbol_changes, (SELECT count(*) FROM deps) AS dependency_changes, (SELECT count(*) FROM diags WHERE file IN (SELECT path FROM changes)) AS diagnostics, "
+        "CASE WHEN EXISTS (SELECT 1 FROM changes WHERE change = 'removed') OR EXISTS (SELECT 1 FROM symbols WHERE pub AND risk = 'high') THEN 'high' ELSE 'medium' END AS risk, 'No test files changed; verify existing coverage exercises this diff.' || CASE WHEN (SELECT count(*) FROM symbols) > 20 + (SELECT count(*) FROM symbols WHERE pub) THEN ' | Raw symbol diff is broad; prefer top_changes and review_focus for agent triage.' ELSE '' END "
         "|| CASE WHEN EXISTS (SELECT 1 FROM diags WHERE file IN (SELECT path FROM changes)) THEN ' | Changed files have parser or indexing diagnostics; inspect diagnostics before trusting impact.' ELSE '' END AS notes", _DIFF)),
     "q_public_api": (public_api, "WITH {code} SELECT o_orderkey, t <> '' AND regexp_matches(t, '^(pub |pub\\(|export )') AS public FROM code"),
     "q_export_jsonl": (export_jsonl, g("SELECT 'partition' AS type, count(*) AS n, count(*) AS partitions FROM g_files UNION ALL SELECT 'node', count(*), count(DISTINCT file_part) FROM g_nodes UNION ALL SELECT 'edge', count(*), count(DISTINCT file_part) FROM g_edges UNION ALL SELECT 'diagnostic', count(*), count(DISTINCT file_part) FROM g_diagnostics HAVING count(*) > 0")),
