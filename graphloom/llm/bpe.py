@@ -206,11 +206,11 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
                     joined = b",".join(map(e.pieces.__getitem__, parts))
                     n.append(joined.count(b",") + 1 if joined else 0)
                     if with_ids:
-                        ids.append([int(x) for x in joined.split(b",")] if joined else [])
+                        ids.append(np.fromstring(joined.decode(), np.int32, sep=",") if joined else np.zeros(0, np.int32))
                     sha.append(hashlib.sha256(joined).hexdigest())
                     back.append(hashlib.sha256(e.decoded(parts)).hexdigest())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.list_(pa.int32())) if with_ids else pa.nulls(len(n), pa.list_(pa.int32())), pa.array(sha, pa.string()), pa.array(back, pa.string())],
+                    [batch.column(0), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids or [np.zeros(0, np.int32)]))) if with_ids else pa.nulls(len(n), pa.list_(pa.int32())), pa.array(sha, pa.string()), pa.array(back, pa.string())],
                     names=["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"],
                 )
         if thrifty:
