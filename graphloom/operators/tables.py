@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
@@ -25,15 +25,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
-    """df with the place of each row in an order, from 0: rows are sorted by ranges, and each range starts after those before.
+def running(df: DataFrame, name: str, value: Column, *order: str) -> DataFrame:
+    """df with the sum of a value over the rows before each in an order: rows are sorted by ranges, and each range starts with what those before sum up to.
 
-    Only the counts by range, a row each, meet in one task.
+    Only the sums by range, a row each, meet in one task.
     """
-    placed = cut(df.orderBy(*order).withColumn("_range", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
-    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))
-    return placed.join(F.broadcast(starts), "_range").select(*df.columns, (F.col("_start") + F.col("_in")).alias(name))
+    placed = cut(df.withColumn("_value", value.cast("long")).orderBy(*order).withColumn("_range", F.spark_partition_id()))
+    ahead = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("_range").agg(F.sum("_value").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(ahead(Window.orderBy("_range"))), F.lit(0)).alias("_start"))
+    within = F.coalesce(F.sum("_value").over(ahead(Window.partitionBy("_range").orderBy(*order))), F.lit(0))
+    return placed.withColumn("_in", within).join(F.broadcast(starts), "_range").select(*df.columns, (F.col("_start") + F.col("_in")).alias(name))
+
+
+def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """df with the place of each row in an order, from 0."""
+    return running(df, name, F.lit(1), *order)
 
 
 @dataclass(frozen=True)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import expr as X
-from ..operators.tables import GraphTables, cut, numbered, positioned
+from ..operators.tables import GraphTables, cut, numbered, positioned, running
 
 NODE_FIELDS = [f.name for f in schema.NODES.fields if f.name not in ("file_part", "ord")]
 EDGE_FIELDS = [f.name for f in schema.EDGES.fields if f.name not in ("file_part", "ord")]
@@ -66,8 +66,7 @@ def export_lsif(tables: GraphTables) -> DataFrame:
     """
     nodes = positioned(tables).where("symbol_kind is not null")
     counts = tables.files.select("file_id", "partition_pos").join(nodes.groupBy(F.col("file_part").alias("file_id")).agg(F.count("*").alias("n")), "file_id", "left")
-    ahead = Window.orderBy("partition_pos").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("file_id", (F.coalesce(F.sum(F.coalesce("n", F.lit(0)) + 1).over(ahead), F.lit(0)) + 1).alias("start"))
+    starts = running(counts, "before", F.coalesce("n", F.lit(0)) + 1, "partition_pos").select("file_id", (F.col("before") + 1).alias("start"))
     documents = tables.files.join(starts, "file_id").select(F.col("start").alias("id"), F.lit("document").alias("label"), F.col("path").alias("uri"), F.lit(None).cast("string").alias("symbol"))
     place = F.row_number().over(Window.partitionBy("file_part").orderBy("ord"))
     results = nodes.join(starts.withColumnRenamed("file_id", "file_part"), "file_part").select((F.col("start") + place).alias("id"), F.lit("resultSet").alias("label"), F.lit(None).cast("string").alias("uri"), F.col("qualified_name").alias("symbol"))
