@@ -180,11 +180,11 @@ def _defaults() -> tuple[str, str]:
     return P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, with_ids: bool = True, thrifty: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, with_ids: bool = True, thrifty: bool = False, packed: bool = False) -> DataFrame:
     """Token ids of each text by the ranks in the file at path, with a digest of what they decode to.
 
     docs: doc_id, text; other columns are ignored. path is read where the tasks run. Returns doc_id,
-    n_tokens, ids (null unless with_ids), ids_sha256 (of the decimal ids joined by commas) and
+    n_tokens, ids (null unless with_ids; packed: as little-endian 32-bit numbers), ids_sha256 (of the decimal ids joined by commas) and
     decoded_sha256. A null or empty text has no ids: the digests are of nothing. Rows are
     independent, repeated ones repeat; an empty table gives an empty result. Nothing is shuffled:
     each task encodes the distinct words of its slices by recursive queries.
@@ -195,6 +195,13 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
     if path is None or pattern is None:
         path, pattern = (a or b for a, b in zip((path, pattern), _defaults(), strict=True))
 
+    def column(ids: list[np.ndarray], n: int) -> pa.Array:
+        if not with_ids:
+            return pa.nulls(n, pa.binary() if packed else pa.list_(pa.int32()))
+        if packed:
+            return pa.array([x.astype("<i4").tobytes() for x in ids], pa.binary())
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids or [np.zeros(0, np.int32)])))
+
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text", SLICE // 4 if thrifty else SLICE, "bpe", encoder.cache_clear):
@@ -210,7 +217,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
                     sha.append(hashlib.sha256(joined).hexdigest())
                     back.append(hashlib.sha256(e.decoded(parts)).hexdigest())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids or [np.zeros(0, np.int32)]))) if with_ids else pa.nulls(len(n), pa.list_(pa.int32())), pa.array(sha, pa.string()), pa.array(back, pa.string())],
+                    [batch.column(0), pa.array(n, pa.int64()), column(ids, len(n)), pa.array(sha, pa.string()), pa.array(back, pa.string())],
                     names=["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"],
                 )
         if thrifty:
@@ -218,7 +225,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
             keep(None)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(run, f"doc_id long, n_tokens long, ids {'binary' if packed else 'array<int>'}, ids_sha256 string, decoded_sha256 string")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,8 @@ from .url_filter import host_of
 
 #: Hashed byte trigrams; labelled texts the text model is fitted on, about; languages it knows at most.
 SLOTS, SAMPLE, MOST = 1 << 15, 4000, 500
+#: Bytes of text handled at once.
+SLICE = 2 << 20
 #: A text counts as so many independent trigrams at most, as its trigrams depend on each other.
 WORTH = 60
 #: Pseudo-counts: of the parent's distribution for a domain and a host, of each value for a declared language or suffix.
@@ -82,7 +84,7 @@ def fit_text_model(labelled: DataFrame, sample: int = SAMPLE) -> TextModel:
 
         def run(batches):
             for whole in batches:
-                for b in slices(whole, "text"):
+                for b in slices(whole, "text", SLICE):
                     slot, weight, offsets = trigrams(b.column(1))
                     own = np.array([names.index(x) for x in b.column(0).to_pylist()], np.int64)
                     sums = np.bincount(np.repeat(own, np.diff(offsets)) * SLOTS + slot, weight)
@@ -117,7 +119,7 @@ def identify(evidence: DataFrame, model: TextModel, keys: list[str]) -> DataFram
 
     def run(batches):
         for whole in batches:
-            for b in slices(whole, "_text"):
+            for b in slices(whole, "_text", SLICE):
                 scores, n = held.value.score(b.column("_text"))
                 likely = pa.array(scores.argmax(1) if scores.shape[1] else np.zeros(len(n), int), pa.int32(), mask=(n == 0) | (scores.shape[1] == 0))
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * scores.shape[1]), pa.array(scores.ravel()))
