@@ -70,8 +70,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, their number and digests, a row a row; a null or empty text has none. An empty table gives an empty one."""
-    return bpe.encode(docs, with_ids=True, thrifty=True)
+    """doc_id, ids as little-endian 32-bit numbers, their number and digests, a row a row; a null or empty text has none. An empty table gives an empty one."""
+    return bpe.encode(docs, with_ids=True, thrifty=True, packed=True)
 
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("suffix_dedup", repeats), ("mixing", mix), ("byte_bpe", token_ids)]
