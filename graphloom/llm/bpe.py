@@ -13,12 +13,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_at_spaces, keep, slices, table
+from .common import cut_at_spaces, keep, settled, slices, table
 
 #: Distinct pieces of text that a worker remembers; beyond, it keeps only those of its slice at hand.
 REMEMBERED = 1_000_000
 #: Bytes of text whose distinct words one recursive query encodes.
 SLICE = 16 << 20
+#: The same two of a thrifty worker.
+THRIFTY_REMEMBERED, THRIFTY_SLICE = 200_000, 1 << 20
 
 #: Words of a query, as it holds the rows of all its steps.
 WORDS = 50_000
@@ -150,9 +152,9 @@ class Encoder:
         parts = cut_at_spaces(text) if self.cuts else None
         return self.pattern.findall(text or "") if parts is None else parts
 
-    def learn(self, pieces: set[str]) -> None:
-        """Encode what is new among the pieces, decode the ids again, and remember both."""
-        if len(self.pieces) > REMEMBERED:
+    def learn(self, pieces: set[str], most: int = REMEMBERED) -> None:
+        """Encode what is new among the pieces, decode the ids again, and remember both; beyond `most`, what else was remembered goes."""
+        if len(self.pieces) > most:
             kept = [p for p in pieces if p in self.pieces]
             self.pieces, self.back = {p: self.pieces[p] for p in kept}, {p: self.back[p] for p in kept}
         new = {p: self.pattern.findall(p) for p in pieces.difference(self.pieces)}
@@ -189,8 +191,8 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
     independent, repeated ones repeat; an empty table gives an empty result. Nothing is shuffled:
     each task encodes the distinct words of its slices by recursive queries.
 
-    A worker keeps the pieces it has met for its next task. thrifty: it takes a quarter of the text at once
-    and keeps nothing after a task, for use beside operators that need the memory.
+    A worker keeps the pieces it has met for its next task. thrifty: it takes less text at once, remembers
+    fewer pieces and keeps nothing after a task, for use beside operators that need the memory.
     """
     if path is None or pattern is None:
         path, pattern = (a or b for a, b in zip((path, pattern), _defaults(), strict=True))
@@ -202,12 +204,13 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
             return pa.array([x.astype("<i4").tobytes() for x in ids], pa.binary())
         return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids or [np.zeros(0, np.int32)])))
 
+    @settled
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, "text", SLICE // 4 if thrifty else SLICE, "bpe", encoder.cache_clear):
+            for batch in slices(whole, "text", THRIFTY_SLICE if thrifty else SLICE, "bpe", encoder.cache_clear):
                 e = encoder(path, pattern)
                 split = [e.split(t) for t in batch.column(1).to_pylist()]
-                e.learn(set().union(*split))
+                e.learn(set().union(*split), THRIFTY_REMEMBERED if thrifty else REMEMBERED)
                 n, ids, sha, back = [], [], [], []
                 for parts in split:
                     joined = b",".join(map(e.pieces.__getitem__, parts))

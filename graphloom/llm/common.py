@@ -154,6 +154,16 @@ def settle() -> None:
         _LIBC.malloc_trim(0)
 
 
+def settled(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which a worker gives back what its task freed; it would hold that while it waits for another task."""
+
+    def go(batches):
+        yield from run(batches)
+        settle()
+
+    return go
+
+
 #: Who keeps what it learnt in this worker for its next task, and how to let go of it.
 _KEEPER: list = [None, None]
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, keep, slices, table, utf8_column
+from .common import checkpointed, connected_components, keep, settled, slices, table, utf8_column
 
 #: A token in more candidates' prefixes is frequent.
 FREQUENT = 8
@@ -239,6 +239,7 @@ def _prefix_edges(tokens: DataFrame, bound: Bound) -> DataFrame:
 
 
 def _signatures(docs: DataFrame, k: int, bound: Bound) -> DataFrame:
+    @settled
     def run(batches):
         for whole in batches:
             for b in slices(whole, "text", SLICE):
@@ -256,6 +257,7 @@ def _signatures(docs: DataFrame, k: int, bound: Bound) -> DataFrame:
 def _keys(frequent: DataFrame, bound: Bound) -> DataFrame:
     """(doc, key) of the token combinations of (doc, n, toks)."""
 
+    @settled
     def run(batches):
         for b in batches:
             keep(None)
@@ -269,6 +271,7 @@ def _keys(frequent: DataFrame, bound: Bound) -> DataFrame:
 def _tokens(members: DataFrame, k: int) -> DataFrame:
     """(doc, n, tok): all tokens of (doc, text)."""
 
+    @settled
     def run(batches):
         for whole in batches:
             for b in slices(whole, "text", SLICE):
@@ -283,6 +286,7 @@ def _tokens(members: DataFrame, k: int) -> DataFrame:
 def _sets(members: DataFrame, k: int) -> DataFrame:
     """(doc, family, blocks, tokens): the sets of (doc, text, family, blocks) as bytes."""
 
+    @settled
     def run(batches):
         for whole in batches:
             for b in slices(whole, "text", SLICE):
@@ -295,6 +299,7 @@ def _sets(members: DataFrame, k: int) -> DataFrame:
 def _compare(dealt: DataFrame, bound: Bound) -> DataFrame:
     """Edges among the sets of each (family, lo, hi), which stand together in their partition."""
 
+    @settled
     def run(batches):
         key, ids, sets, blocks = None, [], [], []
 

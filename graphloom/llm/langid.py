@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, slices, table, utf8_column
+from .common import checkpointed, settled, slices, table, utf8_column
 from .url_filter import host_of
 
 #: Hashed byte trigrams; labelled texts the text model is fitted on, about; languages it knows at most.
@@ -82,6 +82,7 @@ def fit_text_model(labelled: DataFrame, sample: int = SAMPLE) -> TextModel:
         bars = [F.lit(x) for name in names for x in (name, min((1 << 63) - 1, -(1 << 63) + (1 << 64) * each // sizes[name]))]
         rows = named.where(F.xxhash64("doc_id") <= F.create_map(*bars)[F.col("lang")]).select("lang", "text")
 
+        @settled
         def run(batches):
             for whole in batches:
                 for b in slices(whole, "text", SLICE):
@@ -117,6 +118,7 @@ def identify(evidence: DataFrame, model: TextModel, keys: list[str]) -> DataFram
     kinds = dict(evidence.dtypes)
     held = evidence.sparkSession.sparkContext.broadcast(model)
 
+    @settled
     def run(batches):
         for whole in batches:
             for b in slices(whole, "_text", SLICE):

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, settle, slices, table, unused, utf8_column
+from .common import checkpointed, settle, settled, slices, table, unused, utf8_column
 from .jaccard import RANDOM, SLICE, SMALL, mix
 
 #: Bytes of an anchor; of every window's anchors that of the least hash routes it.
@@ -198,6 +198,7 @@ def _runs(docs: DataFrame, least: int, again: bool = False) -> DataFrame:
     crosses the network once a slice. again: the others, which thus repeat an earlier one whatever other slices hold.
     """
 
+    @settled
     def go(batches):
         for whole in batches:
             for b in slices(whole, "text", SLICE):
@@ -226,6 +227,7 @@ def _pieces(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
     lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("anchor", "at")).alias("runs"))
     rows = _only(docs, wanted).join(lists, F.col("doc_id") == F.col("doc")).select("doc", "text", "runs")
 
+    @settled
     def go(batches):
         for whole in batches:
             for b in slices(whole, "text", SLICE):
@@ -249,6 +251,7 @@ SPANS = "doc long, start long, end long"
 def _by_shard(pieces: DataFrame, least: int) -> DataFrame:
     """Spans from suffix arrays over shards of pieces; those of an anchor stand together, so no repeat is cut."""
 
+    @settled
     def go(batches):
         docs, places, texts, size, last = [], [], [], 0, None
 
@@ -277,6 +280,7 @@ def _by_shard(pieces: DataFrame, least: int) -> DataFrame:
 def _by_window(pieces: DataFrame, least: int) -> DataFrame:
     """Spans of crowded anchors: every window by its digest, summed up before the shuffle, all but the first."""
 
+    @settled
     def go(batches):
         for b in batches:
             keys, docs, at = [], [], []
@@ -344,6 +348,7 @@ def remove_repeats(docs: DataFrame, least: int = 100) -> DataFrame:
     spans = checkpointed(repeated_spans(rows, least))
     touched = _only(rows, spans).join(spans, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "spans")
 
+    @settled
     def go(batches):
         for whole in batches:
             for b in slices(whole, "text", SLICE):
@@ -385,6 +390,7 @@ def strip_repeats(docs: DataFrame, least: int = 100) -> DataFrame:
     # ids first, as spans are longer than a list that is broadcast may be
     touched = docs.join(F.broadcast(ids) if few else ids, same, "left_semi").join(found, same)
 
+    @settled
     def go(batches):
         for batch in batches:
             for b in slices(batch, "text", SLICE):

@@ -1,8 +1,11 @@
 """The pipeline's stages against brute force on a small table, and what each lets through."""
 
 import hashlib
+import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -100,3 +103,33 @@ def test_stages_take_odd_and_empty_tables(spark, sf, odd, name):
         assert [t for (i, _), t in texts.items() if i == 6] == ["é x  y z u v w q r s t "]
     if name == "mixing":
         assert set(ids) <= {r[0] for r in ODD} and {1, 6} & set(ids)
+
+
+class Rows:
+    """In place of a DataFrame: keeps the function that tasks would run."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, f, _):
+        self.f = f
+        return self
+
+
+def test_token_ids_bound_a_workers_memory(spark, sf):
+    rng, rows = random.Random(7), Rows()
+    texts = [" ".join(rng.choice("abcdefghij") + str(rng.randrange(10**6)) for _ in range(12_000)) for _ in range(48)]
+    corpus_pipeline.token_ids(spark, rows, sf)
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts)})
+    bpe.encoder(*bpe._defaults())
+    tracemalloc.start()
+    try:
+        got = list(rows.f(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert peak < 200
+    got = pa.Table.from_batches(got).to_pylist()
+    assert [r["doc_id"] for r in got] == list(range(len(texts)))
+    assert [r["decoded_sha256"] for r in got] == [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+    assert all(hashlib.sha256(",".join(map(str, np.frombuffer(r["ids"], "<i4"))).encode()).hexdigest() == r["ids_sha256"] for r in got)
