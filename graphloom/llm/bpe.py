@@ -20,7 +20,7 @@ REMEMBERED = 1_000_000
 #: Bytes of text whose distinct words one recursive query encodes.
 SLICE = 16 << 20
 #: The same two of a thrifty worker.
-THRIFTY_REMEMBERED, THRIFTY_SLICE = 200_000, 1 << 20
+THRIFTY_REMEMBERED, THRIFTY_SLICE = 100_000, 512 << 10
 
 #: Words of a query, as it holds the rows of all its steps.
 WORDS = 50_000
